@@ -69,13 +69,9 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Columns that tell rows apart although doc_id may be null or repeated.
 
     Rows with the same id and the same text get the same decisions, so they
-    may share a key.
+    may share a key. The smallest number stands for a null id.
     """
-    return [F.col(doc_id).cast("string").alias("_id"), F.xxhash64(whole_text(text)).alias("_th")]
-
-
-def same_key(a: DataFrame, b: DataFrame) -> Column:
-    return a["_id"].eqNullSafe(b["_id"]) & (a["_th"] == b["_th"])
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(whole_text(text)).alias("_th")]
 
 
 def packed(docs: DataFrame, *without: str) -> Column:

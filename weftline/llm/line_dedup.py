@@ -125,7 +125,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, n_batch
 
     # the lines are made below the join: inside the lambda above it they would be split anew for each line
     left = docs.select(packed(docs, "text", "n_lines", "n_dropped"), *row_key(), lines_of(whole_text()).alias("_lines"))
-    out = left.join(gone, F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left")
+    out = left.join(gone, (F.col("_id") == F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
     made = {"text": text, "n_lines": F.size("_lines").cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}

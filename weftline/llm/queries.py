@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, line_dedup, packing
+from . import bpe, language_id, line_dedup, near_dedup, packing, secrets, substring_dedup, tiff, topk, url_filter
 from .common import table
 
 
@@ -12,11 +12,22 @@ def _over(name: str, query):
 
 QUERIES = {
     "op1_line_dedup": _over("documents", line_dedup.query),
+    "op2_substring_dedup": _over("documents", substring_dedup.query),
+    "op3_url_filter": url_filter.query_of,
+    "op4_near_dedup": _over("documents", near_dedup.query),
     "op5_bpe": _over("documents", bpe.query),
+    "op6_topk": _over("embeddings", topk.query),
+    "op7_secrets": _over("documents", secrets.query),
+    "op8_tiff": _over("documents", tiff.query),
     "op9_packing": _over("documents", packing.query),
     "op10_language_id": _over("documents", language_id.query),
 }
 
+#: Without SQL: exact windows of words over all documents (2), components of links (4), and what only tokenizers,
+#: files, packing or a learned model decide (5, 8, 9, 10). tests/llm holds these against brute force.
 SQL = {
     "op1_line_dedup": line_dedup.SQL,
+    "op3_url_filter": url_filter.SQL,
+    "op6_topk": topk.SQL,
+    "op7_secrets": secrets.SQL,
 }
