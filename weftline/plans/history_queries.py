@@ -166,14 +166,14 @@ def k10(t):
 
 
 for _name, _predicate, _where in (
-    ("P1_executed", P.executed(), "status <> 'skipped'"),
-    ("P2_keyed", P.keyed(), "hash <> ''"),
-    ("P3_passed", P.passed(), PASS),
-    ("P5_observes_key", P.observes_key(), "hash <> '' AND cached IS DISTINCT FROM false AND blocked_by IS NULL"),
-    ("P6_current_definition", F.col("def").isNull() | (F.col("def") == "d1"), "def IS NULL OR def = 'd1'"),
-    ("P7_keyed_outcome", P.keyed() & P.not_uncached() & F.col("blocked_by").isNull(), "hash <> '' AND cached IS NOT false AND blocked_by IS NULL"),
+    ("P1_executed", P.executed, "status <> 'skipped'"),
+    ("P2_keyed", P.keyed, "hash <> ''"),
+    ("P3_passed", P.passed, PASS),
+    ("P5_observes_key", P.observes_key, "hash <> '' AND cached IS DISTINCT FROM false AND blocked_by IS NULL"),
+    ("P6_current_definition", lambda: F.col("def").isNull() | (F.col("def") == "d1"), "def IS NULL OR def = 'd1'"),
+    ("P7_keyed_outcome", lambda: P.keyed() & P.not_uncached() & F.col("blocked_by").isNull(), "hash <> '' AND cached IS NOT false AND blocked_by IS NULL"),
 ):
-    query(_name, f"SELECT id, project, status FROM runs WHERE {_where}")(lambda t, p=_predicate: t.runs.where(p).select("id", "project", "status"))
+    query(_name, f"SELECT id, project, status FROM runs WHERE {_where}")(lambda t, p=_predicate: t.runs.where(p()).select("id", "project", "status"))
 
 
 @query("P4_cache_source", "SELECT id, CASE status WHEN 'cache-hit' THEN 'local' WHEN 'cache-hit-remote' THEN 'remote' WHEN 'skipped' THEN 'none' ELSE 'miss' END AS source FROM runs")

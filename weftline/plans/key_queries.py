@@ -104,7 +104,7 @@ def c9(t):
     return t.entries.where("accessed_at < 1705000000000").select("entry", "size_bytes")
 
 
-@query("C10_without_orphans", "SELECT id, project, task, hash FROM runs WHERE hash <> '' AND EXISTS (SELECT 1 FROM entries e WHERE e.entry = project || '#' || task || '#' || hash AND e.accessed_at >= 1705000000000)")
+@query("C10_without_orphans", "SELECT id, project, task, hash FROM runs WHERE hash <> '' AND EXISTS (SELECT 1 FROM entries e WHERE e.entry = runs.project || '#' || runs.task || '#' || runs.hash AND e.accessed_at >= 1705000000000)")
 def c10(t):
     parents = t.entries.where("accessed_at >= 1705000000000")
     children = t.runs.where("hash <> ''").withColumn("entry", F.concat_ws("#", "project", "task", "hash"))

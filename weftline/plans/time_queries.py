@@ -145,10 +145,10 @@ def w5(t):
 
 
 SWEEP = """
-e AS (SELECT worker, at, delta, sum(n) AS n, sum(c) AS c, sum(m) AS m FROM (
-        SELECT worker, start AS at, 1 AS delta, 1 AS n, cores AS c, memory AS m FROM spans UNION ALL SELECT worker, stop, -1, -1, -cores, -memory FROM spans) GROUP BY ALL),
-r AS (SELECT worker, sum(n) OVER w AS open, sum(c) OVER w AS cores, sum(m) OVER w AS memory, lead(at) OVER (PARTITION BY worker ORDER BY at, delta) - at AS dt
-      FROM e WINDOW w AS (PARTITION BY worker ORDER BY at, delta ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT worker, moment, delta, sum(n) AS n, sum(c) AS c, sum(m) AS m FROM (
+        SELECT worker, start AS moment, 1 AS delta, 1 AS n, cores AS c, memory AS m FROM spans UNION ALL SELECT worker, stop, -1, -1, -cores, -memory FROM spans) GROUP BY ALL),
+r AS (SELECT worker, sum(n) OVER w AS open, sum(c) OVER w AS cores, sum(m) OVER w AS memory, lead(moment) OVER (PARTITION BY worker ORDER BY moment, delta) - moment AS dt
+      FROM e WINDOW w AS (PARTITION BY worker ORDER BY moment, delta ROWS UNBOUNDED PRECEDING)),
 g AS (SELECT worker, max(open)::BIGINT AS peak_open, max(cores)::BIGINT AS peak_cores, max(memory)::BIGINT AS peak_memory, coalesce(sum(dt) FILTER (WHERE open > 0), 0)::BIGINT AS busy_ms,
         coalesce(sum(cores * dt), 0)::BIGINT AS core_ms FROM r GROUP BY worker)"""
 

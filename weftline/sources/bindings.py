@@ -29,7 +29,7 @@ class Tables:
             F.when(F.expr("event_id % 31 = 0"), "skipped").when(F.expr("event_type = 'error'"), "failed")
             .when(F.expr("event_type = 'view'"), "cache-hit").when(F.expr("event_type = 'signup'"), "cache-hit-remote").otherwise("success")
         )
-        start = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+        start = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div 1000")
         r = e.select(
             F.col("event_id").alias("id"), F.concat(F.lit("p"), F.expr("user_id % 15")).alias("project"), F.concat(F.lit("t"), F.expr("user_id % 4")).alias("task"),
             F.when(F.expr("event_id % 41 = 0"), "").otherwise(k).alias("hash"), status.alias("status"), F.floor(F.col("value") * 1000).cast("long").alias("duration_ms"),
@@ -109,7 +109,7 @@ SQL = {
                      CASE WHEN event_id % 41 = 0 THEN '' ELSE props ->> '$.k' END AS hash,
                      CASE WHEN event_id % 31 = 0 THEN 'skipped' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'cache-hit'
                           WHEN event_type = 'signup' THEN 'cache-hit-remote' ELSE 'success' END AS status,
-                     CAST(floor(value * 1000) AS BIGINT) AS duration_ms, epoch_ms(ts) AS started_at, strftime(ts, '%Y%m%d%H') AS run_id
+                     CAST(floor(value * 1000) AS BIGINT) AS duration_ms, epoch_us(ts) // 1000 AS started_at, strftime(ts, '%Y%m%d%H') AS run_id
               FROM events)""",
     "invocations": """
         SELECT *, failed_count = 0 AS exit_ok,
