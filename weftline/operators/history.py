@@ -60,11 +60,11 @@ def resolve_prefix(invocations: DataFrame, prefix: str) -> DataFrame:
 def shortest_prefix(ids: DataFrame, least: int) -> DataFrame:
     """The fewest leading characters, `least` at least, that tell an id from its neighbours in order.
 
-    Neighbours meet within the shard of ids that share the first four
+    Neighbours meet within the shard of ids that share the first `least`
     characters, so no task sorts them all. Ids of different shards differ there.
     """
     w = Window.partitionBy("shard").orderBy("run_id")
-    near = ids.withColumn("shard", F.substring("run_id", 1, 4)).select("run_id", F.lag("run_id").over(w).alias("a"), F.lead("run_id").over(w).alias("b"))
+    near = ids.withColumn("shard", F.substring("run_id", 1, least)).select("run_id", F.lag("run_id").over(w).alias("a"), F.lead("run_id").over(w).alias("b"))
 
     def shared(other: str):
         same = F.expr(f"aggregate(sequence(1, length(run_id)), 0, (n, i) -> IF(n = i - 1 AND substring(run_id, i, 1) = substring({other}, i, 1), i, n))")
