@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "byte_bpe_50k.json"
 #: Chunks (words with their punctuation) that a worker remembers; then it forgets all.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -68,6 +68,7 @@ class Bpe:
         self.pieces = regex.compile(PIECES)
         self.splits = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.apart = lru_cache(maxsize=1 << 18)(self._apart)
+        self.known_pieces = Remembered(lambda piece: self.encode_piece(piece.encode()))
 
     def _apart(self, left: int, right: int) -> bool:
         """Whether merging leaves left and right as they are when they stand side by side.
@@ -111,20 +112,23 @@ class Bpe:
         return tuple(out[::-1])
 
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(self.encode_piece(p.encode()) for p in self.pieces.findall(chunk)))
+        # words come with and without punctuation: their pieces are remembered too
+        return tuple(chain.from_iterable(map(self.known_pieces.__getitem__, self.pieces.findall(chunk))))
 
 
 class Remembered(dict):
-    """make(chunk) of every chunk asked for, up to a bound."""
+    """make(chunk) of every short chunk asked for, up to a bound."""
 
     def __init__(self, make, most: int = REMEMBERED):
         super().__init__()
         self.make, self.most = make, most
 
     def __missing__(self, chunk):
-        if len(self) >= self.most:
-            self.clear()
-        out = self[chunk] = self.make(chunk)
+        out = self.make(chunk)
+        if len(chunk) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[chunk] = out
         return out
 
 
@@ -163,7 +167,7 @@ class Encoder:
     def entries(self, text: str) -> list[tuple[int, str, tuple[int, ...]]]:
         out = []
         for chunks in chunks_of(text, self.bpe.splits, self.bpe.special):
-            # what stands alone is as a rule long or rare: not worth remembering
+            # what stands alone is as a rule long or rare: only its pieces are worth remembering
             out += map(self.known.__getitem__, chunks) if len(chunks) > 1 else map(self._entry, chunks)
         return out
 
