@@ -190,8 +190,9 @@ def test_circulant_signatures_estimate_jaccard():
     a, b = (r.integers(0, 1 << 63, 600).astype(np.uint64) for _ in range(2))
     common = np.concatenate([a[:500], b[:50]])
     other = np.concatenate([a[:500], b[50:100]])
-    same = np.mean([(near_dedup.signature(common ^ np.uint64(s)) == near_dedup.signature(other ^ np.uint64(s))).mean() for s in range(40)])
+    same = np.mean([(near_dedup.signature(common ^ np.uint64(s), 64) == near_dedup.signature(other ^ np.uint64(s), 64)).mean() for s in range(40)])
     assert abs(same - 500 / 600) < 0.04
+    assert (near_dedup.bands_for(85), near_dedup.bands_for(80)) == (16, 22)
 
 
 def test_near_dedup_edges(odd, none):

@@ -56,7 +56,8 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     one operator don't add up on disk.
     """
     spark = df.sparkSession
-    with settings(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true"):
+    # smaller batches than usual: a row may hold a long text or a large set
+    with settings(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true", spark_sql_execution_arrow_maxRecordsPerBatch="2000"):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,23 +2,22 @@
 
 Two permutations make every signature coordinate. The first scatters a
 shingle over a universe of 2**20 places, the second, shifted circularly by k,
-gives the value of the place for coordinate k. Documents with equal word sets
-of shingles are one node from the start. Documents that share a band meet in
-a bucket; candidate pairs are verified on their full shingle sets; verified
-links give the components.
-
-A bucket is never expanded into all its pairs at first: its members are held
-against a few centres, which joins groups of copies whatever their size. Only
-buckets whose members are then still in different components are gone through
-pair by pair, in blocks of bounded size, so that no link is lost.
+gives the value of the place for coordinate k. Documents with equal sets of
+shingles are one node from the start. Nodes that share a band meet in a
+bucket, and every pair of a bucket is verified on the full sets.
+
+Buckets with the same members in several bands are gone through once, large
+ones in blocks of bounded size. Inside a block all intersections come from one
+product of the incidence matrix, and what leaves it is a spanning forest of
+the verified links, so that no row is made for a pair.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
@@ -29,15 +28,13 @@ from pyspark.sql import functions as F
 from .bpe import Remembered
 from .common import packed, row_key, scratch, stored, with_made
 
-COORDINATES, BANDS = 64, 16
-ROWS = COORDINATES // BANDS
+#: Coordinates of a band, and the chance at the threshold that a pair shares no band.
+ROWS, MISS = 4, 1e-5
 UNIVERSE = 1 << 20
-#: Centres that a bucket's members are compared with in the first round.
-CENTRES = 3
-#: Members of a bucket that are compared pair by pair at a time.
+#: Members of a bucket that a block takes; two blocks meet at a time.
 BLOCK = 512
-#: A pair this many standard errors below the threshold by its signatures isn't verified.
-MARGIN = 6.0
+#: Shingles that one step of a product takes.
+COLUMNS = 4096
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,11 +43,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _windows() -> np.ndarray:
+def bands_for(percent: int) -> int:
+    """How many bands a threshold needs: 16 at 85 %, 22 at 80 %."""
+    share = min(percent, 99) / 100
+    return max(1, math.ceil(math.log(MISS) / math.log(1 - share**ROWS)))
+
+
+@lru_cache(maxsize=2)
+def _windows(coordinates: int) -> np.ndarray:
     """Row i: the second permutation at place i under each of the circular shifts."""
     second = np.random.default_rng(20_240_229).permutation(UNIVERSE).astype(np.int32)
-    return sliding_window_view(np.concatenate([second, second[: COORDINATES - 1]]), COORDINATES)
+    return sliding_window_view(np.concatenate([second, second[: coordinates - 1]]), coordinates)
 
 
 _words: Remembered | None = None
@@ -76,41 +79,41 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(codes: np.ndarray) -> np.ndarray:
+def signature(codes: np.ndarray, coordinates: int) -> np.ndarray:
     places = (_mix(codes ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(UNIVERSE)).astype(np.int64)
-    windows = _windows()
-    out = np.full(COORDINATES, UNIVERSE, np.int32)
+    windows = _windows(coordinates)
+    out = np.full(coordinates, UNIVERSE, np.int32)
     for at in range(0, len(places), 8192):
         np.minimum(out, windows[places[at : at + 8192]].min(axis=0), out=out)
     return out
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
-    parts, out = sig.astype(np.uint64).reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint64)
+    parts = sig.astype(np.uint64).reshape(-1, ROWS)
+    out = np.arange(len(parts), dtype=np.uint64)
     for i in range(ROWS):
         out = _mix(out + parts[:, i])
     return out.view(np.int64)
 
 
-SKETCH = "_id bigint, _th bigint, doc_id bigint, n int, f1 bigint, f2 bigint, sig binary, bands array<bigint>"
+SKETCH = "_id bigint, _th bigint, doc_id bigint, n int, f1 bigint, f2 bigint, bands array<bigint>"
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """Of each row: its key, the size and a 128-bit fingerprint of its set, one byte of each coordinate, band hashes."""
+def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of each row: its key, the size and a 128-bit fingerprint of its set, and its band hashes."""
+    coordinates = ROWS * bands_for(percent)
 
     def run(parts):
         for part in parts:
-            n, f1, f2, sig, band = [], [], [], [], []
+            n, f1, f2, band = [], [], [], []
             for text in part.column("text").to_pandas():
                 s = shingles(text, width)
                 n.append(len(s))
                 f1.append(int(_mix(s).sum(dtype=np.uint64).astype(np.int64)))
                 f2.append(int(_mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
-                own = signature(s)
-                sig.append((own & 255).astype(np.uint8).tobytes())
-                band.append(bands(own) if len(s) else np.empty(0, np.int64))
-            cols = [pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_th"), part.column("doc_id"), *cols], ["_id", "_th", "doc_id", "n", "f1", "f2", "sig", "bands"])
+                band.append(bands(signature(s, coordinates)) if len(s) else np.empty(0, np.int64))
+            cols = [pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(band, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_th"), part.column("doc_id"), *cols], ["_id", "_th", "doc_id", "n", "f1", "f2", "bands"])
 
     return docs.select(*row_key(), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
 
@@ -136,66 +139,55 @@ def components(edges: DataFrame, root: str) -> DataFrame:
             return labels
 
 
-def _buckets(nodes: DataFrame, *columns: str) -> DataFrame:
-    return nodes.select("node", *columns, F.posexplode("bands").alias("band", "hash"))
-
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(band, hash, i, j, node): members of each bucket of two or more, for each meeting (i, j) of its blocks.
 
-def _estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a[:, None, :] == b[None, :, :]).sum(2)
+    Of buckets with the same members, told by their number and 128 bits, the one of the first band is left.
+    """
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
+    x = lambda salt: F.bit_xor(F.xxhash64("node", F.lit(salt)))
+    shared = rows.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("held"), x(1).alias("x1"), x(2).alias("x2")).where("held > 1")
+    shared = shared.groupBy("held", "x1", "x2").agg(F.min(F.struct("band", "hash")).alias("b"))
+    parts = F.ceil(F.col("held") / BLOCK)
+    rows = rows.join(shared.select("b.band", "b.hash", parts.alias("parts")), ["band", "hash"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
+
+
+def intersections(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Sizes of the intersections of n sets given as (value, owner) pairs without repeats."""
+    _, code, count = np.unique(values, return_inverse=True, return_counts=True)
+    # what only one set holds is in no intersection
+    shared = count > 1
+    row, column = owner[shared[code]], (np.cumsum(shared) - 1)[code[shared[code]]]
+    order = np.argsort(column, kind="stable")
+    row, column, width = row[order], column[order], int(shared.sum())
+    out = np.zeros((n, n), np.float32)
+    for at in range(0, width, COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((n, min(COLUMNS, width - at)), np.float32)
+        part[row[lo:hi], column[lo:hi] - at] = 1
+        out += part @ part.T
+    return out
 
 
-def star_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs of each node with a few centres of its buckets, (a < b)."""
-    rows = _buckets(nodes).withColumn("turn", F.col("band") % CENTRES)
-    # the same turn picks the same centre in buckets of like members
-    centre = F.min_by("node", F.xxhash64("node", "turn"))
-    centres = rows.groupBy("band", "hash").agg(centre.alias("centre"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    pairs = rows.join(centres, ["band", "hash"]).where(F.col("node") != F.col("centre"))
-    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+def forest(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric link matrix the least row that it reaches."""
+    label = np.arange(len(linked))
+    while True:
+        new = np.minimum(label, np.where(linked, label[None], len(linked)).min(axis=1, initial=len(linked)))
+        if (new == label).all():
+            return label
+        label = new[new]
 
 
-def remaining_pairs(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs that share a band but no component yet, and whose signatures allow a link."""
-    rows = _buckets(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "label")
-    mixed = rows.groupBy("band", "hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo <> hi")
-    parts = F.ceil(F.col("held") / BLOCK)
-    rows = rows.join(mixed.select("band", "hash", parts.alias("parts")), ["band", "hash"])
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("band", "hash", "node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    rows = rows.join(nodes.select("node", "n", "sig", "bands"), "node")
-    share = percent / 100
-    least = COORDINATES * share - MARGIN * np.sqrt(COORDINATES * share * (1 - share))
-
-    def meet(key, part: pd.DataFrame) -> pd.DataFrame:
-        band, i, j = key[0], key[2], key[3]
-        left, right = (part, part) if i == j else (part[part["own"] == i], part[part["own"] == j])
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        sig = lambda x: np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(-1, COORDINATES)
-        ok = _estimated(sig(left), sig(right)) >= least
-        a, b, na, nb = left["node"].to_numpy(), right["node"].to_numpy(), left["n"].to_numpy(), right["n"].to_numpy()
-        ok &= left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None]
-        ok &= 100 * np.minimum(na[:, None], nb[None]) >= percent * np.maximum(na[:, None], nb[None])
-        if i == j:
-            ok &= a[:, None] < b[None]
-        x, y = np.nonzero(ok)
-        # the pair is told in the first band that it shares
-        bl, br = np.stack(left["bands"])[x], np.stack(right["bands"])[y]
-        first = (bl == br).argmax(1) == band
-        x, y = x[first], y[first]
-        return pd.DataFrame({"a": np.minimum(a[x], b[y]), "b": np.maximum(a[x], b[y])})
-
-    return rows.groupBy("band", "hash", "i", "j").applyInPandas(meet, "a bigint, b bigint")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, width: int, percent: int, root: str) -> DataFrame:
-    """The pairs whose full shingle sets have 100 * intersection >= percent * union.
+def bucket_links(nodes: DataFrame, docs: DataFrame, members: DataFrame, width: int, percent: int, root: str) -> DataFrame:
+    """(a, b): edges that join what is linked by 100 * intersection >= percent * union inside a bucket.
 
     members: (node, _id, _th) of one row for each node.
     """
-    pairs = stored(pairs, f"{root}/pairs")
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(members, "node")
-    asked = asked.select("node", F.col("_id").alias("_aid"), F.col("_th").alias("_ath"))
+    rows = stored(buckets(nodes), f"{root}/buckets")
+    asked = rows.select("node").distinct().join(members, "node").select("node", F.col("_id").alias("_aid"), F.col("_th").alias("_ath"))
     texts = docs.select(*row_key(), "text").join(asked, (F.col("_id") == F.col("_aid")) & (F.col("_th") == F.col("_ath")))
 
     def sets(parts):
@@ -203,19 +195,22 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, width: int,
             got = [shingles(t, width).view(np.int64) for t in part.column("text").to_pandas()]
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(got, pa.list_(pa.int64()))], ["node", "s"])
 
-    sets_of = stored(texts.select("node", "text").mapInArrow(sets, "node bigint, s array<bigint>").dropDuplicates(["node"]), f"{root}/sets")
+    # rows that are equal in id and text share a key: one of them serves
+    sets_of = stored(texts.dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node bigint, s array<bigint>"), f"{root}/sets")
 
-    def judge(parts):
-        for part in parts:
-            ok = []
-            for s, t in zip(part.column("s").to_pandas(), part.column("t").to_pandas(), strict=True):
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def meet(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        node, own = block.column("node").to_numpy(), block.column("s").chunk(0)
+        size = np.diff(own.offsets.to_numpy())
+        both = intersections(own.flatten().to_numpy(), np.repeat(np.arange(len(node)), size), len(node))
+        linked = 100 * both >= percent * (size[:, None] + size[None] - both)
+        label = forest(linked)
+        far = label != np.arange(len(node))
+        a, b = node[far], node[label[far]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    one = pairs.join(sets_of.select(F.col("node").alias("a"), "s"), "a")
-    two = one.join(sets_of.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
-    return stored(two.select("a", "b", "s", "t").mapInArrow(judge, "a bigint, b bigint"), f"{root}/links")
+    pairs = rows.join(sets_of, "node").groupBy("band", "hash", "i", "j").applyInArrow(meet, "a bigint, b bigint")
+    return stored(pairs.distinct(), f"{root}/links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -228,28 +223,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     spark = docs.sparkSession
     root = scratch(spark)
-    rows = stored(sketches(docs, width), f"{root}/sketches")
-    classes = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min(F.struct("_id", "_th")).alias("row"))
+    rows = stored(sketches(docs, width, percent), f"{root}/sketches")
+    classes = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.min(F.struct("_id", "_th")).alias("row"))
     # a class is named by its smallest doc_id, and by a number above any id if it has none or another class has it too
     turn = F.row_number().over(Window.partitionBy("least", F.when(F.col("least").isNull(), F.col("f1"))).orderBy("n", "f1", "f2"))
     made = F.lit(1 << 62) + F.pmod(F.xxhash64("n", "f1", "f2"), F.lit(1 << 61))
     classes = classes.withColumn("node", F.when((turn == 1) & F.col("least").isNotNull(), F.col("least")).otherwise(made))
     classes = stored(classes, f"{root}/classes")
-    nodes = classes.select("node", "n", "sig", "bands")
-    members = classes.select("node", "row._id", "row._th")
-
-    links = verified(star_pairs(nodes), docs, members, width, percent, f"{root}/star")
-    labels = components(links, f"{root}/star-components")
-    rest = remaining_pairs(nodes, labels, percent).distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
-    more = verified(rest, docs, members, width, percent, f"{root}/rest")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more), f"{root}/components")
+    links = bucket_links(classes.select("node", "bands"), docs, classes.select("node", "row._id", "row._th"), width, percent, f"{root}/pairs")
+    labels = components(links, f"{root}/components")
 
-    linked = classes.select("node", "n", "f1", "f2", "least").join(labels, "node")
+    linked = classes.select("node", "n", "f1", "f2", "least").join(labels, "node", "left")
+    linked = linked.withColumn("label", F.coalesce("label", "node"))
     least = linked.groupBy("label").agg(F.min("least").alias("component"))
-    linked = linked.join(least, "label").select("n", "f1", "f2", "component")
-    out = rows.join(linked, ["n", "f1", "f2"], "left").join(classes.select("n", "f1", "f2", "least"), ["n", "f1", "f2"], "left")
-    component = F.coalesce("component", "least", "doc_id")
+    # written first: both sides of the join are then plain shuffles, whose large parts Spark can split
+    linked = stored(linked.join(least, "label").select("n", "f1", "f2", "component"), f"{root}/linked")
+    out = rows.join(linked, ["n", "f1", "f2"], "left")
+    component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "_id", "_th", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
