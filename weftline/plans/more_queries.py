@@ -149,3 +149,44 @@ def g28(t):
     below = G.closure(t.edges, asked).select("node").distinct().withColumn("below", F.lit(True))
     mode = F.when(F.expr("node % 100 = 1"), "now").when(F.col("below"), "deferred").otherwise("never")
     return t.nodes.select("node").join(below, "node", "left").select("node", mode.alias("mode"))
+
+
+@query("T5_component_order", "SELECT entry, kind, name, row_number() OVER (PARTITION BY entry ORDER BY kind, name) AS place FROM entry_inputs WHERE entry % 20 = 0")
+def t5(t):
+    n = F.row_number().over(Window.partitionBy("entry").orderBy("kind", "name"))
+    return t.entry_inputs.where("entry % 20 = 0").select("entry", "kind", "name", n.cast("long").alias("place"))
+
+
+@query("S17b_batched_hashes", "SELECT r.hash, count(*) AS n, max(r.id) AS newest FROM runs r JOIN (SELECT DISTINCT hash FROM runs WHERE status = 'failed' AND hash <> '') f ON f.hash = r.hash GROUP BY r.hash")
+def s17b(t):
+    asked = t.runs.where("status = 'failed' AND hash <> ''").select("hash").distinct()
+    return t.runs.join(asked, "hash").groupBy("hash").agg(F.count("*").alias("n"), F.max("id").alias("newest"))
+
+
+@query(
+    "G26_hub_edges",
+    """SELECT 'direct' AS form, sum(n * (n - 1))::BIGINT AS edges FROM (SELECT count(*) AS n FROM edges GROUP BY dst) UNION ALL SELECT 'hub', sum(2 * n)::BIGINT FROM (SELECT count(*) AS n FROM edges GROUP BY dst)""",
+)
+def g26(t):
+    # peers of one target meet in a hub node instead of pairwise
+    n = t.edges.groupBy("dst").agg(F.count("*").alias("n"))
+    to_hub = t.edges.select(F.col("src").alias("a"), (-F.col("dst") - 1).alias("b"))
+    hub = to_hub.unionByName(to_hub.select(F.col("b").alias("a"), F.col("a").alias("b"))).agg(F.count("*").alias("edges")).select(F.lit("hub").alias("form"), "edges")
+    return n.agg(F.sum(F.expr("n * (n - 1)")).alias("edges")).select(F.lit("direct").alias("form"), "edges").unionByName(hub)
+
+
+@query("Q2_relations", "SELECT 'runs' AS relation, count(*) AS n FROM runs UNION ALL SELECT 'invocations', count(*) FROM invocations UNION ALL SELECT 'entries', count(*) FROM entries UNION ALL SELECT 'entry_inputs', count(*) FROM entry_inputs UNION ALL SELECT 'task_durations', count(*) FROM task_durations")
+def q2(t):
+    out = None
+    for name in ("runs", "invocations", "entries", "entry_inputs", "task_durations"):
+        row = getattr(t, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("relation"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("R7_live_snapshot", "SELECT run_id, count(*) FILTER (WHERE started_at <= 1705708800000 AND ended_at > 1705708800000) AS running, count(*) FILTER (WHERE ended_at <= 1705708800000) AS done FROM runs GROUP BY run_id HAVING min(started_at) <= 1705708800000")
+def r7(t):
+    now = F.lit(1_705_708_800_000)
+    n = lambda c: F.count(F.when(c, 1))
+    g = t.runs.groupBy("run_id").agg(F.min("started_at").alias("s"), n((F.col("started_at") <= now) & (F.col("ended_at") > now)).alias("running"), n(F.col("ended_at") <= now).alias("done"))
+    return g.where(F.col("s") <= now).drop("s")
