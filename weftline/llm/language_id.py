@@ -20,6 +20,8 @@ from pyspark.sql import Window
 PROFILE = 400
 #: Labelled documents of a language that a profile is learned from (about so many: chosen by hash).
 SAMPLED = 500
+#: Labels that there may be; more are refused.
+LANGUAGES = 1000
 _OTHER = re.compile(r"[\W\d_]+")
 _EDGE = ord("_")
 
@@ -56,10 +58,13 @@ def learn(docs: DataFrame, sampled: int = SAMPLED, most: int = PROFILE) -> dict[
     each language.
     """
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    many = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = many.select("lang", (F.lit(float(sampled)) / F.col("n")).alias("share"))
+    many = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()
+    if len(many) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    share = known.sparkSession.createDataFrame([(r["lang"], float(sampled) / r["n"]) for r in many], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    picked = known.join(share, "lang").where(draw < F.col("share")).select("lang", "text")
+    # at most LANGUAGES rows: the texts stay where they are
+    picked = known.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("lang", "text")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

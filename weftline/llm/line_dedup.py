@@ -113,10 +113,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, n_batch
     input column named n_lines or n_dropped gives way to the result's.
     """
     spark = docs.sparkSession
-    index = LineRuns(spark, scratch(spark), min_docs, min_chars, fanout)
+    root = scratch(spark)
+    index = LineRuns(spark, root, min_docs, min_chars, fanout)
     for batch in batches(docs, n_batches):
         index.absorb(batch.select("doc_id", "text"))
-    hot = index.frequent().select(F.col("h"), F.col("last"))
+    # written first: both sides of the join below are then plain shuffles, whose large parts Spark can split
+    hot = stored(index.frequent().select("h", "last"), f"{root}/frequent")
 
     at = docs.select("doc_id", *row_key(), F.posexplode(F.transform(lines_of(whole_text()), lambda x: F.unhex(_hash(x, min_chars)))).alias("pos", "lh"))
     at = at.where("lh is not null")

@@ -14,8 +14,8 @@ from .bpe import PIECES, Remembered, _byte_letters, chunks_of, vocabulary_path
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id bigint, offset bigint"
-#: Bins open at a time in one packing task.
-OPEN_BINS = 1024
+#: Bins open at a time in one packing task, and pieces that it looks ahead: of these the longest goes first.
+OPEN_BINS, AHEAD = 1024, 1000
 #: Documents that one packing task takes. A row of it holds numbers only.
 DOCS_PER_TASK = 250_000
 
@@ -115,11 +115,12 @@ class OpenBins:
         return bin_, self.size - space
 
 
-def pack(cut: DataFrame, most: int = 2048, most_open: int = OPEN_BINS, tasks: int = 1) -> DataFrame:
+def pack(cut: DataFrame, most: int = 2048, most_open: int = OPEN_BINS, tasks: int = 1, ahead: int = AHEAD) -> DataFrame:
     """Places the pieces; sequence ids are unique over all tasks.
 
     A task packs its own share of the documents by itself, dealt by doc_id and
     piece, so neither a hot document nor the whole input meets in one task.
+    Pieces come in a hashed order; each is the longest of the next `ahead`.
     Ties between bins of equal space go to the newest.
     """
 
@@ -128,9 +129,13 @@ def pack(cut: DataFrame, most: int = 2048, most_open: int = OPEN_BINS, tasks: in
 
         bins, base = OpenBins(most, most_open), TaskContext.get().partitionId() << 40
         for part in parts:
-            placed = [bins.place(n) for n in part.column("length").to_pylist()]
-            part = part.append_column("sequence_id", pa.array([base + b for b, _ in placed], pa.int64()))
-            yield part.append_column("offset", pa.array([o for _, o in placed], pa.int64()))
+            length = part.column("length").to_numpy()
+            at = np.empty((len(length), 2), np.int64)
+            for start in range(0, len(length), ahead):
+                for row in start + np.argsort(-length[start : start + ahead], kind="stable"):
+                    at[row] = bins.place(int(length[row]))
+            part = part.append_column("sequence_id", pa.array(base + at[:, 0]))
+            yield part.append_column("offset", pa.array(at[:, 1]))
 
     dealt = cut.repartition(max(tasks, 1), F.xxhash64("doc_id", "piece"))
     # a set order within the task: a rerun after a lost executor gives the same sequences

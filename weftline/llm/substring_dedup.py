@@ -137,7 +137,8 @@ def repeated_blocks(docs: DataFrame, window: int) -> DataFrame:
     root = scratch(docs.sparkSession)
     own = _index(docs, window)
     shared = own.groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("held"), F.min("content").alias("lo"), F.max("content").alias("hi"))
-    shared = shared.where("held > 1").select("_a", (F.col("lo") == F.col("hi")).alias("whole"))
+    # written first: both sides of the join below are then plain shuffles, whose large parts Spark can split
+    shared = stored(shared.where("held > 1").select("_a", (F.col("lo") == F.col("hi")).alias("whole")), f"{root}/anchors")
     found = own.join(shared, F.col("anchor") == F.col("_a")).drop("_a")
     names = {c: F.when(~F.col("whole"), F.col(c)).alias(c) for c in ("anchor", "content")}
     found = stored(found.select("_id", "_th", "first", "many", *names.values(), "whole"), f"{root}/shared")

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import sliced
+
 #: Tags of the format, sizes of its field types, numbers of its compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, STRIP_ROWS, STRIP_SIZES, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317
 TILE_WIDTH, TILE_HEIGHT, TILES, TILE_SIZES = 322, 323, 324, 325
@@ -240,7 +242,7 @@ def store_texts(docs: DataFrame, compression: str = "deflate", predictor: int =
     code = NAMES[compression]
 
     def run(parts):
-        for part in parts:
+        for part in sliced(parts):
             n, media = [], []
             for text in part.column("text").to_pandas():
                 data = payload_of(text)
@@ -263,7 +265,7 @@ def tiff_pages(stored: DataFrame) -> DataFrame:
     """
 
     def run(parts):
-        for part in parts:
+        for part in sliced(parts):
             at, rows = [], []
             for i, file in enumerate(part.column("media").to_pylist()):
                 if file is None:
@@ -307,7 +309,7 @@ def digests(pages: DataFrame) -> DataFrame:
 
     def run(parts):
         held: list[dict] = []
-        for part in parts:
+        for part in sliced(parts):
             done = []
             for r in part.to_pylist():
                 held.append(r)
