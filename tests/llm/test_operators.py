@@ -185,6 +185,22 @@ def test_remaining_pairs_find_links_that_centres_miss(spark):
     assert got == {k: v[1] for k, v in brute_components(table, 3, 85).items()}
 
 
+@pytest.mark.parametrize("block", [2, 7])
+def test_buckets_of_many_blocks(spark, docs, block, monkeypatch):
+    """Copies of one text, a chain of copies, and texts that share a bucket without a link, in blocks of a few."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    r = random.Random(block)
+    table = rows()
+    base = [f"b{i}" for i in range(300)]
+    for i in range(60):
+        table.append((2000 + i, " ".join([*base, f"own{i}", f"more{i}"]), "en", "s", 1))
+        base = base if i < 40 else [f"n{i}-{k}" if r.random() < 0.03 else w for k, w in enumerate(base)]
+        far = [f"f{i}-{k}" if r.random() < 0.04 else f"c{k}" for k in range(300)]
+        table.append((3000 - i, " ".join(far), "en", "s", 1))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.query(spark, spark.createDataFrame(table, SCHEMA)).collect()}
+    assert got == brute_components(table, 3, 85)
+
+
 def test_circulant_signatures_estimate_jaccard():
     r = np.random.default_rng(5)
     a, b = (r.integers(0, 1 << 63, 600).astype(np.uint64) for _ in range(2))
@@ -259,6 +275,14 @@ def test_topk_matches_brute_force(spark, seed):
     assert sorted(tuple(x) for x in topk.top_k(df, 10, 20).collect()) == brute_topk(data, 10, 20)
 
 
+def test_topk_in_several_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    r = np.random.default_rng(4)
+    data = [(i, [float(np.float32(x)) for x in r.normal(size=6)]) for i in range(400)]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>")
+    assert sorted(tuple(x) for x in topk.top_k(df, 5, 10).collect()) == brute_topk(data, 5, 10)
+
+
 def test_topk_edges(spark):
     kind = "vec_id bigint, embedding array<float>"
     assert topk.top_k(spark.createDataFrame([], kind)).count() == 0

@@ -7,9 +7,11 @@ shingles are one node from the start. Nodes that share a band meet in a
 bucket, and every pair of a bucket is verified on the full sets.
 
 Buckets with the same members in several bands are gone through once, large
-ones in blocks of bounded size. Inside a block all intersections come from one
-product of the incidence matrix, and what leaves it is a spanning forest of
-the verified links, so that no row is made for a pair.
+ones in blocks of bounded size that share the bucket's centre. What is then one
+component needs no more comparing; only the others of the bucket meet all its
+members. Inside a block all intersections come from one product of the
+incidence matrix, and what leaves it is a spanning forest of the verified
+links, so that no row is made for a pair.
 """
 
 from __future__ import annotations
@@ -140,18 +142,44 @@ def components(edges: DataFrame, root: str) -> DataFrame:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(band, hash, i, j, node): members of each bucket of two or more, for each meeting (i, j) of its blocks.
+    """(band, hash, parts, centre, node): members of each bucket of two or more, and how many blocks they make.
 
     Of buckets with the same members, told by their number and 128 bits, the one of the first band is left.
     """
     rows = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
     x = lambda salt: F.bit_xor(F.xxhash64("node", F.lit(salt)))
-    shared = rows.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("held"), x(1).alias("x1"), x(2).alias("x2")).where("held > 1")
-    shared = shared.groupBy("held", "x1", "x2").agg(F.min(F.struct("band", "hash")).alias("b"))
+    shared = rows.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("centre"), x(1).alias("x1"), x(2).alias("x2")).where("held > 1")
+    shared = shared.groupBy("held", "x1", "x2").agg(F.min(F.struct("band", "hash", "centre")).alias("b"))
     parts = F.ceil(F.col("held") / BLOCK)
-    rows = rows.join(shared.select("b.band", "b.hash", parts.alias("parts")), ["band", "hash"])
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
+    return rows.join(shared.select("b.band", "b.hash", "b.centre", parts.alias("parts")), ["band", "hash"])
+
+
+def _dealt(parts: str) -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(parts))
+
+
+def first_meetings(members: DataFrame) -> DataFrame:
+    """(band, hash, i, j, node): each member in one block, and the bucket's centre in every block (in its own twice)."""
+    own = members.select("band", "hash", _dealt("parts").alias("i"), "node")
+    many = members.where((F.col("parts") > 1) & (F.col("node") == F.col("centre")))
+    centre = many.select("band", "hash", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), "node")
+    return own.unionByName(centre).select("band", "hash", "i", F.lit(-1).cast("long").alias("j"), "node")
+
+
+def later_meetings(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, hash, i, j, node) for what the first meetings leave open in buckets of several blocks.
+
+    Members of a bucket's largest component so far are settled among each
+    other. The rest, in blocks of their own, meet all members block by block.
+    """
+    many = members.where("parts > 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    count = many.groupBy("band", "hash", "label").agg(F.count(F.lit(1)).alias("n"))
+    top = count.groupBy("band", "hash").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("held"))
+    top = top.where("held > top.n").select("band", "hash", F.col("top.label").alias("top"), F.ceil((F.col("held") - F.col("top.n")) / BLOCK).alias("open"))
+    many = many.join(top, ["band", "hash"])
+    all_ = many.select("band", "hash", F.explode(F.sequence(F.lit(0), F.col("open") - 1)).alias("i"), _dealt("parts").alias("j"), "node")
+    rest = many.where("label <> top").select("band", "hash", _dealt("open").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), "node")
+    return all_.unionByName(rest)
 
 
 def intersections(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -181,10 +209,30 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = new[new]
 
 
-def bucket_links(nodes: DataFrame, docs: DataFrame, members: DataFrame, width: int, percent: int, root: str) -> DataFrame:
-    """(a, b): edges that join what is linked by 100 * intersection >= percent * union inside a bucket.
+def _linked(meetings: DataFrame, sets_of: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges that join what is linked by 100 * intersection >= percent * union in a meeting."""
 
-    members: (node, _id, _th) of one row for each node.
+    def meet(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        node, first = np.unique(block.column("node").to_numpy(), return_index=True)
+        own = block.column("s").chunk(0).take(pa.array(first))
+        size = np.diff(own.offsets.to_numpy())
+        both = intersections(own.flatten().to_numpy(), np.repeat(np.arange(len(node)), size), len(node))
+        linked = 100 * both >= percent * (size[:, None] + size[None] - both)
+        label = forest(linked)
+        far = label != np.arange(len(node))
+        return pa.table({"a": node[label[far]], "b": node[far]})
+
+    return meetings.join(sets_of, "node").groupBy("band", "hash", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def bucket_labels(nodes: DataFrame, docs: DataFrame, members: DataFrame, width: int, percent: int, root: str) -> DataFrame:
+    """(node, label) of all nodes with a link: the smallest node that links inside buckets reach.
+
+    members: (node, _id, _th) of one row for each node. Buckets of several
+    blocks are settled in two goes: blocks and centres first, then what is
+    still in different components. A large group of copies is one component
+    after the first, so its rows grow with its members.
     """
     rows = stored(buckets(nodes), f"{root}/buckets")
     asked = rows.select("node").distinct().join(members, "node").select("node", F.col("_id").alias("_aid"), F.col("_th").alias("_ath"))
@@ -198,19 +246,20 @@ def bucket_links(nodes: DataFrame, docs: DataFrame, members: DataFrame, width: i
     # rows that are equal in id and text share a key: one of them serves
     sets_of = stored(texts.dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node bigint, s array<bigint>"), f"{root}/sets")
 
-    def meet(block: pa.Table) -> pa.Table:
-        block = block.combine_chunks()
-        node, own = block.column("node").to_numpy(), block.column("s").chunk(0)
-        size = np.diff(own.offsets.to_numpy())
-        both = intersections(own.flatten().to_numpy(), np.repeat(np.arange(len(node)), size), len(node))
-        linked = 100 * both >= percent * (size[:, None] + size[None] - both)
-        label = forest(linked)
-        far = label != np.arange(len(node))
-        a, b = node[far], node[label[far]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    pairs = rows.join(sets_of, "node").groupBy("band", "hash", "i", "j").applyInArrow(meet, "a bigint, b bigint")
-    return stored(pairs.distinct(), f"{root}/links")
+    links = stored(_linked(first_meetings(rows), sets_of, percent), f"{root}/links")
+    labels = components(links, f"{root}/components")
+    if rows.where("parts > 1").isEmpty():
+        return labels
+    meetings = stored(later_meetings(rows, labels), f"{root}/meetings")
+    if meetings.isEmpty():
+        return labels
+    more = _linked(meetings, sets_of, percent)
+    for c in ("a", "b"):
+        more = more.join(labels.select(F.col("node").alias(c), F.col("label").alias("_l")), c, "left").withColumn(c, F.coalesce("_l", c)).drop("_l")
+    more = stored(more.where("a <> b").distinct(), f"{root}/more")
+    above = components(more, f"{root}/above")
+    up = labels.join(above.select(F.col("node").alias("label"), F.col("label").alias("_up")), "label", "left").select("node", F.coalesce("_up", "label").alias("label"))
+    return stored(up.unionByName(above.join(labels, "node", "left_anti")), f"{root}/labels")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -230,8 +279,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     made = F.lit(1 << 62) + F.pmod(F.xxhash64("n", "f1", "f2"), F.lit(1 << 61))
     classes = classes.withColumn("node", F.when((turn == 1) & F.col("least").isNotNull(), F.col("least")).otherwise(made))
     classes = stored(classes, f"{root}/classes")
-    links = bucket_links(classes.select("node", "bands"), docs, classes.select("node", "row._id", "row._th"), width, percent, f"{root}/pairs")
-    labels = components(links, f"{root}/components")
+    labels = bucket_labels(classes.select("node", "bands"), docs, classes.select("node", "row._id", "row._th"), width, percent, f"{root}/pairs")
 
     linked = classes.select("node", "n", "f1", "f2", "least").join(labels, "node", "left")
     linked = linked.withColumn("label", F.coalesce("label", "node"))

@@ -151,8 +151,9 @@ class MTree:
         """The k best rows of each visited page for each of its queries."""
         pivots, dim, longest = self.pivots, self.dim, self.longest
         visits = visits.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        pages = self.pages if blocks == 1 else self.pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pages = pages.withColumn("block", F.lit(0)) if blocks == 1 else pages
+        # a page is repeated only for the blocks with a query that goes there
+        place = ["pivot", "ring", "page"]
+        pages = self.pages.withColumn("block", F.lit(0)) if blocks == 1 else self.pages.join(visits.select(*place, F.col("block").alias("asked")).distinct(), place).withColumnRenamed("asked", "block")
         empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})
 
         def best(page: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
