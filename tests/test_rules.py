@@ -177,3 +177,29 @@ def test_owners_and_nesting(spark):
 def test_bare_names(spark):
     p = spark.createDataFrame([(1, "@a/x"), (2, "@b/x"), (3, "@a/y"), (4, "z")], "node long, name string")
     assert [[r.node for r in selection.by_name(p, n).collect()] for n in ("x", "y", "z", "@b/x")] == [[], [3], [4], [2]]
+
+
+def test_nearest_names(spark):
+    from weftline.functions import text as X
+
+    names = [("BUILD", "build"), ("bulid", "build"), ("build", None), ("tset", "test"), ("last", None), ("zzzzzzz", None), (None, None), ("", None)]
+    df = spark.createDataFrame(names, "name string, want string")
+    assert [r.hint == r.want for r in df.select("want", X.nearest(F.col("name"), ["build", "test"]).alias("hint")).collect()] == [True] * len(names)
+
+
+def test_two_stream_logs(spark):
+    from weftline.functions import text as X
+
+    logs = [("plain", [(False, "plain")]), ("", []), ("a\x1eeb\x1eoc", [(False, "a"), (True, "b"), (False, "c")]), ("\x1e\x1e\x1e", [(False, "\x1e\x1e")]), ("a\x1exb\x1e", [(False, "a\x1exb\x1e")]), ("\x1eex\x1eey", [(True, "x"), (True, "y")])]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(logs)], "i int, log string")
+    got = {r.i: [tuple(c) for c in r.c] for r in df.select("i", X.chunks_of_log(F.col("log")).alias("c")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(logs)}
+
+
+def test_sorted_json_and_definitions(spark):
+    from weftline.functions import text as X
+
+    r = spark.sql("""SELECT '{"b": {"d": 1, "c": [{"z": 1, "a": null}]}, "a": "x"}' AS j, map('b', '2', 'a', '1') AS m, map('a', '1', 'b', '2') AS n, CAST(NULL AS STRING) AS none""")
+    h = lambda command, define: X.definition_hash(F.lit("p#t"), F.col(command), F.col(define))
+    out = r.select(X.sorted_json(F.col("j")).alias("j"), h("j", "m").alias("a"), h("j", "n").alias("b"), h("none", "m").alias("c")).first()
+    assert out.j == '{"a":"x","b":{"c":[{"a":null,"z":1}],"d":1}}' and out.a == out.b and out.c is None

@@ -30,3 +30,62 @@ def relative(path: Column, directory: Column) -> Column:
     same = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.get(a, i - 1) == F.get(b, i - 1)), i).otherwise(n))
     up = F.repeat(F.lit("../"), F.size(b) - same)
     return F.concat(up, F.array_join(F.slice(a, same + 1, F.size(a)), "/"))
+
+
+def nearest(name: Column, candidates: list[str]) -> Column:
+    """The candidate that a mistyped name most likely meant; null for none, or if the name is one itself.
+
+    The same letters in another case come first, then the fewest edits, two at
+    most; for up to four letters two edits only if they keep the letters. Ties
+    go to the earlier candidate. The list is short, so it is part of the plan.
+    """
+    letters = lambda c: F.sort_array(F.split(c, ""))
+    short = F.length(F.regexp_replace(name, "^-+", "")) <= 4
+    ranked = []
+    for place, c in enumerate(map(F.lit, candidates)):
+        edits = F.levenshtein(name, c)
+        near = (edits <= 2) & (edits < F.greatest(F.length(name), F.length(c))) & ~(short & (edits == 2) & (letters(name) != letters(c)))
+        rank = F.when((name != c) & (F.lower(name) == F.lower(c)), -1).when(near, edits)
+        ranked.append(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), F.lit(place).alias("place"), c.alias("candidate"))))
+    return F.nullif(F.array_min(F.array_compact(F.array(*ranked)))["candidate"], name)
+
+
+#: Fixed value: the mark that switches the stream of a log.
+RS = "\x1e"
+
+
+def log_of(chunks: Column) -> Column:
+    """One string for array<struct<err boolean, text string>>: RS + e / o where the stream switches, RS itself doubled."""
+
+    def step(acc: Column, c: Column) -> Column:
+        mark = F.when(c["err"] == acc["err"], "").when(c["err"], RS + "e").otherwise(RS + "o")
+        return F.struct(c["err"].alias("err"), F.concat(acc["out"], mark, F.replace(c["text"], F.lit(RS), F.lit(RS * 2))).alias("out"))
+
+    return F.aggregate(chunks, F.struct(F.lit(False).alias("err"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+
+def chunks_of_log(log: Column) -> Column:
+    """What log_of wrote, text of one stream joined. An RS before anything else is the text's own."""
+    tokens = F.regexp_extract_all(log, F.lit(f"{RS}[eo{RS}]?|[^{RS}]+"), F.lit(0))
+    closed = lambda acc: F.when(acc["text"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["err"].alias("err"), acc["text"].alias("text")))))
+
+    def step(acc: Column, t: Column) -> Column:
+        switch = t.isin(RS + "e", RS + "o")
+        text = F.concat(acc["text"], F.when(t == RS * 2, RS).otherwise(t))
+        return F.struct(
+            F.when(switch, t == RS + "e").otherwise(acc["err"]).alias("err"), F.when(switch, "").otherwise(text).alias("text"), F.when(switch, closed(acc)).otherwise(acc["done"]).alias("done")
+        )
+
+    start = F.struct(F.lit(False).alias("err"), F.lit("").alias("text"), F.array().cast("array<struct<err:boolean,text:string>>").alias("done"))
+    return F.aggregate(tokens, start, step, closed)
+
+
+def sorted_json(text: Column) -> Column:
+    """JSON with the keys of every object in order, all the way down; a variant keeps its fields that way."""
+    return F.to_json(F.parse_json(text))
+
+
+def definition_hash(task: Column, command: Column, define: Column) -> Column:
+    """What a task is for its history: its id, command and given values in order of name; null without a command."""
+    pairs = F.to_json(F.transform(F.array_sort(F.map_entries(define)), lambda e: F.array(e["key"], e["value"])))
+    return F.sha2(F.concat(task, F.lit("\x1f"), command, F.lit("\x1f"), F.coalesce(pairs, F.lit("[]"))), 256)

@@ -70,3 +70,11 @@ def running_usage(samples: DataFrame) -> DataFrame:
     w = Window.partitionBy("key").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
     s = samples.select("key", "id", "at", F.max("cpu_ms").over(w).alias("cpu"), F.max("rss").over(w).alias("peak"), F.min("at").over(w).alias("t0"))
     return s.select("key", "id", "cpu", "peak", F.try_divide(F.col("cpu").cast("double"), (F.col("at") - F.col("t0")).cast("double")).alias("mean_cores"))
+
+
+def upserted(stored: DataFrame, reports: DataFrame, *keys: str) -> DataFrame:
+    """stored (keys, ewma, slow) with one new report (keys, d) for each key folded in; unknown keys are added."""
+    j = stored.join(reports, list(keys), "full")
+    ewma = F.coalesce(F.col("ewma") * 0.7 + F.col("d") * 0.3, "d", "ewma")
+    slow = F.when(F.col("d").isNull(), F.col("slow")).otherwise(F.greatest("d", F.col("slow") * 0.9))
+    return j.select(*keys, ewma.alias("ewma"), slow.alias("slow"))

@@ -160,9 +160,9 @@ def k9(t):
     return S.summary(t.runs)
 
 
-@query("K10_json_rows", """SELECT id, '{"id":' || id || ',"project":"' || project || '","ok":' || CASE WHEN status = 'failed' THEN 'false' ELSE 'true' END || '}' AS json FROM runs WHERE id % 10 = 0""")
+@query("K10_json_rows", """SELECT id, '{"id":' || id || ',"project":"' || project || '","ok":' || CASE WHEN status = 'failed' THEN 'false' ELSE 'true' END || '}' AS json FROM runs""")
 def k10(t):
-    return t.runs.where("id % 10 = 0").select("id", F.to_json(F.struct("id", "project", (F.col("status") != "failed").alias("ok"))).alias("json"))
+    return t.runs.select("id", F.to_json(F.struct("id", "project", (F.col("status") != "failed").alias("ok"))).alias("json"))
 
 
 for _name, _predicate, _where in (

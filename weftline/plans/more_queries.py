@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import measures as M
 from ..functions import predicates as P
 from ..functions import text as X
+from ..operators import forecast as FC
 from ..operators import graph as G
 from .registry import query
 
@@ -124,9 +125,9 @@ def g4(t):
     return G.dependent_counts(commands, contracted)
 
 
-@query("G12_changed_projects", "SELECT name AS owner, count(*) AS paths FROM projects, (SELECT unnest(range(0, 3)) AS k) WHERE node % 11 = 0 GROUP BY name")
+@query("G12_changed_projects", "SELECT name AS owner, count(*) AS paths FROM projects, (SELECT unnest(range(0, 3)) AS k) GROUP BY name")
 def g12(t):
-    paths = t.projects.where("node % 11 = 0").select(F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"), "dir").select(F.concat("dir", F.lit("/f"), "k").alias("path"))
+    paths = t.projects.select(F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"), "dir").select(F.concat("dir", F.lit("/f"), "k").alias("path"))
     return G.owner_of(paths, t.projects).groupBy("owner").agg(F.count("*").alias("paths"))
 
 
@@ -151,10 +152,10 @@ def g28(t):
     return t.nodes.select("node").join(below, "node", "left").select("node", mode.alias("mode"))
 
 
-@query("T5_component_order", "SELECT entry, kind, name, row_number() OVER (PARTITION BY entry ORDER BY kind, name) AS place FROM entry_inputs WHERE entry % 20 = 0")
+@query("T5_component_order", "SELECT entry, kind, name, row_number() OVER (PARTITION BY entry ORDER BY kind, name) AS place FROM entry_inputs")
 def t5(t):
     n = F.row_number().over(Window.partitionBy("entry").orderBy("kind", "name"))
-    return t.entry_inputs.where("entry % 20 = 0").select("entry", "kind", "name", n.cast("long").alias("place"))
+    return t.entry_inputs.select("entry", "kind", "name", n.cast("long").alias("place"))
 
 
 @query("S17b_batched_hashes", "SELECT r.hash, count(*) AS n, max(r.id) AS newest FROM runs r JOIN (SELECT DISTINCT hash FROM runs WHERE status = 'failed' AND hash <> '') f ON f.hash = r.hash GROUP BY r.hash")
@@ -190,3 +191,89 @@ def r7(t):
     n = lambda c: F.count(F.when(c, 1))
     g = t.runs.groupBy("run_id").agg(F.min("started_at").alias("s"), n((F.col("started_at") <= now) & (F.col("ended_at") > now)).alias("running"), n(F.col("ended_at") <= now).alias("done"))
     return g.where(F.col("s") <= now).drop("s")
+
+
+@query(
+    "Fs4_near_match_rules",
+    """WITH n AS (SELECT id, CASE id % 4 WHEN 0 THEN upper(status) WHEN 1 THEN left(status, length(status) - 1) WHEN 2 THEN left(status, length(status) - 2) ELSE status || 'xyz' END AS name FROM runs),
+        c AS (SELECT * FROM (VALUES (0, 'success'), (1, 'failed'), (2, 'skipped'), (3, 'cache-hit'), (4, 'cache-hit-remote')) v(i, c)),
+        d AS (SELECT id, name, i, c, CASE WHEN c <> name AND lower(c) = lower(name) THEN -1 ELSE levenshtein(name, c) END AS d FROM n, c),
+        k AS (SELECT id, arg_min(c, d * 10 + i) AS hint FROM d WHERE d = -1 OR d <= 2 AND d < greatest(length(name), length(c))
+              AND NOT (length(name) <= 4 AND d = 2 AND list_sort(string_split(name, '')) <> list_sort(string_split(c, ''))) GROUP BY id)
+       SELECT n.id, name, nullif(hint, name) AS hint FROM n LEFT JOIN k ON k.id = n.id""",
+)
+def fs4(t):
+    typed = F.expr("CASE id % 4 WHEN 0 THEN upper(status) WHEN 1 THEN left(status, length(status) - 1) WHEN 2 THEN left(status, length(status) - 2) ELSE concat(status, 'xyz') END")
+    r = t.runs.select("id", typed.alias("name"))
+    return r.select("id", "name", X.nearest(F.col("name"), ["success", "failed", "skipped", "cache-hit", "cache-hit-remote"]).alias("hint"))
+
+
+@query(
+    "Fs16_two_stream_log",
+    """SELECT doc_id, sha256(a || chr(30) || 'e' || 'x' || chr(30) || chr(30) || 'y' || CASE WHEN b <> '' THEN chr(30) || 'o' || b ELSE '' END) AS log_sha256,
+         (a <> '')::INT + 1 + (b <> '')::INT AS chunks, 'x' || chr(30) || 'y' AS err, a || b AS shown
+       FROM (SELECT doc_id, left(coalesce(text, ''), 50) AS a, substr(coalesce(text, ''), 51) AS b FROM documents)""",
+)
+def fs16(t):
+    d = t.table("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    chunk = lambda err, text: F.struct(F.lit(err).alias("err"), text.alias("text"))
+    made = F.array(chunk(False, F.left("text", F.lit(50))), chunk(True, F.lit("x\x1ey")), chunk(False, F.substring("text", 51, 1 << 30)))
+    d = d.select("doc_id", X.log_of(F.filter(made, lambda c: c["text"] != "")).alias("log"))
+    d = d.select("doc_id", "log", X.chunks_of_log(F.col("log")).alias("c"))
+    of = lambda err: F.array_join(F.transform(F.filter("c", lambda c: c["err"] == err), lambda c: c["text"]), "")
+    return d.select("doc_id", F.sha2("log", 256).alias("log_sha256"), F.size("c").alias("chunks"), of(True).alias("err"), of(False).alias("shown"))
+
+
+@query("Fh2_sorted_json", """SELECT id, '{"a":[{"c":' || cores || ',"d":"' || task || '"}],"m":{"b":null,"y":true},"z":' || id || '}' AS json FROM runs""")
+def fh2(t):
+    text = F.format_string('{"z": %d, "m": {"y": true, "b": null}, "a": [{"d": "%s", "c": %d}]}', "id", "task", "cores")
+    return t.runs.select("id", X.sorted_json(text).alias("json"))
+
+
+@query(
+    "Fh3_definition_hash",
+    """SELECT id, CASE WHEN def IS NOT NULL THEN sha256(project || '#' || task || chr(31) || def || chr(31) || CASE WHEN id % 2 = 0 THEN '[["A","' || cores || '"],["B","' || task || '"]]' ELSE '[]' END) END AS def_hash FROM runs""",
+)
+def fh3(t):
+    define = F.when(F.expr("id % 2 = 0"), F.create_map(F.lit("B"), "task", F.lit("A"), F.col("cores").cast("string")))
+    return t.runs.select("id", X.definition_hash(F.concat_ws("#", "project", "task"), F.col("def"), define).alias("def_hash"))
+
+
+@query(
+    "K4_upsert_fold",
+    """SELECT project, task, coalesce(ewma * 0.7::DOUBLE + d * 0.3::DOUBLE, d, ewma) AS ewma, CASE WHEN d IS NULL THEN slow WHEN slow IS NULL THEN d ELSE greatest(d, slow * 0.9::DOUBLE) END AS slow
+       FROM (SELECT project, task, min(duration_ms)::DOUBLE AS ewma, max(duration_ms)::DOUBLE AS slow FROM runs WHERE status = 'failed' GROUP BY ALL) o
+       FULL JOIN (SELECT project, task, max(duration_ms)::DOUBLE AS d FROM runs WHERE status = 'success' GROUP BY ALL) n USING (project, task)""",
+)
+def k4(t):
+    d = F.col("duration_ms").cast("double")
+    old = t.runs.where("status = 'failed'").groupBy("project", "task").agg(F.min(d).alias("ewma"), F.max(d).alias("slow"))
+    return FC.upserted(old, t.runs.where("status = 'success'").groupBy("project", "task").agg(F.max(d).alias("d")), "project", "task")
+
+
+@query("K11_trace_events", """SELECT id, '{"name":"' || id || '","ph":"X","ts":' || start * 1000 || ',"dur":' || (stop - start) * 1000 || ',"pid":' || worker || ',"args":{"cores":' || cores || '}}' AS event FROM spans""")
+def k11(t):
+    slice_ = F.struct(
+        F.col("id").cast("string").alias("name"), F.lit("X").alias("ph"), (F.col("start") * 1000).alias("ts"), ((F.col("stop") - F.col("start")) * 1000).alias("dur"), F.col("worker").alias("pid"), F.struct("cores").alias("args")
+    )
+    return t.spans.select("id", F.to_json(slice_).alias("event"))
+
+
+@query("S10_packed_hits", "SELECT run_id, id, project, status FROM runs WHERE cache_hit")
+def s10(t):
+    # a run's hits packed into one text each, then unpacked into rows
+    hits = t.runs.where("cache_hit").groupBy("run_id").agg(F.to_json(F.collect_list(F.struct("id", "project", "status"))).alias("packed"))
+    return hits.select("run_id", F.inline(F.from_json("packed", "array<struct<id bigint, project string, status string>>")))
+
+
+@query("U5_overlay", "SELECT task, coalesce(n.ms, o.ms) AS ms FROM (SELECT task, max(duration_ms) AS ms FROM runs GROUP BY task) o FULL JOIN (SELECT task, max(duration_ms) AS ms FROM runs WHERE project = 'p1' GROUP BY task) n USING (task)")
+def u5(t):
+    carried = t.runs.groupBy("task").agg(F.max("duration_ms").alias("old"))
+    new = t.runs.where("project = 'p1'").groupBy("task").agg(F.max("duration_ms").alias("new"))
+    return carried.join(new, "task", "full").select("task", F.coalesce("new", "old").alias("ms"))
+
+
+@query("W4_neighbours", "SELECT id, lag(id) OVER w AS before, lead(id) OVER w AS after FROM runs WHERE hash <> '' WINDOW w AS (PARTITION BY project, task ORDER BY id)")
+def w4(t):
+    w = Window.partitionBy("project", "task").orderBy("id")
+    return t.runs.where("hash <> ''").select("id", F.lag("id").over(w).alias("before"), F.lead("id").over(w).alias("after"))
