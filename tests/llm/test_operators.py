@@ -245,6 +245,17 @@ def test_bpe_on_random_strings(hf):
         assert enc.encode(text) == ids and own(text) == np.array(ids, "<u4").tobytes() and enc.decode(ids) == hf.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_on_mixed_white_space(hf):
+    r, enc, own = random.Random(12), bpe.Encoder(bpe.vocabulary_path()), packing.IdBytes(bpe.vocabulary_path())
+    # runs of space and no-break space have tokens of their own
+    texts = ["x" + " \xa0" * 3 + "y", "x" + "\xa0 " * 4 + "y", "a\n \nb \xa0 c d"]
+    parts = [" ", " \xa0", " \xa0 \xa0", "\xa0 ", "\n", "\n ", "\t", "\x1c", "\u2003", "x", "the", ".", "7", "<|endoftext|>"]
+    texts += ["".join(r.choice(parts) for _ in range(r.randrange(2, 20))) for _ in range(3000)]
+    for text in texts:
+        ids = hf.encode(text, add_special_tokens=False).ids
+        assert enc.encode(text) == ids and own(text) == np.array(ids, "<u4").tobytes()
+
+
 def test_bpe_round_trip_and_edges(spark, odd, none):
     assert bpe.encode_documents(none).count() == 0
     back = bpe.decode_documents(bpe.encode_documents(odd)).collect()

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Fixed value: the split of byte-level BPE into pieces, before any merge.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A space with white space on both sides. The \s of re holds all that the split's does.
+INSIDE = re.compile(r" (?=\s)(?<=\s )")
 VOCABULARY = "byte_bpe_50k.json"
 #: Chunks (words with their punctuation) that a worker remembers; then it forgets all.
 REMEMBERED = 500_000
@@ -135,12 +138,14 @@ class Remembered(dict):
 def chunks_of(text: str, splits, special) -> Iterator[list[str]]:
     """Lists of chunks that can be encoded one by one.
 
-    A piece never runs past the space before a word, so single spaces are
-    safe places to cut. A segment with other runs of spaces is left whole.
-    Special tokens come as chunks of their own.
+    A piece never runs past the space before a word, nor from a word into the
+    space after it, so single spaces at a word are safe places to cut. A space
+    between other white space is inside a piece: a segment with one, or with
+    other runs of spaces, is left whole. Special tokens come as chunks of
+    their own.
     """
     for segment in splits.split(text) if splits and any(s in text for s in special) else (text,):
-        if segment in special or "  " in segment or segment[:1] == " " or segment[-1:] == " ":
+        if segment in special or "  " in segment or segment[:1] == " " or segment[-1:] == " " or INSIDE.search(segment):
             if segment:
                 yield [segment]
         elif segment:
