@@ -203,3 +203,44 @@ def test_sorted_json_and_definitions(spark):
     h = lambda command, define: X.definition_hash(F.lit("p#t"), F.col(command), F.col(define))
     out = r.select(X.sorted_json(F.col("j")).alias("j"), h("j", "m").alias("a"), h("j", "n").alias("b"), h("none", "m").alias("c")).first()
     assert out.j == '{"a":"x","b":{"c":[{"a":null,"z":1}],"d":1}}' and out.a == out.b and out.c is None
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_groups_are_never_one_list(spark, runs):
+    import random
+
+    r = random.Random(6)
+    rows = [run(i, r.choice(["success", "success", "failed", "cache-hit", "skipped"]), task=r.choice("ab"), duration=r.randrange(40), attempts=r.choice([None, 1, 2]), def_=r.choice([None, "d"])) for i in range(800)]
+    rows += [run(900, "failed", task="c", def_="d")]
+    got = stats.task_stats(runs(*rows), "project", "task", "def")
+    assert "collect" not in plan(got)
+    for g in got.collect():
+        own = [x for x in rows if x[2] == g.task and x[16] == g["def"] and x[4] != "skipped"]
+        took = sorted(x[5] for x in own if x[4] == "success")
+        count = lambda ok: sum(map(ok, own))
+        assert (g.p50, g.p99) == ((took[len(took) // 2], took[int(0.99 * len(took))]) if took else (None, None))
+        assert (g.total, g.failures, g.retried) == (len(own), count(lambda x: x[4] == "failed"), count(lambda x: (x[6] or 0) > 1))
+    assert got.count() == 5
+    by_project = stats.percentiles(runs(*rows), "duration_ms", {"p90": 0.9}, "project")
+    assert "collect" not in plan(by_project) and by_project.first().p90 == sorted(x[5] for x in rows)[int(0.9 * len(rows))]
+
+
+def test_fold_streams_each_key_in_order(spark):
+    import random
+
+    r = random.Random(7)
+    rows = [(i, r.choice([None, "p", "q"]), r.choice("tu"), r.choice([None, *range(90, 130)])) for i in range(3000)]
+    r.shuffle(rows)
+    got = forecast.folded(spark.createDataFrame(rows, "id long, project string, task string, duration_ms long").repartition(3), "project", "task")
+    assert "collect" not in plan(got)
+    want = {}
+    for _, project, task, d in sorted(rows, key=lambda x: x[0]):
+        ewma, slow, n = want.get((project, task), (None, 0.0, 0))
+        if ewma is None or d is None or abs(d - ewma) > ewma * 0.05:
+            ewma = d if ewma is None or d is None else ewma * 0.7 + d * 0.3
+            slow, n = max(d or 0, slow * 0.9), n + 1
+        want[project, task] = ewma, slow, n
+    assert {(g.project, g.task): (g.ewma, g.slow, g.counted) for g in got.collect()} == {k: (v and round(v, 3), round(s, 3), n) for k, (v, s, n) in want.items()}

@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 def nearest_rank(values: Column, q: float) -> Column:
     """sorted[floor(q * n)]: the upper middle of an even count; null of none. Nulls are left out.
 
-    The list is kept to one group; for groups that outgrow a task use
-    percentile_approx, which has another rule.
+    The list is kept to one group, so this is for groups of a few rows;
+    stats.with_running_counts and counted_rank have the same rule for any size.
     """
     s = F.sort_array(F.collect_list(values))
     return F.get(s, F.floor(F.size(s) * F.lit(q)).cast("int"))
 
 
+def counted_rank(value: Column, q: float) -> Column:
+    """nearest_rank over rows of stats.with_running_counts."""
+    return F.min(F.when(F.col("_upto") > F.floor(F.col("_of") * F.lit(q)), value))
+
+
 def share(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 

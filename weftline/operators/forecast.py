@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import measures as M
 from .timeline import newest_per_task
@@ -30,21 +31,39 @@ def tiered(durations: DataFrame, branch: str) -> DataFrame:
 def folded(reports: DataFrame, *keys: str) -> DataFrame:
     """Per key, in id order: EWMA of durations (weight 0.3), decayed maximum (0.9), and how many reports counted.
 
-    A report within 5 % of the average changes nothing. The fold depends on
-    the order, so a key's reports are gathered as an array, one key per row.
+    A report within 5 % of the average changes nothing. A key's reports are
+    sorted within its partition and streamed: only the fold's state is held.
     """
-    rows = reports.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("id", F.col("duration_ms").cast("double").alias("d")))).alias("r"))
-    start = F.struct(F.lit(None).cast("double").alias("ewma"), F.lit(0.0).alias("slow"), F.lit(0).alias("n"))
-
-    def step(acc, x):
-        first = acc["ewma"].isNull()
-        quiet = ~first & (F.abs(x["d"] - acc["ewma"]) <= acc["ewma"] * 0.05)
-        ewma = F.when(first, x["d"]).when(quiet, acc["ewma"]).otherwise(acc["ewma"] * 0.7 + x["d"] * 0.3)
-        slow = F.when(quiet, acc["slow"]).otherwise(F.greatest(x["d"], acc["slow"] * 0.9))
-        return F.struct(ewma.alias("ewma"), slow.alias("slow"), (acc["n"] + F.when(quiet, 0).otherwise(1)).alias("n"))
-
-    f = rows.select(*keys, F.aggregate("r", start, step).alias("f"))
-    return f.select(*keys, F.round("f.ewma", 3).alias("ewma"), F.round("f.slow", 3).alias("slow"), F.col("f.n").cast("long").alias("counted"))
+    rows = reports.select(*keys, "id", F.col("duration_ms").cast("double").alias("d"))
+    schema = T.StructType([*rows.select(*keys).schema, T.StructField("ewma", T.DoubleType()), T.StructField("slow", T.DoubleType()), T.StructField("counted", T.LongType())])
+
+    def step(ewma, slow, n, d):
+        if ewma is not None and d is not None and abs(d - ewma) <= ewma * 0.05:
+            return ewma, slow, n
+        mean = d if ewma is None else None if d is None else ewma * 0.7 + d * 0.3
+        return mean, slow * 0.9 if d is None else max(d, slow * 0.9), n + 1
+
+    def run(parts):
+        import pyarrow as pa
+
+        at, state, types = None, (None, 0.0, 0), None
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), types, strict=True)], schema.names)
+        for part in parts:
+            types = [*(part.schema.field(k).type for k in keys), pa.float64(), pa.float64(), pa.int64()]
+            out = []
+            for *key, d in zip(*(part.column(c).to_pylist() for c in (*keys, "d")), strict=True):
+                if key != at:
+                    if at is not None:
+                        out.append((*at, *state))
+                    at, state = key, (None, 0.0, 0)
+                state = step(*state, d)
+            if out:
+                yield made(out)
+        if at is not None:
+            yield made([(*at, *state)])
+
+    f = rows.repartition(*keys).sortWithinPartitions(*keys, "id", "d").mapInArrow(run, schema)
+    return f.select(*keys, F.round("ewma", 3).alias("ewma"), F.round("slow", 3).alias("slow"), "counted")
 
 
 def first_hits(runs: DataFrame) -> DataFrame:

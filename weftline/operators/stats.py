@@ -13,14 +13,32 @@ def count_if(c: Column) -> Column:
     return F.count(F.when(c, 1))
 
 
+def with_running_counts(counted: DataFrame, value: str, n: str, *keys: str) -> DataFrame:
+    """counted (one row for each of keys and value, n times) with _upto, how many of a key are at most its value, and _of, how many it has.
+
+    Rows with a null value count as none. A key's distinct values are sorted, which can spill; its rows never meet in a list.
+    """
+    by = Window.partitionBy(*keys)
+    some = F.when(F.col(value).isNotNull(), F.col(n)).otherwise(0)
+    return counted.withColumns({"_upto": F.sum(some).over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "_of": F.sum(some).over(by)})
+
+
+def percentiles(rows: DataFrame, value: str, ranks: dict[str, float], *keys: str) -> DataFrame:
+    """Per key: sorted[floor(q * n)] of its values for each name and q of ranks."""
+    counted = with_running_counts(rows.groupBy(*keys, value).agg(F.count("*").alias("_n")), value, "_n", *keys)
+    return counted.groupBy(*keys).agg(*[M.counted_rank(F.col(value), q).alias(name) for name, q in ranks.items()])
+
+
 def task_stats(runs: DataFrame, *keys: str) -> DataFrame:
     """Counts, rates and duration percentiles of executed rows. A hit counts in rates, not in durations."""
     own = F.when(~F.coalesce("cache_hit", F.lit(False)) & P.passed(), F.col("duration_ms"))
-    g = runs.where(P.executed()).groupBy(*keys).agg(
+    by_value = runs.where(P.executed()).withColumn("_own", own).groupBy(*keys, "_own").agg(
         F.count("*").alias("total"), count_if(P.passed()).alias("successes"), count_if(P.hit()).alias("hits"),
         count_if(F.col("status") == "failed").alias("failures"), count_if(F.col("attempts") > 1).alias("retried"),
-        M.nearest_rank(own, 0.5).alias("p50"), M.nearest_rank(own, 0.99).alias("p99"),
     )
+    sums = [F.sum(c).alias(c) for c in ("total", "successes", "hits", "failures", "retried")]
+    ranks = [M.counted_rank(F.col("_own"), 0.5).alias("p50"), M.counted_rank(F.col("_own"), 0.99).alias("p99")]
+    g = with_running_counts(by_value, "_own", "total", *keys).groupBy(*keys).agg(*sums, *ranks)
     return g.withColumns({"success_rate": M.share(F.col("successes"), F.col("total")), "hit_rate": M.share(F.col("hits"), F.col("total"))})
 
 

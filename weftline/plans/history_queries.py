@@ -249,8 +249,7 @@ def a2(t):
 
 @query("A3_percentiles", "SELECT project, s[CAST(floor(0.5 * len(s)) AS INT) + 1] AS p50, s[CAST(floor(0.9 * len(s)) AS INT) + 1] AS p90 FROM (SELECT project, list_sort(list(duration_ms)) AS s FROM runs GROUP BY project)")
 def a3(t):
-    d = F.col("duration_ms")
-    return t.runs.groupBy("project").agg(M.nearest_rank(d, 0.5).alias("p50"), M.nearest_rank(d, 0.9).alias("p90"))
+    return S.percentiles(t.runs, "duration_ms", {"p50": 0.5, "p90": 0.9}, "project")
 
 
 @query("A4_collected", "SELECT project, task, array_to_string(list_sort(list(duration_ms) FILTER (WHERE status = 'failed')), ',') AS failed_ms FROM runs GROUP BY ALL HAVING count(*) FILTER (WHERE status = 'failed') > 0")
