@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import measures as M
 from weftline.functions import predicates as P
+from weftline.functions import text as X
 from weftline.operators import forecast, graph, history, keys, selection, stats, timeline
 from weftline.sources import schemas
 
@@ -244,3 +245,22 @@ def test_fold_streams_each_key_in_order(spark):
             slow, n = max(d or 0, slow * 0.9), n + 1
         want[project, task] = ewma, slow, n
     assert {(g.project, g.task): (g.ewma, g.slow, g.counted) for g in got.collect()} == {k: (v and round(v, 3), round(s, 3), n) for k, (v, s, n) in want.items()}
+
+
+def test_file_locations(spark):
+    texts = [
+        ("app.test.ts: failed\n at ./src/a.ts:12:5, src/a.ts(12,5) and src/a.ts:7\n app.test.ts:3 README.md", [("src/a.ts", 12, 5), ("src/a.ts", 7, None), ("app.test.ts", 3, None), ("README.md", None, None)]),
+        ("see https://x.org/b.html and @scope/c.js", [("@scope/c.js", None, None)]), ("\x1b[4m/abs/a.ts:1\x1b[0m", [("/abs/a.ts", 1, None)]),
+        (" ".join(f"f{i}.ts" for i in range(80)), [(f"f{i}.ts", None, None) for i in range(50)]), ("none", []), ("", []),
+    ]
+    got = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(texts)], "id int, text string").select("id", X.file_locations(F.col("text")).alias("l"))
+    for row in got.collect():
+        assert [tuple(x) for x in row.l] == texts[row.id][1], row
+
+
+def test_near_matches(spark):
+    names = spark.createDataFrame([(x,) for x in ("build", "biuld", "guild", "Prebuild-all", "ui", "test", "buil", "unrelated", None, "buil")], "n string")
+    offered = lambda name, k: [r.name for r in selection.near_matches(names, name, k).orderBy("place").collect()]
+    assert offered("build", 9) == ["buil", "guild", "biuld", "Prebuild-all"]
+    assert offered("build", 2) == ["buil", "guild"]
+    assert offered("test-and-ui", 9) == ["test", "ui"] and offered("guide-xyz", 9) == []

@@ -32,6 +32,30 @@ def relative(path: Column, directory: Column) -> Column:
     return F.concat(up, F.array_join(F.slice(a, same + 1, F.size(a)), "/"))
 
 
+_SGR = r"\x1b\[[\d;]{0,32}m"
+#: Fixed value: a path with an extension, not after a word, dot, slash or @, then :line:column or (line,column).
+FILE = (
+    rf"(?<!\x1b\[[\d;]{{0,32}})(?:(?<![\w./@+-])|(?<={_SGR}))"
+    + "".join(rf"(?<![\w./@+-](?<!{_SGR}){_SGR * k})" for k in range(1, 5))
+    + r"(?:/|\.{1,2}/)?(?:[\w@.+-]+/){0,200}[\w@+-][\w@.+-]*\.[A-Za-z][A-Za-z0-9]{0,9}(?::\d+(?::\d+)?|\(\d+,\d+\))?"
+)
+
+
+def file_locations(text: Column, most: int = 50) -> Column:
+    """array<struct<path, line, col>> of the files that a text names, each once, in order of first appearance.
+
+    A path also named with a line loses its bare mention. Whether a file
+    exists is not looked up; a leading `./` goes, other parts stay as written.
+    """
+    # path:line:col as one string: sets of strings are hashed, those of structs compared pair by pair
+    part = lambda m, k: F.regexp_extract(m, r"^(?:\./)?([^:(]*)[:(]?(\d*)[:,]?(\d*)", k)
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(FILE), F.lit(0)), lambda m: F.concat_ws(":", part(m, 1), part(m, 2), part(m, 3))))
+    lined = F.filter(found, lambda x: ~x.endswith("::"))
+    kept = F.slice(F.array_except(found, F.transform(lined, lambda x: F.concat(F.substring_index(x, ":", 1), F.lit("::")))), 1, most)
+    number = lambda x, k: F.get(F.split(x, ":"), k).try_cast("long")
+    return F.transform(kept, lambda x: F.struct(F.substring_index(x, ":", 1).alias("path"), number(x, 1).alias("line"), number(x, 2).alias("col")))
+
+
 def nearest(name: Column, candidates: list[str]) -> Column:
     """The candidate that a mistyped name most likely meant; null for none, or if the name is one itself.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -45,3 +45,19 @@ def rule_breaks(edges: DataFrame, projects: DataFrame, rules: DataFrame) -> Data
     a = edges.join(tags.select(F.col("node").alias("src"), F.col("tag").alias("from_tag")), "src").join(rules, "from_tag")
     b = tags.select(F.col("node").alias("dst"), F.col("tag").alias("to_tag"))
     return a.join(b, ["dst", "to_tag"]).select("src", "dst", "from_tag", "to_tag").distinct()
+
+
+def near_matches(names: DataFrame, name: str, limit: int = 3) -> DataFrame:
+    """Names (one column) to offer for a mistyped one, by place: up to two edits away, nearest first, then those that hold it or that it holds as a whole word.
+
+    Containment is case-insensitive. Ties go by name; the name itself is never offered.
+    """
+    c = F.col("name")
+    edits = F.levenshtein(F.lit(name), c)
+    low, query = F.lower(c), name.lower()
+    word = F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.replace(low, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![a-z0-9])"))
+    holds = F.contains(low, F.lit(query)) | F.regexp_like(F.lit(query), word)
+    rank = F.when(edits < 3, edits).when(holds, 3)
+    few = names.toDF("name").distinct().where(c != name).withColumn("rank", rank).where("rank IS NOT NULL").orderBy("rank", "name").limit(limit)
+    # at most limit rows
+    return few.select("name", F.row_number().over(Window.orderBy("rank", "name")).cast("long").alias("place"))

@@ -555,6 +555,11 @@ def fs15(t):
     return t.table("documents").select("doc_id", F.size(F.array_distinct(hits)).cast("long").alias("places")).where("places > 0")
 
 
+@query("Fs15b_text_locations")
+def fs15b(t):
+    return t.table("documents").select("doc_id", F.posexplode(X.file_locations(F.col("text")))).select("doc_id", F.col("pos").alias("place"), "col.*")
+
+
 @query("Fs17_head_tail", "SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE left(text, 100) || right(text, 200) END AS shown FROM documents")
 def fs17(t):
     x = F.col("text")

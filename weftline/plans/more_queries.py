@@ -10,6 +10,7 @@ from ..functions import predicates as P
 from ..functions import text as X
 from ..operators import forecast as FC
 from ..operators import graph as G
+from ..operators import selection as SEL
 from .registry import query
 
 
@@ -25,6 +26,11 @@ def fs5(t):
     return few.withColumn("n", F.row_number().over(Window.orderBy("d", "project")).cast("long"))
 
 
+@query("Fs5b_near_match_rules")
+def fs5b(t):
+    return SEL.near_matches(t.runs.select("project"), "p10")
+
+
 @query("Fs9_printable", r"SELECT id, project || '\x09' || task || '\x1b' AS shown FROM runs")
 def fs9(t):
     return t.runs.select("id", X.printable(F.concat("project", F.lit("\t"), "task", F.lit("\x1b"))).alias("shown"))
