@@ -264,3 +264,33 @@ def test_near_matches(spark):
     assert offered("build", 9) == ["buil", "guild", "biuld", "Prebuild-all"]
     assert offered("build", 2) == ["buil", "guild"]
     assert offered("test-and-ui", 9) == ["test", "ui"] and offered("guide-xyz", 9) == []
+
+
+def test_walks_from_every_node(spark):
+    import random
+    from types import SimpleNamespace
+
+    from weftline.plans import graph_queries, more_queries
+
+    r = random.Random(9)
+    nodes = range(40)
+    edges = sorted({tuple(sorted(r.sample(nodes, 2), reverse=True)) for _ in range(60)})
+    dirs = {n: f"packages/b{n % 4}/p{n}" for n in nodes}
+    t = SimpleNamespace(
+        edges=spark.createDataFrame(edges, "src long, dst long"), nodes=spark.createDataFrame([(n,) for n in nodes], "node long"), projects=spark.createDataFrame(list(dirs.items()), "node long, dir string")
+    )
+
+    def walk(origin, on):
+        seen, left = set(), [origin]
+        while left:
+            n = left.pop()
+            new = {b for a, b in edges if a == n and (n == origin or on(n))} - seen
+            seen |= new
+            left += new
+        return seen
+
+    pairs = lambda df: sorted((x.origin, x.node) for x in df.collect())
+    assert pairs(graph_queries.g21b(t)) == sorted((o, n) for o in nodes for n in walk(o, lambda n: n % 2 == 1))
+    assert pairs(graph_queries.g18b(t)) == sorted((o, n) for o in nodes for n in walk(o, lambda n: n % 5 != 0) if n % 5 == 0)
+    seeds = {n for n in nodes if n % 4 == 3}
+    assert sorted(x.node for x in more_queries.g27b(t).collect()) == sorted(n for n in nodes if n in seeds or walk(n, lambda _: True) & seeds)

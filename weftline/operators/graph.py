@@ -31,8 +31,12 @@ def clean_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(origin, node): everything that each seed, or each src, reaches. On a cycle a node reaches itself."""
-    e = edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"))
     start = edges if seeds is None else edges.join(seeds.select(F.col("node").alias("src")), "src", "left_semi")
+    return _reached(start, edges)
+
+
+def _reached(start: DataFrame, edges: DataFrame) -> DataFrame:
+    e = edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"))
     new = checkpointed(start.select(F.col("src").alias("origin"), F.col("dst").alias("node")).distinct())
     parts = [new]
     seen = new
@@ -118,10 +122,13 @@ def tainted(roots: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def restricted_closure(edges: DataFrame, through: DataFrame, seeds: DataFrame) -> DataFrame:
-    """What seeds reach on paths whose inner nodes all belong to `through`."""
+    """What seeds reach on paths whose inner nodes all belong to `through`.
+
+    A seed outside `through` starts paths of its own, and ends those of the others.
+    """
     inner = edges.join(through.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst")
     first = edges.join(seeds.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst")
-    return closure(first.unionByName(inner).distinct(), seeds)
+    return _reached(first, inner)
 
 
 def nearest_holders(edges: DataFrame, holders: DataFrame, seeds: DataFrame) -> DataFrame:

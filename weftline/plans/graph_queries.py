@@ -121,6 +121,11 @@ def g18(t):
     return G.nearest_holders(t.edges, t.nodes.where("node % 5 = 0"), t.nodes.where("node IN (90, 133, 180)").select("node"))
 
 
+@query("G18b_all_nearest_holders")
+def g18b(t):
+    return G.nearest_holders(t.edges, t.nodes.where("node % 5 = 0"), t.nodes.select("node"))
+
+
 @query("G19_cycles", "SELECT src, dst FROM (SELECT 100001 AS src, 100002 AS dst UNION ALL SELECT 100002, 100003 UNION ALL SELECT 100003, 100001)")
 def g19(t):
     loop = t.spark.createDataFrame([(100001, 100002), (100002, 100003), (100003, 100001)], "src int, dst int")
@@ -138,6 +143,11 @@ def g21(t):
     return G.restricted_closure(t.edges, t.nodes.where("node % 2 = 1"), t.nodes.where("node IN (150, 199)").select("node"))
 
 
+@query("G21b_all_restricted_closures")
+def g21b(t):
+    return G.restricted_closure(t.edges, t.nodes.where("node % 2 = 1"), t.nodes.select("node"))
+
+
 @query("G22_likely_misses", f"WITH RECURSIVE {AFFECTED} SELECT DISTINCT node FROM a")
 def g22(t):
     return G.affected(_seeds(t), t.edges).select("node")

@@ -146,6 +146,11 @@ def g27(t):
     return G.affected(seeds, t.edges).select("node")
 
 
+@query("G27b_all_restore_exclusions")
+def g27b(t):
+    return G.affected(t.projects.where(P.at_or_under("dir", "packages/b3")).select("node"), t.edges).select("node")
+
+
 @query(
     "G28_download_modes",
     """WITH RECURSIVE d AS (SELECT dst AS node FROM edges WHERE src % 100 = 1 UNION SELECT e.dst FROM d JOIN edges e ON e.src = d.node)
