@@ -401,6 +401,13 @@ def test_packing(spark, hf):
     assert len(place) <= 1.1 * -(-sum(r.length for r in out) // 256)
 
 
+def test_packing_tasks_follow_pieces(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_PER_TASK", 20, raising=False)
+    docs = spark.createDataFrame([(i, "word " * 3000, "en", "s", 1) for i in range(6)], SCHEMA)
+    out = packing.pack_documents(docs, most=100).collect()
+    assert len(out) == 6 * 31 and len({r.sequence_id >> 40 for r in out}) > 5
+
+
 def test_packing_is_best_fit():
     bins = packing.OpenBins(10, 2)
     assert [bins.place(n) for n in (6, 7, 3, 4, 10, 9, 1)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0), (3, 0), (3, 9)]

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PIECES, Remembered, _byte_letters, chunks_of, vocabulary_path
+from .common import scratch, stored
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id bigint, offset bigint"
 #: Bins open at a time in one packing task, and pieces that it looks ahead: of these the longest goes first.
 OPEN_BINS, AHEAD = 1024, 1000
-#: Documents that one packing task takes. A row of it holds numbers only.
-DOCS_PER_TASK = 250_000
+#: Pieces that one packing task takes, about. A row of it holds numbers only.
+PIECES_PER_TASK = 250_000
 
 
 class IdBytes:
@@ -144,8 +145,9 @@ def pack(cut: DataFrame, most: int = 2048, most_open: int = OPEN_BINS, tasks: in
 
 
 def pack_documents(docs: DataFrame, most: int = 2048, path: str | None = None) -> DataFrame:
-    n = docs.count()  # of rows: Parquet answers from its footers
-    return pack(pieces(docs, most, path=path), most, tasks=-(-n // DOCS_PER_TASK))
+    # stored, so that counting them doesn't tokenize twice: a long text is many pieces
+    cut = stored(pieces(docs, most, path=path), f"{scratch(docs.sparkSession)}/pieces")
+    return pack(cut, most, tasks=-(-cut.count() // PIECES_PER_TASK))
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
