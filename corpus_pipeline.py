@@ -20,8 +20,14 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language to be told (no text, or no letter in it) go; the others get the language found."""
-    found = language_id.predict(docs, language_id.learn(docs)).where(F.col("lang_pred") != "und")
+    """Documents without a language to be told (no text, or no letter in it) go; the others get the language found.
+
+    Where no profile could be learned they keep their own.
+    """
+    profiles = language_id.learn(docs)
+    if not profiles:
+        return language_id.readable(docs.select(*COLUMNS))
+    found = language_id.predict(docs, profiles).where(F.col("lang_pred") != "und")
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 

@@ -34,6 +34,12 @@ def test_stages(spark, sf):
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in masked.collect()}
 
 
+def test_language_stage_without_profiles(spark, sf):
+    kept = [(1, "some words", None, "s", 10), (2, "中文", None, "s", 2)]
+    docs = spark.createDataFrame([*kept, (3, "12 - 34", None, "s", 7), (4, None, None, "s", 0), (5, "", None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(map(tuple, corpus_pipeline.identify_language(spark, docs, sf).collect())) == kept
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 100
 

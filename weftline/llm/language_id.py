@@ -81,6 +81,18 @@ def learn(docs: DataFrame, sampled: int = SAMPLED, most: int = PROFILE) -> dict[
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
+def readable(docs: DataFrame) -> DataFrame:
+    """The rows whose text has a letter: those that ngrams() finds something in."""
+
+    def run(parts):
+        import pyarrow as pa
+
+        for part in parts:
+            yield part.filter(pa.array([bool(_OTHER.sub("", t or "")) for t in part.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 class Judge:
     def __init__(self, profiles: dict[str, np.ndarray], most: int = PROFILE):
         self.langs, self.most = sorted(profiles), most
