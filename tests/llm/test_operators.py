@@ -419,6 +419,20 @@ def test_packing_edges(odd, none):
     assert packing.pack_documents(none).count() == 0 and packing.pack_documents(odd).count() == len(odd_rows())
 
 
+def test_line_runs_drop_what_is_settled(spark, monkeypatch):
+    held = []
+    frequent = line_dedup.LineRuns.frequent
+
+    def counted(self):
+        held.extend(r.n for run in self.all_runs() for r in run.collect())
+        return frequent(self)
+
+    monkeypatch.setattr(line_dedup.LineRuns, "frequent", counted)
+    docs = spark.createDataFrame([(i, "a line that all of them have", "en", "s", 1) for i in [None, *range(12)]], SCHEMA)
+    out = line_dedup.dedup_lines(docs, n_batches=4).collect()
+    assert held == [3] and [r.doc_id for r in out if not r.n_dropped] == [11] and len(out) == 13
+
+
 # --- language ID
 
 

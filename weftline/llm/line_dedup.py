@@ -115,7 +115,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, n_batch
     spark = docs.sparkSession
     root = scratch(spark)
     index = LineRuns(spark, root, min_docs, min_chars, fanout)
-    for batch in batches(docs, n_batches):
+    # largest ids first: a run then settles a line for all batches after it
+    for batch in reversed(batches(docs, n_batches)):
         index.absorb(batch.select("doc_id", "text"))
     # written first: both sides of the join below are then plain shuffles, whose large parts Spark can split
     hot = stored(index.frequent().select("h", "last"), f"{root}/frequent")
