@@ -1,4 +1,7 @@
-"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Substring dedup by counting anchored blocks and, where they differ, their windows.
+
+This stands in for a relative Lempel-Ziv parse: blocks and factors below are
+words for what is counted, no longest match is searched or extended.
 
 Every window of words has one anchor, the least hash of the short word groups
 in it. The windows around one anchor make a block, with all words that they
