@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Shares that the captures of one key are dealt into; the list is repeated for each.
-SALTS = 16
+#: Keys with more captures than HOT are dealt into SALTS shares, and their entries repeated for each.
+HOT, SALTS = 1_000_000, 16
 
 
 def host_of(url: Column) -> Column:
@@ -44,17 +44,23 @@ def intervals(entries: DataFrame) -> DataFrame:
     return own.withColumn("until", F.lead("since").over(Window.partitionBy("key").orderBy("since")))
 
 
-def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
+def judge(captures: DataFrame, entries: DataFrame, hot_above: int = HOT) -> DataFrame:
     """(page_id, fetched_at, url, rule, since, blocked) of each capture (page_id, url, fetched_at).
 
     rule is the deciding key, null if none is active: such a capture isn't
     blocked, nor is one without a host or a fetch time. Captures that are equal
-    in all three columns are returned once for each copy.
+    in all three columns are returned once for each copy. Other columns of
+    both tables are dropped.
     """
-    held = intervals(entries).select(F.col("key").alias("_key"), "action", "since", "until", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_share"))
     one = captures.groupBy("page_id", "url", "fetched_at").agg(F.count(F.lit(1)).alias("_copies"))
-    share = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    asked = one.select("page_id", "url", "fetched_at", share.alias("_share"), F.posexplode(keys_of(F.col("url"))).alias("_depth", "_ask"))
+    asked = one.select("page_id", "url", "fetched_at", F.posexplode(keys_of(F.col("url"))).alias("_depth", "_ask"))
+    # of all keys that are asked for, one in HOT captures at most is hot
+    hot = asked.groupBy(F.col("_ask").alias("_hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_above).select("_hot")
+    held = intervals(entries).select(F.col("key").alias("_key"), "action", "since", "until").join(hot, F.col("_key") == F.col("_hot"), "left")
+    shares = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    held = held.select("_key", "action", "since", "until", F.explode(shares).alias("_share"))
+    share = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "url", "fetched_at"), F.lit(SALTS))).cast("int")
+    asked = asked.join(hot, F.col("_ask") == F.col("_hot"), "left").withColumn("_share", share).drop("_hot")
     active = (F.col("_ask") == F.col("_key")) & (asked["_share"] == held["_share"]) & (F.col("fetched_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until")))
     hits = asked.join(held, active)
     best = hits.groupBy("page_id", "url", "fetched_at").agg(F.min(F.struct("_depth", F.col("_ask").alias("rule"), "since", "action")).alias("_hit"))
