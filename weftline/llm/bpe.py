@@ -44,21 +44,30 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Bpe:
+class Vocabulary:
+    """A vocabulary file: ids by token bytes, special tokens, and merges in their order."""
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = _byte_letters()
         as_bytes = lambda s: bytes(letters[c] for c in s)
-        ids = {as_bytes(t): i for t, i in spec["model"]["vocab"].items()}
+        self.ids = {as_bytes(t): i for t, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.merges = [tuple(map(as_bytes, m.split(" ") if isinstance(m, str) else m)) for m in spec["model"]["merges"]]
+        self.splits = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+
+
+class Bpe:
+    def __init__(self, path: str):
+        words = Vocabulary(path)
+        ids, self.special, self.splits = words.ids, words.special, words.splits
         self.bytes_of = {i: b for b, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
         # Work on birth numbers: the 256 bytes first, then tokens by the merge that makes them.
-        pairs = [tuple(map(as_bytes, m.split(" ") if isinstance(m, str) else m)) for m in spec["model"]["merges"]]
         born = {bytes([b]): b for b in range(256)}
         self.made_of: list[tuple[int, int] | None] = [None] * 256
         self.pair: dict[tuple[int, int], int] = {}
-        for a, b in pairs:
+        for a, b in words.merges:
             born[a + b] = self.pair[born[a], born[b]] = len(self.made_of)
             self.made_of.append((born[a], born[b]))
         self.id_of = [0] * len(self.made_of)
@@ -69,7 +78,6 @@ class Bpe:
         self.automaton.make_automaton()
         self.whole = {text: (ids[text],) for text in born if len(text) == 1}
         self.pieces = regex.compile(PIECES)
-        self.splits = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.apart = lru_cache(maxsize=1 << 18)(self._apart)
         self.known_pieces = Remembered(lambda piece: self.encode_piece(piece.encode()))
 

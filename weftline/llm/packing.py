@@ -10,32 +10,27 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import PIECES, Remembered, _byte_letters, chunks_of, vocabulary_path
+from .bpe import PIECES, Remembered, Vocabulary, chunks_of, vocabulary_path
 from .common import scratch, stored
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id bigint, offset bigint"
-#: Bins open at a time in one packing task, and pieces that it looks ahead: of these the longest goes first.
-OPEN_BINS, AHEAD = 1024, 1000
-#: Pieces that one packing task takes, about. A row of it holds numbers only.
-PIECES_PER_TASK = 250_000
+#: Bins open at a time in one packing task.
+OPEN_BINS = 1024
+#: Pieces that a task looks ahead: of so many at a time the longest goes first. 1 is best-fit in the order of arrival.
+AHEAD = 1000
+#: What one packing task takes, about. Only its open bins at the end, OPEN_BINS at most, may stay short of full: of
+#: the 65,536 sequences of so many tokens that is 1.6 % at the very worst.
+TOKENS_PER_TASK, PIECES_PER_TASK = 1 << 27, 1 << 21
 
 
 class IdBytes:
     """Token ids of a text as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
-        import json
-
-        import regex
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        letters = _byte_letters()
-        ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.splits = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.model = tiktoken.Encoding("from-file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        words = Vocabulary(path)
+        self.special, self.splits = words.special, words.splits
+        self.model = tiktoken.Encoding("from-file", pat_str=PIECES, mergeable_ranks=words.ids, special_tokens={})
         self.known = Remembered(self._bytes)
 
     def _bytes(self, chunk: str) -> bytes:
@@ -57,14 +52,15 @@ def pieces(docs: DataFrame, most: int = 2048, end_id: int = 0, path: str | None
 
     Cut pieces hold most tokens but for the first, which takes the rest, so
     that all later ones fill a sequence. Null text is an empty document: its
-    one piece is end_id alone. Repeated rows are packed once each.
+    one piece is end_id alone. Repeated rows are packed once each. `turn`
+    numbers the pieces of a task, so that even equal rows can be dealt apart.
     """
     path = path or vocabulary_path()
 
     def run(parts):
         if path not in _made:
             _made[path] = IdBytes(path)
-        ids_of, end = _made[path], np.array([end_id], "<u4").tobytes()
+        ids_of, end, made = _made[path], np.array([end_id], "<u4").tobytes(), 0
         for part in parts:
             rows = []
             for row, text in enumerate(part.column("text").to_pandas()):
@@ -75,10 +71,11 @@ def pieces(docs: DataFrame, most: int = 2048, end_id: int = 0, path: str | None
                     rows.append((row, k, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)])))
                     start, size, k = start + size, most, k + 1
             row, k, start, size, crc = np.array(rows, np.int64).reshape(-1, 5).T
-            arrays = [part.column("doc_id").take(pa.array(row)), pa.array(k.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
+            arrays = [part.column("doc_id").take(pa.array(row)), pa.array(k.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc), pa.array(np.arange(made, made + len(row)))]
+            made += len(row)
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "turn"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECE_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, PIECE_SCHEMA + ", turn bigint")
 
 
 class OpenBins:
@@ -119,9 +116,10 @@ class OpenBins:
 def pack(cut: DataFrame, most: int = 2048, most_open: int = OPEN_BINS, tasks: int = 1, ahead: int = AHEAD) -> DataFrame:
     """Places the pieces; sequence ids are unique over all tasks.
 
-    A task packs its own share of the documents by itself, dealt by doc_id and
-    piece, so neither a hot document nor the whole input meets in one task.
-    Pieces come in a hashed order; each is the longest of the next `ahead`.
+    A task packs its own share by itself. Pieces are dealt by everything that
+    tells them apart, so neither a hot document nor rows without an id nor
+    the whole input meet in one task. They come in a hashed order, `ahead` at
+    a time with the longest first, whatever the size of the Arrow batches.
     Ties between bins of equal space go to the newest.
     """
 
@@ -129,25 +127,43 @@ def pack(cut: DataFrame, most: int = 2048, most_open: int = OPEN_BINS, tasks: in
         from pyspark import TaskContext
 
         bins, base = OpenBins(most, most_open), TaskContext.get().partitionId() << 40
-        for part in parts:
+
+        def placed(part: pa.Table) -> pa.RecordBatch:
             length = part.column("length").to_numpy()
             at = np.empty((len(length), 2), np.int64)
-            for start in range(0, len(length), ahead):
-                for row in start + np.argsort(-length[start : start + ahead], kind="stable"):
-                    at[row] = bins.place(int(length[row]))
-            part = part.append_column("sequence_id", pa.array(base + at[:, 0]))
-            yield part.append_column("offset", pa.array(at[:, 1]))
+            for row in np.argsort(-length, kind="stable"):
+                at[row] = bins.place(int(length[row]))
+            part = part.append_column("sequence_id", pa.array(base + at[:, 0])).append_column("offset", pa.array(at[:, 1]))
+            return part.combine_chunks().to_batches()[0]
 
-    dealt = cut.repartition(max(tasks, 1), F.xxhash64("doc_id", "piece"))
+        held, rows = [], 0
+        for part in parts:
+            held.append(part)
+            rows += part.num_rows
+            if rows >= ahead:
+                whole = pa.Table.from_batches(held)
+                full = rows - rows % ahead
+                for start in range(0, full, ahead):
+                    yield placed(whole.slice(start, ahead))
+                held, rows = whole.slice(full).to_batches(), rows % ahead
+        if rows:
+            yield placed(pa.Table.from_batches(held))
+
+    order = [F.xxhash64("turn", "doc_id", "piece", "length", "ids_crc32"), "doc_id", "piece", "start", "length", "ids_crc32", "turn"]
     # a set order within the task: a rerun after a lost executor gives the same sequences
-    dealt = dealt.sortWithinPartitions(F.xxhash64("piece", "doc_id"), "doc_id", "piece", "start", "length", "ids_crc32")
-    return dealt.mapInArrow(run, PACKED_SCHEMA)
+    dealt = cut.repartition(max(tasks, 1), F.xxhash64("doc_id", "piece", "length", "ids_crc32", "turn")).sortWithinPartitions(*order)
+    return dealt.drop("turn").mapInArrow(run, PACKED_SCHEMA)
+
 
+def pack_documents(docs: DataFrame, most: int = 2048, path: str | None = None, ahead: int = AHEAD, tokens_per_task: int = TOKENS_PER_TASK, pieces_per_task: int = PIECES_PER_TASK) -> DataFrame:
+    """Every document of docs in sequences of at most `most` tokens, one row for each piece. Other columns are dropped.
 
-def pack_documents(docs: DataFrame, most: int = 2048, path: str | None = None) -> DataFrame:
+    The number of packing tasks follows from the pieces and their tokens.
+    """
     # stored, so that counting them doesn't tokenize twice: a long text is many pieces
     cut = stored(pieces(docs, most, path=path), f"{scratch(docs.sparkSession)}/pieces")
-    return pack(cut, most, tasks=-(-cut.count() // PIECES_PER_TASK))
+    held = cut.agg(F.count(F.lit(1)).alias("pieces"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
+    return pack(cut, most, tasks=max(-(-held["tokens"] // tokens_per_task), -(-held["pieces"] // pieces_per_task)), ahead=ahead)
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
