@@ -14,6 +14,7 @@ WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own_scratch: list[str] = []
+_used: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,15 +24,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which every executor sees.
 
-    Only where that setting is missing (tests on one machine), a temporary
-    folder of this process takes its place.
+    Only where that setting is missing and Spark runs in one process (tests),
+    a temporary folder takes its place; a cluster without the setting is an
+    error. release() removes what was made.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_scratch:
             _own_scratch.append("file://" + tempfile.mkdtemp(prefix="weftline-"))
         root = _own_scratch[0]
-    return f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}"
+    _used.append(f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}")
+    return _used[-1]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove written tables that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this session's operators. DataFrames that they returned end with it."""
+    discard(spark, *_used)
+    _used.clear()
 
 
 @contextlib.contextmanager

@@ -28,13 +28,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .bpe import Remembered
-from .common import packed, row_key, scratch, stored, with_made
+from .common import discard, packed, row_key, scratch, stored, with_made
 
 #: Coordinates of a band, and the chance at the threshold that a pair shares no band.
 ROWS, MISS = 4, 1e-5
 UNIVERSE = 1 << 20
-#: Members of a bucket that a block takes; two blocks meet at a time.
-BLOCK = 512
+#: Members of a bucket that a block takes, and shingles that they may hold together; two blocks meet at a time.
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 #: Shingles that one step of a product takes.
 COLUMNS = 4096
 
@@ -137,20 +137,27 @@ def components(edges: DataFrame, root: str) -> DataFrame:
         far = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
         new = stored(new.join(far, "new").select("node", "label", F.least("new", "far").alias("new")), f"{root}/{rounds}")
         labels = new.select("node", F.col("new").alias("label"))
+        # the round before is read by nothing else
+        discard(both.sparkSession, f"{root}/{rounds - 1}")
         if new.where(F.col("label") != F.col("new")).isEmpty():
             return labels
 
 
+def _blocks(held: Column, shingles: Column) -> Column:
+    """How many blocks so many members with so many shingles make."""
+    return F.greatest(F.ceil(held / BLOCK), F.ceil(shingles / BLOCK_SHINGLES))
+
+
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(band, hash, parts, centre, node): members of each bucket of two or more, and how many blocks they make.
+    """(band, hash, parts, centre, node, n): members of each bucket of two or more, and how many blocks they make.
 
     Of buckets with the same members, told by their number and 128 bits, the one of the first band is left.
     """
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
+    rows = nodes.select("node", "n", F.posexplode("bands").alias("band", "hash"))
     x = lambda salt: F.bit_xor(F.xxhash64("node", F.lit(salt)))
-    shared = rows.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("centre"), x(1).alias("x1"), x(2).alias("x2")).where("held > 1")
-    shared = shared.groupBy("held", "x1", "x2").agg(F.min(F.struct("band", "hash", "centre")).alias("b"))
-    parts = F.ceil(F.col("held") / BLOCK)
+    shared = rows.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("shingles"), F.min("node").alias("centre"), x(1).alias("x1"), x(2).alias("x2")).where("held > 1")
+    shared = shared.groupBy("held", "x1", "x2").agg(F.min(F.struct("band", "hash", "centre", "shingles")).alias("b"))
+    parts = _blocks(F.col("held"), F.col("b.shingles"))
     return rows.join(shared.select("b.band", "b.hash", "b.centre", parts.alias("parts")), ["band", "hash"])
 
 
@@ -173,9 +180,9 @@ def later_meetings(members: DataFrame, labels: DataFrame) -> DataFrame:
     other. The rest, in blocks of their own, meet all members block by block.
     """
     many = members.where("parts > 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    count = many.groupBy("band", "hash", "label").agg(F.count(F.lit(1)).alias("n"))
-    top = count.groupBy("band", "hash").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("held"))
-    top = top.where("held > top.n").select("band", "hash", F.col("top.label").alias("top"), F.ceil((F.col("held") - F.col("top.n")) / BLOCK).alias("open"))
+    count = many.groupBy("band", "hash", "label").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("size"))
+    top = count.groupBy("band", "hash").agg(F.max(F.struct("many", "label", "size")).alias("top"), F.sum("many").alias("held"), F.sum("size").alias("shingles"))
+    top = top.where("held > top.many").select("band", "hash", F.col("top.label").alias("top"), _blocks(F.col("held") - F.col("top.many"), F.col("shingles") - F.col("top.size")).alias("open"))
     many = many.join(top, ["band", "hash"])
     all_ = many.select("band", "hash", F.explode(F.sequence(F.lit(0), F.col("open") - 1)).alias("i"), _dealt("parts").alias("j"), "node")
     rest = many.where("label <> top").select("band", "hash", _dealt("open").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), "node")
@@ -279,7 +286,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     made = F.lit(1 << 62) + F.pmod(F.xxhash64("n", "f1", "f2"), F.lit(1 << 61))
     classes = classes.withColumn("node", F.when((turn == 1) & F.col("least").isNotNull(), F.col("least")).otherwise(made))
     classes = stored(classes, f"{root}/classes")
-    labels = bucket_labels(classes.select("node", "bands"), docs, classes.select("node", "row._id", "row._th"), width, percent, f"{root}/pairs")
+    labels = bucket_labels(classes.select("node", "n", "bands"), docs, classes.select("node", "row._id", "row._th"), width, percent, f"{root}/pairs")
 
     linked = classes.select("node", "n", "f1", "f2", "least").join(labels, "node", "left")
     linked = linked.withColumn("label", F.coalesce("label", "node"))
