@@ -21,13 +21,15 @@ from .common import sliced
 
 #: Tags of the format, sizes of its field types, numbers of its compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, STRIP_ROWS, STRIP_SIZES, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317
-TILE_WIDTH, TILE_HEIGHT, TILES, TILE_SIZES = 322, 323, 324, 325
+TILE_WIDTH, TILE_HEIGHT, TILES, TILE_SIZES, PLANES = 322, 323, 324, 325, 284
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8}
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 NAMES = {"none": NONE, "lzw": LZW, "deflate": DEFLATE, "packbits": PACKBITS}
 
 #: Bytes of a row of the pages that hold texts, rows of a page and of a strip.
 ROW, PAGE_ROWS, STRIP = 192, 1024, 64
+#: Side of the tiles of the query's files.
+TILE = 64
 
 
 class Page(NamedTuple):
@@ -208,6 +210,10 @@ def read_tiff(file: bytes) -> Iterator[Page]:
         compression, predictor = f.get(COMPRESSION, [NONE])[0], f.get(PREDICTOR, [1])[0]
         if bits not in (8, 16):
             raise ValueError(f"{bits}-bit samples aren't supported")
+        if predictor not in (1, 2):
+            raise ValueError(f"predictor {predictor} isn't supported")
+        if samples > 1 and f.get(PLANES, [1])[0] != 1:
+            raise ValueError("samples in planes of their own aren't supported")
         dtype = np.dtype(f"{order}u{bits // 8}")
         if TILES in f:
             tw, th = f[TILE_WIDTH][0], f[TILE_HEIGHT][0]
@@ -232,23 +238,41 @@ def payload_of(text: str | None) -> bytes:
     return data + b" " * ((-len(data)) % ROW or (0 if data else ROW))
 
 
-def store_texts(docs: DataFrame, compression: str = "deflate", predictor: int = 2, tile: int = 0) -> DataFrame:
+class Layout(NamedTuple):
+    compression: int
+    predictor: int
+    tile: int
+
+
+#: Every codec with either predictor, in strips and in tiles.
+LAYOUTS = [Layout(c, p, t) for c in NAMES.values() for p in (1, 2) for t in (0, TILE)]
+
+
+def layout_of(data: bytes) -> Layout:
+    """The layout that a text's own bytes decide, so that equal texts give equal files."""
+    return LAYOUTS[zlib.crc32(data) % len(LAYOUTS)]
+
+
+def store_texts(docs: DataFrame, compression: str | None = None, predictor: int = 2, tile: int = 0) -> DataFrame:
     """(doc_id, n_bytes, media): each text as one TIFF file, null as an empty text.
 
     The payload is the text in UTF-8 with spaces up to a multiple of 192, at
     least 192 bytes, as pages of 192 samples by 1024 rows or fewer. Rows are
-    independent; equal texts give equal files.
+    independent; equal texts give equal files. Without a compression each text
+    decides its own codec, predictor and layout. Other columns are dropped;
+    repeated rows and null ids are kept as they are.
     """
-    code = NAMES[compression]
+    fixed = None if compression is None else Layout(NAMES[compression], predictor, tile)
 
     def run(parts):
         for part in sliced(parts):
             n, media = [], []
             for text in part.column("text").to_pandas():
                 data = payload_of(text)
+                how = fixed or layout_of(data)
                 n.append(len((text or "").encode()))
                 rows = np.frombuffer(data, np.uint8).reshape(-1, ROW)
-                media.append(write_tiff([rows[at : at + PAGE_ROWS] for at in range(0, len(rows), PAGE_ROWS)], code, predictor, tile=tile))
+                media.append(write_tiff([rows[at : at + PAGE_ROWS] for at in range(0, len(rows), PAGE_ROWS)], how.compression, how.predictor, tile=how.tile))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
@@ -293,6 +317,8 @@ DIGEST = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 st
 def digests(pages: DataFrame) -> DataFrame:
     """One row for each file from its pages, which follow each other as tiff_pages returns them.
 
+    A file that couldn't be read back fails the query: no document is dropped.
+
     feature: pages, rows, then over all samples their sum, how many values
     occur, and the sum of steps between neighbours in a row.
     """
@@ -312,13 +338,15 @@ def digests(pages: DataFrame) -> DataFrame:
         for part in sliced(parts):
             done = []
             for r in part.to_pylist():
+                if r["error"] is not None:
+                    raise ValueError(f"the file of document {r['doc_id']} can't be read: {r['error']}")
                 held.append(r)
                 if r["page"] == r["pages"] - 1:
                     done.append(one(held))
                     held = []
             yield pa.RecordBatch.from_pylist(done, schema)
 
-    return pages.where("error IS NULL").mapInArrow(run, DIGEST)
+    return pages.mapInArrow(run, DIGEST)
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
