@@ -33,74 +33,99 @@ ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?"
 #: Code points between two spans that still share a scope.
 REACH = 256
 _BUCKET = 1024
+#: Elements of a block of a running sum, and code points of a piece of a text that is cut.
+_STEP, _PIECE = 256, 4096
 
 
-def _spans(text: Column, pattern: str, kind: int, ok=None) -> Column:
-    """Spans of the leftmost non-overlapping matches that are ok, in code points.
+def _let(value: str, name: str, body: str) -> str:
+    """SQL of body with a value that is computed once: inside a lambda an expression would be computed for each element."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-    Spark has no function for match positions; they are summed up from the
-    matches and the text between them.
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def running(values: str, combine: str = "{0} + {1}") -> str:
+    """SQL: for each number of an array what combines all before it, from 0.
+
+    An accumulator that grows is copied at each step, so the array is taken in
+    blocks of 256, and then their totals: 128 copies an element, and for the
+    totals one for every 131,072 pairs of elements.
+    """
+    zero = "named_struct('at', 0, 'before', cast(array() as array<int>))"
+    one = lambda block: f"aggregate({block}, {zero}, (acc, y) -> named_struct('at', {combine.format('acc.at', 'y')}, 'before', concat(acc.before, array(acc.at))))"
+    blocks = f"transform(sequence(0, cast(floor(greatest(size(v) - 1, 0) / {_STEP}) as int)), b -> {one(f'slice(v, b * {_STEP} + 1, {_STEP})')})"
+    before = one("transform(ps, p -> p.at)") + ".before"
+    joined = f"flatten(zip_with(ps, {before}, (p, o) -> transform(p.before, w -> {combine.format('o', 'w')})))"
+    return _let(values, "v", _let(blocks, "ps", joined))
+
+
+def _spans(text: str, pattern: str, kind: int, ok: str = "true") -> str:
+    """SQL of the spans of the leftmost non-overlapping matches that are ok, in code points.
+
+    Spark has no function for match positions; they are running sums of the
+    lengths of the matches and of the text between them.
     """
-    both = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+    find = _quoted(pattern)
+    sizes = f"zip_with(split({text}, {find}, -1), regexp_extract_all({text}, {find}, 0), (gap, hit) -> named_struct('gap', length(gap), 'hit', length(hit), 'good', hit is not null and {ok}))"
+    before = running("transform(both, x -> x.gap + coalesce(x.hit, 0))")
+    span = f"if(x.good, named_struct('start', s + x.gap, 'kind', {kind}, 'end', s + x.gap + x.hit), null)"
+    placed = f"array_compact(zip_with(both, {before}, (x, s) -> {span}))"
+    # most texts have no match: one part, whose length nobody needs
+    return _let(sizes, "both", f"if(size(both) > 1, cast({placed} as {SPANS}), cast(array() as {SPANS}))")
+
+
+_MIXED = "length(hit) <= 64 and hit rlike '[0-9]' and hit rlike '[A-Z]' and hit rlike '[a-z]'"
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        good = x["hit"].isNotNull() if ok is None else x["hit"].isNotNull() & ok(x["hit"])
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans")), step, lambda acc: acc["spans"])
+def base_spans(text: str) -> str:
+    """SQL of the base spans of a text, by start, then kind."""
+    assign = _spans(text, ASSIGN, 0, f"length(regexp_extract(hit, {_quoted(ASSIGN)}, 2)) >= 6")
+    return f"array_sort(concat({assign}, {_spans(text, ACCESS, 1)}, {_spans(text, HEX, 2)}))"
 
 
-def _mixed(hit: Column) -> Column:
-    return (F.length(hit) <= 64) & hit.rlike("[0-9]") & hit.rlike("[A-Z]") & hit.rlike("[a-z]")
+def may_link(text: Column) -> Column:
+    """Without an access identifier nothing weak is ever reported."""
+    return F.contains(text, F.lit("AKIA"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Key, base spans and weak candidates of each row of docs, without its text."""
-    text = whole_text()
-    base = F.array_sort(
-        F.concat(
-            _spans(text, ASSIGN, 0, lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= 6),
-            _spans(text, ACCESS, 1),
-            _spans(text, HEX, 2),
-        )
-    )
-    # without an access identifier nothing weak is ever reported
-    weak = F.when(F.contains(text, F.lit("AKIA")), F.concat(_spans(text, WEAK, 3, _mixed), _spans(text, ENDPOINT, 4)))
-    return docs.select("doc_id", *row_key(), base.alias("base"), F.coalesce(weak, F.array().cast(SPANS)).alias("weak"))
+    text = "coalesce(text, '')"
+    weak = F.when(may_link(F.expr(text)), F.expr(f"concat({_spans(text, WEAK, 3, _MIXED)}, {_spans(text, ENDPOINT, 4)})"))
+    return docs.select("doc_id", *row_key(), F.expr(base_spans(text)).alias("base"), F.coalesce(weak, F.array().cast(SPANS)).alias("weak"))
 
 
 def _exploded(found: DataFrame, spans: Column) -> DataFrame:
     return found.select("_id", "_th", F.explode(spans).alias("s")).select("_id", "_th", "s.start", "s.kind", "s.end")
 
 
-def within_reach(parts: DataFrame, others: DataFrame, reach: int = REACH) -> DataFrame:
-    """The parts that have one of others in their scope: an interval semi join.
+def within_reach(parts: DataFrame, others: DataFrame, reach: int = REACH, how: str = "left_semi") -> DataFrame:
+    """The parts that have one of others in their scope (left_anti: that have none): an interval join.
 
     Both sides are dealt to the position buckets that they touch, so the join
-    is on equal keys and only compares spans that are close.
+    is on equal keys and only compares spans that are close. A reach of -1
+    asks for an overlap.
     """
     cell = lambda lo, hi: F.explode(F.sequence(F.floor(lo / _BUCKET), F.floor(hi / _BUCKET)))
     a = parts.withColumn("cell", cell(F.col("start"), F.col("end")))
-    b = others.select(F.col("_id").alias("_oid"), F.col("_th").alias("_oth"), (F.col("start") - reach).alias("lo"), (F.col("end") + reach).alias("hi"))
+    b = others.select(F.col("_id").alias("_oid"), F.col("_th").alias("_oth"), (F.col("start") - reach).alias("lo"), (F.col("end") + reach).alias("hi")).where("lo <= hi")
     b = b.withColumn("ocell", cell(F.greatest("lo", F.lit(0)), F.col("hi")))
     on = (F.col("_id") == F.col("_oid")) & (F.col("_th") == F.col("_oth")) & (F.col("cell") == F.col("ocell")) & (F.col("start") <= F.col("hi")) & (F.col("end") >= F.col("lo"))
-    return a.join(b, on, "left_semi").drop("cell").distinct()
+    met = a.join(b, on, "left_semi").drop("cell").distinct()
+    return met if how == "left_semi" else parts.join(met, ["_id", "_th", "start", "kind", "end"], how)
 
 
 def link(found: DataFrame, reach: int = REACH) -> DataFrame:
     """Weak spans of each key that complementary parts in their scope confirm."""
     is_kind = lambda *kinds: lambda s: s["kind"].isin(*kinds)
     some = found.where(F.size("weak") > 0)
-    apart = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])) | (w["kind"] == 4))
-    access = _exploded(some, F.filter("base", is_kind(1)))
-    weak = _exploded(some, F.filter(apart, is_kind(3)))
-    secret = _exploded(some, F.filter("base", is_kind(0, 2)))
-    ends = _exploded(some, F.filter("weak", is_kind(4)))
-    weak = within_reach(weak, access, reach)
-    ends = within_reach(within_reach(ends, access, reach), secret.unionByName(weak), reach)
+    base = _exploded(some, F.col("base"))
+    access = base.where("kind = 1")
+    weak = within_reach(within_reach(_exploded(some, F.filter("weak", is_kind(3))), access, reach), base, -1, "left_anti")
+    ends = within_reach(_exploded(some, F.filter("weak", is_kind(4))), access, reach)
+    ends = within_reach(ends, base.where("kind <> 1").unionByName(weak), reach)
     span = F.struct("start", "kind", "end")
     return weak.unionByName(ends).groupBy(F.col("_id").alias("_lid"), F.col("_th").alias("_lth")).agg(F.collect_set(span).alias("linked"))
 
@@ -124,20 +149,45 @@ def listed(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", reach: int = REACH) -> DataFrame:
-    """docs with every span of text replaced; overlapping spans become one mask. No row goes."""
-    found = find_secrets(docs.select("doc_id", "text"), reach).where(F.size("spans") > 0)
-    found = found.select(F.col("_id").alias("_fid"), F.col("_th").alias("_fth"), "spans").dropDuplicates(["_fid", "_fth"])
-    left = docs.select(packed(docs, "text"), *row_key(), F.col("text").alias("_text"))
-    out = left.join(found, (F.col("_id") == F.col("_fid")) & (F.col("_th") == F.col("_fth")), "left")
+def masked(text: str, spans: str, mask: str) -> Column:
+    """text with its spans (ordered by start) replaced; what overlaps becomes one mask.
+
+    The text is cut into pieces once, so that no part of it is looked for from
+    the start, and the result is joined once.
+    """
+
+    def between(start: str, end: str) -> str:
+        """The text from start to end, end exclusive."""
+        low = f"greatest({start} - i * {_PIECE}, 0)"
+        share = f"substring(element_at(t.pieces, i + 1), {low} + 1, least({end} - i * {_PIECE}, {_PIECE}) - {low})"
+        numbers = f"sequence(cast(floor({start} / {_PIECE}) as int), cast(floor(({end} - 1) / {_PIECE}) as int))"
+        return f"if({end} > {start}, array_join(transform({numbers}, i -> {share}), ''), '')"
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        gap = F.substring("_text", acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"))
+    # far: how far the spans before each span go
+    parts = f"zip_with(t.spans, far, (s, at) -> if(s.start >= at, concat({between('at', 's.start')}, {_quoted(mask)}), ''))"
+    tail = _let("array_max(transform(t.spans, s -> s.end))", "last", between("last", "t.n"))
+    made = _let(running("transform(t.spans, s -> s.end)", "greatest({0}, {1})"), "far", f"concat(array_join({parts}, ''), {tail})")
+    cut = f"named_struct('pieces', regexp_extract_all({text}, '(?s).{{1,{_PIECE}}}', 0), 'spans', spans, 'n', length({text}))"
+    whole = _let(spans, "spans", f"if(size(spans) > 0, {_let(cut, 't', made)}, {text})")
+    return F.expr(whole)
 
-    masked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring("_text", acc["at"] + 1, F.length("_text"))))
-    return with_made(out, docs, {"text": F.when(F.col("spans").isNull(), F.col("_text")).otherwise(masked)})
+
+def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", reach: int = REACH) -> DataFrame:
+    """docs with every span of text replaced; overlapping spans become one mask. No row goes.
+
+    Only texts in which weak parts may be linked are shuffled, to meet what
+    the join found; all others are masked where they are.
+    """
+    linking = F.coalesce(may_link(F.col("text")), F.lit(False))
+    alone = docs.where(~linking)
+    plain = alone.select(packed(docs, "text"), masked("text", base_spans("coalesce(text, '')"), mask).alias("_text"))
+    some = docs.where(linking)
+    found = find_secrets(some.select("doc_id", "text"), reach).where(F.size("spans") > 0)
+    found = found.select(F.col("_id").alias("_fid"), F.col("_th").alias("_fth"), "spans").dropDuplicates(["_fid", "_fth"])
+    left = some.select(packed(docs, "text"), *row_key(), F.col("text").alias("_text"))
+    met = left.join(found, (F.col("_id") == F.col("_fid")) & (F.col("_th") == F.col("_fth")), "left")
+    met = met.select("_row", F.when(F.col("spans").isNull(), F.col("_text")).otherwise(masked("_text", "spans", mask)).alias("_text"))
+    return with_made(plain.unionByName(met), docs, {"text": F.col("_text")})
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
