@@ -155,15 +155,15 @@ def pack(cut: DataFrame, most: int = 2048, most_open: int = OPEN_BINS, tasks: in
     return dealt.drop("turn").mapInArrow(run, PACKED_SCHEMA)
 
 
-def pack_documents(docs: DataFrame, most: int = 2048, path: str | None = None, ahead: int = AHEAD, tokens_per_task: int = TOKENS_PER_TASK, pieces_per_task: int = PIECES_PER_TASK) -> DataFrame:
+def pack_documents(docs: DataFrame, most: int = 2048, path: str | None = None, ahead: int = AHEAD, tokens_per_task: int = 0, pieces_per_task: int = 0) -> DataFrame:
     """Every document of docs in sequences of at most `most` tokens, one row for each piece. Other columns are dropped.
 
-    The number of packing tasks follows from the pieces and their tokens.
+    The number of packing tasks follows from the pieces and their tokens (0: TOKENS_PER_TASK and PIECES_PER_TASK).
     """
     # stored, so that counting them doesn't tokenize twice: a long text is many pieces
     cut = stored(pieces(docs, most, path=path), f"{scratch(docs.sparkSession)}/pieces")
     held = cut.agg(F.count(F.lit(1)).alias("pieces"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
-    return pack(cut, most, tasks=max(-(-held["tokens"] // tokens_per_task), -(-held["pieces"] // pieces_per_task)), ahead=ahead)
+    return pack(cut, most, tasks=max(-(-held["tokens"] // (tokens_per_task or TOKENS_PER_TASK)), -(-held["pieces"] // (pieces_per_task or PIECES_PER_TASK))), ahead=ahead)
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
