@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from weftline.llm import bpe, common, language_id, near_dedup, packing, secrets, tiff, url_filter
+from weftline.llm import bpe, common, language_id, line_dedup, near_dedup, packing, secrets, tiff, url_filter
 
 from .fixtures import SCHEMA, odd_rows, rows
 from .test_operators import brute_components, sha
@@ -279,3 +279,38 @@ def test_language_ties_numbers_and_long_texts(spark):
 def test_held_out_is_a_crc_of_the_id(spark):
     out = spark.range(50).withColumnRenamed("id", "doc_id").select("doc_id", language_id.held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
+
+
+# --- line dedup
+
+
+def test_line_dedup_long_texts_and_null_ids(spark):
+    line = "this line is long enough to count"
+    many = "\n".join(f"line number {i} of a very long text" for i in range(50_000))
+    table = [(1, many + "\n" + line), (2, many), (3, many), (None, line), (None, line), (None, "short"), (4, line + "\n" + line), (4, line)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(table, TWO)).collect()
+    got = sorted((r.doc_id or 0, r.n_lines, r.n_dropped) for r in out)
+    # ids null, 1 and 4 hold the line: three documents; many lines are in three as well
+    assert got == sorted([(1, 50_001, 50_001), (2, 50_000, 50_000), (3, 50_000, 0), (0, 1, 1), (0, 1, 1), (0, 1, 0), (4, 2, 0), (4, 1, 0)])
+
+
+def test_line_runs_join_without_a_shuffle(spark, sf, monkeypatch):
+    plans, rows_in, rows_out = [], [], []
+    written = line_dedup.LineRuns.bucketed
+
+    def seen(self, stats, *by):
+        if not by:
+            with line_dedup._in_order(spark):
+                plans.append(stats._jdf.queryExecution().executedPlan().toString())
+            if "LeftAnti" in plans[-1]:
+                rows_out.append(stats.count())
+        return written(self, stats, *by)
+
+    absorbed = line_dedup.LineRuns.absorb_stats
+    monkeypatch.setattr(line_dedup.LineRuns, "bucketed", seen)
+    monkeypatch.setattr(line_dedup.LineRuns, "absorb_stats", lambda self, new: (rows_in.append(new.count()), absorbed(self, new)))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    line_dedup.dedup_lines(docs).count()
+    assert len(rows_in) == 4 and len(rows_out) == 3 and not any("Exchange" in p for p in plans)
+    # the batches after the first lose the lines that the runs before them settled
+    assert all(a < b for a, b in zip(rows_out, rows_in[1:], strict=True))
