@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from weftline.llm import bpe, common, language_id, line_dedup, near_dedup, packing, secrets, tiff, url_filter
+from weftline.llm import bpe, common, language_id, line_dedup, near_dedup, packing, secrets, substring_dedup, tiff, url_filter
 
 from .fixtures import SCHEMA, odd_rows, rows
 from .test_operators import brute_components, sha
@@ -314,3 +314,55 @@ def test_line_runs_join_without_a_shuffle(spark, sf, monkeypatch):
     assert len(rows_in) == 4 and len(rows_out) == 3 and not any("Exchange" in p for p in plans)
     # the batches after the first lose the lines that the runs before them settled
     assert all(a < b for a, b in zip(rows_out, rows_in[1:], strict=True))
+
+
+# --- substring dedup
+
+
+def test_factors_are_long_and_word_for_word(spark):
+    r = random.Random(4)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    a, b = fresh(400), fresh(200)
+    texts = [a, fresh(30) + a[50:300] + fresh(30), fresh(7) + a[120:160] + b[20:90], b, fresh(100), a[:20], b[40:75] + ["other"] + b[76:120]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], TWO)
+    out = substring_dedup.factors(docs, 12).collect()
+    for f in out:
+        assert f.end - f.start >= 12 and (f.doc_id, f.start) != (f.source_id, f.source_start)
+        assert texts[f.doc_id][f.start : f.end] == texts[f.source_id][f.source_start : f.source_start + f.end - f.start]
+    got = {(f.doc_id, f.start, f.end, f.source_id, f.source_start) for f in out}
+    # a copied passage is one factor as long as the passage, whatever number of blocks it spans
+    assert (1, 30, 280, 0, 50) in got and any(f[0] == 2 and (f[1], f[2]) == (7, 47) for f in got)
+    assert any({f[0], f[3]} == {2, 3} and f[2] - f[1] == 70 for f in got)
+    assert {f[0] for f in got} & {4, 5} == {5}
+
+
+def test_matches_extend_word_by_word():
+    words = [b"a b c d e f".split(), b"x b c d".split()]
+    others = [b"z b c d e g".split(), b"x b c".split()]
+    left, right = substring_dedup.matched(words, np.array([2, 1]), others, np.array([2, 1]), 8)
+    assert (left.tolist(), right.tolist()) == ([1, 1], [3, 2])
+
+
+def test_equal_window_hashes_are_told_apart_by_words(spark):
+    """Where all boundary windows have one hash, the words still decide."""
+    from .test_operators import brute_substrings
+
+    table = rows(seed=3, n=24)
+    words = {i: re.findall("[^\x20\x09-\x0d]+", t or "") for i, t, *_ in table}
+    parse = substring_dedup.Parse(spark.createDataFrame(table, SCHEMA), 12)
+    parse.factored = parse.factored.selectExpr("* except (rest)", "transform(rest, x -> named_struct('bit', x.bit, 'h1', 0L, 'h2', 0L)) AS rest")
+    gone = defaultdict(set)
+    for m in parse.marks().collect():
+        for b in range(m.low, m.high + 1):
+            if m.mask is None or m.mask >> b & 1:
+                gone[m["_id"]].update(range(m.place - b, m.place - b + 12))
+    want = {i: n for i, _, n, _ in brute_substrings(table, 12)}
+    assert {i: len(gone[i]) for i in words} == want
+
+
+def test_substring_long_texts_and_clashing_columns(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    table = [(1, " ".join(words), 7, "s"), (2, " ".join(words[:-1]), 8, "s"), (3, "x " * 5_000, 9, "s"), (None, "one two", 0, None)]
+    out = substring_dedup.dedup_substrings(spark.createDataFrame(table, "doc_id bigint, text string, n_words int, spans string"), 35)
+    assert out.columns == ["doc_id", "text", "n_words", "spans", "n_removed"]
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed, r.text) for r in out.collect()) == [(0, 2, 0, "one two"), (1, 60_000, 59_999, "w59999"), (2, 59_999, 59_999, ""), (3, 5_000, 5_000, "")]
