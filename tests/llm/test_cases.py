@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from weftline.llm import bpe, common, language_id, line_dedup, near_dedup, packing, secrets, substring_dedup, tiff, url_filter
+from weftline.llm import bpe, common, language_id, line_dedup, near_dedup, packing, secrets, substring_dedup, tiff, topk, url_filter
 
 from .fixtures import SCHEMA, odd_rows, rows
 from .test_operators import brute_components, sha
@@ -366,3 +366,60 @@ def test_substring_long_texts_and_clashing_columns(spark):
     out = substring_dedup.dedup_substrings(spark.createDataFrame(table, "doc_id bigint, text string, n_words int, spans string"), 35)
     assert out.columns == ["doc_id", "text", "n_words", "spans", "n_removed"]
     assert sorted((r.doc_id or 0, r.n_words, r.n_removed, r.text) for r in out.collect()) == [(0, 2, 0, "one two"), (1, 60_000, 59_999, "w59999"), (2, 59_999, 59_999, ""), (3, 5_000, 5_000, "")]
+
+
+# --- top-k
+
+
+def brute_topk(data, k, every):
+    """Every row but the query's own, whatever the ids; scores beyond a long are its ends."""
+    ok = [(i, [int(np.floor(1024.0 * np.float64(np.float32(x)))) for x in v]) for i, v in data if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    top = (1 << 63) - 1
+    clip = lambda x: min(max(x, -top), top)
+    out = []
+    for at, (q, v) in enumerate(ok):
+        if q % every == 0:
+            s = sorted((-clip(sum(clip(a) * clip(b) for a, b in zip(v, w, strict=False))), i) for n, (i, w) in enumerate(ok) if n != at)[:k]
+            out += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s)]
+    return sorted(out)
+
+
+VECTORS = "vec_id bigint, embedding array<float>"
+
+
+def found(df):
+    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in df.collect())
+
+
+def test_topk_repeated_ids_and_large_components(spark):
+    r = np.random.default_rng(6)
+    data = [(0, [1.0, 0.0]), (1, [5.0, 0.0]), (1, [0.1, 9.0]), (0, [3.0, 1.0]), (0, [1.0, 0.0]), (10, [2.0, 2.0])]
+    assert found(topk.top_k(spark.createDataFrame(data, VECTORS), 3, 10)) == brute_topk(data, 3, 10)
+    for size in (1e-3, 1e3, 1e6, 1e9):
+        data = [(i % 60, [float(np.float32(x)) for x in r.normal(size=5) * size]) for i in range(200)]
+        assert found(topk.top_k(spark.createDataFrame(data, VECTORS), 4, 10)) == brute_topk(data, 4, 10)
+    data = [(0, [1e30, -2.0]), (1, [1e30, 1.0]), (2, [-1e30, 5.0]), (3, [3e6, 3e6]), (4, [0.0, 0.0])]
+    assert found(topk.top_k(spark.createDataFrame(data, VECTORS), 3, 10)) == brute_topk(data, 3, 10)
+
+
+@pytest.mark.parametrize("levels", [12, 2])
+def test_topk_in_a_deep_tree(spark, monkeypatch, levels):
+    """Nodes of a few rows, over several levels, with equal rows; few levels leave nodes that are cut by hash."""
+    for name, value in (("PAGE_ROWS", 8), ("FAN", 3), ("SAMPLED", 40), ("LEVELS", levels), ("QUERY_BLOCK", 16), ("ROW_BLOCK", 90), ("NEXT", 2)):
+        monkeypatch.setattr(topk, name, value)
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(6, 4))
+    data = [(i, [float(np.float32(x)) for x in centres[i % 6] + r.normal(size=4) * 0.1]) for i in range(300)]
+    data += [(300 + i, data[5][1]) for i in range(60)]
+    assert found(topk.top_k(spark.createDataFrame(data, VECTORS), 5, 10)) == brute_topk(data, 5, 10)
+
+
+def test_topk_scores_a_smaller_share_of_more_rows(spark):
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(40, 8)) * 4
+    shares = []
+    for n in (2_000, 12_000):
+        data = [(i, [float(x) for x in centres[i % 40] + r.normal(size=8) * 0.3]) for i in range(n)]
+        out = topk.top_k_costs(spark.createDataFrame(data, VECTORS), 10, 100).where("rank = 1").agg({"scored": "sum"}).first()[0]
+        shares.append(out / (n * n / 100))
+    assert shares[1] < shares[0] < 1

@@ -2,15 +2,20 @@
 
 The largest inner product is the smallest distance once every row has one
 more component that brings all rows to the norm of the longest, and queries
-have 0 there. In that metric the tree has routing objects, below each of them
-nodes that hold the rows whose distance to it (the parent distance) lies in
-one interval, and below these pages of bounded size. The upper levels have at
-most PIVOTS * RINGS nodes whatever the input; pages grow in number with it.
-
-A query goes to its most promising nodes first, which gives it a k-th best
-distance. The other nodes follow only where the triangle inequality, applied
-to their intervals, leaves room for a nearer row, and inside a page the same
-inequality on stored parent distances spares most scores.
+have 0 there. In that metric the tree is loaded from the top: a node with more
+rows than a page takes is divided among routing objects, rows of a bounded
+sample of it, and each row goes below the nearest. Every node has its routing
+object, its covering radius and its distance to the parent's routing object;
+every row has its distance to its page's. Nodes and pages are tables, so
+nothing that grows with the rows is in the driver or broadcast.
+
+A query goes down to its most promising pages, which gives it a k-th best
+distance. With that it starts again at the root and leaves out each node that
+the k-th distance rules out: by the parent distance alone where that suffices,
+else by the distance to the routing object less the radius. The pages that
+are left are visited in the order of their bounds, the nearest first, with the
+k-th distance carried on, and inside a page the stored parent distances say
+which rows a query needs at all.
 """
 
 from __future__ import annotations
@@ -23,18 +28,23 @@ from pyspark.sql import Window
 
 from .common import scratch, stored
 
-PIVOTS, RINGS = 32, 8
-PAGE_ROWS = 4096
-#: Queries that meet a page at a time.
-QUERY_BLOCK = 1024
-#: Rows that the routing objects are chosen from, those with the smallest hashes of their ids.
-SAMPLED = 2048
-HITS = "query_id bigint, vec_id bigint, score bigint"
+#: Rows that a page holds (equal rows and the last level apart, which are cut by hash), routing objects that divide a
+#: node, rows of it that they are chosen from, about, and levels that there may be.
+PAGE_ROWS, FAN, SAMPLED, LEVELS = 512, 32, 1024, 12
+#: Queries that meet a node at a time, and rows of a node that are divided at a time.
+QUERY_BLOCK, ROW_BLOCK = 1024, 100_000
+#: Nodes that a query follows at each level on its way to the first pages, and pages that it visits before the last round.
+BEAM, NEXT = 2, 8
+#: Distances are off by no more than this part of the common norm.
+SLACK = 1e-6
+MOST = (1 << 63) - 1
+NODE = "parent bigint, node bigint, centre array<double>, up double"
+HITS = "query bigint, row bigint, vec_id bigint, score bigint, scored bigint"
 
 
 def quantized(column: str) -> Column:
-    """floor(1024 * x) of each component; null if the vector or a component is null or not finite."""
-    big = F.transform(F.col(column), lambda x: F.floor(F.lit(1024.0) * x.cast("double")))
+    """floor(1024 * x) of each component, at most what a long holds; null if the vector or a component is null or not finite."""
+    big = F.transform(F.col(column), lambda x: F.when(F.abs(x) < 2.0**52, F.floor(F.lit(1024.0) * x.cast("double"))).otherwise(F.when(x > 0, F.lit(MOST)).otherwise(F.lit(-MOST))))
     bad = F.exists(F.col(column), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.when(F.col(column).isNotNull() & ~F.coalesce(bad, F.lit(False)), big)
 
@@ -47,11 +57,22 @@ def _matrix(vectors, dim: int) -> np.ndarray:
     return out
 
 
-def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products. Doubles hold them exactly while no sum can pass 2**53."""
-    if len(a) and len(b) and np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1] >= 2**53:
-        return a.astype(np.int64) @ b.astype(np.int64).T
-    return np.rint(a @ b.T).astype(np.int64)
+def _integers(vectors, dim: int) -> np.ndarray:
+    out = np.zeros((len(vectors), dim), np.int64)
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = v
+    return out
+
+
+def _scores(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Integer inner products of rows with q. Sums beyond a long count as its end."""
+    most = np.abs(rows).max(initial=0).astype(float) * np.abs(q).max(initial=0).astype(float) * len(q)
+    if most < 2**53:
+        return np.rint(rows.astype(float) @ q.astype(float)).astype(np.int64)
+    if most < 2**62:
+        return rows @ q
+    exact = rows.astype(object) @ q.astype(object)
+    return np.array([min(max(x, -MOST), MOST) for x in exact], np.int64)
 
 
 def _lifted(rows: np.ndarray, longest: float) -> np.ndarray:
@@ -62,153 +83,225 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T))
 
 
-def _routing(sample: np.ndarray) -> np.ndarray:
-    """Routing objects: farthest-first rows of the sample, then moved to the middle of what is nearest to them."""
+def _routing(sample: np.ndarray, fan: int) -> np.ndarray:
+    """Routing objects: farthest-first rows of the sample, then the rows nearest to the middle of what is nearest to them."""
     chosen = [0]
     near = _distances(sample, sample[:1])[:, 0]
-    while len(chosen) < min(PIVOTS, len(sample)) and near.max() > 0:
+    while len(chosen) < min(fan, len(sample)) and near.max() > 0:
         chosen.append(int(near.argmax()))
         near = np.minimum(near, _distances(sample, sample[chosen[-1:]])[:, 0])
-    pivots = sample[chosen]
-    for _ in range(5):
-        own = _distances(sample, pivots).argmin(1)
-        pivots = np.array([sample[own == i].mean(0) if (own == i).any() else pivots[i] for i in range(len(pivots))])
-    return pivots
+    out = sample[chosen]
+    for _ in range(4):
+        own = _distances(sample, out).argmin(1)
+        middle = np.array([sample[own == i].mean(0) if (own == i).any() else out[i] for i in range(len(out))])
+        out = sample[_distances(middle, sample).argmin(1)]
+    return np.unique(out, axis=0)
 
 
 class MTree:
-    """The index over rows (vec_id, v): pages of rows, and the nodes above them."""
+    """The index over rows (row, vec_id, v), row being unique: levels of nodes, and pages of rows below the last."""
 
     def __init__(self, rows: DataFrame):
         spark = rows.sparkSession
-        shape = rows.agg(F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("longest")).first()
-        self.empty = shape["dim"] is None
-        self.dim, self.longest = shape["dim"] or 0, float(shape["longest"] or 0)
+        square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+        shape = rows.agg(F.max(F.size("v")).alias("dim"), F.max(square).alias("longest"), F.count(F.lit(1)).alias("n")).first()
+        self.empty = not shape["n"]
         if self.empty:
             return
-        dim, longest = self.dim, self.longest
-        sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLED).toPandas()
-        self.pivots = pivots = _routing(_lifted(_matrix(sample["v"], dim), longest))
-        # no distance passes twice the common norm
-        self.width = width = max(2.0 * np.sqrt(longest) / RINGS / 2, 1e-9)
-
-        def placed(parts):
-            for part in parts:
-                if not len(part):
-                    continue
-                d = _distances(_lifted(_matrix(part["v"], dim), longest), pivots)
+        self.root, self.dim, self.longest = scratch(spark), shape["dim"], float(shape["longest"])
+        self.slack = SLACK * np.sqrt(self.longest) + 1e-9
+        #: One table for each level; a node that isn't divided has itself as the only child.
+        self.levels: list[DataFrame] = []
+        at = rows.withColumns({"node": F.lit(0).cast("long"), "up": F.lit(0.0)})
+        nodes = spark.createDataFrame([(0, shape["n"], None)], "node long, n long, radius double")
+        while True:
+            level = len(self.levels)
+            full = nodes.where((F.col("n") > PAGE_ROWS) & ((F.col("radius") > 0) | F.col("radius").isNull()))
+            if level and (level == LEVELS or full.isEmpty()):
+                break
+            at, nodes = self._divide(at, nodes, full if level else nodes, level)
+        # equal rows, and what the last level leaves, in pages of one routing object
+        many = nodes.select("node", F.ceil(F.col("n") / PAGE_ROWS).alias("cuts"))
+        page = F.pmod(F.xxhash64("row"), F.col("cuts")).cast("int")
+        self.pages = stored(at.join(many, "node").withColumn("page", page).drop("cuts"), f"{self.root}/pages")
+        self.cuts = many
+
+    def _divide(self, at: DataFrame, nodes: DataFrame, full: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+        """Rows and nodes one level down: rows of full nodes go below routing objects of their own, the others stay."""
+        dim, longest, root = self.dim, self.longest, f"{self.root}/{level}"
+        share = full.select("node", (F.lit(float(SAMPLED)) / F.col("n")).alias("share"), F.ceil(F.col("n") / ROW_BLOCK).alias("blocks"))
+        share = stored(share, f"{root}-full")
+        draw = F.pmod(F.xxhash64("row", F.lit(level)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+        above = self.levels[-1].select(F.col("node").alias("of"), "centre") if self.levels else None
+        sample = at.join(share, "node").where(draw <= F.col("share")).select("node", "v")
+
+        def choose(own: pd.DataFrame) -> pd.DataFrame:
+            node, centres = int(own["node"].iloc[0]), _routing(_lifted(_matrix(own["v"], dim), longest), FAN)
+            return pd.DataFrame({"parent": node, "node": node * FAN + np.arange(1, len(centres) + 1), "centre": list(centres)})
+
+        routers = sample.groupBy("node").applyInPandas(choose, "parent bigint, node bigint, centre array<double>")
+        routers = stored(routers, f"{root}-routers")
+
+        def place(rows: pd.DataFrame, routing: pd.DataFrame) -> pd.DataFrame:
+            if len(rows):
+                d = _distances(_lifted(_matrix(rows["v"], dim), longest), np.array(routing["centre"].tolist()))
                 near = d.argmin(1)
-                up = d[np.arange(len(d)), near]
-                yield part.assign(pivot=near.astype(np.int32), ring=np.minimum(up // width, 2 * RINGS - 1).astype(np.int32), up=up)
-
-        at = rows.mapInPandas(placed, "vec_id bigint, v array<bigint>, pivot int, ring int, up double")
-        at = stored(at, f"{scratch(spark)}/placed")
-        #: One row for each node: at most PIVOTS * 2 * RINGS of them.
-        self.nodes = at.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("up").alias("low"), F.max("up").alias("high")).toPandas()
-        self.nodes["pages"] = -(-self.nodes["n"] // PAGE_ROWS)
-        many = spark.createDataFrame(self.nodes[["pivot", "ring", "pages"]])
-        self.pages = at.join(F.broadcast(many), ["pivot", "ring"]).withColumn("page", F.pmod(F.xxhash64("vec_id"), F.col("pages")).cast("int")).drop("pages")
-
-    def _visits(self, queries: DataFrame, k: int, first: bool) -> DataFrame:
-        """(query_id, v, pivot, ring, page, reach) for the nodes that a query goes to.
-
-        First: the most promising nodes that together hold over k rows.
-        Then: all others that the k-th best distance so far does not rule out.
-        """
-        nodes, pivots, dim, longest = self.nodes, self.pivots, self.dim, self.longest
-
-        def run(parts):
-            for part in parts:
-                if not len(part):
-                    continue
-                q = _matrix(part["v"], dim)
-                d = _distances(np.hstack([q, np.zeros((len(q), 1))]), pivots)[:, nodes["pivot"].to_numpy()]
-                least = np.maximum(0, np.maximum(d - nodes["high"].to_numpy(), nodes["low"].to_numpy() - d))
-                order = np.argsort(least, axis=1, kind="stable")
-                held = np.cumsum(nodes["n"].to_numpy()[order], axis=1)
-                head = np.zeros_like(least, bool)
-                # the query may itself be among the rows
-                np.put_along_axis(head, order, np.hstack([np.zeros((len(q), 1)), held[:, :-1]]) <= k, axis=1)
-                if first:
-                    reach = np.full(len(q), np.inf)
-                    go = head
-                else:
-                    kth = part["kth"].to_numpy(float)
-                    far = np.sqrt(np.maximum(0, (q**2).sum(1) + longest - 2 * kth))
-                    reach = np.where(np.isnan(kth), np.inf, far * (1 + 1e-9) + 1e-3)
-                    go = ~head & (least <= reach[:, None])
-                i, j = np.nonzero(go)
-                for pages in np.unique(nodes["pages"].to_numpy()[j]):
-                    own = nodes["pages"].to_numpy()[j] == pages
-                    a, b = np.repeat(i[own], pages), np.repeat(j[own], pages)
-                    yield pd.DataFrame(
-                        {"query_id": part["vec_id"].to_numpy()[a], "v": part["v"].to_numpy()[a], "pivot": nodes["pivot"].to_numpy()[b], "ring": nodes["ring"].to_numpy()[b], "page": np.tile(np.arange(pages), own.sum()).astype(np.int32), "reach": reach[a]}
-                    )
-
-        return queries.mapInPandas(run, "query_id bigint, v array<bigint>, pivot int, ring int, page int, reach double")
-
-    def _searched(self, visits: DataFrame, k: int, blocks: int) -> DataFrame:
-        """The k best rows of each visited page for each of its queries."""
-        pivots, dim, longest = self.pivots, self.dim, self.longest
-        visits = visits.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+                rows = rows.assign(node=routing["node"].to_numpy()[near], up=d[np.arange(len(d)), near])
+            return rows[["row", "vec_id", "v", "node", "up"]]
+
+        block = F.pmod(F.xxhash64("row"), F.col("blocks"))
+        asked = at.join(share.drop("share"), "node").withColumn("block", block).drop("blocks").groupBy("node", "block")
+        repeated = routers.join(share.select(F.col("node").alias("parent"), "blocks"), "parent").select("parent", "node", "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).groupBy("parent", "block")
+        moved = asked.cogroup(repeated).applyInPandas(place, "row bigint, vec_id bigint, v array<bigint>, node bigint, up double")
+        stay = at.join(share.select("node"), "node", "left_anti").select("row", "vec_id", "v", "node", "up")
+        at = stored(moved.unionByName(stay), f"{root}-rows")
+
+        held = at.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("up").alias("radius"))
+        made = routers
+        if above is not None:
+            step = F.sqrt(F.aggregate(F.zip_with("centre", F.col("above"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+            made = routers.join(above.select(F.col("of").alias("parent"), F.col("centre").alias("above")), "parent").withColumn("up", step).drop("above")
+            same = self.levels[-1].join(share.select("node"), "node", "left_anti").select(F.col("node").alias("parent"), "node", "centre", F.lit(0.0).alias("up"))
+            made = made.select("parent", "node", "centre", "up").unionByName(same)
+        else:
+            made = made.withColumn("up", F.lit(0.0))
+        self.levels.append(stored(made.join(held, "node"), f"{root}-nodes"))
+        return at, self.levels[-1].select("node", "n", "radius")
+
+    def _descend(self, queries: DataFrame, blocks: int, beam: int) -> DataFrame:
+        """(query, v, reach, node, page, least, away) for the pages that a query may need: the nearest `beam` nodes at
+        each level if set, else all that reach doesn't rule out. least: no row of the page is nearer."""
+        dim, slack = self.dim, self.slack
+        schema = "query bigint, v array<bigint>, reach double, node bigint, away double, least double"
+        here = queries.select("query", "v", "reach", F.lit(0).cast("long").alias("node"), F.lit(0.0).alias("away"))
+        for level in self.levels:
+
+            def step(asked: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
+                none = pd.DataFrame({"query": np.empty(0, np.int64), "v": np.empty(0, object), "reach": np.empty(0), "node": np.empty(0, np.int64), "away": np.empty(0), "least": np.empty(0)})
+                if not len(asked) or not len(children):
+                    return none
+                radius, up, reach = children["radius"].to_numpy(), children["up"].to_numpy(), asked["reach"].to_numpy()[:, None]
+                # what the parent distance alone rules out needs no distance
+                open_ = np.abs(asked["away"].to_numpy()[:, None] - up) - radius <= reach + slack
+                open_ |= int(asked["node"].iloc[0]) == 0  # the root has no routing object
+                need = open_.any(0)
+                q = np.hstack([_matrix(asked["v"], dim), np.zeros((len(asked), 1))])
+                d = np.full(open_.shape, np.inf)
+                d[:, need] = _distances(q, np.array(children["centre"].tolist())[need])
+                least = np.maximum(0, d - radius)
+                i, j = np.nonzero(open_ & (least <= reach + slack))
+                return pd.DataFrame({"query": asked["query"].to_numpy()[i], "v": asked["v"].to_numpy()[i], "reach": reach[i, 0], "node": children["node"].to_numpy()[j], "away": d[i, j], "least": least[i, j]})
+
+            block = F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")
+            asked = here.withColumn("block", block).groupBy("node", "block")
+            children = level.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("parent", "block")
+            here = asked.cogroup(children).applyInPandas(step, schema)
+            if beam:
+                near = F.row_number().over(Window.partitionBy("query").orderBy("least", "away", "node"))
+                here = here.withColumn("turn", near).where(F.col("turn") <= beam).drop("turn")
+        out = here.join(self.cuts, "node")
+        return out.withColumn("page", F.explode(F.sequence(F.lit(0), F.col("cuts").cast("int") - 1))).drop("cuts")
+
+    def _visited(self, visits: DataFrame, k: int, blocks: int) -> DataFrame:
+        """The k best rows of each visited page for each of its queries; `scored`, on one row of a visit, is what it took."""
+        dim, slack = self.dim, self.slack
+        visits = visits.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+        place = ["node", "page"]
         # a page is repeated only for the blocks with a query that goes there
-        place = ["pivot", "ring", "page"]
-        pages = self.pages.withColumn("block", F.lit(0)) if blocks == 1 else self.pages.join(visits.select(*place, F.col("block").alias("asked")).distinct(), place).withColumnRenamed("asked", "block")
-        empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})
+        pages = self.pages.join(visits.select(*place, F.col("block").alias("for")).distinct(), place).withColumnRenamed("for", "block")
 
         def best(page: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            if not len(page) or not len(asked):
-                return empty
-            q, rows, ids, up = _matrix(asked["v"], dim), _matrix(page["v"], dim), page["vec_id"].to_numpy(), page["up"].to_numpy()
-            # the triangle inequality on parent distances: no query can use the rows that all of them rule out
-            d = _distances(np.hstack([q, np.zeros((len(q), 1))]), pivots[int(page["pivot"].iloc[0])][None])[:, 0]
-            reach, own = asked["reach"].to_numpy(), asked["query_id"].to_numpy()
-            use = np.zeros(len(rows), bool)
-            for lo, hi in zip(d - reach, d + reach, strict=True):
-                use |= (up >= lo) & (up <= hi)
-            rows, ids = rows[use], ids[use]
             out = []
-            for at, s in enumerate(_scores(q, rows)):
-                other = ids != own[at]
-                s, names = s[other], ids[other]
-                if len(s) > k:
-                    edge = np.partition(s, len(s) - k)[len(s) - k]
-                    s, names = s[s >= edge], names[s >= edge]
-                order = np.lexsort((names, -s))[:k]
-                out.append(pd.DataFrame({"query_id": own[at], "vec_id": names[order], "score": s[order]}))
-            return pd.concat(out) if out else empty
-
-        key = ["pivot", "ring", "page", "block"]
+            if len(page) and len(asked):
+                page = page.sort_values("up", kind="stable")
+                up, rows = page["up"].to_numpy(), _integers(page["v"], dim)
+                names, ids = page["row"].to_numpy(), page["vec_id"].to_numpy()
+                for query, v, reach, away in zip(asked["query"], asked["v"], asked["reach"], asked["away"], strict=True):
+                    # the triangle inequality on parent distances leaves one stretch of the page
+                    lo, hi = np.searchsorted(up, away - reach - slack, "left"), np.searchsorted(up, away + reach + slack, "right")
+                    if lo >= hi:
+                        continue
+                    s = _scores(rows[lo:hi], _integers([v], dim)[0])
+                    other = names[lo:hi] != query
+                    s, own, id_ = s[other], names[lo:hi][other], ids[lo:hi][other]
+                    if len(s) > k:
+                        edge = np.partition(s, len(s) - k)[len(s) - k]
+                        s, own, id_ = (x[s >= edge] for x in (s, own, id_))
+                    order = np.lexsort((own, id_, -s))[:k]
+                    if len(order):
+                        scored = np.zeros(len(order), np.int64)
+                        scored[0] = hi - lo
+                        out.append(pd.DataFrame({"query": query, "row": own[order], "vec_id": id_[order], "score": s[order], "scored": scored}))
+            return pd.concat(out) if out else pd.DataFrame({c.split()[0]: np.empty(0, np.int64) for c in HITS.split(", ")})
+
+        key = [*place, "block"]
         return pages.groupBy(*key).cogroup(visits.groupBy(*key)).applyInPandas(best, HITS)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        """query_id, rank, vec_id, score of the k best other rows; queries as (vec_id, v)."""
+        """query, rank, row, vec_id, score of the k best other rows, and `scored`, how many scores a query took; queries as (query, v)."""
         spark = queries.sparkSession
+        schema = "query bigint, rank int, row bigint, vec_id bigint, score bigint, scored bigint"
         if self.empty:
-            return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+            return spark.createDataFrame([], schema)
         blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-        root = scratch(spark)
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        top = lambda hits: hits.withColumn("rank", place).where(F.col("rank") <= k)
-        found = stored(top(self._searched(self._visits(queries, k, True), k, blocks)), f"{root}/first")
-        kth = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("kth"))
-        rest = self._searched(self._visits(queries.join(kth, "vec_id", "left"), k, False), k, blocks)
-        out = top(found.drop("rank").unionByName(rest))
-        return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        root, longest = scratch(spark), self.longest
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
+
+        def top(hits: DataFrame) -> DataFrame:
+            took = F.sum("scored").over(Window.partitionBy("query"))
+            return hits.withColumns({"rank": F.row_number().over(order), "took": took}).where(F.col("rank") <= k).drop("scored").withColumnsRenamed({"took": "scored"})
+
+        def merged(found: DataFrame, more: DataFrame) -> DataFrame:
+            # what a query took so far counts once
+            once = F.when(F.col("rank") == 1, F.col("scored")).otherwise(0).cast("long")
+            return top(found.withColumn("scored", once).drop("rank").unionByName(more))
+
+        def reaching(found: DataFrame) -> DataFrame:
+            """Queries with how far their k-th best row is: infinitely, where there is none yet."""
+            kth = found.where(F.col("rank") == k).select("query", F.col("score").cast("double").alias("kth"))
+            norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+            far = F.sqrt(F.greatest(F.lit(0.0), norm + F.lit(longest) - 2 * F.col("kth")))
+            return queries.join(kth, "query", "left").select("query", "v", F.when(F.col("kth").isNull(), float("inf")).otherwise(far).alias("reach"))
+
+        start = queries.withColumn("reach", F.lit(float("inf")))
+        first = stored(self._descend(start, blocks, BEAM), f"{root}/first")
+        found = stored(top(self._visited(first, k, blocks)), f"{root}/found-0")
+        place = ["query", "node", "page"]
+        open_ = self._descend(reaching(found), blocks, 0).join(first.select(*place), place, "left_anti")
+        turn = F.row_number().over(Window.partitionBy("query").orderBy("least", "node", "page"))
+        open_ = stored(open_.withColumn("turn", turn), f"{root}/open")
+        found = stored(merged(found, self._visited(open_.where(F.col("turn") <= NEXT).drop("turn"), k, blocks)), f"{root}/found-1")
+        # what the better k-th distance still leaves open
+        rest = open_.where(F.col("turn") > NEXT).drop("turn", "reach").join(reaching(found).select("query", "reach"), "query")
+        rest = rest.where(F.col("least") <= F.col("reach") + F.lit(self.slack))
+        out = merged(found, self._visited(rest, k, blocks))
+        return out.select("query", F.col("rank").cast("int").alias("rank"), "row", "vec_id", "score", "scored")
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
-    """The k rows of largest integer inner product for each row whose vec_id is divisible by `every`.
+    """query_id, rank, vec_id and score of the k rows of largest integer inner product for each row whose vec_id is
+    divisible by `every`.
 
     Vectors that are null, or hold a null or non-finite component, take no
-    part, nor do rows without vec_id. Of rows with one vec_id, one of the
-    largest vectors is used. Shorter vectors count as padded with zeros. Equal
-    scores go to the smaller vec_id.
+    part, nor do rows without vec_id. Every row but the query's own is a
+    candidate: of rows with one vec_id each has its place, and each is a query
+    of its own. Shorter vectors count as padded with zeros. Equal scores go to
+    the smaller vec_id. Components that don't fit in a long after scaling, and
+    scores that don't, count as the largest long or its negative. Other
+    columns are dropped.
     """
+    return top_k_costs(vectors, k, every).drop("scored")
+
+
+def top_k_costs(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
+    """top_k() and scored, the number of scores that each query took."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantized("embedding").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
-    rows = rows.groupBy("vec_id").agg(F.max("v").alias("v"))
-    rows = stored(rows, f"{scratch(vectors.sparkSession)}/vectors")
-    return MTree(rows).search(rows.where(F.col("vec_id") % every == 0), k)
+    # numbered once, in the written table
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), f"{scratch(vectors.sparkSession)}/vectors")
+    queries = rows.where(F.col("vec_id") % every == 0)
+    hits = MTree(rows).search(queries.select(F.col("row").alias("query"), "v"), k)
+    names = queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    return hits.join(names, "query").select("query_id", "rank", "vec_id", "score", "scored")
 
 
 def query(spark: SparkSession, vectors: DataFrame) -> DataFrame:
@@ -216,12 +309,13 @@ def query(spark: SparkSession, vectors: DataFrame) -> DataFrame:
 
 
 SQL = """
-WITH ok AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id,
-        CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-      FROM ok q JOIN ok c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+WITH ok AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CASE WHEN abs(x) < 4503599627370496 THEN CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)
+           WHEN x > 0 THEN 9223372036854775807 ELSE -9223372036854775807 END) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r AS q, q.vec_id AS query_id, c.r AS c, c.vec_id,
+        least(greatest(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: CAST(q.v[i] AS HUGEINT) * c.v[i])), -9223372036854775807), 9223372036854775807) AS score
+      FROM ok q JOIN ok c ON q.r <> c.r WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, c) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 10
 """
