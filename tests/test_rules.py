@@ -62,8 +62,116 @@ def test_flaky_ties_are_in_name_order(runs):
 
 
 def test_failure_modes(runs):
-    rows = [run(i, hash=f"h{i}") for i in range(1, 10)] + [run(10, "failed", hash="x")] + [run(11, "failed", task="u", hash="y"), run(12, task="v")]
-    assert {r.task: r["mode"] for r in stats.failure_modes(runs(*rows)).collect()} == {"t": "recoverable", "u": "fatal", "v": None}
+    """Failures alone are breaks, however many; a retried pass or a failure after a pass makes a task flaky."""
+    cases = {
+        "stable": [[run(i, hash=f"h{i}") for i in range(1, 10)] + [run(10, "failed", hash="x")], [run(1, "failed", hash="y")], [run(1)], [run(i, "failed", hash=f"b{i}") for i in range(5)], [run(i, "failed") for i in range(3)], [run(1, "failed"), run(2)], [run(1, "failed", attempts=2)]],
+        "flaky-fatal": [[run(1), run(2, "failed")], [run(1, "cache-hit"), run(2, "failed")], [run(1), run(2, "failed"), run(3, attempts=2)]],
+        "flaky-recoverable": [[run(1, attempts=2)], [run(i) for i in range(1, 10)] + [run(10, "failed")]],
+    }
+    for want, histories in cases.items():
+        for rows in histories:
+            assert [r["mode"] for r in stats.failure_modes(runs(*rows)).collect()] == [want], rows
+    assert stats.failure_modes(runs()).count() == 0
+
+
+def test_failed_attempts_of_a_pass_count_as_failures(runs):
+    rows = [run(1, project="web", task="test", hash="R", attempts=3), run(2, "failed", project="web", task="lint", hash="S", attempts=2)]
+    got = stats.flaky_tasks(runs(*rows)).collect()
+    assert [(r.project, r.task, r["keys"], r.passes, r.failures) for r in got] == [("web", "test", 1, 1, 2)]
+    mixed = lambda at, project, task, passes: [run(at + i, project=project, task=task, hash=project + task) for i in range(passes)] + [run(at + passes, "failed", project=project, task=task, hash=project + task)]
+    tied = mixed(0, "b", "a", 1) + mixed(10, "a", "z", 1) + mixed(20, "a", "y", 1) + mixed(30, "c", "c", 2)
+    assert [f"{r.project}#{r.task}" for r in stats.flaky_tasks(runs(*tied)).collect()] == ["c#c", "a#y", "a#z", "b#a"]
+
+
+def test_flaky_candidates(runs):
+    history = runs(run(1, hash="a"), run(2, "failed", hash="b"), run(3, hash="c"), run(4, "failed", hash="c"), run(5, "failed", hash="d"))
+    now = runs(run(11, "failed", hash="a"), run(12, hash="b"), run(13, hash="c"), run(14, "failed", hash="d"), run(15, hash="e", attempts=2), run(16, hash="f"), run(17, "failed", hash="g", attempts=3))
+    got = {r.id: (r.passes, r.failures) for r in stats.flaky_candidates(history, now).collect()}
+    # a first pass after failures only is a recovery, and failing on a key that never passed is a break
+    assert got == {11: (1, 1), 13: (2, 1), 15: (1, 0)}
+    asked = runs(run(1, hash="a"), run(2, hash="zz"), run(3, task="u", hash="zz")).select("project", "task", "hash")
+    assert {(r.task, r.hash): r.flaky for r in stats.known_flaky(history, asked).collect()} == {("t", "a"): True, ("t", "zz"): True, ("u", "zz"): False}
+
+
+def finished(spark, *rows):
+    kind = "run_id string, status string, hash string, cached boolean, saved boolean, restored boolean"
+    return spark.createDataFrame([("r", *x) for x in rows], kind)
+
+
+def test_headers_tally_and_buckets(spark):
+    rows = [
+        ("success", "h", True, True, None), ("success", "h", True, False, None), ("success", "h", True, None, None), ("success", "h", False, None, None), ("failed", "h", True, None, None), ("failed", "", None, None, None), ("failed", "h", False, None, None),
+        ("cache-hit", "h", True, None, True), ("cache-hit", "h", True, None, False), ("cache-hit", "h", True, None, None), ("cache-hit-remote", "h", True, None, True), ("cache-hit-remote", "h", True, None, False), ("skipped", "h", True, None, None), ("aborted", "h", True, None, None),
+    ]
+    df = finished(spark, *rows)
+    t = stats.tally(df).first()
+    assert (t.total, t.successful, t.failed, t.skipped, t.aborted) == (13, 9, 3, 1, 1)
+    assert (t.cached_local, t.cached_remote, t.restored_local, t.restored_remote, t.up_to_date) == (3, 2, 1, 1, 3)
+    h = stats.run_headers(df).first()
+    assert (h.tasks, h.failed, h.hits, h.hits_local, h.hits_remote, h.up_to_date, h.restored_local, h.restored_remote) == (13, 3, 5, 3, 2, 3, 1, 1)
+    got = {r.bucket: r.n for r in stats.cache_buckets(df).collect()}
+    assert got == {"saved": 1, "notSaved": 1, "miss": 2, "noCache": 2, "restoredLocal": 2, "upToDate": 2, "restoredRemote": 1}
+
+
+USE = "id long, project string, task string, hash string, status string, cache_hit boolean, cpu_ms long, duration_ms long, cpu_share double, cores long, peak_rss long, placement_memory long"
+
+
+def test_needs_and_saturation(spark):
+    use = lambda id, task, status="success", hit=False, cpu=100, ms=100, share=None, cores=4, rss=0: (id, "p", task, "h", status, hit, cpu, ms, share, cores, rss, 100)
+    rows = spark.createDataFrame([
+        use(1, "a", cpu=100, share=0.5), use(2, "a", cpu=400), use(3, "a", "failed", cpu=9000), use(4, "b", "cache-hit", hit=True), use(5, "c", cpu=None), use(6, "d", "failed", cpu=380, rss=95), use(7, "e", cpu=50, cores=None), use(8, "f", cpu=5000),
+    ], USE)
+    entries = spark.createDataFrame([("p", "b", "h", 50, 150, 7)], "project string, task string, hash string, size_bytes long, cpu_ms long, peak_rss long")
+    # CPU is held against the share of the time that the run had, and never above what it was given
+    assert {r.task: r.need for r in stats.mean_need(rows, entries).collect()} == {"a": 3.0, "b": 3.0, "c": None, "d": None, "e": 0.5, "f": 4.0}
+    # failures count: one that filled its machine says so
+    assert {r.task: (r.cores, r.memory) for r in stats.saturated(rows).collect()} == {"d": (4, 100), "f": (4, None)}
+    durations = spark.createDataFrame([(1, "p", "c", "remote", 2.5), (2, "p", "c", "remote", 1.5), (3, "p", "a", "remote", 9.0), (4, "p", "c", "branch:1", 8.0)], "id long, project string, task string, source string, cpu_parallelism double")
+    got = {r.task: (r.need, r.need_from) for r in forecast.resources(rows, entries, durations).collect()}
+    assert got == {"a": (3.0, "own"), "b": (3.0, "hit"), "c": (1.5, "imported"), "d": (None, None), "e": (0.5, "own"), "f": (4.0, "own")}
+
+
+def test_server_fold(spark):
+    kind = "id long, k string, duration_ms long, cores double, rss long, at long"
+    day = 86_400_000
+    reports = [
+        (1, "a", 100, None, 50, 0), (2, "a", 104, None, 50, 1), (3, "a", 104, 2.0, None, 2), (4, "a", 200, 2.05, 10, 3), (5, "b", 100, 1.0, 10, 0), (6, "b", 100, 1.0, 10, day), (7, "b", 101, 1.0, 10, day + 5), (8, "c", 10, None, None, 0), (9, "c", 10, None, 99, 1),
+    ]
+    got = {r.k: tuple(r)[1:] for r in forecast.server_fold(spark.createDataFrame(reports, kind).repartition(3), "k").collect()}
+    # the second is noise; the third brings cores; the fourth moves the duration by three tenths and lets the peaks fade
+    assert got["a"] == (131, pytest.approx(2.015), 45, 200, 3, 3)
+    assert got["b"] == (100, pytest.approx(1.0), 10, 100, 2, day) and got["c"] == (10, None, 99, 10, 2, 1)
+    stored = spark.createDataFrame([("a", 100, None, 50, 100, 1, 0), ("n", 100, 1.0, 50, 100, 1, 0), ("o", 7, None, None, 7, 1, 0)], "k string, duration_ms long, cores double, rss long, slow_ms long, runs long, updated_at long")
+    new = spark.createDataFrame([("a", 200, 2.0, None, 5), ("n", 103, 1.02, 40, 5), ("x", 9, None, None, 5)], "k string, d long, c double, r long, at long")
+    rows = {r.k: tuple(r)[1:] for r in forecast.server_upsert(stored, new, "k").collect()}
+    assert rows == {"a": (130, 2.0, 50, 200, 2, 5), "n": (100, 1.0, 50, 100, 1, 0), "o": (7, None, None, 7, 1, 0), "x": (9, None, None, 9, 1, 5)}
+
+
+def test_markdown_cells(spark):
+    cells = [("a|b", r"a\|b"), (r"a\|b", r"a\|b"), (r"a\\|b", r"a\\\|b"), ("||", r"\|\|"), ("a\r\nb\rc\nd", "a b c d"), ("x" * 90, "x" * 79 + "…"), (None, None)]
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cells)], "i int, s string")
+    assert [r[0] for r in df.orderBy("i").select(X.markdown_cell(F.col("s"))).collect()] == [b for _, b in cells]
+
+
+def test_tasks_that_ran_at_a_moment(spark):
+    spans = spark.createDataFrame([("p", "a", 0, 100_000), ("p", "a", 50, 60), ("p", "b", 40, 90), ("q", "c", 45, 54), ("q", "d", 59, 70), ("q", "e", 56, 70)], "project string, task string, start long, stop long")
+    points = spark.createDataFrame([(1, 55), (2, 200_000)], "point_id long, at long")
+    # three distinct tasks, the earliest first; a task with two spans counts once, and 5 ms of slack let c in
+    assert [(r.point_id, r.place, r.task, r.start) for r in timeline.running_at(points, spans).orderBy("place").collect()] == [(1, 1, "a", 0), (1, 2, "b", 40), (1, 3, "c", 45)]
+
+
+@pytest.mark.parametrize("cell", [1, 3, 100])
+def test_neighbours_over_cells(spark, cell):
+    import random
+
+    r = random.Random(cell)
+    rows = [(i, r.choice("ab"), r.choice([None, f"v{i}"])) for i in range(0, 60, 2)]
+    df = spark.createDataFrame(rows, "id long, k string, v string").repartition(3)
+    for later in (False, True):
+        got = {x.id: x._near for x in timeline.neighbour(df, F.col("v"), "k", later=later, cell=cell).select("id", "_near").collect()}
+        for i, k, _ in rows:
+            near = [v for j, o, v in (reversed(rows) if later else rows) if o == k and v and (j > i if later else j < i)]
+            assert got[i] == (near[-1] if near else None)
 
 
 def test_limits_clamp(runs):
@@ -223,7 +331,7 @@ def test_large_groups_are_never_one_list(spark, runs):
         took = sorted(x[5] for x in own if x[4] == "success")
         count = lambda ok: sum(map(ok, own))
         assert (g.p50, g.p99) == ((took[len(took) // 2], took[int(0.99 * len(took))]) if took else (None, None))
-        assert (g.total, g.failures, g.retried) == (len(own), count(lambda x: x[4] == "failed"), count(lambda x: (x[6] or 0) > 1))
+        assert (g.total, g.failures, g.retried) == (len(own), count(lambda x: x[4] == "failed"), count(lambda x: x[4] == "success" and (x[6] or 0) > 1))
     assert got.count() == 5
     by_project = stats.percentiles(runs(*rows), "duration_ms", {"p90": 0.9}, "project")
     assert "collect" not in plan(by_project) and by_project.first().p90 == sorted(x[5] for x in rows)[int(0.9 * len(rows))]

@@ -51,3 +51,21 @@ def test_outcomes_are_told_once(spark, tmp_path):
     spark.sql("SELECT 'r' AS run_id, 't' AS task_id, timestamp'2024-01-01 00:00:00' AS at UNION ALL SELECT 'r', 't', timestamp'2024-01-01 00:01:00' UNION ALL SELECT 'r', 'u', timestamp'2024-01-01 00:00:00'").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
     assert len(drain(HS.outcomes(stream), "outcomes", spark)) == 2
+
+
+def test_registered_bursts_equal_a_fold(spark, sf):
+    from weftline.plans import registry
+
+    got = sorted((r.key, r.first_at, r.last_at, r.n) for r in registry.QUERIES["R4_debounced_bursts"](spark, sf).collect())
+    want, by = [], {}
+    for r in Tables(spark, sf).runs.select("project", "started_at").collect():
+        by.setdefault(r.project, []).append(r.started_at)
+    for key, times in by.items():
+        open_ = None
+        for at in sorted(times):
+            if open_ is None or at - open_[1] > 600_000 or at - open_[0] > 3_600_000:
+                want += [(key, *open_)] if open_ else []
+                open_ = (at, at, 1)
+            else:
+                open_ = (open_[0], at, open_[2] + 1)
+    assert got == sorted(want) and got

@@ -51,8 +51,15 @@ def alone_time(duration: Column, cpu: Column, busy: Column) -> Column:
 
 
 def failure_mode(retried: Column, failures: Column, mixed: Column, total: Column) -> Column:
+    """Flaky takes a sign of chance: a retried pass, or a key that failed after it had passed. Failures alone are breaks."""
     flaky = (retried > 0) | ((failures > 0) & (mixed > 0))
-    return F.when(flaky, "flaky").when(failures == 0, F.lit(None)).when(failures.cast("double") < total.cast("double") / 5, "recoverable").otherwise("fatal")
+    return F.when(~flaky, "stable").when(failures.cast("double") < total.cast("double") / 5, "flaky-recoverable").otherwise("flaky-fatal")
+
+
+def need() -> Column:
+    """Cores that a run needs: CPU over its time, of which it had a share, at most what it was given."""
+    ratio = F.try_divide(F.col("cpu_ms").cast("double"), F.col("duration_ms") * F.coalesce("cpu_share", F.lit(1.0)))
+    return least_or_null(ratio, F.coalesce(F.col("cores").cast("double"), ratio))
 
 
 #: Letters of size and duration literals.

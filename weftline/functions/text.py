@@ -14,8 +14,11 @@ def printable(text: Column) -> Column:
 
 
 def markdown_cell(text: Column, most: int = 80) -> Column:
-    """A table cell: bars escaped, line breaks as spaces, cut with an ellipsis."""
-    flat = F.replace(F.translate(text, "\r\n", "  "), F.lit("|"), F.lit("\\|"))
+    """A table cell: bars escaped that aren't yet, each line break as one space, cut with an ellipsis.
+
+    An odd number of backslashes before a bar has escaped it already.
+    """
+    flat = F.regexp_replace(F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\|", r"$1\\|"), r"\r\n|\r|\n", " ")
     return F.when(F.length(flat) > most, F.concat(F.left(flat, F.lit(most - 1)), F.lit("…"))).otherwise(flat)
 
 

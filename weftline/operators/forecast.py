@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import measures as M
+from . import stats as S
 from .timeline import newest_per_task
 
 
@@ -74,14 +75,92 @@ def first_hits(runs: DataFrame) -> DataFrame:
     return hits.join(own, by, "left").where(F.col("first_pass").isNull() | (F.col("id") < F.col("first_pass"))).select(*by, "id")
 
 
-def resources(runs: DataFrame, entries: DataFrame, declared: DataFrame) -> DataFrame:
-    """Cores per task by precedence: declared, mean need of its own runs, of what it hit, else 1."""
-    own = runs.where("status = 'success' AND duration_ms > 0").groupBy("project", "task").agg(F.avg(F.least(F.col("cpu_ms") / F.col("duration_ms"), F.col("cores").cast("double"))).alias("own"))
-    hit = runs.where("cache_hit AND hash <> ''").select("project", "task", "hash").distinct()
-    via = hit.join(entries.select("project", "task", "hash", "last_id"), ["project", "task", "hash"]).groupBy("project", "task").agg(F.count("*").alias("keys"))
-    j = runs.select("project", "task").distinct().join(own, ["project", "task"], "left").join(via, ["project", "task"], "left").join(declared, ["project", "task"], "left")
-    cores = F.coalesce(F.col("declared").cast("double"), F.col("own"), F.lit(1.0))
-    return j.select("project", "task", M.booked_cores(cores).alias("cores"), F.coalesce("keys", F.lit(0)).alias("hit_keys"))
+def resources(runs: DataFrame, entries: DataFrame, durations: DataFrame) -> DataFrame:
+    """Per task: cores that it needs, peak memory, and the machine sizes that it filled.
+
+    Cores are the mean need of its own runs; where none was measured, the
+    newest imported need, and only then what its hits were produced with.
+    Memory is the largest of its own and its hits'; a saturated size is
+    measured here, else imported.
+    """
+    own = S.own_rows(runs).where("status = 'success'")
+    measured = F.when((F.col("duration_ms") > 0) & F.col("cpu_ms").isNotNull(), M.need())
+    own = own.groupBy("project", "task").agg(F.max("peak_rss").alias("own_rss"), F.avg(measured).alias("own"))
+    newest = durations.where("source = 'remote' AND cpu_parallelism IS NOT NULL").groupBy("project", "task").agg(F.max_by("cpu_parallelism", "id").alias("imported"))
+    j = runs.select("project", "task").distinct()
+    for part in (own, newest, S.produced(runs, entries), S.saturated(runs).withColumnsRenamed({"cores": "saturated_cores", "memory": "saturated_memory"})):
+        j = j.join(part, ["project", "task"], "left")
+    source = F.when(F.col("own").isNotNull(), "own").when(F.col("imported").isNotNull(), "imported").when(F.col("hit_cpu").isNotNull(), "hit")
+    return j.select("project", "task", F.coalesce("own", "imported", "hit_cpu").alias("need"), source.alias("need_from"), F.greatest("own_rss", "hit_rss").alias("peak_rss"), "saturated_cores", "saturated_memory")
+
+
+#: Fixed values of the server's fold: weight of a report, decay of peaks, share that is noise, and a day.
+WEIGHT, DECAY, NOISE, DAY = 0.3, 0.9, 0.05, 86_400_000
+
+
+def _fold_one(row: tuple | None, d, cores, rss, at) -> tuple:
+    """A timing (duration, cores, rss, slow, runs, updated) with one report folded in."""
+    if row is None:
+        return d, cores, rss, d, 1, at
+    duration, c, r, slow, n, updated = row
+    moved = abs(d - duration) > duration * NOISE or cores is not None and (c is None or abs(cores - c) > c * NOISE) or rss is not None and (r is None or rss > r) or at - updated >= DAY
+    if not moved:
+        return row
+    c = c if cores is None else cores if c is None else c * (1 - WEIGHT) + cores * WEIGHT
+    r = r if rss is None else rss if r is None else max(rss, int(r * DECAY))
+    return int(duration * (1 - WEIGHT) + d * WEIGHT + 0.5), c, r, max(d, int(slow * DECAY)), n + 1, at
+
+
+def server_fold(reports: DataFrame, *keys: str) -> DataFrame:
+    """Per key the timing that its reports (duration_ms, cores, rss, at) leave, folded in the order of id.
+
+    A report within 5 % of the timing, without a new memory peak, changes
+    nothing unless the timing is a day old. A key's reports are sorted within
+    its partition and streamed: only the timing is held.
+    """
+    rows = reports.select(*keys, F.col("duration_ms").cast("long").alias("d"), F.col("cores").cast("double").alias("c"), F.col("rss").cast("long").alias("r"), F.col("at").cast("long").alias("at"), "id")
+    names = {"duration_ms": T.LongType(), "cores": T.DoubleType(), "rss": T.LongType(), "slow_ms": T.LongType(), "runs": T.LongType(), "updated_at": T.LongType()}
+    schema = T.StructType([*rows.select(*keys).schema, *(T.StructField(n, k) for n, k in names.items())])
+
+    def run(parts):
+        import pyarrow as pa
+
+        key_at, row, types = None, None, None
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), types, strict=True)], schema.names)
+        for part in parts:
+            types = [*(part.schema.field(k).type for k in keys), pa.int64(), pa.float64(), *[pa.int64()] * 4]
+            out = []
+            for *key, d, c, r, at in zip(*(part.column(x).to_pylist() for x in (*keys, "d", "c", "r", "at")), strict=True):
+                if key != key_at:
+                    if key_at is not None:
+                        out.append((*key_at, *row))
+                    key_at, row = key, None
+                row = _fold_one(row, d, c, r, at)
+            if out:
+                yield made(out)
+        if key_at is not None:
+            yield made([(*key_at, *row)])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(run, schema)
+
+
+def server_upsert(stored: DataFrame, reports: DataFrame, *keys: str) -> DataFrame:
+    """stored timings with one report (d, c, r, at) for each key folded in by the same rules; unknown keys are added."""
+    j = stored.join(reports, list(keys), "full")
+    new, none = F.col("duration_ms").isNull(), F.col("d").isNull()
+    moved = (
+        (F.abs(F.col("d") - F.col("duration_ms")) > F.col("duration_ms") * NOISE) | (F.col("c").isNotNull() & (F.col("cores").isNull() | (F.abs(F.col("c") - F.col("cores")) > F.col("cores") * NOISE)))
+        | (F.col("r").isNotNull() & (F.col("rss").isNull() | (F.col("r") > F.col("rss")))) | (F.col("at") - F.col("updated_at") >= DAY)
+    )
+    keep = none | ~F.coalesce(moved, F.lit(False)) & ~new
+    pick = lambda name, first, folded: F.when(new, first).when(keep, F.col(name)).otherwise(folded).alias(name)
+    mix = lambda a, b: F.col(a) * (1 - WEIGHT) + F.col(b) * WEIGHT
+    faded = lambda name: (F.col(name) * DECAY).cast("long")
+    return j.select(
+        *keys, pick("duration_ms", F.col("d"), F.round(mix("duration_ms", "d")).cast("long")), pick("cores", F.col("c"), F.coalesce(mix("cores", "c"), "c", "cores")),
+        pick("rss", F.col("r"), F.when(F.col("r").isNull(), F.col("rss")).otherwise(F.greatest("r", faded("rss")))), pick("slow_ms", F.col("d"), F.greatest("d", faded("slow_ms"))),
+        pick("runs", F.lit(1).cast("long"), F.col("runs") + 1), pick("updated_at", F.col("at"), F.col("at")),
+    )
 
 
 def running_usage(samples: DataFrame) -> DataFrame:

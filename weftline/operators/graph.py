@@ -1,25 +1,16 @@
 """Closures, critical paths and propagation over (src, dst) edges; src depends on dst.
 
 All are frontier iterations: each round joins only what is new to the edges.
-Rounds are written through checkpoint(), which survives a lost executor; the
-number of rounds is the depth of the graph.
+Rounds are written as tables in the shared folder, which survive a lost
+executor; the number of rounds is the depth of the graph.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """checkpoint() in the cluster's shared folder; only where none is set (tests), in one of this machine."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="weftline-"))
-    return df.checkpoint()
+from ..sources.shared import written as checkpointed
 
 
 def clean_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -66,18 +57,20 @@ def direct_dependents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per node its own cost plus the costliest chain of dependents above it (critical path), for acyclic edges.
 
-    Values only rise, and a round passes on only what rose, so work follows the change.
+    A round writes only the nodes whose value rose, with their new value; the
+    largest of a node's values is its own. Node by node nothing is rewritten.
     """
-    e = edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"))
-    best = checkpointed(nodes.select("node", "cost", F.col("cost").alias("path")))
-    changed = best.select("node", "path")
-    while not changed.isEmpty():
-        up = changed.join(e, changed["node"] == e["e_src"]).groupBy(F.col("e_dst").alias("node")).agg(F.max("path").alias("above"))
-        both = best.join(up, "node", "left").withColumn("new", F.greatest("path", F.col("cost") + F.coalesce("above", F.lit(0))))
-        both = checkpointed(both.select("node", "cost", "path", "new"))
-        changed = both.where(F.col("new") > F.col("path")).select("node", F.col("new").alias("path"))
-        best = both.select("node", "cost", F.col("new").alias("path"))
-    return best
+    e = edges.join(nodes.select(F.col("node").alias("dst"), F.col("cost").alias("_cost")), "dst").select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"), "_cost")
+    e = checkpointed(e)
+    new = checkpointed(nodes.select("node", F.col("cost").alias("path")))
+    best = new
+    while not new.isEmpty():
+        up = new.join(e, new["node"] == e["e_src"]).groupBy(F.col("e_dst").alias("node")).agg(F.max(F.col("path") + F.col("_cost")).alias("path"))
+        # of a node's values so far only the largest counts
+        known = best.groupBy("node").agg(F.max("path").alias("known"))
+        new = checkpointed(up.join(known, "node").where(F.col("path") > F.col("known")).select("node", "path"))
+        best = best.unionByName(new)
+    return nodes.select("node", "cost").join(best.groupBy("node").agg(F.max("path").alias("path")), "node")
 
 
 def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:

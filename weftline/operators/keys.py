@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import predicates as P
+from .timeline import neighbour
+
 
 def fold(components: DataFrame, length: int = 16) -> DataFrame:
     """(entry, key): a chain of digests over an entry's components in (kind, name) order; a missing hash folds as 'absent'.
@@ -40,14 +43,26 @@ def diff_counts(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return both.groupBy("old", "new").agg(n(F.col("a").isNull()).alias("added"), n(F.col("b").isNull()).alias("removed"), n(F.col("a") != F.col("b")).alias("changed"), n(F.col("a") == F.col("b")).alias("unchanged"))
 
 
-def why_rerun(runs: DataFrame) -> DataFrame:
-    """Why each executed keyed row ran: the first case that holds against the task's keyed row before."""
-    w = Window.partitionBy("project", "task").orderBy("id")
-    prev = runs.where("hash <> ''").withColumns({"p_hash": F.lag("hash").over(w), "p_status": F.lag("status").over(w), "p_def": F.lag("def").over(w)})
+def why_rerun(runs: DataFrame, invocations: DataFrame, entries: DataFrame) -> DataFrame:
+    """Why each executed keyed row ran: the first case that holds against the task's keyed row before.
+
+    An unchanged key ends in one of several ways, told apart by what is on
+    record: nothing recorded, a failure before it, a policy that doesn't read
+    (and writes, or not), a run beside a failed task, which isn't saved, and
+    an entry that is gone.
+    """
+    before = F.struct("hash", "status", "def", "cache_hit", F.col("run_id").alias("run"))
+    prev = neighbour(runs.where("hash <> ''"), before, "project", "task")
+    prev = prev.withColumns({"p_hash": F.col("_near.hash"), "p_status": F.col("_near.status"), "p_def": F.col("_near.def"), "p_hit": F.col("_near.cache_hit"), "p_run": F.col("_near.run")})
+    policy = invocations.select("run_id", P.policy_allows("cache_policy", "(?:local|remote)", "r").alias("reads"), P.policy_allows("cache_policy", "(?:local|remote)", "w").alias("writes"))
+    beside = invocations.where((F.col("failed_count") > 0) & P.policy_allows("cache_policy", "(?:local|remote)", "w")).select(F.col("run_id").alias("p_run"), F.lit(True).alias("beside"))
+    held = entries.select("project", "task", "hash", F.lit(True).alias("held")).distinct()
+    prev = prev.join(policy, "run_id", "left").join(beside, "p_run", "left").join(held, ["project", "task", "hash"], "left")
     verdict = (
         F.when(F.col("cache_hit"), "hit").when(F.col("status") == "skipped", "skipped").when(F.col("p_hash").isNull(), "first-run").when(F.col("cached").isNull(), "not-cached")
         .when(F.col("def").isNotNull() & F.col("p_def").isNotNull() & (F.col("def") != F.col("p_def")), "definition-changed").when(F.col("hash") != F.col("p_hash"), "inputs-changed")
-        .when(F.col("p_status") == "failed", "retry-after-failure").otherwise("same-key")
+        .when(F.col("cache_hit").isNull(), "not-recorded").when(F.col("p_status") == "failed", "retry-after-failure").when(~F.col("reads") & F.col("writes"), "cache-not-read").when(~F.col("reads"), "cache-not-used")
+        .when((F.col("status") == "success") & (F.col("p_status") == "success") & ~F.col("p_hit") & F.col("beside"), "beside-a-failure").when(F.col("held").isNull(), "entry-gone").otherwise("same-key")
     )
     return prev.select("id", "project", "task", verdict.alias("verdict"))
 

@@ -31,10 +31,10 @@ def percentiles(rows: DataFrame, value: str, ranks: dict[str, float], *keys: str
 
 def task_stats(runs: DataFrame, *keys: str) -> DataFrame:
     """Counts, rates and duration percentiles of executed rows. A hit counts in rates, not in durations."""
-    own = F.when(~F.coalesce("cache_hit", F.lit(False)) & P.passed(), F.col("duration_ms"))
+    own = F.when(~F.coalesce("cache_hit", F.lit(False)) & (F.col("status") == "success"), F.col("duration_ms"))
     by_value = runs.where(P.executed()).withColumn("_own", own).groupBy(*keys, "_own").agg(
-        F.count("*").alias("total"), count_if(P.passed()).alias("successes"), count_if(P.hit()).alias("hits"),
-        count_if(F.col("status") == "failed").alias("failures"), count_if(F.col("attempts") > 1).alias("retried"),
+        F.count("*").alias("total"), count_if(P.passed()).alias("successes"), count_if(F.coalesce("cache_hit", F.lit(False))).alias("hits"),
+        count_if(F.col("status") == "failed").alias("failures"), count_if((F.col("status") == "success") & (F.col("attempts") > 1)).alias("retried"),
     )
     sums = [F.sum(c).alias(c) for c in ("total", "successes", "hits", "failures", "retried")]
     ranks = [M.counted_rank(F.col("_own"), 0.5).alias("p50"), M.counted_rank(F.col("_own"), 0.99).alias("p99")]
@@ -43,14 +43,17 @@ def task_stats(runs: DataFrame, *keys: str) -> DataFrame:
 
 
 def key_outcomes(runs: DataFrame) -> DataFrame:
-    """Per task and key: failures, passes, retried passes, and relapses, which are failures after the first pass."""
+    """Per task and key: failures, passes, retried failures (the failed attempts of passes), and relapses, which are failures after the first pass."""
     rows = runs.where(P.keyed() & P.not_uncached() & F.col("blocked_by").isNull())
-    first = F.min(F.when(P.passed(), F.col("id"))).over(Window.partitionBy("project", "task", "hash"))
-    rows = rows.select("project", "task", "hash", "id", "status", "attempts", first.alias("first_pass"))
-    failed = F.col("status") == "failed"
-    return rows.groupBy("project", "task", "hash").agg(
-        count_if(failed).alias("failures"), count_if(P.passed()).alias("passes"), count_if(P.passed() & (F.col("attempts") > 1)).alias("retried"), count_if(failed & (F.col("id") > F.col("first_pass"))).alias("relapses")
+    passed = P.passed() | F.coalesce("cache_hit", F.lit(False))
+    # the first pass comes from a second, small table: a window would sort all rows of a key in one task
+    first = rows.where(passed).groupBy("project", "task", "hash").agg(F.min("id").alias("first_pass"))
+    failed, again = F.col("status") == "failed", (F.col("status") == "success") & (F.col("attempts") > 1)
+    counts = rows.groupBy("project", "task", "hash").agg(
+        count_if(failed).alias("failures"), count_if(passed).alias("passes"), F.coalesce(F.sum(F.when(again, F.col("attempts") - 1)), F.lit(0)).alias("retried")
     )
+    late = rows.where(failed).join(first, ["project", "task", "hash"]).where("id > first_pass").groupBy("project", "task", "hash").agg(F.count("*").alias("relapses"))
+    return counts.join(late, ["project", "task", "hash"], "left").withColumn("relapses", F.coalesce("relapses", F.lit(0)))
 
 
 def mixed_keys(runs: DataFrame) -> DataFrame:
@@ -58,37 +61,73 @@ def mixed_keys(runs: DataFrame) -> DataFrame:
 
 
 def flaky_tasks(runs: DataFrame) -> DataFrame:
-    """Tasks with a relapse or a retried pass, most failures first."""
-    g = key_outcomes(runs).groupBy("project", "task").agg(
-        F.sum("failures").alias("failures"), F.sum("passes").alias("passes"), F.sum("retried").alias("retried"), count_if(F.col("relapses") > 0).alias("mixed")
+    """Tasks with keys that relapsed or passed on a retry, most failures first; counts over those keys, failed attempts included."""
+    keys = key_outcomes(runs).where("relapses > 0 OR retried > 0")
+    g = keys.groupBy("project", "task").agg(
+        F.count("*").alias("keys"), F.sum(F.col("failures") + F.col("retried")).alias("failures"), F.sum("passes").alias("passes"), F.sum("retried").alias("retried"), count_if(F.col("relapses") > 0).alias("mixed")
     )
-    return g.where("mixed > 0 OR retried > 0").orderBy(F.desc("failures"), F.desc("passes"), "project", "task")
+    return g.orderBy(F.desc("failures"), F.desc("passes"), "project", "task")
 
 
 def failure_modes(runs: DataFrame) -> DataFrame:
-    stats = runs.where(P.executed()).groupBy("project", "task").agg(F.count("*").alias("total"), count_if(F.col("status") == "failed").alias("failures"), count_if(F.col("attempts") > 1).alias("retried"))
+    again = (F.col("status") == "success") & (F.col("attempts") > 1)
+    stats = runs.where(P.executed()).groupBy("project", "task").agg(F.count("*").alias("total"), count_if(F.col("status") == "failed").alias("failures"), count_if(again).alias("retried"))
     j = stats.join(mixed_keys(runs), ["project", "task"], "left").withColumn("mixed", F.coalesce("mixed", F.lit(0)))
     return j.withColumn("mode", M.failure_mode(F.col("retried"), F.col("failures"), F.col("mixed"), F.col("total")))
 
 
-def flaky_candidates(runs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Of the candidate (project, task) pairs, those that have been flaky. Candidates prune the rows first."""
-    own = runs.join(candidates.distinct(), ["project", "task"], "left_semi")
-    return flaky_tasks(own).select("project", "task", "failures", "passes")
+def flaky_candidates(history: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Of the executed keyed rows of a run (candidates), those that show their task to be flaky, beside the history before it.
+
+    A failure does on a key that has passed, a pass on a key that has failed
+    after passing, and a pass that took a retry by itself. The counts take
+    the row in.
+    """
+    known = key_outcomes(history.join(candidates.select("project", "task", "hash").distinct(), ["project", "task", "hash"], "left_semi"))
+    j = candidates.select("id", "project", "task", "hash", "status", "attempts").join(known.select("project", "task", "hash", "failures", "passes", "relapses"), ["project", "task", "hash"], "left").fillna(0, ["failures", "passes", "relapses"])
+    failed, again = F.col("status") == "failed", (F.col("status") == "success") & (F.coalesce("attempts", F.lit(1)) > 1)
+    relapsed = F.when(failed, F.col("passes") > 0).otherwise(F.col("relapses") > 0)
+    return j.where(relapsed | again).select("id", "project", "task", "hash", "status", (F.col("passes") + F.when(failed, 0).otherwise(1)).alias("passes"), (F.col("failures") + F.when(failed, 1).otherwise(0)).alias("failures"))
+
+
+def known_flaky(runs: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (project, task, hash) with flaky: the key has passed, or a key of the task relapsed or passed on a retry."""
+    outcomes = key_outcomes(runs)
+    passed = outcomes.where("passes > 0").select("project", "task", "hash", F.lit(True).alias("_passed"))
+    task = outcomes.where("relapses > 0 OR retried > 0").select("project", "task", F.lit(True).alias("_task")).distinct()
+    j = asked.distinct().join(passed, ["project", "task", "hash"], "left").join(task, ["project", "task"], "left")
+    return j.select("project", "task", "hash", (F.col("_passed").isNotNull() | F.col("_task").isNotNull()).alias("flaky"))
 
 
-def mean_need(rows: DataFrame) -> DataFrame:
-    """Mean of min(cpu / duration, cores), else the largest ratio of CPU to duration."""
-    ratio = F.try_divide(F.col("cpu_ms").cast("double"), F.col("duration_ms").cast("double"))
-    fits = F.when(F.col("status") == "success", M.least_or_null(ratio, F.col("cores").cast("double")))
-    return rows.groupBy("project", "task").agg(F.coalesce(F.avg(fits), F.max(ratio)).alias("need"))
+def produced(runs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Per task that was hit: peak memory, cores and duration of what its distinct hit keys were produced by."""
+    hits = runs.where("cache_hit").select("project", "task", "hash").distinct()
+    j = hits.join(entries.select("project", "task", "hash", F.col("size_bytes").alias("ms"), "cpu_ms", F.col("peak_rss").alias("rss")), ["project", "task", "hash"])
+    some = F.when(F.col("ms") > 0, F.col("ms"))
+    return j.groupBy("project", "task").agg(F.max("rss").alias("hit_rss"), F.max(F.try_divide(F.col("cpu_ms").cast("double"), some.cast("double"))).alias("hit_cpu"), F.max(some).alias("hit_ms"))
 
 
-def saturated_cores(rows: DataFrame, least: float = 0.9) -> DataFrame:
-    """The largest machine size whose mean fill reaches `least`, per task."""
-    fill = F.try_divide(F.col("cpu_ms").cast("double"), F.col("duration_ms") * F.col("cores").cast("double"))
-    by_size = rows.where("status = 'success'").groupBy("project", "task", "cores").agg(F.avg(fill).alias("fill"))
-    return by_size.where(F.col("fill") >= least).groupBy("project", "task").agg(F.max("cores").alias("cores"))
+def own_rows(runs: DataFrame) -> DataFrame:
+    return runs.where(~F.coalesce("cache_hit", F.lit(False)))
+
+
+def mean_need(runs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Mean need of a task's own successes; only where none was measured, the largest ratio of what it hit."""
+    own = own_rows(runs).where("status = 'success' AND cpu_ms IS NOT NULL AND duration_ms > 0").groupBy("project", "task").agg(F.avg(M.need()).alias("own"))
+    j = runs.where(P.executed()).select("project", "task").distinct().join(own, ["project", "task"], "left").join(produced(runs, entries), ["project", "task"], "left")
+    return j.select("project", "task", F.coalesce("own", "hit_cpu").alias("need"))
+
+
+def saturated(runs: DataFrame, least: float = 0.9) -> DataFrame:
+    """Per task the largest machine whose cores its runs filled on the mean, and the largest memory that one filled.
+
+    Failures count: a task killed for memory filled its machine too.
+    """
+    rows = own_rows(runs).where("cores IS NOT NULL AND duration_ms > 0 AND status IN ('success', 'failed')")
+    full = F.when(F.col("peak_rss") >= F.col("placement_memory") * least, F.col("placement_memory"))
+    by_size = rows.groupBy("project", "task", "cores").agg(F.avg(M.need() / F.col("cores")).alias("fill"), F.max(full).alias("memory"))
+    g = by_size.groupBy("project", "task").agg(F.max(F.when(F.col("fill") >= least, F.col("cores"))).alias("cores"), F.max("memory").alias("memory"))
+    return g.where("cores IS NOT NULL OR memory IS NOT NULL")
 
 
 def cache_stats(entries: DataFrame, runs: DataFrame, now: int, project: str | None = None) -> DataFrame:
@@ -103,27 +142,46 @@ def cache_stats(entries: DataFrame, runs: DataFrame, now: int, project: str | No
 
 def single_timings(durations: DataFrame, since: int) -> DataFrame:
     """Tasks with exactly one timing, which is at or after row `since`."""
-    g = durations.groupBy("project", "task", "source").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    g = durations.groupBy("project", "task").agg(F.count("*").alias("n"), F.min("id").alias("id"))
     return g.where((F.col("n") == 1) & (F.col("id") >= since)).drop("n")
 
 
+def _hit_counts() -> list[Column]:
+    """Hits by what became of their outputs: an output not known to be restored was up to date."""
+    restored = F.coalesce("restored", F.lit(False))
+    local, remote = F.col("status") == "cache-hit", F.col("status") == "cache-hit-remote"
+    return [count_if(P.hit() & ~restored).alias("up_to_date"), count_if(local & restored).alias("restored_local"), count_if(remote & restored).alias("restored_remote")]
+
+
 def run_headers(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("run_id").agg(
-        F.count("*").alias("tasks"), count_if(F.col("status") == "failed").alias("failed"), count_if(P.hit()).alias("hits"), count_if(F.col("status") == "cache-hit").alias("hits_local"), count_if(F.col("status") == "cache-hit-remote").alias("hits_remote"), count_if(P.hit() & (F.col("duration_ms") < 1000)).alias("up_to_date")
+    """Counts of each run's rows; rows that a stop cut off are none."""
+    return runs.where("status <> 'aborted'").groupBy("run_id").agg(
+        F.count("*").alias("tasks"), count_if(F.col("status") == "failed").alias("failed"), count_if(P.hit()).alias("hits"), count_if(F.col("status") == "cache-hit").alias("hits_local"), count_if(F.col("status") == "cache-hit-remote").alias("hits_remote"), *_hit_counts()
     )
 
 
-def tally(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("run_id").agg(
-        count_if(P.executed()).alias("total"), count_if(P.passed()).alias("passed"), count_if(F.col("status") == "failed").alias("failed"), count_if(F.col("status") == "skipped").alias("skipped"), count_if(F.col("blocked_by").isNotNull()).alias("blocked")
+def tally(outcomes: DataFrame) -> DataFrame:
+    """Outcomes of each run by bucket. An aborted one is counted as such and not in the total."""
+    n = lambda status: count_if(F.col("status") == status)
+    return outcomes.groupBy("run_id").agg(
+        count_if(F.col("status") != "aborted").alias("total"), count_if(P.passed()).alias("successful"), n("failed").alias("failed"), n("skipped").alias("skipped"), n("cache-hit").alias("cached_local"), n("cache-hit-remote").alias("cached_remote"), n("aborted").alias("aborted"), *_hit_counts()
     )
 
 
+def cache_bucket() -> Column:
+    """What the cache was to a finished row: nothing for skips, and for failures without a key."""
+    status, ran = F.col("status"), F.when(F.col("cached").eqNullSafe(F.lit(False)), "noCache")
+    success = F.coalesce(ran, F.when(F.col("saved"), "saved"), F.when(~F.col("saved"), "notSaved"), F.lit("miss"))
+    failed = F.when(F.col("hash") != "", F.coalesce(ran, F.lit("miss")))
+    kept = F.when(F.col("restored").eqNullSafe(F.lit(False)), "upToDate")
+    return (
+        F.when(status == "success", success).when(status == "failed", failed)
+        .when(status == "cache-hit", F.coalesce(kept, F.lit("restoredLocal"))).when(status == "cache-hit-remote", F.coalesce(kept, F.lit("restoredRemote")))
+    )
+
+
 def cache_buckets(runs: DataFrame) -> DataFrame:
-    """How many rows of each cache outcome: miss, no-cache, no-key, local, remote, skipped."""
-    bucket = F.when(F.col("status") == "skipped", "skipped").when(F.col("hash") == "", "no-key").when(F.col("cached").isNull(), "no-cache")
-    bucket = bucket.when(F.col("status") == "cache-hit", "local").when(F.col("status") == "cache-hit-remote", "remote").otherwise("miss")
-    return runs.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return runs.withColumn("bucket", cache_bucket()).where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 def duration_spread(runs: DataFrame, *keys: str) -> DataFrame:
@@ -155,7 +213,8 @@ def join_spread(rows: DataFrame) -> DataFrame:
 
 def doctor(runs: DataFrame, entries: DataFrame, now: int) -> DataFrame:
     """Facts as (fact, value) rows."""
-    orphan = entries.join(runs.select("project", "task", "hash").distinct(), ["project", "task", "hash"], "left_anti")
+    # entries that no recorded run of this store made
+    orphan = entries.join(runs.where("status = 'success'").select("project", "task", "hash").distinct(), ["project", "task", "hash"], "left_anti")
     facts = [
         (runs.agg(F.countDistinct("project")), "projects"), (runs.select("project", "task").distinct().agg(F.count("*")), "tasks"), (entries.agg(F.count("*")), "entries"),
         (entries.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))), "bytes"), (orphan.agg(F.count("*")), "orphans"),

@@ -2,39 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 
+#: Ids of a cell: a window over one key sorts so many rows at most.
+CELL = 1 << 20
 
-def _by_task() -> Window:
-    return Window.partitionBy("project", "task").orderBy("id")
+
+def neighbour(rows: DataFrame, value: Column, *keys: str, later: bool = False, cell: int = CELL) -> DataFrame:
+    """rows with _near: the value of the nearest earlier (or later) row of its keys that has one, by id.
+
+    A key may hold any share of the rows, so its ids are cut into cells. A
+    window finds the value inside a cell; where there is none it comes from
+    the nearest cell before, of which there is one row each.
+    """
+    rows = rows.withColumns({"_value": value, "_cell": F.floor(F.col("id") / cell)})
+    order, pick = (F.desc, F.min_by) if later else (F.asc, F.max_by)
+    before = (Window.unboundedPreceding, -1)
+    # the nearest comes last before a row, so the frame only grows: one pass over a partition
+    inside = F.last("_value", ignorenulls=True).over(Window.partitionBy(*keys, "_cell").orderBy(order("id")).rowsBetween(*before))
+    some = F.when(F.col("_value").isNotNull(), F.col("id"))
+    cells = rows.groupBy(*keys, "_cell").agg(pick("_value", some).alias("_edge"))
+    cells = cells.select(*keys, "_cell", F.last("_edge", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order("_cell")).rowsBetween(*before)).alias("_outside"))
+    out = rows.withColumn("_inside", inside).join(cells, [*keys, "_cell"])
+    return out.withColumn("_near", F.coalesce("_inside", "_outside")).drop("_value", "_cell", "_inside", "_outside")
 
 
 def previous_keyed(runs: DataFrame) -> DataFrame:
     """Beside each keyed row: key and id of the task's keyed row before it."""
-    w = _by_task()
-    return runs.where(P.keyed()).select("id", "project", "task", "hash", F.lag("id").over(w).alias("prev_id"), F.lag("hash").over(w).alias("prev_hash"))
+    own = runs.where(P.keyed()).select("id", "project", "task", "hash")
+    near = neighbour(own, F.struct(F.col("id").alias("prev_id"), F.col("hash").alias("prev_hash")), "project", "task")
+    return near.select("id", "project", "task", "hash", "_near.prev_id", "_near.prev_hash")
 
 
 def fixed_in(runs: DataFrame) -> DataFrame:
     """Beside each failed row: the first later run in which its task passed."""
-    later = F.first(F.when(P.passed(), F.col("run_id")), ignorenulls=True).over(_by_task().rowsBetween(1, Window.unboundedFollowing))
-    return runs.select("id", "project", "task", "run_id", "status", later.alias("fixed_in")).where("status = 'failed'")
+    rows = runs.select("id", "project", "task", "run_id", "status")
+    near = neighbour(rows, F.when(P.passed(), F.col("run_id")), "project", "task", later=True)
+    return near.where("status = 'failed'").select("id", "project", "task", "run_id", "status", F.col("_near").alias("fixed_in"))
 
 
 def running_at(points: DataFrame, spans: DataFrame, slack: int = 5, first: int = 3, bucket: int = 60_000) -> DataFrame:
-    """Spans that were open at each point (point_id, at), the `first` earliest of them.
+    """(point_id, place, project, task, start): the tasks that ran at each point (point_id, at), the `first` earliest.
 
     Both sides are dealt to time buckets: a span to all that it touches, a
-    point to its own, so the join compares only what is near in time.
+    point to its own, so the join compares only what is near in time. A task
+    with several spans there counts once, by the earliest.
     """
-    s = spans.select("id", "start", "stop").withColumn("cell", F.explode(F.sequence(F.expr(f"(start - {slack}) div {bucket}"), F.expr(f"(stop + {slack}) div {bucket}"))))
+    s = spans.select("project", "task", "start", "stop").withColumn("cell", F.explode(F.sequence(F.expr(f"(start - {slack}) div {bucket}"), F.expr(f"(stop + {slack}) div {bucket}"))))
     p = points.withColumn("cell", F.expr(f"at div {bucket}"))
     j = p.join(s, "cell").where((F.col("at") >= F.col("start") - slack) & (F.col("at") <= F.col("stop") + slack))
-    n = F.row_number().over(Window.partitionBy("point_id").orderBy("start", "id"))
-    return j.withColumn("place", n).where(F.col("place") <= first).select("point_id", "place", "id", "start")
+    j = j.groupBy("point_id", "project", "task").agg(F.min("start").alias("start"))
+    n = F.row_number().over(Window.partitionBy("point_id").orderBy("start", "project", "task"))
+    return j.withColumn("place", n).where(F.col("place") <= first).select("point_id", "place", "project", "task", "start")
 
 
 def _events(spans: DataFrame, *keys: str) -> DataFrame:

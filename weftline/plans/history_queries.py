@@ -115,10 +115,11 @@ def s18(t):
     return H.list_invocations(t.invocations, 10, failed_only=True)
 
 
-@query("K2_insert_or_ignore", "SELECT project, task, hash FROM entries")
+@query("K2_insert_or_ignore", "SELECT project, task, hash, CASE WHEN hash < '5' THEN size_bytes ELSE -1 END AS size_bytes FROM entries")
 def k2(t):
-    e = t.entries.select("project", "task", "hash")
-    return H.insert_or_ignore(e.where("hash < '5'"), e, "project", "task", "hash")
+    # the import brings every entry again with another size: rows that are present stay as they are
+    e = t.entries.select("project", "task", "hash", "size_bytes")
+    return H.insert_or_ignore(e.where("hash < '5'"), e.withColumn("size_bytes", F.lit(-1).cast("long")), "project", "task", "hash")
 
 
 @query("K5_remote_errors", "SELECT id, CASE WHEN status = 'failed' THEN 'E' || (id % 5) ELSE def END AS note FROM runs")
@@ -232,9 +233,9 @@ def p17(t):
 STATS_SQL = f"""
 SELECT KEYS, total, successes, hits, failures, retried, s[CAST(floor(0.5 * len(s)) AS INT) + 1] AS p50, s[CAST(floor(0.99 * len(s)) AS INT) + 1] AS p99,
        successes / total AS success_rate, hits / total AS hit_rate
-FROM (SELECT KEYS, count(*) AS total, count(*) FILTER (WHERE {PASS}) AS successes, count(*) FILTER (WHERE {HIT}) AS hits,
-        count(*) FILTER (WHERE status = 'failed') AS failures, count(*) FILTER (WHERE attempts > 1) AS retried,
-        list_sort(list(duration_ms) FILTER (WHERE status = 'success')) AS s
+FROM (SELECT KEYS, count(*) AS total, count(*) FILTER (WHERE {PASS}) AS successes, count(*) FILTER (WHERE cache_hit) AS hits,
+        count(*) FILTER (WHERE status = 'failed') AS failures, count(*) FILTER (WHERE status = 'success' AND attempts > 1) AS retried,
+        list_sort(list(duration_ms) FILTER (WHERE status = 'success' AND cache_hit IS NOT true)) AS s
       FROM runs WHERE status <> 'skipped' GROUP BY KEYS)"""
 
 
@@ -271,18 +272,29 @@ def a5(t):
     return j.groupBy("project", "task").agg(F.max(own).alias("peak"))
 
 
+#: Cores that a run needs, and what a task's hits were produced with.
+NEED = "CASE WHEN cpu_ms IS NOT NULL THEN least(cpu_ms / nullif(duration_ms * coalesce(cpu_share, 1), 0), coalesce(cores, cpu_ms / nullif(duration_ms * coalesce(cpu_share, 1), 0))) END"
+PRODUCED = """
+h AS (SELECT project, task, max(e.peak_rss) AS hit_rss, max(e.cpu_ms / CASE WHEN e.size_bytes > 0 THEN e.size_bytes END) AS hit_cpu
+      FROM (SELECT DISTINCT project, task, hash FROM runs WHERE cache_hit) JOIN entries e USING (project, task, hash) GROUP BY ALL)"""
+SATURATED = f"""
+z AS (SELECT project, task, max(CASE WHEN fill >= LEAST THEN cores END) AS saturated_cores, max(m) AS saturated_memory FROM (
+        SELECT project, task, cores, avg({NEED} / cores) AS fill, max(CASE WHEN peak_rss >= LEAST * placement_memory THEN placement_memory END) AS m
+        FROM runs WHERE cores IS NOT NULL AND duration_ms > 0 AND status IN ('success', 'failed') AND cache_hit IS NOT true GROUP BY ALL) GROUP BY ALL)"""
+
+
 @query(
     "A6_mean_need",
-    """SELECT project, task, round(coalesce(avg(CASE WHEN status = 'success' AND duration_ms > 0 THEN least(cpu_ms / duration_ms, cores) END),
-              max(cpu_ms / nullif(duration_ms, 0))), 9) AS need FROM runs GROUP BY ALL""",
+    f"""WITH {PRODUCED}, o AS (SELECT project, task, avg({NEED}) AS own FROM runs WHERE status = 'success' AND cache_hit IS NOT true AND cpu_ms IS NOT NULL AND duration_ms > 0 GROUP BY ALL)
+        SELECT project, task, round(coalesce(own, hit_cpu), 9) AS need FROM (SELECT DISTINCT project, task FROM runs WHERE status <> 'skipped') LEFT JOIN o USING (project, task) LEFT JOIN h USING (project, task)""",
 )
 def a6(t):
-    return S.mean_need(t.runs).select("project", "task", F.round("need", 9).alias("need"))
+    return S.mean_need(t.runs, t.entries).select("project", "task", F.round("need", 9).alias("need"))
 
 
-@query("A7_saturation", "SELECT project, task, max(cores) AS cores FROM (SELECT project, task, cores FROM runs WHERE status = 'success' GROUP BY ALL HAVING avg(cpu_ms / nullif(duration_ms * cores, 0)) >= 0.4) GROUP BY ALL")
+@query("A7_saturation", f"WITH {SATURATED.replace('LEAST', '0.6::DOUBLE')} SELECT project, task, saturated_cores AS cores, saturated_memory AS memory FROM z WHERE saturated_cores IS NOT NULL OR saturated_memory IS NOT NULL")
 def a7(t):
-    return S.saturated_cores(t.runs, 0.4)
+    return S.saturated(t.runs, 0.6)
 
 
 @query("A8_row_of_max", "SELECT project, task, arg_max(hash, id) AS hash, max(id) AS id FROM runs WHERE hash <> '' GROUP BY ALL")
@@ -301,10 +313,10 @@ def a9(t):
 
 
 OUTCOMES = f"""
-k AS (SELECT *, min(CASE WHEN {PASS} THEN id END) OVER (PARTITION BY project, task, hash) AS first_pass
+k AS (SELECT *, coalesce({PASS} OR cache_hit, false) AS passed, min(CASE WHEN {PASS} OR cache_hit THEN id END) OVER (PARTITION BY project, task, hash) AS first_pass
       FROM runs WHERE hash <> '' AND cached IS NOT false AND blocked_by IS NULL),
-o AS (SELECT project, task, hash, count(*) FILTER (WHERE status = 'failed') AS failures, count(*) FILTER (WHERE {PASS}) AS passes,
-        count(*) FILTER (WHERE {PASS} AND attempts > 1) AS retried, count(*) FILTER (WHERE status = 'failed' AND id > first_pass) AS relapses
+o AS (SELECT project, task, hash, count(*) FILTER (WHERE status = 'failed') AS failures, count(*) FILTER (WHERE passed) AS passes,
+        coalesce(sum(CASE WHEN status = 'success' AND attempts > 1 THEN attempts - 1 END), 0)::BIGINT AS retried, count(*) FILTER (WHERE status = 'failed' AND id > first_pass) AS relapses
       FROM k GROUP BY project, task, hash)"""
 
 
@@ -319,8 +331,8 @@ def a11(t):
 
 
 FLAKY = f"""WITH {OUTCOMES}
-SELECT project, task, sum(failures)::BIGINT AS failures, sum(passes)::BIGINT AS passes, sum(retried)::BIGINT AS retried, count(*) FILTER (WHERE relapses > 0) AS mixed
-FROM o GROUP BY ALL HAVING count(*) FILTER (WHERE relapses > 0) > 0 OR sum(retried) > 0"""
+SELECT project, task, count(*) AS keys, sum(failures + retried)::BIGINT AS failures, sum(passes)::BIGINT AS passes, sum(retried)::BIGINT AS retried, count(*) FILTER (WHERE relapses > 0) AS mixed
+FROM o WHERE relapses > 0 OR retried > 0 GROUP BY ALL"""
 
 
 @query("A12_flaky_tasks", FLAKY)
@@ -331,44 +343,56 @@ def a12(t):
 @query(
     "A13_failure_mode",
     f"""WITH {OUTCOMES}, m AS (SELECT project, task, count(*) AS mixed FROM o WHERE relapses > 0 GROUP BY ALL),
-        s AS (SELECT project, task, count(*) AS total, count(*) FILTER (WHERE status = 'failed') AS failures, count(*) FILTER (WHERE attempts > 1) AS retried
+        s AS (SELECT project, task, count(*) AS total, count(*) FILTER (WHERE status = 'failed') AS failures, count(*) FILTER (WHERE status = 'success' AND attempts > 1) AS retried
               FROM runs WHERE status <> 'skipped' GROUP BY ALL)
-        SELECT s.*, coalesce(mixed, 0) AS mixed, CASE WHEN retried > 0 OR (failures > 0 AND coalesce(mixed, 0) > 0) THEN 'flaky' WHEN failures = 0 THEN NULL
-               WHEN failures < total / 5 THEN 'recoverable' ELSE 'fatal' END AS mode
+        SELECT s.*, coalesce(mixed, 0) AS mixed, CASE WHEN retried = 0 AND (failures = 0 OR coalesce(mixed, 0) = 0) THEN 'stable'
+               WHEN failures < total / 5 THEN 'flaky-recoverable' ELSE 'flaky-fatal' END AS mode
         FROM s LEFT JOIN m USING (project, task)""",
 )
 def a13(t):
     return S.failure_modes(t.runs)
 
 
-@query("A14_single_timings", "SELECT project, task, source, min(id) AS id FROM task_durations GROUP BY ALL HAVING count(*) = 1 AND min(id) >= 100")
+@query("A14_single_timings", "SELECT project, task, min(id) AS id FROM task_durations GROUP BY ALL HAVING count(*) = 1 AND min(id) >= 100")
 def a14(t):
     return S.single_timings(t.task_durations, 100)
 
 
+#: Hits by what became of their outputs.
+RESTORED = f"""count(*) FILTER (WHERE {HIT} AND restored IS NOT true) AS up_to_date, count(*) FILTER (WHERE status = 'cache-hit' AND restored) AS restored_local,
+          count(*) FILTER (WHERE status = 'cache-hit-remote' AND restored) AS restored_remote"""
+
+
 @query(
     "A15_run_headers",
     f"""SELECT run_id, count(*) AS tasks, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE {HIT}) AS hits,
           count(*) FILTER (WHERE status = 'cache-hit') AS hits_local, count(*) FILTER (WHERE status = 'cache-hit-remote') AS hits_remote,
-          count(*) FILTER (WHERE {HIT} AND duration_ms < 1000) AS up_to_date FROM runs GROUP BY run_id""",
+          {RESTORED} FROM runs GROUP BY run_id""",
 )
 def a15(t):
     return S.run_headers(t.runs)
 
 
+OUTCOME_ROWS = "SELECT * REPLACE (CASE WHEN id % 53 = 0 THEN 'aborted' ELSE status END AS status) FROM runs"
+
+
 @query(
     "A16_tally",
-    f"""SELECT run_id, count(*) FILTER (WHERE status <> 'skipped') AS total, count(*) FILTER (WHERE {PASS}) AS passed, count(*) FILTER (WHERE status = 'failed') AS failed,
-          count(*) FILTER (WHERE status = 'skipped') AS skipped, count(blocked_by) AS blocked FROM runs GROUP BY run_id""",
+    f"""SELECT run_id, count(*) FILTER (WHERE status <> 'aborted') AS total, count(*) FILTER (WHERE {PASS}) AS successful, count(*) FILTER (WHERE status = 'failed') AS failed,
+          count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'cache-hit') AS cached_local, count(*) FILTER (WHERE status = 'cache-hit-remote') AS cached_remote,
+          count(*) FILTER (WHERE status = 'aborted') AS aborted, {RESTORED} FROM ({OUTCOME_ROWS}) GROUP BY run_id""",
 )
 def a16(t):
-    return S.tally(t.runs)
+    return S.tally(t.runs.withColumn("status", F.when(F.expr("id % 53 = 0"), "aborted").otherwise(F.col("status"))))
 
 
 @query(
     "A17_cache_buckets",
-    """SELECT CASE WHEN status = 'skipped' THEN 'skipped' WHEN hash = '' THEN 'no-key' WHEN cached IS NULL THEN 'no-cache' WHEN status = 'cache-hit' THEN 'local'
-         WHEN status = 'cache-hit-remote' THEN 'remote' ELSE 'miss' END AS bucket, count(*) AS n FROM runs GROUP BY 1""",
+    """SELECT bucket, count(*) AS n FROM (SELECT CASE
+         WHEN status IN ('success', 'failed') AND cached IS false AND (status = 'success' OR hash <> '') THEN 'noCache'
+         WHEN status = 'success' THEN CASE saved WHEN true THEN 'saved' WHEN false THEN 'notSaved' ELSE 'miss' END WHEN status = 'failed' AND hash <> '' THEN 'miss'
+         WHEN status LIKE 'cache-hit%' AND restored IS false THEN 'upToDate' WHEN status = 'cache-hit' THEN 'restoredLocal' WHEN status = 'cache-hit-remote' THEN 'restoredRemote' END AS bucket FROM runs)
+       WHERE bucket IS NOT NULL GROUP BY bucket""",
 )
 def a17(t):
     return S.cache_buckets(t.runs)
@@ -430,21 +454,36 @@ def a28(t):
     f"""WITH f AS ({FLAKY})
         SELECT 'projects' AS fact, count(DISTINCT project) AS value FROM runs UNION ALL SELECT 'tasks', count(DISTINCT project || task) FROM runs
         UNION ALL SELECT 'entries', count(*) FROM entries UNION ALL SELECT 'bytes', sum(size_bytes)::BIGINT FROM entries
-        UNION ALL SELECT 'orphans', 0 UNION ALL SELECT 'hits_24h', count(*) FROM runs WHERE started_at > {NOW} - 86400000 AND {HIT} UNION ALL SELECT 'flaky', count(*) FROM f""",
+        UNION ALL SELECT 'orphans', (SELECT count(*) FROM entries e WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.status = 'success' AND r.project = e.project AND r.task = e.task AND r.hash = e.hash)) UNION ALL SELECT 'hits_24h', count(*) FROM runs WHERE started_at > {NOW} - 86400000 AND {HIT} UNION ALL SELECT 'flaky', count(*) FROM f""",
 )
 def a29(t):
     return S.doctor(t.runs, t.entries, NOW)
 
 
-@query("F8_flaky_candidates", f"SELECT project, task, failures, passes FROM ({FLAKY}) WHERE project IN ('p1', 'p2')")
+@query(
+    "F8_flaky_candidates",
+    f"""WITH cut AS (SELECT max(id) * 3 // 4 AS c FROM runs), {OUTCOMES.replace("FROM runs WHERE", "FROM runs, cut WHERE id <= c AND")},
+        n AS (SELECT r.* FROM runs r, cut WHERE id > c AND hash <> '' AND cached IS NOT false AND blocked_by IS NULL AND status IN ('success', 'failed'))
+        SELECT n.id, n.project, n.task, n.hash, n.status, coalesce(passes, 0) + (n.status = 'success')::BIGINT AS passes, coalesce(failures, 0) + (n.status = 'failed')::BIGINT AS failures
+        FROM n LEFT JOIN o USING (project, task, hash)
+        WHERE CASE WHEN n.status = 'failed' THEN coalesce(passes, 0) > 0 ELSE coalesce(relapses, 0) > 0 OR coalesce(n.attempts, 1) > 1 END""",
+)
 def f8(t):
-    return S.flaky_candidates(t.runs, t.runs.where("project IN ('p1', 'p2')").select("project", "task"))
+    # the last quarter of the rows is the run in progress
+    cut = t.runs.agg(F.expr("max(id) * 3 div 4").alias("cut"))
+    rows = t.runs.join(F.broadcast(cut))
+    now = rows.where(P.observes_key() & F.col("status").isin("success", "failed") & (F.col("id") > F.col("cut")))
+    return S.flaky_candidates(rows.where("id <= cut").drop("cut"), now.drop("cut"))
 
 
-@query("F9_known_flaky", f"SELECT DISTINCT r.project, r.task, f.project IS NOT NULL AS flaky FROM runs r LEFT JOIN ({FLAKY}) f USING (project, task)")
+@query(
+    "F9_known_flaky",
+    f"""WITH {OUTCOMES}, f AS (SELECT DISTINCT project, task FROM o WHERE relapses > 0 OR retried > 0)
+        SELECT a.project, a.task, a.hash, coalesce(o.passes > 0, false) OR f.task IS NOT NULL AS flaky FROM (SELECT DISTINCT project, task, hash FROM runs WHERE status = 'failed') a
+        LEFT JOIN o ON o.project = a.project AND o.task = a.task AND o.hash = a.hash LEFT JOIN f ON f.project = a.project AND f.task = a.task""",
+)
 def f9(t):
-    f = S.flaky_tasks(t.runs).select("project", "task", F.lit(True).alias("f"))
-    return t.runs.select("project", "task").distinct().join(f, ["project", "task"], "left").select("project", "task", F.col("f").isNotNull().alias("flaky"))
+    return S.known_flaky(t.runs, t.runs.where("status = 'failed'").select("project", "task", "hash"))
 
 
 @query("W1_first_pass", f"SELECT id, min(CASE WHEN {PASS} THEN id END) OVER (PARTITION BY project, task, hash) AS first_pass FROM runs")

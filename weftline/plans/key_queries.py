@@ -62,12 +62,16 @@ def c5(t):
 
 @query(
     "C6_why_rerun",
-    """WITH p AS (SELECT *, lag(hash) OVER w AS p_hash, lag(status) OVER w AS p_status, lag(def) OVER w AS p_def FROM runs WHERE hash <> '' WINDOW w AS (PARTITION BY project, task ORDER BY id))
+    """WITH w AS (SELECT *, lag(hash) OVER w AS p_hash, lag(status) OVER w AS p_status, lag(def) OVER w AS p_def, lag(cache_hit) OVER w AS p_hit, lag(run_id) OVER w AS p_run FROM runs WHERE hash <> '' WINDOW w AS (PARTITION BY project, task ORDER BY id)),
+       p AS (SELECT w.*, regexp_matches(i.cache_policy, ':[rw]*r') AS reads, regexp_matches(i.cache_policy, ':[rw]*w') AS writes, b.run_id IS NOT NULL AS beside, e.entry IS NOT NULL AS held
+             FROM w LEFT JOIN invocations i ON i.run_id = w.run_id LEFT JOIN (SELECT run_id FROM invocations WHERE failed_count > 0 AND regexp_matches(cache_policy, ':[rw]*w')) b ON b.run_id = w.p_run
+             LEFT JOIN entries e ON e.project = w.project AND e.task = w.task AND e.hash = w.hash)
        SELECT id, project, task, CASE WHEN cache_hit THEN 'hit' WHEN status = 'skipped' THEN 'skipped' WHEN p_hash IS NULL THEN 'first-run' WHEN cached IS NULL THEN 'not-cached'
-         WHEN def <> p_def THEN 'definition-changed' WHEN hash <> p_hash THEN 'inputs-changed' WHEN p_status = 'failed' THEN 'retry-after-failure' ELSE 'same-key' END AS verdict FROM p""",
+         WHEN def <> p_def THEN 'definition-changed' WHEN hash <> p_hash THEN 'inputs-changed' WHEN cache_hit IS NULL THEN 'not-recorded' WHEN p_status = 'failed' THEN 'retry-after-failure' WHEN NOT reads AND writes THEN 'cache-not-read' WHEN NOT reads THEN 'cache-not-used'
+         WHEN status = 'success' AND p_status = 'success' AND p_hit IS false AND beside THEN 'beside-a-failure' WHEN NOT held THEN 'entry-gone' ELSE 'same-key' END AS verdict FROM p""",
 )
 def c6(t):
-    return K.why_rerun(t.runs)
+    return K.why_rerun(t.runs, t.invocations, t.entries)
 
 
 @query(

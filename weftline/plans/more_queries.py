@@ -12,6 +12,7 @@ from ..operators import forecast as FC
 from ..operators import graph as G
 from ..operators import selection as SEL
 from .registry import query
+from .time_queries import FOLD, MOVED
 
 
 @query("Fs2_concat_substr", "SELECT id, substr(run_id, 1, 8) || '-' || project AS label FROM runs")
@@ -36,7 +37,7 @@ def fs9(t):
     return t.runs.select("id", X.printable(F.concat("project", F.lit("\t"), "task", F.lit("\x1b"))).alias("shown"))
 
 
-@query("Fs10_markdown_cell", r"SELECT doc_id, CASE WHEN length(f) > 80 THEN left(f, 79) || '…' ELSE f END AS cell FROM (SELECT doc_id, replace(translate(text, chr(13) || chr(10), '  '), '|', '\|') AS f FROM documents)")
+@query("Fs10_markdown_cell", r"SELECT doc_id, CASE WHEN length(f) > 80 THEN left(f, 79) || '…' ELSE f END AS cell FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(^|[^\\])((?:\\\\)*)\|', '\1\2\\|', 'g'), '(^|[^\\])((?:\\\\)*)\|', '\1\2\\|', 'g'), '\r\n|\r|\n', ' ', 'g') AS f FROM documents)")
 def fs10(t):
     return t.table("documents").select("doc_id", X.markdown_cell(F.col("text")).alias("cell"))
 
@@ -94,9 +95,10 @@ def j22(t):
     return e.join(names, "project", "left").select("entry", F.coalesce("a", "b", "c").alias("v"))
 
 
-@query("K3_conflict_ignored", "SELECT run_id, min(id) AS id FROM runs GROUP BY run_id")
+@query("K3_conflict_ignored", "SELECT run_id, coalesce(min(id) FILTER (WHERE id % 3 = 0), max(id)) AS id FROM runs GROUP BY run_id")
 def k3(t):
-    first = t.runs.groupBy("run_id").agg(F.min("id").alias("id"))
+    # a run that has its row keeps it; a later import adds only the others
+    first = t.runs.where("id % 3 = 0").groupBy("run_id").agg(F.min("id").alias("id"))
     again = t.runs.groupBy("run_id").agg(F.max("id").alias("id"))
     return first.unionByName(again.join(first.select("run_id"), "run_id", "left_anti"))
 
@@ -252,14 +254,19 @@ def fh3(t):
 
 @query(
     "K4_upsert_fold",
-    """SELECT project, task, coalesce(ewma * 0.7::DOUBLE + d * 0.3::DOUBLE, d, ewma) AS ewma, CASE WHEN d IS NULL THEN slow WHEN slow IS NULL THEN d ELSE greatest(d, slow * 0.9::DOUBLE) END AS slow
-       FROM (SELECT project, task, min(duration_ms)::DOUBLE AS ewma, max(duration_ms)::DOUBLE AS slow FROM runs WHERE status = 'failed' GROUP BY ALL) o
-       FULL JOIN (SELECT project, task, max(duration_ms)::DOUBLE AS d FROM runs WHERE status = 'success' GROUP BY ALL) n USING (project, task)""",
+    f"""SELECT project, task, {', '.join(f'CASE WHEN o.duration_ms IS NULL THEN {first} WHEN d IS NULL OR NOT {MOVED} THEN {k} ELSE {FOLD[k]} END AS {k}' for k, first in (('duration_ms', 'd'), ('cores', 'c'), ('rss', 'r'), ('slow_ms', 'd'), ('runs', '1'), ('updated_at', 't')))}
+        FROM (SELECT project, task, hash, min(duration_ms) AS duration_ms, max(cores)::DOUBLE AS cores, min(peak_rss) AS rss, max(duration_ms) AS slow_ms, count(*) AS runs, max(started_at) AS updated_at FROM runs WHERE status = 'failed' GROUP BY ALL) o
+        FULL JOIN (SELECT project, task, hash, max(duration_ms) AS d, CASE WHEN max(id) % 3 <> 0 THEN avg(cores) END AS c, CASE WHEN max(id) % 4 <> 0 THEN max(peak_rss) END AS r, max(started_at) AS t FROM runs WHERE status = 'success' GROUP BY ALL) n USING (project, task, hash)""".replace("SELECT project, task, CASE", "SELECT project, task, hash, CASE", 1),
 )
 def k4(t):
-    d = F.col("duration_ms").cast("double")
-    old = t.runs.where("status = 'failed'").groupBy("project", "task").agg(F.min(d).alias("ewma"), F.max(d).alias("slow"))
-    return FC.upserted(old, t.runs.where("status = 'success'").groupBy("project", "task").agg(F.max(d).alias("d")), "project", "task")
+    by = ["project", "task", "hash"]
+    old = t.runs.where("status = 'failed'").groupBy(*by).agg(
+        F.min("duration_ms").alias("duration_ms"), F.max("cores").cast("double").alias("cores"), F.min("peak_rss").alias("rss"), F.max("duration_ms").alias("slow_ms"), F.count("*").alias("runs"), F.max("started_at").alias("updated_at")
+    )
+    new = t.runs.where("status = 'success'").groupBy(*by).agg(
+        F.max("duration_ms").alias("d"), F.expr("IF(max(id) % 3 <> 0, avg(cores), NULL)").alias("c"), F.expr("IF(max(id) % 4 <> 0, max(peak_rss), NULL)").alias("r"), F.max("started_at").alias("at")
+    )
+    return FC.server_upsert(old, new, *by)
 
 
 @query("K11_trace_events", """SELECT id, '{"name":"' || id || '","ph":"X","ts":' || start * 1000 || ',"dur":' || (stop - start) * 1000 || ',"pid":' || worker || ',"args":{"cores":' || cores || '}}' AS event FROM spans""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import forecast as FC
 from ..operators import timeline as TL
+from .history_queries import NEED, PRODUCED, SATURATED
 from .registry import query
 
 PASS = "status IN ('success', 'cache-hit', 'cache-hit-remote')"
@@ -56,8 +57,9 @@ def j8(t):
 
 @query(
     "J9_running_at",
-    """SELECT point_id, place, id, start FROM (SELECT p.id AS point_id, s.id, s.start, row_number() OVER (PARTITION BY p.id ORDER BY s.start, s.id) AS place
-         FROM (SELECT id, started_at AS at FROM runs) p JOIN spans s ON p.at >= s.start - 5 AND p.at <= s.stop + 5) WHERE place <= 3""",
+    """SELECT point_id, place, project, task, start FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY start, project, task) AS place FROM (
+         SELECT p.id AS point_id, s.project, s.task, min(s.start) AS start
+         FROM (SELECT id, started_at AS at FROM runs) p JOIN spans s ON p.at >= s.start - 5 AND p.at <= s.stop + 5 GROUP BY ALL)) WHERE place <= 3""",
 )
 def j9(t):
     points = t.runs.select(F.col("id").alias("point_id"), F.col("started_at").alias("at"))
@@ -201,18 +203,31 @@ def f4(t):
     return TL.newest_per_task(t.task_durations, 5, "project", "task").groupBy("project", "task").agg(F.max("duration_ms").alias("slow"))
 
 
+#: The server's fold of a report (d, c, r, t) into a timing, as SQL.
+MOVED = """(abs(d - duration_ms) > duration_ms * 0.05::DOUBLE OR (c IS NOT NULL AND (cores IS NULL OR abs(c - cores) > cores * 0.05::DOUBLE))
+      OR (r IS NOT NULL AND (rss IS NULL OR r > rss)) OR t - updated_at >= 86400000)"""
+FOLD = {
+    "duration_ms": "trunc(duration_ms * 0.7::DOUBLE + d * 0.3::DOUBLE + 0.5::DOUBLE)::BIGINT", "cores": "coalesce(cores * 0.7::DOUBLE + c * 0.3::DOUBLE, c, cores)",
+    "rss": "CASE WHEN r IS NULL THEN rss WHEN rss IS NULL THEN r ELSE greatest(r, trunc(rss * 0.9::DOUBLE)::BIGINT) END", "slow_ms": "greatest(d, trunc(slow_ms * 0.9::DOUBLE)::BIGINT)", "runs": "runs + 1", "updated_at": "t",
+}
+REPORTS = "SELECT project, task, id, duration_ms AS d, CASE WHEN id % 3 <> 0 THEN cores::DOUBLE END AS c, CASE WHEN id % 4 <> 0 THEN peak_rss END AS r, started_at AS t FROM task_durations"
+
+
+def _reports(t):
+    return t.task_durations.select("project", "task", "id", "duration_ms", F.expr("IF(id % 3 <> 0, double(cores), NULL)").alias("cores"), F.expr("IF(id % 4 <> 0, peak_rss, NULL)").alias("rss"), F.col("started_at").alias("at"))
+
+
 @query(
     "F1_ewma_fold",
-    """WITH RECURSIVE s AS (SELECT project, task, CAST(duration_ms AS DOUBLE) AS d, row_number() OVER (PARTITION BY project, task ORDER BY id) AS n FROM task_durations),
-        f AS (SELECT project, task, n, d AS ewma, greatest(d, 0.0) AS slow, 1 AS counted FROM s WHERE n = 1
+    f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY project, task ORDER BY id) AS n FROM ({REPORTS})),
+        f AS (SELECT project, task, n, d AS duration_ms, c AS cores, r AS rss, d AS slow_ms, 1::BIGINT AS runs, t AS updated_at FROM s WHERE n = 1
               UNION ALL
-              SELECT f.project, f.task, s.n, CASE WHEN abs(s.d - ewma) <= ewma * 0.05 THEN ewma ELSE ewma * 0.7::DOUBLE + s.d * 0.3::DOUBLE END,
-                CASE WHEN abs(s.d - ewma) <= ewma * 0.05 THEN slow ELSE greatest(s.d, slow * 0.9::DOUBLE) END, counted + CASE WHEN abs(s.d - ewma) <= ewma * 0.05 THEN 0 ELSE 1 END
+              SELECT f.project, f.task, s.n, {', '.join(f'CASE WHEN {MOVED} THEN {x} ELSE {k} END' for k, x in FOLD.items())}
               FROM f JOIN s ON f.project = s.project AND f.task = s.task AND s.n = f.n + 1)
-        SELECT project, task, round(arg_max(ewma, n), 3) AS ewma, round(arg_max(slow, n), 3) AS slow, max(counted)::BIGINT AS counted FROM f GROUP BY ALL""",
+        SELECT project, task, duration_ms, round(cores, 6) AS cores, rss, slow_ms, runs, updated_at FROM (SELECT *, max(n) OVER (PARTITION BY project, task) AS last FROM f) WHERE n = last""",
 )
 def f1(t):
-    return FC.folded(t.task_durations, "project", "task")
+    return FC.server_fold(_reports(t), "project", "task").withColumn("cores", F.round("cores", 6))
 
 
 @query("F2_flaky_flip", f"SELECT project, task, hash, CASE WHEN min(id) FILTER (WHERE status = 'failed') < max(id) FILTER (WHERE {PASS}) THEN 'flaky' ELSE 'fail' END AS outcome FROM runs WHERE hash <> '' GROUP BY ALL HAVING count(*) FILTER (WHERE status = 'failed') > 0")
@@ -236,14 +251,15 @@ def f5(t):
 
 @query(
     "F6_resources",
-    """WITH o AS (SELECT project, task, avg(least(cpu_ms / duration_ms, cores)) AS own FROM runs WHERE status = 'success' AND duration_ms > 0 GROUP BY ALL),
-        h AS (SELECT project, task, count(*) AS keys FROM (SELECT DISTINCT project, task, hash FROM runs WHERE cache_hit AND hash <> '') JOIN entries USING (project, task, hash) GROUP BY ALL)
-        SELECT project, task, greatest(1.0::DOUBLE, round(coalesce(CASE WHEN project = 'p1' THEN 2.0::DOUBLE END, own, 1.0::DOUBLE) * 4) / 4) AS cores, coalesce(keys, 0) AS hit_keys
-        FROM (SELECT DISTINCT project, task FROM runs) LEFT JOIN o USING (project, task) LEFT JOIN h USING (project, task)""",
+    f"""WITH {PRODUCED}, {SATURATED.replace('LEAST', '0.9::DOUBLE')},
+        o AS (SELECT project, task, max(peak_rss) AS own_rss, avg(CASE WHEN duration_ms > 0 AND cpu_ms IS NOT NULL THEN {NEED} END) AS own FROM runs WHERE status = 'success' AND cache_hit IS NOT true GROUP BY ALL),
+        i AS (SELECT project, task, arg_max(cpu_parallelism, id) AS imported FROM task_durations WHERE source = 'remote' AND cpu_parallelism IS NOT NULL GROUP BY ALL)
+        SELECT project, task, round(coalesce(own, imported, hit_cpu), 9) AS need, CASE WHEN own IS NOT NULL THEN 'own' WHEN imported IS NOT NULL THEN 'imported' WHEN hit_cpu IS NOT NULL THEN 'hit' END AS need_from,
+          greatest(own_rss, hit_rss) AS peak_rss, saturated_cores, saturated_memory
+        FROM (SELECT DISTINCT project, task FROM runs) LEFT JOIN o USING (project, task) LEFT JOIN i USING (project, task) LEFT JOIN h USING (project, task) LEFT JOIN z USING (project, task)""",
 )
 def f6(t):
-    declared = t.runs.where("project = 'p1'").select("project", "task", F.lit(2.0).alias("declared")).distinct()
-    return FC.resources(t.runs, t.entries, declared)
+    return FC.resources(t.runs, t.entries, t.task_durations).withColumn("need", F.round("need", 9))
 
 
 @query(

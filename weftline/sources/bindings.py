@@ -37,11 +37,14 @@ class Tables:
         )
         return r.select(
             "id", "project", "task", "hash", "status", "duration_ms",
-            F.when(F.expr("id % 17 = 0 AND status = 'success'"), F.lit(2)).cast("long").alias("attempts"),
-            F.when(F.expr("id % 23 <> 0"), F.lit(True)).alias("cached"),
-            F.col("status").isin("cache-hit", "cache-hit-remote").alias("cache_hit"),
+            F.when(F.expr("id % 17 = 0 AND status IN ('success', 'failed')"), F.expr("1 + id div 17 % 4")).cast("long").alias("attempts"),
+            F.when(F.expr("id % 23 <> 0"), F.lit(True)).when(F.expr("id % 46 = 0"), F.lit(False)).alias("cached"),
+            F.when(F.expr("id % 37 <> 0"), F.col("status").isin("cache-hit", "cache-hit-remote")).alias("cache_hit"),
             "started_at", (F.col("started_at") + F.col("duration_ms")).alias("ended_at"), "run_id",
             F.expr("duration_ms * (id % 7 + 1) div 4").alias("cpu_ms"), F.expr("(id % 97) * 1048576").alias("peak_rss"), F.expr("id % 8 + 1").alias("cores"),
+            F.expr("CASE id % 5 WHEN 0 THEN 0.5D WHEN 1 THEN 0.25D END").alias("cpu_share"), F.expr("(id % 8 + 1) * 12582912").alias("placement_memory"),
+            F.when(F.expr("status IN ('cache-hit', 'cache-hit-remote') AND id % 19 <> 0"), F.expr("id % 3 <> 0")).alias("restored"),
+            F.when(F.expr("status = 'success' AND id % 29 <> 0"), F.expr("id % 4 <> 0")).alias("saved"),
             F.when(F.expr("status = 'skipped'"), F.concat(F.lit("t"), F.expr("(user_id + 1) % 4"))).alias("blocked_by"),
             F.when(F.expr("id % 13 <> 0"), F.concat(F.lit("d"), F.expr("user_id % 2"))).alias("def"),
         )
@@ -57,8 +60,8 @@ class Tables:
     @cached_property
     def entries(self) -> DataFrame:
         passed = self.runs.where("status IN ('success', 'cache-hit', 'cache-hit-remote') AND hash <> ''")
-        g = passed.groupBy("project", "task", "hash").agg(F.max_by(F.struct("duration_ms", "started_at"), "id").alias("r"), F.max("id").alias("last_id"))
-        return g.select(F.concat_ws("#", "project", "task", "hash").alias("entry"), "project", "task", "hash", F.col("r.duration_ms").alias("size_bytes"), F.col("r.started_at").alias("accessed_at"), "last_id")
+        g = passed.groupBy("project", "task", "hash").agg(F.max_by(F.struct("duration_ms", "started_at", "cpu_ms", "peak_rss"), "id").alias("r"), F.max("id").alias("last_id"))
+        return g.select(F.concat_ws("#", "project", "task", "hash").alias("entry"), "project", "task", "hash", F.col("r.duration_ms").alias("size_bytes"), F.col("r.started_at").alias("accessed_at"), "last_id", "r.cpu_ms", "r.peak_rss")
 
     @cached_property
     def entry_inputs(self) -> DataFrame:
@@ -70,7 +73,7 @@ class Tables:
     def task_durations(self) -> DataFrame:
         r = self.runs.where("status = 'success'")
         n = F.expr("id % 3").cast("string")
-        return r.select("id", "project", "task", "duration_ms", F.when(F.expr("id % 29 = 0"), "remote").otherwise(F.concat(F.lit("branch:"), n)).alias("source"), "cores")
+        return r.select("id", "project", "task", "duration_ms", F.when(F.expr("id % 29 = 0"), "remote").otherwise(F.concat(F.lit("branch:"), n)).alias("source"), "cores", "peak_rss", "started_at", F.expr("IF(id % 2 = 0, try_divide(cpu_ms, duration_ms), NULL)").alias("cpu_parallelism"))
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -91,18 +94,21 @@ class Tables:
 
     @cached_property
     def spans(self) -> DataFrame:
-        return self.runs.where("status <> 'skipped'").select("id", F.expr("id % 10").alias("worker"), F.col("started_at").alias("start"), F.col("ended_at").alias("stop"), "cores", F.col("peak_rss").alias("memory"))
+        return self.runs.where("status <> 'skipped'").select("id", "project", "task", F.expr("id % 10").alias("worker"), F.col("started_at").alias("start"), F.col("ended_at").alias("stop"), "cores", F.col("peak_rss").alias("memory"))
 
 
 #: The same rules as SQL; a relation may use those before it.
 SQL = {
     "runs": """
         SELECT id, project, task, hash, status, duration_ms,
-               CASE WHEN id % 17 = 0 AND status = 'success' THEN 2 END::BIGINT AS attempts,
-               CASE WHEN id % 23 <> 0 THEN true END AS cached,
-               status IN ('cache-hit', 'cache-hit-remote') AS cache_hit,
+               CASE WHEN id % 17 = 0 AND status IN ('success', 'failed') THEN 1 + id // 17 % 4 END::BIGINT AS attempts,
+               CASE WHEN id % 23 <> 0 THEN true WHEN id % 46 = 0 THEN false END AS cached,
+               CASE WHEN id % 37 <> 0 THEN status IN ('cache-hit', 'cache-hit-remote') END AS cache_hit,
                started_at, started_at + duration_ms AS ended_at, run_id,
                duration_ms * (id % 7 + 1) // 4 AS cpu_ms, (id % 97) * 1048576 AS peak_rss, id % 8 + 1 AS cores,
+               CASE id % 5 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.25::DOUBLE END AS cpu_share, (id % 8 + 1) * 12582912 AS placement_memory,
+               CASE WHEN status IN ('cache-hit', 'cache-hit-remote') AND id % 19 <> 0 THEN id % 3 <> 0 END AS restored,
+               CASE WHEN status = 'success' AND id % 29 <> 0 THEN id % 4 <> 0 END AS saved,
                CASE WHEN status = 'skipped' THEN 't' || ((user_id + 1) % 4) END AS blocked_by,
                CASE WHEN id % 13 <> 0 THEN 'd' || (user_id % 2) END AS def
         FROM (SELECT event_id AS id, user_id, 'p' || (user_id % 15) AS project, 't' || (user_id % 4) AS task,
@@ -118,13 +124,14 @@ SQL = {
                      count(*) FILTER (WHERE status = 'failed') AS failed_count FROM runs GROUP BY run_id)""",
     "entries": """
         SELECT project || '#' || task || '#' || hash AS entry, project, task, hash, arg_max(duration_ms, id) AS size_bytes,
-               arg_max(started_at, id) AS accessed_at, max(id) AS last_id
+               arg_max(started_at, id) AS accessed_at, max(id) AS last_id, arg_max(cpu_ms, id) AS cpu_ms, arg_max(peak_rss, id) AS peak_rss
         FROM runs WHERE status IN ('success', 'cache-hit', 'cache-hit-remote') AND hash <> '' GROUP BY project, task, hash""",
     "entry_inputs": """
         SELECT l_orderkey AS entry, l_returnflag AS kind, l_partkey::VARCHAR AS name, max(l_suppkey)::VARCHAR AS hash
         FROM lineitem GROUP BY ALL""",
     "task_durations": """
-        SELECT id, project, task, duration_ms, CASE WHEN id % 29 = 0 THEN 'remote' ELSE 'branch:' || (id % 3) END AS source, cores
+        SELECT id, project, task, duration_ms, CASE WHEN id % 29 = 0 THEN 'remote' ELSE 'branch:' || (id % 3) END AS source, cores, peak_rss, started_at,
+               CASE WHEN id % 2 = 0 THEN cpu_ms / nullif(duration_ms, 0) END AS cpu_parallelism
         FROM runs WHERE status = 'success'""",
     "nodes": "SELECT p_partkey AS node, p_name AS name, p_brand AS tag, p_size::BIGINT AS cost FROM part",
     "edges": """
@@ -134,7 +141,7 @@ SQL = {
         SELECT p_partkey AS node, CASE WHEN p_partkey % 2 = 0 THEN '@s' || (p_partkey % 5) || '/lib-' || p_partkey ELSE 'lib-' || p_partkey END AS name,
                'packages/b' || (p_partkey % 7) || '/p' || p_partkey AS dir, [p_brand, split_part(p_type, ' ', 1)] AS tags FROM part""",
     "spans": """
-        SELECT id, id % 10 AS worker, started_at AS start, ended_at AS stop, cores, peak_rss AS memory FROM runs WHERE status <> 'skipped'""",
+        SELECT id, project, task, id % 10 AS worker, started_at AS start, ended_at AS stop, cores, peak_rss AS memory FROM runs WHERE status <> 'skipped'""",
 }
 
 
