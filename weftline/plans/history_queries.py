@@ -225,7 +225,7 @@ def p16(t):
     return r.select("id", P.masked("kind", "name", "hash").alias("value"))
 
 
-@query("P17_renamed", "SELECT id AS \"rowId\", cached AS \"isCached\", CAST(CASE WHEN cached THEN 1 END AS INTEGER) AS \"cachedFlag\" FROM runs")
+@query("P17_renamed", "SELECT id AS \"rowId\", cached AS \"isCached\", CAST(cached AS INTEGER) AS \"cachedFlag\" FROM runs")
 def p17(t):
     return t.runs.select(F.col("id").alias("rowId"), F.col("cached").alias("isCached"), F.col("cached").cast("int").alias("cachedFlag"))
 
