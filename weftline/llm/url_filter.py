@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, stored, table
 
 #: Keys with more captures than HOT are dealt into SALTS shares, and their entries repeated for each.
-HOT, SALTS = 1_000_000, 16
+HOT, SALTS = 10_000, 16
 
 
 def host_of(url: Column) -> Column:
@@ -54,8 +54,9 @@ def judge(captures: DataFrame, entries: DataFrame, hot_above: int = HOT) -> Data
     """
     one = captures.groupBy("page_id", "url", "fetched_at").agg(F.count(F.lit(1)).alias("_copies"))
     asked = one.select("page_id", "url", "fetched_at", F.posexplode(keys_of(F.col("url"))).alias("_depth", "_ask"))
-    # of all keys that are asked for, one in HOT captures at most is hot
+    # written first: of a table's size the planner knows whether to broadcast it, and then no shuffle deals captures by key alone
     hot = asked.groupBy(F.col("_ask").alias("_hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_above).select("_hot")
+    hot = stored(hot, f"{scratch(captures.sparkSession)}/hot")
     held = intervals(entries).select(F.col("key").alias("_key"), "action", "since", "until").join(hot, F.col("_key") == F.col("_hot"), "left")
     shares = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     held = held.select("_key", "action", "since", "until", F.explode(shares).alias("_share"))
