@@ -8,6 +8,7 @@ import pytest
 import corpus_pipeline
 from weftline.llm import queries
 
+from .fixtures import SCHEMA, odd_rows
 from .test_operators import brute_components, brute_lines, sha
 
 
@@ -44,6 +45,19 @@ def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 100
 
 
+def test_run_over_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_over_odd_rows_and_clashing_columns(spark, tmp_path):
+    odd = spark.createDataFrame(odd_rows(), SCHEMA).selectExpr("*", "'x' AS node", "1 AS n_lines", "2 AS score", "3 AS spans", "4 AS h")
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # the row without a text goes, and a repeated row is a copy of itself with one id: both stay
+    assert sorted(r.doc_id or 0 for r in out) == [0, 500, 500, 501, 501] and all(r.piece == 0 and r.length > 1 for r in out)
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
