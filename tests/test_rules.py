@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import measures as M
 from weftline.functions import predicates as P
 from weftline.functions import text as X
-from weftline.operators import forecast, graph, history, keys, selection, stats, timeline
+from weftline.operators import attribution, forecast, graph, history, keys, selection, stability, stats, timeline
 from weftline.sources import schemas
 
 
@@ -276,6 +276,83 @@ def test_reach_digests_follow_what_is_below(spark):
     assert d[2] != d[3] and d[1] == other[1] and d[3] != other[3]
 
 
+def test_components_against_a_search(spark):
+    import random
+
+    rng = random.Random(7)
+    for n, m in ((12, 16),):
+        pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        reach = {v: {v} for v in range(n)}
+        for _ in range(n):
+            for a, b in pairs:
+                reach[a] |= reach[b]
+        want = {v: min(w for w in range(n) if w in reach[v] and v in reach[w]) for v in range(n)}
+        nodes = spark.createDataFrame([(v, f"n{v}") for v in range(n)], "node long, name string")
+        edges = spark.createDataFrame(list(pairs), "src long, dst long")
+        assert {r.node: r.component for r in graph.components(nodes, edges).collect()} == want
+        d = {r.node: r.digest for r in graph.reach_digests(nodes, edges).collect()}
+        assert len(d) == n and all((d[a] == d[b]) == (want[a] == want[b]) for a in range(n) for b in range(n))
+        # a renamed node moves those that reach it and no other
+        renamed = nodes.select("node", F.when(F.col("node") == 3, "zz").otherwise(F.col("name")).alias("name"))
+        moved = {r.node for r in graph.reach_digests(renamed, edges).collect() if r.digest != d[r.node]}
+        assert moved == {v for v in range(n) if 3 in reach[v]}
+
+
+def test_digests_see_where_a_cycle_lands(spark):
+    n = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "node long, name string")
+    of = lambda *e: {r.digest for r in graph.reach_digests(n, spark.createDataFrame(list(e), "src long, dst long")).collect()}
+    ring, turned = of((1, 2), (2, 3), (3, 1)), of((1, 3), (3, 2), (2, 1))
+    assert len(ring) == len(turned) == 1 and ring != turned
+    assert graph.reach_digests(n.where("false"), spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_server_charges(spark):
+    looks = spark.createDataFrame(
+        [("s", 1, [], 1.0, 100, False), ("s", 2, ["a"], 2.0, 100, False), ("s", 3, ["a", "b"], 0.5, 100, True), ("s", 4, None, None, None, None), ("z", 1, ["a"], 4.0, 10, False)],
+        "server string, id long, users array<string>, cores double, ms long, capped boolean",
+    )
+    got = {(r.server, r.id, r.task): (round(r.base, 6), r.cost and round(r.cost, 6), r.charged and round(r.charged, 6)) for r in attribution.charges(looks).collect()}
+    # base 0.3 of 1 idle core; a learns 0.3 * (2 - 0.3); the capped look lies below the model and lowers nothing
+    assert got["s", 1, None] == (0.3, None, None)
+    assert got["s", 2, "a"] == (0.3, 0.51, round(200 * 0.51 / 0.81, 6))
+    assert got["s", 3, "a"] == (0.3, 0.51, round(50 * 0.51 / 0.81, 6)) and got["s", 3, "b"] == (0.3, 0.0, 0.0)
+    assert got["s", 4, None] == (0.21, None, None)
+    assert got["z", 1, "a"] == (0.0, 1.2, 40.0)
+    assert attribution.charges(looks.where("false")).count() == 0
+
+
+def test_stable_keys(spark):
+    kind = "task long, project string, dir string, cached boolean, inputs array<string>, ws_inputs array<string>, outputs array<string>, ws_outputs array<string>, reach string"
+    task = lambda id, project="p", cached=True, inputs=("src/**",), ws=(), out=(), ws_out=(), reach="none": (id, project, f"packages/{project}", cached, inputs and list(inputs), list(ws), list(out), list(ws_out), reach)
+
+    def of(rows, edges):
+        got = stability.classified(spark.createDataFrame(rows, kind), spark.createDataFrame(edges, "src long, dst long"))
+        return {r.task: r.because for r in got.collect()}
+
+    # build writes dist, tests read src: stable; a reader of dist waits, unless it takes it back
+    base = [task(1, out=["dist/**"]), task(2), task(3, inputs=["dist/x.js"]), task(4, inputs=["**", "!dist/**"]), task(5, "q")]
+    assert of(base, [(2, 1), (3, 1), (4, 1), (5, 3)]) == {1: None, 2: None, 3: "same-project", 4: None, 5: "upstream"}
+    # undeclared writes meet everything in the project, through a task between
+    assert of([task(1, cached=False, reach="project"), task(2, "q"), task(3), task(4, inputs=None)], [(2, 1), (3, 2), (4, 1)]) == {1: None, 2: None, 3: "same-project", 4: None}
+    # writes at the root reach any project; a root reader waits where its globs meet a producer's outputs
+    assert of([task(1, ws_out=["gen/**"]), task(2, "q")], [(2, 1)])[2] == "workspace-output"
+    rooted = [task(1, out=["dist/**"]), task(2, "q", ws=["packages/p/dist/a.js"]), task(3, "q", ws=["packages/p/src/**"]), task(4, "q", ws=["**/x"])]
+    assert of(rooted, [(2, 1), (3, 1), (4, 1)]) == {1: None, 2: "workspace-input", 3: None, 4: "workspace-input"}
+    # one task writing inside another's tree
+    assert of([task(1, out=["dist/**"]), task(2, out=["dist/sub/**"])], [(2, 1)])[2] == "same-project"
+
+
+def test_sweep_and_worker_measures(spark):
+    rows = spark.createDataFrame([(1, 0), (2, 86_400_000 * 40), (3, None)], "id long, updated_at long")
+    at = lambda now, last: spark.createDataFrame([(now, last)], "now long, swept long")
+    ids = lambda m: sorted(r.id for r in history.swept(rows, m).collect())
+    now = 86_400_000 * 50
+    assert ids(at(now, None)) == [2, 3] and ids(at(now, now - 1)) == [1, 2, 3] and ids(at(now, 0).where("false")) == [1, 2, 3]
+    run = spark.createDataFrame([(2, 500.0, 1.2345), (4, 50.0, None), (8, 900.0, 1.0)], "size int, warm double, pace double")
+    known = spark.createDataFrame([(2, 100.0), (4, 100.0)], "size int, known double")
+    assert {r.size: (r.warm_ms, r.pace) for r in history.worker_measures(run, known, "size").collect()} == {2: (200.0, 1235), 4: (50.0, None), 8: (900.0, 1000)}
+
+
 def test_owners_and_nesting(spark):
     p = spark.createDataFrame([("foo", "foo"), ("foo/bar", "bar"), ("foo-utils", "utils")], "dir string, name string")
     paths = spark.createDataFrame([("foo/bar/x",), ("foo/x",), ("foo-utils/x",), ("none",)], "path string")

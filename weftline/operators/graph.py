@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
 from ..sources.shared import written as checkpointed
 
 
@@ -23,10 +24,11 @@ def clean_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(origin, node): everything that each seed, or each src, reaches. On a cycle a node reaches itself."""
     start = edges if seeds is None else edges.join(seeds.select(F.col("node").alias("src")), "src", "left_semi")
-    return _reached(start, edges)
+    return reached(start, edges)
 
 
-def _reached(start: DataFrame, edges: DataFrame) -> DataFrame:
+def reached(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """(origin, node): what each origin reaches from its first steps, start's (src, dst); an origin needn't be a node."""
     e = edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"))
     new = checkpointed(start.select(F.col("src").alias("origin"), F.col("dst").alias("node")).distinct())
     parts = [new]
@@ -121,7 +123,7 @@ def restricted_closure(edges: DataFrame, through: DataFrame, seeds: DataFrame) -
     """
     inner = edges.join(through.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst")
     first = edges.join(seeds.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst")
-    return _reached(first, inner)
+    return reached(first, inner)
 
 
 def nearest_holders(edges: DataFrame, holders: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -171,24 +173,96 @@ def nested_dirs(projects: DataFrame) -> DataFrame:
     return inner.join(projects.select(F.col("dir").alias("outer")), "outer", "left_semi").select("outer", "inner")
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges that lie on a cycle or between two."""
+    return reversed_edges(cyclic(reversed_edges(cyclic(edges))))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): strongly connected components by their least node; a node on no cycle is its own.
+
+    Each round colours what is left by the least node reached; those that
+    such a node reaches within its colour are its component. Rounds are at
+    most the cycles on one path.
+    """
+    left = _trimmed(edges.where("src <> dst"))
+    found = []
+    while not left.isEmpty():
+        ends = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
+        colour = checkpointed(tainted(ends, left))
+        of = lambda end: colour.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))  # noqa: E731, B023
+        same = checkpointed(left.join(of("src"), "src").join(of("dst"), "dst").where("src_root = dst_root").select("src", "dst"))
+        roots = colour.where("node = root").select("node")
+        part = closure(same, roots).select("node", F.col("origin").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+        part = checkpointed(part.distinct())
+        found.append(part)
+        gone = part.select("node")
+        left = _trimmed(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    if not found:
+        return nodes.select("node", F.col("node").alias("component"))
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    return nodes.select("node").join(every, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _as_set(digest) -> list:
+    """Aggregates that fold hex digests whatever their order: sums of their four parts, combined before a shuffle."""
+    part = lambda i: F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")
+    return [F.sum(part(i)).alias(f"_h{i}") for i in range(4)]
+
+
+def _folded(n: str):
+    return F.sha2(F.concat_ws(":", F.coalesce(n, F.lit(0)), *(F.coalesce(F.col(f"_h{i}"), F.lit(0)) for i in range(4))), 256)
+
+
 def reach_digests(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """A digest of each node and everything it reaches, for acyclic edges: bottom up by level, children in order."""
-    down = longest_paths(nodes.select("node", F.lit(1).cast("long").alias("cost")), reversed_edges(edges)).select("node", (F.col("path") - 1).alias("level"))
-    level = checkpointed(nodes.select("node", "name").join(down, "node"))
-    e = edges.select("src", "dst")
-    done = None
+    """(node, digest) over everything that a node (node, name) reaches; what lies elsewhere doesn't move it.
+
+    Members of a cycle share one digest. A component folds its members, each
+    as its name and the names its edges lead to, then the digests of the
+    components below it, both whatever their order. Components go bottom up
+    by level, and each hands its digest to the level that needs it next:
+    every row is written and read once.
+    """
+    spark = nodes.sparkSession
+    e = checkpointed(edges.select("src", "dst").where("src <> dst").distinct())
+    comp = checkpointed(components(nodes, e))
+    of = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
+    up = checkpointed(e.join(of("src"), "src").join(of("dst"), "dst").where("src_c <> dst_c").select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).distinct())
+
+    names = e.join(nodes.select(F.col("node").alias("dst"), F.sha2(F.coalesce("name", F.lit("")), 256).alias("to")), "dst").select("src", "to").distinct()
+    lands = names.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_n"), *_as_set("to"))
+    line = nodes.select("node", "name").join(lands, "node", "left").select("node", F.sha2(F.concat_ws("\0", F.coalesce("name", F.lit("")), _folded("_n")), 256).alias("line"))
+    own = comp.join(line, "node").groupBy(F.col("component").alias("node")).agg(F.count("*").alias("_n"), *_as_set("line")).select("node", _folded("_n").alias("own"))
+
+    ids = comp.select(F.col("component").alias("node")).distinct()
+    level = checkpointed(longest_paths(ids.withColumn("cost", F.lit(1).cast("long")), reversed_edges(up)).select("node", (F.col("path") - 1).alias("level")))
+    own_at, kids_at = shared_folder(spark), shared_folder(spark)
+    own = own.join(level, "node")
+    own.write.partitionBy("level").parquet(own_at)
+    above = checkpointed(up.join(level.select(F.col("node").alias("src"), "level"), "src").select("src", "dst", "level"))
+    handed = "src {0}, digest string, level long".format(up.schema["src"].dataType.simpleString())
     top = level.agg(F.max("level")).first()[0]
-    for k in range(0, (top if top is not None else -1) + 1):
-        own = level.where(F.col("level") == k)
-        if done is None:
-            hashed = own.select("node", F.sha2("name", 256).alias("digest"))
+    done = []
+    for k in range((-1 if top is None else top) + 1):
+        now = spark.read.schema(own.schema).parquet(own_at).where(F.col("level") == k)
+        if k:
+            kids = spark.read.schema(handed).parquet(kids_at).where(F.col("level") == k).select("src", "digest").distinct()
+            kids = kids.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_n"), *_as_set("digest")).select("node", _folded("_n").alias("kids"))
+            now = now.join(kids, "node", "left")
         else:
-            below = own.select("node").join(e, F.col("node") == F.col("src")).join(done.select(F.col("node").alias("dst"), "digest"), "dst")
-            kids = below.groupBy("node").agg(F.array_join(F.sort_array(F.collect_list("digest")), "").alias("kids"))
-            hashed = own.join(kids, "node", "left").select("node", F.sha2(F.concat("name", F.coalesce("kids", F.lit(""))), 256).alias("digest"))
-        hashed = checkpointed(hashed)
-        done = hashed if done is None else done.unionByName(hashed)
-    return done if done is not None else level.select("node", F.lit("").alias("digest"))
+            now = now.withColumn("kids", F.lit(None).cast("string"))
+        now = checkpointed(now.select("node", F.sha2(F.concat("own", F.coalesce("kids", F.lit(""))), 256).alias("digest")))
+        done.append(now)
+        if k < top:
+            above.join(now.select(F.col("node").alias("dst"), "digest"), "dst").select("src", "digest", "level").write.mode("append").partitionBy("level").parquet(kids_at)
+    if not done:
+        return nodes.select("node", F.lit("").alias("digest"))
+    every = done[0]
+    for part in done[1:]:
+        every = every.unionByName(part)
+    return comp.join(every.withColumnRenamed("node", "component"), "component").select("node", "digest")
 
 
 def chain(paths: DataFrame, edges: DataFrame) -> DataFrame:

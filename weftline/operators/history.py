@@ -91,3 +91,20 @@ def retained(rows: DataFrame, column: str, cutoff: int) -> DataFrame:
 
 def without_orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return children.join(parents.select(key), key, "left_semi")
+
+
+def swept(rows: DataFrame, moment: DataFrame, days: int = 30, at: str = "updated_at") -> DataFrame:
+    """rows less those older than `days` at moment's one row (now, swept); all of them within a day of the last sweep, or without a moment."""
+    m = moment.select("now", F.coalesce("swept", F.lit(0)).alias("_swept"))
+    day = 86_400_000
+    due = F.coalesce(F.col("now") - F.col("_swept") >= day, F.lit(False))
+    return rows.join(F.broadcast(m.limit(1)), F.lit(True), "left").where(~due | F.coalesce(F.col(at) >= F.col("now") - days * day, F.lit(True))).drop("now", "_swept")
+
+
+def worker_measures(run: DataFrame, known: DataFrame, size: str) -> DataFrame:
+    """Per machine size the warm-up to record, at most twice the known one, and the pace in thousandths.
+
+    run is (size, warm, pace), known (size, known); a size without a known warm-up keeps its own.
+    """
+    j = run.join(known, size, "left")
+    return j.select(size, F.least("warm", F.col("known") * 2).alias("warm_ms"), F.floor(F.col("pace") * 1000 + 0.5).alias("pace"))
