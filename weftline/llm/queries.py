@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, line_dedup, near_dedup, packing, secrets, substring_dedup, tiff, topk, url_filter
+from . import bpe, language_id, line_dedup, mixing, near_dedup, packing, secrets, spelling, substring_dedup, tiff, topk, url_filter, whitening
 from .common import table
 
 
@@ -21,10 +21,14 @@ QUERIES = {
     "op8_tiff": _over("documents", tiff.query),
     "op9_packing": _over("documents", packing.query),
     "op10_language_id": _over("documents", language_id.query),
+    "op11_whitening": _over("embeddings", whitening.query),
+    "op12_spelling": _over("documents", spelling.query),
+    "op13_mixing": _over("documents", mixing.query),
 }
 
 #: Without SQL: exact windows of words over all documents (2), components of links (4), and what only tokenizers,
-#: files, packing or a learned model decide (5, 8, 9, 10). tests/llm holds these against brute force.
+#: files, packing or a learned model decide (5, 8, 9, 10), eigenvectors (11), pairs one edit apart over all words (12) and
+#: seeded draws (13). tests/llm holds these against brute force.
 SQL = {
     "op1_line_dedup": line_dedup.SQL,
     "op3_url_filter": url_filter.SQL,
