@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,24 +37,70 @@ def relative(path: Column, directory: Column) -> Column:
     return F.concat(up, F.array_join(F.slice(a, same + 1, F.size(a)), "/"))
 
 
-_SGR = r"\x1b\[[\d;]{0,32}m"
-#: Fixed value: a path with an extension, not after a word, dot, slash or @, then :line:column or (line,column).
-FILE = (
-    rf"(?<!\x1b\[[\d;]{{0,32}})(?:(?<![\w./@+-])|(?<={_SGR}))"
-    + "".join(rf"(?<![\w./@+-](?<!{_SGR}){_SGR * k})" for k in range(1, 5))
-    + r"(?:/|\.{1,2}/)?(?:[\w@.+-]+/){0,200}[\w@+-][\w@.+-]*\.[A-Za-z][A-Za-z0-9]{0,9}(?::\d+(?::\d+)?|\(\d+,\d+\))?"
-)
+#: Fixed value: what a terminal's colour code looks like.
+COLOUR = r"\x1b\[[\d;]*m"
+
+
+def bound(value: Column, *steps: Callable[[Column], Column]) -> Column:
+    """value through steps, each evaluated once however often the next one names it."""
+    for step in steps:
+        value = F.get(F.transform(F.array(value), step), F.lit(0))
+    return value
+
+
+def _numbers(word: Column, body: Column) -> Column:
+    return F.regexp_extract_all(F.substring(word, F.length(body) + 1, F.length(word)), F.lit(r"\d+"), F.lit(0))
+
+
+def normal_path(path: Column) -> Column:
+    """A path without empty and `.` parts, `..` taken back where there is something to take back. A leading slash stays."""
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    back = lambda acc, x: (x == "..") & (F.size(acc) > 0) & (F.coalesce(F.element_at(acc, -1), F.lit("..")) != "..")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(back(acc, x), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(kept, "/"))
 
 
 def file_locations(text: Column, most: int = 50) -> Column:
     """array<struct<path, line, col>> of the files that a text names, each once, in order of first appearance.
 
-    A path also named with a line loses its bare mention. Whether a file
-    exists is not looked up; a leading `./` goes, other parts stay as written.
+    Words are cut at whatever can't be in a path; a colour code stays as a
+    mark. Of a word the first stretch between marks may be a path: the parts
+    up to the last one with an extension, a letter first in it. Its place is
+    line:column or (line,column) right behind. A path also named with a line
+    loses its bare mention. Paths are normal; whether a file exists is not
+    looked up.
     """
+    mark = "\x1b"
+    # an unfinished code belongs to no word, nor does what it runs into
+    marked = F.regexp_replace(F.regexp_replace(text, f"(?:{COLOUR})+", "\x00"), r"\x1b\[[\d;]*[\w./@+\-]*", " ")
+    words = F.regexp_extract_all(F.translate(marked, "\x00", mark), F.lit(r"[\w./@+\-\x1b]+(?::\d+(?::\d+)?|\(\d+,\d+\))?"), F.lit(0))
+    spot = r"(?::\d+(?::\d+)?|\(\d+,\d+\))$"
+
+    def parted(word: Column) -> Column:
+        body = F.regexp_replace(word, spot, "")
+        return F.struct(F.regexp_extract(body, r"^\x1b*([^\x1b]+)", 1).alias("first"), F.regexp_extract(body, r"^(\x1b*)", 1).alias("marks"), body.alias("body"), _numbers(word, body).alias("numbers"))
+
+    def found_in(x: Column) -> Column:
+        parts = F.split(x["first"], "/")
+        # a part without a name ends the path, but for the slash it may begin with
+        upto = F.array_position(F.slice(parts, 2, F.size(parts)), "").cast("int")
+        return F.struct(x.alias("x"), F.when(upto > 0, F.slice(parts, 1, upto)).otherwise(parts).alias("parts"))
+
+    def name_of(x: Column) -> Column:
+        named = F.transform(x["parts"], lambda part: F.regexp_extract(part, r"^[^.].*[.][A-Za-z][A-Za-z0-9]{0,9}", 0))
+        at = F.array_max(F.transform(named, lambda name, k: F.when(name != "", k)))
+        return F.struct(x["x"].alias("x"), at.alias("at"), F.concat_ws("/", F.slice(x["parts"], 1, F.coalesce(at, F.lit(0))), F.get(named, at)).alias("path"))
+
+    def placed(x: Column) -> Column:
+        # a place belongs to a path that ends right before it
+        near = F.concat(x["x"]["marks"], x["path"]) == x["x"]["body"]
+        number = lambda k: F.coalesce(F.when(near, F.get(x["x"]["numbers"], F.lit(k))), F.lit(""))
+        return F.when(x["at"].isNotNull(), F.concat_ws(":", normal_path(x["path"]), number(0), number(1)))
+
+    located = lambda word: bound(word, parted, found_in, name_of, placed)
+
     # path:line:col as one string: sets of strings are hashed, those of structs compared pair by pair
-    part = lambda m, k: F.regexp_extract(m, r"^(?:\./)?([^:(]*)[:(]?(\d*)[:,]?(\d*)", k)
-    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(FILE), F.lit(0)), lambda m: F.concat_ws(":", part(m, 1), part(m, 2), part(m, 3))))
+    found = F.array_distinct(F.array_compact(F.transform(words, located)))
     lined = F.filter(found, lambda x: ~x.endswith("::"))
     kept = F.slice(F.array_except(found, F.transform(lined, lambda x: F.concat(F.substring_index(x, ":", 1), F.lit("::")))), 1, most)
     number = lambda x, k: F.get(F.split(x, ":"), k).try_cast("long")
@@ -116,3 +164,19 @@ def definition_hash(task: Column, command: Column, define: Column) -> Column:
     """What a task is for its history: its id, command and given values in order of name; null without a command."""
     pairs = F.to_json(F.transform(F.array_sort(F.map_entries(define)), lambda e: F.array(e["key"], e["value"])))
     return F.sha2(F.concat(task, F.lit("\x1f"), command, F.lit("\x1f"), F.coalesce(pairs, F.lit("[]"))), 256)
+
+
+def hex64(number: Column) -> Column:
+    """A 64-bit number as 16 hex digits."""
+    return F.lower(F.lpad(F.hex(number), 16, "0"))
+
+
+def seeded_hash(parts: Column, seed: Column) -> Column:
+    """A 64-bit fold over an array of texts that carries the seed on: hash(state and part) xor state, null parts passed over.
+
+    The state goes into each step twice, as what is hashed and by xor, so two
+    states that differ stay apart by what they differ in even where their
+    hashed halves meet. The number is signed, as Spark's are.
+    """
+    digest = lambda h, x: F.conv(F.left(F.sha2(F.concat(hex64(h), x), 256), F.lit(16)), 16, -10).cast("long")
+    return F.aggregate(parts, seed, lambda h, x: F.when(x.isNull(), h).otherwise(digest(h, x).bitwiseXOR(h)))

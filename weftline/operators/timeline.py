@@ -118,3 +118,64 @@ def settled_changes(rows: DataFrame) -> DataFrame:
     last = F.lag("state").over(Window.partitionBy("key").orderBy("id"))
     seen = F.row_number().over(Window.partitionBy("key").orderBy("id"))
     return rows.withColumns({"_last": last, "_n": seen}).where((F.col("_n") == 1) | ~F.col("state").eqNullSafe(F.col("_last"))).drop("_last", "_n")
+
+
+def running_in_cells(rows: DataFrame, at: str, keys: list[str], sums: dict[str, Column], maxima: dict[str, Column], cell: int) -> DataFrame:
+    """rows with running sums and maxima over all rows of their keys that come earlier by `at`, none of the same moment.
+
+    A key may hold any share of the rows. Its moments are cut into cells of
+    `cell` units; what a row sees is its part of its own cell and what all
+    earlier cells add up to, of which there is one row each.
+    """
+    rows = rows.withColumn("_cell", F.floor(F.col(at) / cell)).withColumns({f"_v_{k}": v for k, v in (sums | maxima).items()})
+    before, inside = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys, "_cell").orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+    how = {k: F.sum for k in sums} | {k: F.max for k in maxima}
+    cells = rows.groupBy(*keys, "_cell").agg(*[f(f"_v_{k}").alias(f"_c_{k}") for k, f in how.items()])
+    cells = cells.select(*keys, "_cell", *[f(f"_c_{k}").over(before).alias(f"_b_{k}") for k, f in how.items()])
+    own = rows.select("*", *[f(f"_v_{k}").over(inside).alias(f"_i_{k}") for k, f in how.items()]).join(cells, [*keys, "_cell"])
+    total = {k: F.coalesce(f"_b_{k}", F.lit(0)) + F.coalesce(f"_i_{k}", F.lit(0)) for k in sums} | {k: F.greatest(f"_b_{k}", f"_i_{k}") for k in maxima}
+    return own.withColumns(total).drop("_cell", *[f"_{p}_{k}" for p in "vbi" for k in how])
+
+
+def timeline_rows(spans: DataFrame, *keys: str, cell: int = 3_600_000) -> DataFrame:
+    """spans (keys, id, start, stop) with row: the first row of their key that is free when they start.
+
+    A row is free from the stop of its last span on. Spans go by start, equals
+    by id. When none runs, all rows are free, so a key is split at its idle
+    moments: a stretch between two is one stream through a heap of free rows
+    and one of running spans, and no task need hold a key.
+    """
+    import heapq
+
+    latest = running_in_cells(spans, "start", list(keys), {}, {"_last": F.col("stop")}, cell)
+    opens = latest.groupBy(*keys, "start").agg(F.min(F.coalesce(F.col("_last") <= F.col("start"), F.lit(True)).cast("int")).alias("_n"))
+    # the stretch of a moment is the number of moments before it, itself included, that found all rows free
+    stretch = running_in_cells(opens, "start", list(keys), {"_before": F.col("_n")}, {}, cell)
+    s = spans.join(stretch.select(*keys, "start", (F.col("_before") + F.col("_n")).alias("_stretch")), [*keys, "start"])
+    names, place = [*spans.columns], {c: k for k, c in enumerate([*keys, "_stretch", "id", "start", "stop"])}
+
+    def run(parts):
+        import pyarrow as pa
+
+        at, free, busy, made = None, [], [], 0
+        for part in parts:
+            cols = [part.column(c).to_pylist() for c in place]
+            rows = []
+            for r in zip(*cols, strict=True):
+                key, start, stop = r[: len(keys) + 1], r[place["start"]], r[place["stop"]]
+                if key != at:
+                    at, free, busy, made = key, [], [], 0
+                while busy and busy[0][0] <= start:
+                    heapq.heappush(free, heapq.heappop(busy)[1])
+                if free:
+                    row = heapq.heappop(free)
+                else:
+                    made += 1
+                    row = made
+                heapq.heappush(busy, (stop, row))
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(rows, pa.int64())], [*names, "row"])
+
+    schema = spans.schema.add("row", "long")
+    dealt = s.repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", "start", "id")
+    return dealt.mapInArrow(run, schema)

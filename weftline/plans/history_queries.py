@@ -586,15 +586,6 @@ def fs11(t):
     return r.select("id", M.parse_size(F.col("s")).alias("bytes"), M.parse_duration(F.col("d")).alias("ms"))
 
 
-@query(
-    "Fs15_file_locations",
-    r"""SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[a-z0-9-]+\.(?:com|org|net)'))) AS places FROM documents WHERE len(regexp_extract_all(text, '[a-z0-9-]+\.(?:com|org|net)')) > 0""",
-)
-def fs15(t):
-    hits = F.regexp_extract_all("text", F.lit(r"[a-z0-9-]+\.(?:com|org|net)"), F.lit(0))
-    return t.table("documents").select("doc_id", F.size(F.array_distinct(hits)).cast("long").alias("places")).where("places > 0")
-
-
 @query("Fs15b_text_locations")
 def fs15b(t):
     return t.table("documents").select("doc_id", F.posexplode(X.file_locations(F.col("text")))).select("doc_id", F.col("pos").alias("place"), "col.*")

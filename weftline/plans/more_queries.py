@@ -109,17 +109,6 @@ def r6(t):
     return g.select("run_id", "n", (F.col("n") - F.coalesce(F.lag("n").over(Window.partitionBy("day").orderBy("run_id")), F.lit(0))).alias("delta"))
 
 
-@query("F11_worker_measures", "SELECT project, least(warm, 2 * known) AS warm_ms, known / nullif(n, 0) * 1000 AS pace FROM (SELECT project, max(duration_ms)::DOUBLE AS warm, avg(duration_ms) AS known, count(*) AS n FROM runs WHERE status = 'success' GROUP BY project)")
-def f11(t):
-    g = t.runs.where("status = 'success'").groupBy("project").agg(F.max("duration_ms").cast("double").alias("warm"), F.avg("duration_ms").alias("known"), F.count("*").alias("n"))
-    return g.select("project", F.least(F.col("warm"), F.col("known") * 2).alias("warm_ms"), (F.try_divide(F.col("known"), F.col("n").cast("double")) * 1000).alias("pace"))
-
-
-@query("F10_retention", "SELECT project, task, count(*) AS kept FROM task_durations WHERE id >= 2000 GROUP BY ALL")
-def f10(t):
-    return t.task_durations.where("id >= 2000").groupBy("project", "task").agg(F.count("*").alias("kept"))
-
-
 @query(
     "G4_tiered_dependents",
     """WITH RECURSIVE w AS (SELECT src AS origin, dst AS node FROM edges WHERE src % 3 <> 0 UNION SELECT w.origin, e.dst FROM w JOIN edges e ON e.src = w.node WHERE w.node % 3 = 0),
@@ -139,15 +128,6 @@ def g12(t):
     return G.owner_of(paths, t.projects).groupBy("owner").agg(F.count("*").alias("paths"))
 
 
-@query(
-    "G27_restore_exclusions",
-    """WITH RECURSIVE s AS (SELECT node FROM projects WHERE starts_with(dir, 'packages/b3/') AND node > 1500), a AS (SELECT node FROM s UNION SELECT e.src FROM a JOIN edges e ON e.dst = a.node) SELECT node FROM a""",
-)
-def g27(t):
-    seeds = t.projects.where(P.at_or_under("dir", "packages/b3")).where("node > 1500").select("node")
-    return G.affected(seeds, t.edges).select("node")
-
-
 @query("G27b_all_restore_exclusions")
 def g27b(t):
     return G.affected(t.projects.where(P.at_or_under("dir", "packages/b3")).select("node"), t.edges).select("node")
