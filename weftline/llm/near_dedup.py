@@ -197,12 +197,13 @@ def intersections(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     row, column = owner[shared[code]], (np.cumsum(shared) - 1)[code[shared[code]]]
     order = np.argsort(column, kind="stable")
     row, column, width = row[order], column[order], int(shared.sum())
-    out = np.zeros((n, n), np.float32)
+    # whole numbers: floats of 32 bits would be off beyond 2**24 common values, and 100 times such a count earlier
+    out = np.zeros((n, n), np.int64)
     for at in range(0, width, COLUMNS):
         lo, hi = np.searchsorted(column, [at, at + COLUMNS])
         part = np.zeros((n, min(COLUMNS, width - at)), np.float32)
         part[row[lo:hi], column[lo:hi] - at] = 1
-        out += part @ part.T
+        out += (part @ part.T).astype(np.int64)
     return out
 
 
