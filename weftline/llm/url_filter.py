@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import scratch, stored, table
 
-#: Keys with more captures than HOT are dealt into SALTS shares, and their entries repeated for each.
-HOT, SALTS = 10_000, 16
+#: Keys with more captures than HOT are dealt into shares of about so many each, and their entries repeated for each share.
+HOT = 10_000
 
 
 def host_of(url: Column) -> Column:
@@ -49,19 +49,20 @@ def judge(captures: DataFrame, entries: DataFrame, hot_above: int = HOT) -> Data
 
     rule is the deciding key, null if none is active: such a capture isn't
     blocked, nor is one without a host or a fetch time. Captures that are equal
-    in all three columns are returned once for each copy. Other columns of
-    both tables are dropped.
+    in all three columns are returned once for each copy. A URL is read
+    whole, however long. Null URLs and ones without a host have no key. Other
+    columns of both tables are dropped; an empty list blocks nothing.
     """
     one = captures.groupBy("page_id", "url", "fetched_at").agg(F.count(F.lit(1)).alias("_copies"))
     asked = one.select("page_id", "url", "fetched_at", F.posexplode(keys_of(F.col("url"))).alias("_depth", "_ask"))
     # written first: of a table's size the planner knows whether to broadcast it, and then no shuffle deals captures by key alone
-    hot = asked.groupBy(F.col("_ask").alias("_hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_above).select("_hot")
+    hot = asked.groupBy(F.col("_ask").alias("_hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_above).select("_hot", F.ceil(F.col("n") / hot_above).alias("_shares"))
     hot = stored(hot, f"{scratch(captures.sparkSession)}/hot")
     held = intervals(entries).select(F.col("key").alias("_key"), "action", "since", "until").join(hot, F.col("_key") == F.col("_hot"), "left")
-    shares = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    shares = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_shares").cast("int") - 1))
     held = held.select("_key", "action", "since", "until", F.explode(shares).alias("_share"))
-    share = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "url", "fetched_at"), F.lit(SALTS))).cast("int")
-    asked = asked.join(hot, F.col("_ask") == F.col("_hot"), "left").withColumn("_share", share).drop("_hot")
+    share = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "url", "fetched_at"), F.col("_shares"))).cast("int")
+    asked = asked.join(hot, F.col("_ask") == F.col("_hot"), "left").withColumn("_share", share).drop("_hot", "_shares")
     active = (F.col("_ask") == F.col("_key")) & (asked["_share"] == held["_share"]) & (F.col("fetched_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until")))
     hits = asked.join(held, active)
     best = hits.groupBy("page_id", "url", "fetched_at").agg(F.min(F.struct("_depth", F.col("_ask").alias("rule"), "since", "action")).alias("_hit"))
