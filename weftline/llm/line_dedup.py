@@ -141,6 +141,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, n_batch
 
     Batches are ranges of doc_id of BATCH_BYTES of text, or n_batches of them;
     BATCHES at least, so that the runs settle lines on small inputs too.
+
+    The runs are bucketed Parquet tables in the session's current catalog,
+    which has to take such tables, under names of their own; they are gone when
+    this returns or fails.
     """
     spark = docs.sparkSession
     root = scratch(spark)
@@ -150,14 +154,17 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, n_batch
     n = min(n_batches or max(BATCHES, -(-held // BATCH_BYTES)), CUTS)
     cuts = sorted({cuts[CUTS * i // n - 1] for i in range(1, n)}) if cuts else []
     index = LineRuns(spark, root, min_docs, fanout, buckets=min(max(8, -(-held // BUCKET_BYTES)), 20_000))
-    fresh = index.bucketed(line_stats(lines, batch_of(cuts).alias("batch")).repartition(index.buckets, "h"), "batch")
-    for k in range(len(cuts) + 1):
-        # largest ids first
-        index.absorb_stats(fresh.where(F.col("batch") == k).select("h", "n", "last"))
-    # written first: both sides of the join below are then plain shuffles, whose large parts Spark can split
-    with _in_order(spark):
-        hot = stored(index.frequent().select("h", "last"), f"{root}/frequent")
-    index.drop()
+    try:
+        fresh = index.bucketed(line_stats(lines, batch_of(cuts).alias("batch")).repartition(index.buckets, "h"), "batch")
+        for k in range(len(cuts) + 1):
+            # largest ids first
+            index.absorb_stats(fresh.where(F.col("batch") == k).select("h", "n", "last"))
+        # written first: both sides of the join below are then plain shuffles, whose large parts Spark can split
+        with _in_order(spark):
+            hot = stored(index.frequent().select("h", "last"), f"{root}/frequent")
+    finally:
+        # also when a batch fails: the runs are tables of the session's catalog
+        index.drop()
 
     gone = lines.join(hot, lines["h"] == hot["h"]).where(F.col("_id") != F.col("last"))
     gone = gone.groupBy(F.col("_id").alias("_gid"), F.col("_th").alias("_gth")).agg(F.collect_set("pos").alias("_gone"))
