@@ -13,8 +13,9 @@ A query goes down to its most promising pages, which gives it a k-th best
 distance. With that it starts again at the root and leaves out each node that
 the k-th distance rules out: by the parent distance alone where that suffices,
 else by the distance to the routing object less the radius. The pages that
-are left are visited in the order of their bounds, the nearest first, with the
-k-th distance carried on, and inside a page the stored parent distances say
+are left are visited in the order of their bounds, the nearest first, in rounds
+with the k-th distance and score carried on: a visit hands on only what is at or
+above that score. Inside a page the stored parent distances say
 which rows a query needs at all.
 """
 
@@ -33,7 +34,7 @@ from .common import scratch, stored
 PAGE_ROWS, FAN, SAMPLED, LEVELS = 512, 32, 1024, 12
 #: Queries that meet a node at a time, and rows of a node that are divided at a time.
 QUERY_BLOCK, ROW_BLOCK = 1024, 100_000
-#: Nodes that a query follows at each level on its way to the first pages, and pages that it visits before the last round.
+#: Nodes that a query follows at each level on its way to the first pages, and pages that it visits in the round after.
 BEAM, NEXT = 2, 8
 #: Distances are off by no more than this part of the common norm.
 SLACK = 1e-6
@@ -44,7 +45,7 @@ HITS = "query bigint, row bigint, vec_id bigint, score bigint, scored bigint"
 
 def quantized(column: str) -> Column:
     """floor(1024 * x) of each component, at most what a long holds; null if the vector or a component is null or not finite."""
-    big = F.transform(F.col(column), lambda x: F.when(F.abs(x) < 2.0**52, F.floor(F.lit(1024.0) * x.cast("double"))).otherwise(F.when(x > 0, F.lit(MOST)).otherwise(F.lit(-MOST))))
+    big = F.transform(F.col(column), lambda x: F.when((x < 2.0**53) & (x >= -(2.0**53)), F.floor(F.lit(1024.0) * x.cast("double"))).otherwise(F.when(x > 0, F.lit(MOST)).otherwise(F.lit(-MOST))))
     bad = F.exists(F.col(column), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.when(F.col(column).isNotNull() & ~F.coalesce(bad, F.lit(False)), big)
 
@@ -66,7 +67,8 @@ def _integers(vectors, dim: int) -> np.ndarray:
 
 def _scores(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Integer inner products of rows with q. Sums beyond a long count as its end."""
-    most = np.abs(rows).max(initial=0).astype(float) * np.abs(q).max(initial=0).astype(float) * len(q)
+    # as floats: the least long has no absolute value among longs
+    most = np.abs(rows.astype(float)).max(initial=0) * np.abs(q.astype(float)).max(initial=0) * len(q)
     if most < 2**53:
         return np.rint(rows.astype(float) @ q.astype(float)).astype(np.int64)
     if most < 2**62:
@@ -202,8 +204,11 @@ class MTree:
         out = here.join(self.cuts, "node")
         return out.withColumn("page", F.explode(F.sequence(F.lit(0), F.col("cuts").cast("int") - 1))).drop("cuts")
 
-    def _visited(self, visits: DataFrame, k: int, blocks: int) -> DataFrame:
-        """The k best rows of each visited page for each of its queries; `scored`, on one row of a visit, is what it took."""
+    def _visited(self, visits: DataFrame, k: int, blocks: int, counted: bool) -> DataFrame:
+        """The rows of each visited page that can be among the k best of its queries: those at or above the k-th score so far.
+
+        Counted, a visit has one row more, without a row number: `scored` is what it took.
+        """
         dim, slack = self.dim, self.slack
         visits = visits.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
         place = ["node", "page"]
@@ -216,29 +221,33 @@ class MTree:
                 page = page.sort_values("up", kind="stable")
                 up, rows = page["up"].to_numpy(), _integers(page["v"], dim)
                 names, ids = page["row"].to_numpy(), page["vec_id"].to_numpy()
-                for query, v, reach, away in zip(asked["query"], asked["v"], asked["reach"], asked["away"], strict=True):
+                for query, v, reach, away, kth in zip(asked["query"], asked["v"], asked["reach"], asked["away"], asked["kth"], strict=True):
                     # the triangle inequality on parent distances leaves one stretch of the page
                     lo, hi = np.searchsorted(up, away - reach - slack, "left"), np.searchsorted(up, away + reach + slack, "right")
                     if lo >= hi:
                         continue
                     s = _scores(rows[lo:hi], _integers([v], dim)[0])
-                    other = names[lo:hi] != query
+                    if counted:
+                        out.append(pd.DataFrame({"query": [query], "row": [-1], "vec_id": [0], "score": [0], "scored": [hi - lo]}))
+                    # equals of the k-th may still take its place, by their vec_id
+                    other = (names[lo:hi] != query) & (s >= kth)
                     s, own, id_ = s[other], names[lo:hi][other], ids[lo:hi][other]
                     if len(s) > k:
                         edge = np.partition(s, len(s) - k)[len(s) - k]
                         s, own, id_ = (x[s >= edge] for x in (s, own, id_))
                     order = np.lexsort((own, id_, -s))[:k]
                     if len(order):
-                        scored = np.zeros(len(order), np.int64)
-                        scored[0] = hi - lo
-                        out.append(pd.DataFrame({"query": query, "row": own[order], "vec_id": id_[order], "score": s[order], "scored": scored}))
+                        out.append(pd.DataFrame({"query": query, "row": own[order], "vec_id": id_[order], "score": s[order], "scored": 0}))
             return pd.concat(out) if out else pd.DataFrame({c.split()[0]: np.empty(0, np.int64) for c in HITS.split(", ")})
 
         key = [*place, "block"]
         return pages.groupBy(*key).cogroup(visits.groupBy(*key)).applyInPandas(best, HITS)
 
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
-        """query, rank, row, vec_id, score of the k best other rows, and `scored`, how many scores a query took; queries as (query, v)."""
+    def search(self, queries: DataFrame, k: int, counted: bool = False) -> DataFrame:
+        """query, rank, row, vec_id, score of the k best other rows; queries as (query, v).
+
+        Counted, also scored: how many scores a query took.
+        """
         spark = queries.sparkSession
         schema = "query bigint, rank int, row bigint, vec_id bigint, score bigint, scored bigint"
         if self.empty:
@@ -248,8 +257,9 @@ class MTree:
         order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
 
         def top(hits: DataFrame) -> DataFrame:
-            took = F.sum("scored").over(Window.partitionBy("query"))
-            return hits.withColumns({"rank": F.row_number().over(order), "took": took}).where(F.col("rank") <= k).drop("scored").withColumnsRenamed({"took": "scored"})
+            # the rows that count come first or last of their query by their number; they have no rank
+            took = hits.withColumn("took", F.sum("scored").over(Window.partitionBy("query"))).where("row >= 0") if counted else hits.withColumn("took", F.lit(0).cast("long"))
+            return took.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("scored").withColumnRenamed("took", "scored")
 
         def merged(found: DataFrame, more: DataFrame) -> DataFrame:
             # what a query took so far counts once
@@ -257,25 +267,28 @@ class MTree:
             return top(found.withColumn("scored", once).drop("rank").unionByName(more))
 
         def reaching(found: DataFrame) -> DataFrame:
-            """Queries with how far their k-th best row is: infinitely, where there is none yet."""
-            kth = found.where(F.col("rank") == k).select("query", F.col("score").cast("double").alias("kth"))
+            """Queries with their k-th score so far and how far that row is: infinitely, where there is none yet."""
+            kth = found.where(F.col("rank") == k).select("query", F.col("score").alias("kth"))
             norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-            far = F.sqrt(F.greatest(F.lit(0.0), norm + F.lit(longest) - 2 * F.col("kth")))
-            return queries.join(kth, "query", "left").select("query", "v", F.when(F.col("kth").isNull(), float("inf")).otherwise(far).alias("reach"))
+            far = F.sqrt(F.greatest(F.lit(0.0), norm + F.lit(longest) - 2 * F.col("kth").cast("double")))
+            return queries.join(kth, "query", "left").select("query", "v", F.when(F.col("kth").isNull(), float("inf")).otherwise(far).alias("reach"), F.coalesce("kth", F.lit(-MOST)).alias("kth"))
 
         start = queries.withColumn("reach", F.lit(float("inf")))
         first = stored(self._descend(start, blocks, BEAM), f"{root}/first")
-        found = stored(top(self._visited(first, k, blocks)), f"{root}/found-0")
+        found = stored(top(self._visited(first.withColumn("kth", F.lit(-MOST)), k, blocks, counted)), f"{root}/found-0")
         place = ["query", "node", "page"]
-        open_ = self._descend(reaching(found), blocks, 0).join(first.select(*place), place, "left_anti")
+        open_ = self._descend(reaching(found).drop("kth"), blocks, 0).join(first.select(*place), place, "left_anti")
         turn = F.row_number().over(Window.partitionBy("query").orderBy("least", "node", "page"))
-        open_ = stored(open_.withColumn("turn", turn), f"{root}/open")
-        found = stored(merged(found, self._visited(open_.where(F.col("turn") <= NEXT).drop("turn"), k, blocks)), f"{root}/found-1")
-        # what the better k-th distance still leaves open
-        rest = open_.where(F.col("turn") > NEXT).drop("turn", "reach").join(reaching(found).select("query", "reach"), "query")
-        rest = rest.where(F.col("least") <= F.col("reach") + F.lit(self.slack))
-        out = merged(found, self._visited(rest, k, blocks))
-        return out.select("query", F.col("rank").cast("int").alias("rank"), "row", "vec_id", "score", "scored")
+        open_ = stored(open_.withColumn("turn", turn).drop("reach"), f"{root}/open")
+        done, upto = 0, NEXT
+        while True:
+            # each round four times as many pages, with the k-th score of the round before
+            left = open_.where(F.col("turn") > done).join(reaching(found).select("query", "reach", "kth"), "query").where(F.col("least") <= F.col("reach") + F.lit(self.slack))
+            if left.isEmpty():
+                return found.select("query", F.col("rank").cast("int").alias("rank"), "row", "vec_id", "score", "scored")
+            now = left.where(F.col("turn") <= upto).drop("turn")
+            found = stored(merged(found, self._visited(now, k, blocks, counted)), f"{root}/found-{upto}")
+            done, upto = upto, upto * 4
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
@@ -290,16 +303,20 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     scores that don't, count as the largest long or its negative. Other
     columns are dropped.
     """
-    return top_k_costs(vectors, k, every).drop("scored")
+    return _ranked(vectors, k, every, False).drop("scored")
 
 
 def top_k_costs(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """top_k() and scored, the number of scores that each query took."""
+    return _ranked(vectors, k, every, True)
+
+
+def _ranked(vectors: DataFrame, k: int, every: int, counted: bool) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantized("embedding").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     # numbered once, in the written table
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), f"{scratch(vectors.sparkSession)}/vectors")
     queries = rows.where(F.col("vec_id") % every == 0)
-    hits = MTree(rows).search(queries.select(F.col("row").alias("query"), "v"), k)
+    hits = MTree(rows).search(queries.select(F.col("row").alias("query"), "v"), k, counted)
     names = queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
     return hits.join(names, "query").select("query_id", "rank", "vec_id", "score", "scored")
 
@@ -310,7 +327,7 @@ def query(spark: SparkSession, vectors: DataFrame) -> DataFrame:
 
 SQL = """
 WITH ok AS MATERIALIZED (
-  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CASE WHEN abs(x) < 4503599627370496 THEN CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CASE WHEN x < 9007199254740992 AND x >= -9007199254740992 THEN CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)
            WHEN x > 0 THEN 9223372036854775807 ELSE -9223372036854775807 END) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.r AS q, q.vec_id AS query_id, c.r AS c, c.vec_id,
