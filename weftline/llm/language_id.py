@@ -17,11 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import numbered, scratch, stored
+
 PROFILE = 400
 #: Labelled documents of a language that a profile is learned from (about so many: chosen by hash).
 SAMPLED = 500
-#: Labels that there may be; more are refused. At the bound, the profiles are 1,000 * PROFILE codes of 8 bytes: 3.2 MB
-#: in the driver and in each worker.
+#: Languages whose profiles are in the driver and in each worker at a time: 1,000 * PROFILE codes of 8 bytes, 3.2 MB.
+#: Of more languages, one slice after another judges the documents, and the least distance is carried on.
 LANGUAGES = 1000
 _OTHER = regex.compile(r"\P{L}+")
 _EDGE = ord("_")
@@ -51,21 +53,39 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, sampled: int = SAMPLED, most: int = PROFILE, languages: int = LANGUAGES) -> dict[str, np.ndarray]:
+class Profiles:
+    """Profiles as a table (lang, place, code, at): at numbers the languages by name, from 0."""
+
+    def __init__(self, rows: DataFrame, languages: int, slice_of: int = LANGUAGES):
+        self.rows, self.languages, self.slice_of = rows, languages, slice_of
+
+    def __bool__(self) -> bool:
+        return self.languages > 0
+
+    def slices(self) -> Iterator[dict[str, np.ndarray]]:
+        """The profiles by name, slice_of languages at a time."""
+        for low in range(0, self.languages, self.slice_of):
+            out: dict[str, list] = {}
+            for r in self.rows.where((F.col("at") >= low) & (F.col("at") < low + self.slice_of)).orderBy("at", "place").collect():
+                out.setdefault(r["lang"], []).append(r["code"])
+            yield {k: np.array(v, np.int64) for k, v in out.items()}
+
+
+def learn(docs: DataFrame, sampled: int = SAMPLED, most: int = PROFILE, slice_of: int = LANGUAGES) -> Profiles:
     """Profiles from the labelled documents that aren't held out.
 
     About `sampled` documents of each language are read, those with the
-    smallest hashes of their ids and texts. What reaches the driver is `most`
-    codes for each language, of which there may be `languages`.
+    smallest hashes of their ids and texts. Of any number of languages the
+    profiles are one table; slice_of of them are in the driver at a time.
     """
+    spark = docs.sparkSession
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    many = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(languages + 1).collect()
-    if len(many) > languages:
-        raise ValueError(f"more than {languages} languages")
-    share = known.sparkSession.createDataFrame([(r["lang"], float(sampled) / r["n"]) for r in many], "lang string, share double")
+    share = known.groupBy("lang").agg((F.lit(float(sampled)) / F.count(F.lit(1))).alias("share"))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    # at most `languages` rows: the texts stay where they are
-    picked = known.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("lang", "text")
+    root = scratch(spark)
+    # written first, so that its size is known: the texts stay where they are as long as it can be broadcast
+    share = stored(share, f"{root}/share")
+    picked = known.join(share, "lang").where(draw < F.col("share")).select("lang", "text")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -75,11 +95,11 @@ def learn(docs: DataFrame, sampled: int = SAMPLED, most: int = PROFILE, language
 
     totals = picked.mapInPandas(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
-    top = totals.withColumn("place", place).where(F.col("place") <= most)
-    out: dict[str, list] = {}
-    for r in top.orderBy("lang", "place").collect():
-        out.setdefault(r["lang"], []).append(r["code"])
-    return {k: np.array(v, np.int64) for k, v in out.items()}
+    top = stored(totals.withColumn("place", place).where(F.col("place") <= most).select("lang", "place", "code"), f"{root}/top")
+    names = numbered(top.select("lang").distinct(), f"{root}/names", F.col("lang")).withColumnRenamed("_rank", "at")
+    rows = stored(top.join(names, "lang"), f"{root}/profiles")
+    last = rows.agg(F.max("at")).first()[0]
+    return Profiles(rows, 0 if last is None else last + 1, slice_of)
 
 
 def readable(docs: DataFrame) -> DataFrame:
@@ -103,21 +123,21 @@ class Judge:
             self.sorted.append(profiles[lang][order])
             self.place.append(order)
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
+    def __call__(self, text: str | None, best: str = "und", least: int | None = None) -> tuple[str, int | None, float]:
+        """The nearest language, its distance and score, after the best of those judged so far."""
         own = ranked(*ngrams(text or ""), self.most)
         if not len(own) or not self.langs:
-            return "und", 0.0
-        best, least = "und", None
+            return "und", None, 0.0
         mine = np.arange(len(own))
         for lang, codes, place in zip(self.langs, self.sorted, self.place, strict=True):
             at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
             out = int(np.where(codes[at] == own, np.abs(place[at] - mine), self.most).sum())
             if least is None or out < least:
                 best, least = lang, out
-        return best, 1.0 - least / (self.most * len(own))
+        return best, least, 1.0 - least / (self.most * len(own))
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], most: int = PROFILE) -> DataFrame:
+def predict(docs: DataFrame, profiles: Profiles, most: int = PROFILE) -> DataFrame:
     """docs with lang_pred and score, from the whole text alone.
 
     `und` with score 0 for a null text, one without a letter, or where no
@@ -126,14 +146,30 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], most: int = PROFIL
     """
     docs = docs.drop("lang_pred", "score")
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    carried = "_least"
+    while carried in docs.columns:
+        carried += "_"
+    out = docs
+    for k, part_of in enumerate(profiles.slices() if profiles else [{}]):
+        out = _judged(out, schema.add(carried, "long") if not k else out.schema, part_of, carried, most, k > 0)
+    return out.drop(carried)
+
 
+def _judged(docs: DataFrame, schema, profiles: dict[str, np.ndarray], carried: str, most: int, again: bool) -> DataFrame:
     def run(parts):
         import pyarrow as pa
 
         judge = Judge(profiles, most)
         for part in parts:
-            found = [judge(t) for t in part.column("text").to_pandas()]
-            yield part.append_column("lang_pred", pa.array([f[0] for f in found], pa.string())).append_column("score", pa.array([f[1] for f in found], pa.float64()))
+            texts = part.column("text").to_pandas()
+            if again:
+                before = zip(part.column("lang_pred").to_pylist(), part.column(carried).to_pylist(), strict=True)
+                found = [judge(t, *b) for t, b in zip(texts, before, strict=True)]
+                part = part.drop_columns(["lang_pred", "score", carried])
+            else:
+                found = [judge(t) for t in texts]
+            made = [pa.array([f[0] for f in found], pa.string()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, "lang_pred", "score", carried])
 
     return docs.mapInArrow(run, schema)
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import scratch, stored, whole_text
+from .common import numbered, scratch, stored, whole_text
 
 WEIGHTS = (3, 1, 2)
 #: What the mix holds of all words, in percent, and how often it takes a word at most.
@@ -29,25 +29,6 @@ SEED = 13
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def numbered(df: DataFrame, path: str, *order: Column) -> DataFrame:
-    """df with _rank, from 0 in the given order over all its rows.
-
-    Rows are sorted by range; a row's rank is its place in its range and the
-    rows of the ranges before, of which the driver has one number each. No
-    task orders everything.
-    """
-    rows = stored(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), path)
-    counts = rows.groupBy(F.shiftright("_m", 33).alias("p")).count().orderBy("p").collect()
-    before, starts = 0, []
-    for r in counts:
-        starts.append((r["p"], before))
-        before += r["count"]
-    # one row for each range of the sort
-    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "_p bigint, _before bigint"))
-    inside = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.withColumn("_p", F.shiftright("_m", 33)).join(offsets, "_p").withColumn("_rank", F.col("_before") + inside).drop("_p", "_m", "_before")
-
-
 def apportion(parties: DataFrame, seats: DataFrame, path: str) -> DataFrame:
     """(grp, party, quota) by Sainte-Laguë: seats (grp, seats) go to the highest of votes / 1, / 3, / 5 and so on.
 
