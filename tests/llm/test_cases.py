@@ -249,7 +249,7 @@ def brute_language(text, profiles, most):
     code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
     mine = sorted(grams, key=lambda g: (-grams[g], code(g)))[:most]
     out = {}
-    for lang, profile in profiles.items():
+    for lang, profile in (x for part in profiles.slices() for x in part.items()):
         place = {int(c): k for k, c in enumerate(profile)}
         out[lang] = sum(abs(place[code(g)] - k) if code(g) in place else most for k, g in enumerate(mine))
     best = min(sorted(out), key=out.get)
@@ -267,13 +267,29 @@ def test_language_by_out_of_place_distance(spark, sf):
 
 def test_language_ties_numbers_and_long_texts(spark):
     learned = language_id.learn(spark.createDataFrame([(i, "the same words", lang, "s", 1) for i in range(20) for lang in ("xx", "aa")], SCHEMA))
-    assert sorted(learned) == ["aa", "xx"]
+    assert [sorted(x) for x in learned.slices()] == [["aa", "xx"]]
     texts = ["the same", "½ ²³", "①②", "Ⅷ", "__ 42", "the same words " * 100_000, "中"]
     got = [r.lang_pred for r in language_id.predict(spark.createDataFrame(list(enumerate(texts)), TWO), learned).orderBy("doc_id").collect()]
     assert got == ["aa", "und", "und", "und", "und", "aa", "aa"]
     assert language_id.readable(spark.createDataFrame(list(enumerate(texts)), TWO)).count() == 3
-    with pytest.raises(ValueError, match="more than 1 languages"):
-        language_id.learn(spark.createDataFrame([(1, "a b", "x", "s", 1), (3, "a b", "y", "s", 1)], SCHEMA), languages=1)
+
+
+def test_any_number_of_languages_is_learned_and_told_apart(spark):
+    # a language of its own letters for each label; 1,500 of them, and few enough in a slice that many slices judge
+    word = lambda k: "".join(chr(0x4E00 + 3 * k + j) for j in range(3))
+    ids = [i for i in range(8_000) if zlib.crc32(str(i).encode()) % 4 != 2][:1_500]
+    docs = spark.createDataFrame([(i, word(k) * 2, f"l{k}", "s", 1) for k, i in enumerate(ids)], SCHEMA)
+    learned = language_id.learn(docs, slice_of=400)
+    assert learned.languages == 1_500 and [len(x) for x in learned.slices()] == [400, 400, 400, 300]
+    asked = spark.createDataFrame([(k, f"{word(k)} {word(k)}", "x") for k in range(0, 1_500, 7)], TWO + ", _least string")
+    got = language_id.predict(asked, learned)
+    assert got.columns == ["doc_id", "text", "_least", "lang_pred", "score"]
+    assert all(r.lang_pred == f"l{r.doc_id}" and 0 <= r.score <= 1 and r["_least"] == "x" for r in got.collect())
+    # slices of any size tell the same
+    few = docs.where("doc_id < 40")
+    one, many = language_id.learn(few), language_id.learn(few, slice_of=3)
+    mixed = spark.createDataFrame([(1, word(0) + word(1) + "abc"), (2, "abc"), (3, None)], TWO)
+    assert sorted(map(tuple, language_id.predict(mixed, one).collect())) == sorted(map(tuple, language_id.predict(mixed, many).collect()))
 
 
 def test_held_out_is_a_crc_of_the_id(spark):
@@ -423,3 +439,41 @@ def test_topk_scores_a_smaller_share_of_more_rows(spark):
         out = topk.top_k_costs(spark.createDataFrame(data, VECTORS), 10, 100).where("rank = 1").agg({"scored": "sum"}).first()[0]
         shares.append(out / (n * n / 100))
     assert shares[1] < shares[0] < 1
+
+
+def test_topk_hands_on_few_rows_without_clusters(spark, monkeypatch):
+    r = np.random.default_rng(11)
+    data = [(i, [float(x) for x in r.normal(size=16)]) for i in range(6_000)]
+    made, visited = [], topk.MTree._visited
+
+    def counting(self, *args):
+        out = common.stored(visited(self, *args), common.scratch(spark) + "/hits")
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(topk.MTree, "_visited", counting)
+    got = found(topk.top_k(spark.createDataFrame(data, VECTORS), 10, 100))
+    assert got == brute_topk(data, 10, 100)
+    # 60 queries of 10 rows: the first pages, then what is at or above the k-th score
+    assert len(made) > 2 and sum(made) < 60 * 10 * 8
+
+
+def test_topk_of_components_next_to_what_a_long_holds(spark):
+    edge = [2.0**52, 2.0**53 - 1, -(2.0**53), 2.0**53, -1e300]
+    rows = spark.createDataFrame([(i, [x]) for i, x in enumerate(edge)], "vec_id long, embedding array<double>").select("vec_id", topk.quantized("embedding").alias("v")).orderBy("vec_id").collect()
+    assert [r.v[0] for r in rows] == [1024 * 2**52, 1024 * (2**53 - 1), -(2**63), 2**63 - 1, -(2**63) + 1]
+    data = [(0, [-(2.0**53), 1.0]), (1, [1.0, 1.0]), (2, [2.0**52, 0.0])]
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), 2, 100).collect()}
+    assert got == {(0, 1): (1, -(2**63) + 1), (0, 2): (2, -(2**63) + 1)}
+
+
+def test_intersections_are_exact_beyond_small_floats():
+    n = (1 << 24) + 3
+    values = np.concatenate([np.arange(n), np.arange(n)])
+    old = near_dedup.COLUMNS
+    try:
+        near_dedup.COLUMNS = 1 << 22
+        both = near_dedup.intersections(values, np.repeat([0, 1], n), 2)
+    finally:
+        near_dedup.COLUMNS = old
+    assert both[0, 1] == n and (100 * both)[0, 1] == 100 * n

@@ -446,10 +446,10 @@ def test_language_id_on_held_out_documents(spark, sf):
 
 def test_language_id_edges(spark, odd, none):
     learned = language_id.learn(spark.createDataFrame([(i, "the cat and the hat", "en", "s", 1) for i in range(20)] + [(i, "der Hund und das Haus", "de", "s", 1) for i in range(20, 40)], SCHEMA))
-    assert sorted(learned) == ["de", "en"]
+    assert [sorted(x) for x in learned.slices()] == [["de", "en"]]
     got = {r.doc_id: r.lang_pred for r in language_id.predict(spark.createDataFrame([(1, None), (2, ""), (3, "12 !"), (4, "und das"), (5, "THE HAT")], "doc_id bigint, text string"), learned).collect()}
     assert got == {1: "und", 2: "und", 3: "und", 4: "de", 5: "en"}
-    assert language_id.predict(none, learned).count() == 0 and language_id.learn(none) == {}
+    assert language_id.predict(none, learned).count() == 0 and not language_id.learn(none)
     assert {r.lang_pred for r in language_id.predict(odd, {}).collect()} == {"und"}
     clash = language_id.predict(odd.withColumnRenamed("source", "score"), learned)
     assert clash.columns == ["doc_id", "text", "lang", "n_chars", "lang_pred", "score"]
