@@ -3,7 +3,7 @@
 The largest inner product is the smallest distance once every row has one
 more component that brings all rows to the norm of the longest, and queries
 have 0 there. In that metric the tree is loaded from the top: a node with more
-rows than a page takes is divided among routing objects, rows of a bounded
+rows than a page takes is divided among routing objects, middles of a bounded
 sample of it, and each row goes below the nearest. Every node has its routing
 object, its covering radius and its distance to the parent's routing object;
 every row has its distance to its page's. Nodes and pages are tables, so
@@ -65,16 +65,16 @@ def _integers(vectors, dim: int) -> np.ndarray:
     return out
 
 
-def _scores(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Integer inner products of rows with q. Sums beyond a long count as its end."""
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Integer inner products of the rows of a with those of b. Sums beyond a long count as its end."""
     # as floats: the least long has no absolute value among longs
-    most = np.abs(rows.astype(float)).max(initial=0) * np.abs(q.astype(float)).max(initial=0) * len(q)
+    most = np.abs(a.astype(float)).max(initial=0) * np.abs(b.astype(float)).max(initial=0) * a.shape[1]
     if most < 2**53:
-        return np.rint(rows.astype(float) @ q.astype(float)).astype(np.int64)
+        return np.rint(a.astype(float) @ b.astype(float).T).astype(np.int64)
     if most < 2**62:
-        return rows @ q
-    exact = rows.astype(object) @ q.astype(object)
-    return np.array([min(max(x, -MOST), MOST) for x in exact], np.int64)
+        return a @ b.T
+    exact = a.astype(object) @ b.astype(object).T
+    return np.array([[min(max(x, -MOST), MOST) for x in row] for row in exact], np.int64).reshape(len(a), len(b))
 
 
 def _lifted(rows: np.ndarray, longest: float) -> np.ndarray:
@@ -86,17 +86,18 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _routing(sample: np.ndarray, fan: int) -> np.ndarray:
-    """Routing objects: farthest-first rows of the sample, then the rows nearest to the middle of what is nearest to them."""
-    chosen = [0]
-    near = _distances(sample, sample[:1])[:, 0]
-    while len(chosen) < min(fan, len(sample)) and near.max() > 0:
-        chosen.append(int(near.argmax()))
-        near = np.minimum(near, _distances(sample, sample[chosen[-1:]])[:, 0])
-    out = sample[chosen]
-    for _ in range(4):
-        own = _distances(sample, out).argmin(1)
-        middle = np.array([sample[own == i].mean(0) if (own == i).any() else out[i] for i in range(len(out))])
-        out = sample[_distances(middle, sample).argmin(1)]
+    """Routing objects: rows of the sample, which comes in a hashed order, moved to the middles of what is nearest to them.
+
+    They stay in the middle and don't go on to the row next to it: in many
+    dimensions one central row is the nearest of all to most middles, and
+    would take everything below it.
+    """
+    first = np.sort(np.unique(sample, axis=0, return_index=True)[1])
+    out = sample[first[:fan]]
+    if len(first) > fan:
+        for _ in range(6):
+            own = _distances(sample, out).argmin(1)
+            out = np.array([sample[own == i].mean(0) if (own == i).any() else out[i] for i in range(len(out))])
     return np.unique(out, axis=0)
 
 
@@ -131,14 +132,17 @@ class MTree:
     def _divide(self, at: DataFrame, nodes: DataFrame, full: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
         """Rows and nodes one level down: rows of full nodes go below routing objects of their own, the others stay."""
         dim, longest, root = self.dim, self.longest, f"{self.root}/{level}"
-        share = full.select("node", (F.lit(float(SAMPLED)) / F.col("n")).alias("share"), F.ceil(F.col("n") / ROW_BLOCK).alias("blocks"))
+        # as many routing objects as leave about half a page to each, FAN at most
+        fan = F.least(F.lit(FAN), F.greatest(F.lit(2), F.ceil(2 * F.col("n") / PAGE_ROWS))).cast("int")
+        share = full.select("node", (F.lit(float(SAMPLED)) / F.col("n")).alias("share"), F.ceil(F.col("n") / ROW_BLOCK).alias("blocks"), fan.alias("fan"))
         share = stored(share, f"{root}-full")
         draw = F.pmod(F.xxhash64("row", F.lit(level)), F.lit(1_000_003)) / F.lit(1_000_003.0)
         above = self.levels[-1].select(F.col("node").alias("of"), "centre") if self.levels else None
-        sample = at.join(share, "node").where(draw <= F.col("share")).select("node", "v")
+        sample = at.join(share, "node").where(draw <= F.col("share")).select("node", "v", "fan", F.xxhash64("row", F.lit(level), F.lit("order")).alias("order"))
 
         def choose(own: pd.DataFrame) -> pd.DataFrame:
-            node, centres = int(own["node"].iloc[0]), _routing(_lifted(_matrix(own["v"], dim), longest), FAN)
+            own = own.sort_values("order", kind="stable")
+            node, centres = int(own["node"].iloc[0]), _routing(_lifted(_matrix(own["v"], dim), longest), int(own["fan"].iloc[0]))
             return pd.DataFrame({"parent": node, "node": node * FAN + np.arange(1, len(centres) + 1), "centre": list(centres)})
 
         routers = sample.groupBy("node").applyInPandas(choose, "parent bigint, node bigint, centre array<double>")
@@ -152,7 +156,7 @@ class MTree:
             return rows[["row", "vec_id", "v", "node", "up"]]
 
         block = F.pmod(F.xxhash64("row"), F.col("blocks"))
-        asked = at.join(share.drop("share"), "node").withColumn("block", block).drop("blocks").groupBy("node", "block")
+        asked = at.join(share.drop("share", "fan"), "node").withColumn("block", block).drop("blocks").groupBy("node", "block")
         repeated = routers.join(share.select(F.col("node").alias("parent"), "blocks"), "parent").select("parent", "node", "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).groupBy("parent", "block")
         moved = asked.cogroup(repeated).applyInPandas(place, "row bigint, vec_id bigint, v array<bigint>, node bigint, up double")
         stay = at.join(share.select("node"), "node", "left_anti").select("row", "vec_id", "v", "node", "up")
@@ -216,29 +220,31 @@ class MTree:
         pages = self.pages.join(visits.select(*place, F.col("block").alias("for")).distinct(), place).withColumnRenamed("for", "block")
 
         def best(page: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(page) and len(asked):
-                page = page.sort_values("up", kind="stable")
-                up, rows = page["up"].to_numpy(), _integers(page["v"], dim)
-                names, ids = page["row"].to_numpy(), page["vec_id"].to_numpy()
-                for query, v, reach, away, kth in zip(asked["query"], asked["v"], asked["reach"], asked["away"], asked["kth"], strict=True):
-                    # the triangle inequality on parent distances leaves one stretch of the page
-                    lo, hi = np.searchsorted(up, away - reach - slack, "left"), np.searchsorted(up, away + reach + slack, "right")
-                    if lo >= hi:
-                        continue
-                    s = _scores(rows[lo:hi], _integers([v], dim)[0])
-                    if counted:
-                        out.append(pd.DataFrame({"query": [query], "row": [-1], "vec_id": [0], "score": [0], "scored": [hi - lo]}))
-                    # equals of the k-th may still take its place, by their vec_id
-                    other = (names[lo:hi] != query) & (s >= kth)
-                    s, own, id_ = s[other], names[lo:hi][other], ids[lo:hi][other]
-                    if len(s) > k:
-                        edge = np.partition(s, len(s) - k)[len(s) - k]
-                        s, own, id_ = (x[s >= edge] for x in (s, own, id_))
-                    order = np.lexsort((own, id_, -s))[:k]
-                    if len(order):
-                        out.append(pd.DataFrame({"query": query, "row": own[order], "vec_id": id_[order], "score": s[order], "scored": 0}))
-            return pd.concat(out) if out else pd.DataFrame({c.split()[0]: np.empty(0, np.int64) for c in HITS.split(", ")})
+            none = pd.DataFrame({c.split()[0]: np.empty(0, np.int64) for c in HITS.split(", ")})
+            if not len(page) or not len(asked):
+                return none
+            page = page.sort_values("up", kind="stable")
+            up, away, reach = page["up"].to_numpy(), asked["away"].to_numpy(), asked["reach"].to_numpy()
+            # the triangle inequality on parent distances leaves each query one stretch of the page, or nothing
+            low, high = np.searchsorted(up, away - reach - slack, "left"), np.searchsorted(up, away + reach + slack, "right")
+            asked, low, high = asked[low < high], low[low < high], high[low < high]
+            if not len(asked):
+                return none
+            first, last = low.min(), high.max()
+            names, ids, query = page["row"].to_numpy()[first:last], page["vec_id"].to_numpy()[first:last], asked["query"].to_numpy()
+            s = _products(_integers(asked["v"], dim), _integers(page["v"].iloc[first:last], dim))
+            at = np.arange(first, last)
+            # equals of the k-th may still take its place, by their vec_id
+            fits = (at >= low[:, None]) & (at < high[:, None]) & (s >= asked["kth"].to_numpy()[:, None]) & (names != query[:, None])
+            for i in np.flatnonzero(fits.sum(1) > k):
+                own = np.flatnonzero(fits[i])
+                order = np.lexsort((names[own], ids[own], -s[i, own]))[k:]
+                fits[i, own[order]] = False
+            i, j = np.nonzero(fits)
+            out = pd.DataFrame({"query": query[i], "row": names[j], "vec_id": ids[j], "score": s[i, j], "scored": 0})
+            if counted:
+                out = pd.concat([out, pd.DataFrame({"query": query, "row": -1, "vec_id": 0, "score": 0, "scored": high - low})])
+            return out
 
         key = [*place, "block"]
         return pages.groupBy(*key).cogroup(visits.groupBy(*key)).applyInPandas(best, HITS)
@@ -282,13 +288,13 @@ class MTree:
         open_ = stored(open_.withColumn("turn", turn).drop("reach"), f"{root}/open")
         done, upto = 0, NEXT
         while True:
-            # each round four times as many pages, with the k-th score of the round before
+            # each round eight times as many pages, with the k-th score of the round before
             left = open_.where(F.col("turn") > done).join(reaching(found).select("query", "reach", "kth"), "query").where(F.col("least") <= F.col("reach") + F.lit(self.slack))
             if left.isEmpty():
                 return found.select("query", F.col("rank").cast("int").alias("rank"), "row", "vec_id", "score", "scored")
             now = left.where(F.col("turn") <= upto).drop("turn")
             found = stored(merged(found, self._visited(now, k, blocks, counted)), f"{root}/found-{upto}")
-            done, upto = upto, upto * 4
+            done, upto = upto, upto * 8
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
