@@ -373,3 +373,52 @@ def test_components_of_nothing(spark):
     nodes, edges = frames(spark, {1: [], 2: []})
     assert {tuple(x) for x in G.components(nodes, edges).collect()} == {(1, 1), (2, 2)}
     assert PL.settled(nodes, edges, F.lit(1.0), F.lit(None).cast("long")).count() == 2
+
+
+# --- SQL over the relations
+
+
+def test_only_one_select_is_asked(spark):
+    from weftline.operators.ask import ask, guarded
+
+    runs, other = spark.createDataFrame([(1, "a;b"), (2, "c")], "id long, t string"), spark.createDataFrame([(1, 5)], "id long, n long")
+    relations = {"runs": runs, "other": other}
+    rows = lambda sql, **k: sorted(map(tuple, ask(relations, sql, **k).collect()))
+    assert rows("SELECT id FROM runs WHERE t = 'a;b' -- a comment; of two\n;") == [(1,)]
+    assert rows("with x as (select id from runs) select x.id, o.n from x join other o on o.id = x.id /* ; */ ;;") == [(1, 5)]
+    assert rows("SELECT r.id, o.id FROM runs r JOIN other o ON o.id = r.id") == [(1, 1)]
+    for sql in ("DELETE FROM runs", "insert into runs values (1)", "WITH x AS (SELECT 1 AS a) INSERT INTO runs SELECT a FROM x", "", "SELECT 1; SELECT 2", "select 1; drop table runs", "DROP VIEW runs", "CREATE TABLE t AS SELECT 1"):
+        with pytest.raises(ValueError, match="reads only|one statement"):
+            guarded(sql)
+    with pytest.raises(ValueError, match="named twice"):
+        ask(relations, "SELECT r.id, o.id FROM runs r JOIN other o ON o.id = r.id", json=True)
+    assert not [v.name for v in spark.catalog.listTables() if "_ask_" in v.name or v.name == "runs"]
+
+
+def test_versions_go_by_their_numbers(spark):
+    from weftline.operators import history as H
+
+    rows = spark.createDataFrame([("a", "p", [1, 10]), ("b", "p", [1, 2]), ("c", "p", [3, 0]), ("d", "q", [1, 2]), ("e", "r", [1, 2])], "entry string, project string, version array<int>")
+    exact = spark.createDataFrame([("b", "exact")], "entry string, v string")
+    ranges = spark.createDataFrame([("p", [1, 5], [3, 0], "range"), ("p", [1, 9], [2, 0], "narrow")], "project string, lo array<int>, hi array<int>, v string")
+    names = spark.createDataFrame([("p", "name p"), ("q", "name q")], "project string, v string")
+    assert {r.entry: r.v for r in H.by_precedence(rows, exact, ranges, names).collect()} == {"a": "narrow", "b": "exact", "c": "name p", "d": "name q", "e": None}
+
+
+def test_the_import_of_the_entry_without_modules(tmp_path):
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).parent.parent
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    shutil.copytree(root / "weftline", tmp_path / "weftline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    check = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and not [n for n in q if n.startswith('op') or n == 'pipeline']"
+    for left in (None, "weftline/llm", "weftline/llm/__pycache__"):
+        # the folder gone, left empty, and left with what an import leaves behind
+        if left:
+            (tmp_path / left).mkdir(parents=True)
+        subprocess.run([sys.executable, "-c", check], check=True, cwd=str(tmp_path), env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import measures as M
 from . import stats as S
-from .timeline import newest_per_task
+from .timeline import newest_per_task, running_in_cells
 
 
 def tiered(durations: DataFrame, branch: str) -> DataFrame:
@@ -163,16 +163,9 @@ def server_upsert(stored: DataFrame, reports: DataFrame, *keys: str) -> DataFram
     )
 
 
-def running_usage(samples: DataFrame) -> DataFrame:
-    """Per sample (key, at, cpu_ms, rss): CPU that never falls, average cores since the first sample, peak memory so far."""
-    w = Window.partitionBy("key").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    s = samples.select("key", "id", "at", F.max("cpu_ms").over(w).alias("cpu"), F.max("rss").over(w).alias("peak"), F.min("at").over(w).alias("t0"))
+def running_usage(samples: DataFrame, cell: int = 3_600_000) -> DataFrame:
+    """Per sample (key, id, at, cpu_ms, rss): CPU that never falls, average cores since the first sample, peak memory so far."""
+    first = samples.groupBy("key").agg(F.min("at").alias("t0"))
+    s = running_in_cells(samples.select("key", "id", "at", "cpu_ms", "rss"), "at", ["key"], {}, {"was_cpu": F.col("cpu_ms"), "was_rss": F.col("rss")}, cell, "id").join(first, "key")
+    s = s.select("key", "id", "at", "t0", F.greatest("was_cpu", "cpu_ms").alias("cpu"), F.greatest("was_rss", "rss").alias("peak"))
     return s.select("key", "id", "cpu", "peak", F.try_divide(F.col("cpu").cast("double"), (F.col("at") - F.col("t0")).cast("double")).alias("mean_cores"))
-
-
-def upserted(stored: DataFrame, reports: DataFrame, *keys: str) -> DataFrame:
-    """stored (keys, ewma, slow) with one new report (keys, d) for each key folded in; unknown keys are added."""
-    j = stored.join(reports, list(keys), "full")
-    ewma = F.coalesce(F.col("ewma") * 0.7 + F.col("d") * 0.3, "d", "ewma")
-    slow = F.when(F.col("d").isNull(), F.col("slow")).otherwise(F.greatest("d", F.col("slow") * 0.9))
-    return j.select(*keys, ewma.alias("ewma"), slow.alias("slow"))

@@ -89,6 +89,23 @@ def retained(rows: DataFrame, column: str, cutoff: int) -> DataFrame:
     return rows.where(F.col(column) >= cutoff)
 
 
+def retained_relations(relations: dict[str, DataFrame], at: dict[str, str], cutoff: int) -> dict[str, DataFrame]:
+    """Relations by name, each without its rows before one cutoff of its own column."""
+    return {name: retained(rows, at[name], cutoff) for name, rows in relations.items()}
+
+
+def by_precedence(rows: DataFrame, exact: DataFrame, ranges: DataFrame, names: DataFrame) -> DataFrame:
+    """(entry, v) of rows (entry, project, version): exact (entry, v), else the least of ranges (project, lo, hi, v) that
+    hold the version, else names (project, v).
+
+    Versions are arrays of numbers, so that 10 comes after 2; lo belongs to a range, hi doesn't.
+    """
+    inside = (F.col("version") >= F.col("lo")) & (F.col("version") < F.col("hi"))
+    hit = rows.join(ranges, "project").where(inside).groupBy("entry").agg(F.min("v").alias("_range"))
+    j = rows.join(exact.withColumnRenamed("v", "_exact"), "entry", "left").join(hit, "entry", "left").join(names.withColumnRenamed("v", "_name"), "project", "left")
+    return j.select("entry", F.coalesce("_exact", "_range", "_name").alias("v"))
+
+
 def without_orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return children.join(parents.select(key), key, "left_semi")
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from .timeline import neighbour
+from .timeline import evicted, neighbour
 
 
 def fold(components: DataFrame, length: int = 16) -> DataFrame:
@@ -67,8 +67,26 @@ def why_rerun(runs: DataFrame, invocations: DataFrame, entries: DataFrame) -> Da
     return prev.select("id", "project", "task", verdict.alias("verdict"))
 
 
-def explain_miss(pair_counts: DataFrame, differing: DataFrame, first: int = 10) -> DataFrame:
-    """How many components differ, and the first few by name."""
-    n = differing.agg(F.count("*").alias("moved"))
-    few = differing.select(F.concat_ws(":", "kind", "name").alias("c"), "kind", "name").orderBy("kind", "name").limit(first).agg(F.array_join(F.sort_array(F.collect_list("c")), ",").alias("shown"))
-    return n.crossJoin(few)
+def explained_misses(pairs: DataFrame, components: DataFrame, first: int = 10) -> DataFrame:
+    """Of each (old, new) pair of entries that differ: how many components moved, and the first few by kind and name."""
+    c = components.select("entry", "kind", "name", "hash")
+    a = pairs.join(c.withColumnRenamed("entry", "old"), "old").select("old", "new", "kind", "name", F.col("hash").alias("a"))
+    b = pairs.join(c.withColumnRenamed("entry", "new"), "new").select("old", "new", "kind", "name", F.col("hash").alias("b"))
+    moved = a.join(b, ["old", "new", "kind", "name"], "full").where(~F.col("a").eqNullSafe(F.col("b")))
+    n = F.row_number().over(Window.partitionBy("old", "new").orderBy("kind", "name"))
+    few = F.array_sort(F.collect_list(F.when(F.col("n") <= first, F.struct("n", F.concat_ws(":", "kind", "name").alias("c")))))
+    return moved.withColumn("n", n).groupBy("old", "new").agg(F.count("*").alias("moved"), few.alias("few")).select("old", "new", "moved", F.array_join(F.col("few.c"), ",").alias("shown"))
+
+
+def pruned(entries: DataFrame, before: int, most_bytes: int, dry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What a prune takes (entry, size_bytes, why), and the entries it leaves.
+
+    First what was last used before a moment, by age; of the rest the oldest
+    until at most most_bytes stay, by size. A dry run takes the same and
+    leaves everything.
+    """
+    aged = entries.where(F.col("accessed_at") < before)
+    rest = entries.where(F.col("accessed_at") >= before)
+    sized = evicted(rest, most_bytes)
+    gone = aged.select("entry", "size_bytes", F.lit("age").alias("why")).unionByName(sized.select("entry", "size_bytes", F.lit("size").alias("why")))
+    return gone, entries if dry else entries.join(gone.select("entry"), "entry", "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as M
 from ..functions import predicates as P
+from .graph import affected
 
 
 def count_if(c: Column) -> Column:
@@ -231,3 +232,16 @@ def summary(runs: DataFrame) -> DataFrame:
     """Rows of a job summary: failures first, then by duration."""
     rank = F.when(F.col("status") == "failed", 0).when(F.col("status") == "skipped", 1).when(F.col("status") == "success", 2).otherwise(3)
     return runs.select("run_id", "id", "project", "task", "status", "duration_ms", rank.alias("rank")).orderBy("run_id", "rank", F.desc("duration_ms"), "id")
+
+
+def cpu_between(before: DataFrame, after: DataFrame, children: DataFrame, own: DataFrame, most: int) -> DataFrame:
+    """(tag, cpu): CPU used between two tables of processes (node, tag, cpu), by name, the `most` largest.
+
+    A process that has ended or begun counts from or to nothing. own and all
+    processes below it by children (src the child, dst its parent) are left out.
+    """
+    mine = affected(own, children).select("node")
+    b, a = before.select("node", F.col("tag").alias("b_tag"), F.col("cpu").alias("b")), after.select("node", F.col("tag").alias("a_tag"), F.col("cpu").alias("a"))
+    j = b.join(a, "node", "full").join(mine, "node", "left_anti")
+    used = j.groupBy(F.coalesce("a_tag", "b_tag").alias("tag")).agg(F.sum(F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))).alias("cpu"))
+    return used.orderBy(F.desc("cpu"), "tag").limit(most)

@@ -48,15 +48,50 @@ def running_at(points: DataFrame, spans: DataFrame, slack: int = 5, first: int =
     """(point_id, place, project, task, start): the tasks that ran at each point (point_id, at), the `first` earliest.
 
     Both sides are dealt to time buckets: a span to all that it touches, a
-    point to its own, so the join compares only what is near in time. A task
-    with several spans there counts once, by the earliest.
+    point to its own. A bucket is one stream in order of time with the open
+    spans by start, so a point reads the first few of them and never meets all
+    that are near. A task with several spans there counts once, by the earliest.
     """
-    s = spans.select("project", "task", "start", "stop").withColumn("cell", F.explode(F.sequence(F.expr(f"(start - {slack}) div {bucket}"), F.expr(f"(stop + {slack}) div {bucket}"))))
-    p = points.withColumn("cell", F.expr(f"at div {bucket}"))
-    j = p.join(s, "cell").where((F.col("at") >= F.col("start") - slack) & (F.col("at") <= F.col("stop") + slack))
-    j = j.groupBy("point_id", "project", "task").agg(F.min("start").alias("start"))
-    n = F.row_number().over(Window.partitionBy("point_id").orderBy("start", "project", "task"))
-    return j.withColumn("place", n).where(F.col("place") <= first).select("point_id", "place", "project", "task", "start")
+    import bisect
+    import heapq
+
+    none = lambda kind: F.lit(None).cast(kind)
+    s = spans.select(
+        F.explode(F.sequence(F.expr(f"(start - {slack}) div {bucket}"), F.expr(f"(stop + {slack}) div {bucket}"))).alias("cell"), (F.col("start") - slack).alias("moment"), F.lit(0).alias("kind"),
+        none("bigint").alias("point_id"), "project", "task", F.col("start").cast("bigint").alias("start"), (F.col("stop") + slack).cast("bigint").alias("until"),
+    )
+    id_type = points.schema["point_id"].dataType.simpleString()
+    p = points.select(F.expr(f"at div {bucket}").alias("cell"), F.col("at").alias("moment"), F.lit(1).alias("kind"), F.col("point_id").cast("bigint").alias("point_id"), none("string").alias("project"), none("string").alias("task"), none("bigint").alias("start"), none("bigint").alias("until"))
+
+    def run(parts):
+        import pyarrow as pa
+
+        at, open_, ends = None, [], []
+        for part in parts:
+            out = []
+            for cell, moment, kind, point, project, task, start, until in zip(*[part.column(k).to_pylist() for k in range(8)], strict=True):
+                if cell != at:
+                    at, open_, ends = cell, [], []
+                if not kind:
+                    own = (start, project, task, until)
+                    bisect.insort(open_, own)
+                    heapq.heappush(ends, (until, own))
+                    continue
+                while ends and ends[0][0] < moment:
+                    own = heapq.heappop(ends)[1]
+                    del open_[bisect.bisect_left(open_, own)]
+                met: set = set()
+                for start_, project_, task_, _ in open_:
+                    if (project_, task_) not in met:
+                        met.add((project_, task_))
+                        out.append((point, len(met), project_, task_, start_))
+                        if len(met) == first:
+                            break
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["point_id", "place", "project", "task", "start"])
+
+    dealt = s.unionByName(p).repartition("cell").sortWithinPartitions("cell", "moment", "kind")
+    return dealt.mapInArrow(run, "point_id bigint, place int, project string, task string, start bigint").withColumn("point_id", F.col("point_id").cast(id_type))
 
 
 def _events(spans: DataFrame, *keys: str) -> DataFrame:
@@ -66,13 +101,22 @@ def _events(spans: DataFrame, *keys: str) -> DataFrame:
     return up.unionByName(down).groupBy(*keys, "at", "delta").agg(F.sum("delta").alias("n"), F.sum("d_cores").alias("d_cores"), F.sum("d_memory").alias("d_memory"))
 
 
-def concurrency(spans: DataFrame, *keys: str) -> DataFrame:
-    """Per key: peak number, cores and memory of open spans, and the time that any was open."""
-    w = Window.partitionBy(*keys).orderBy("at", "delta")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    e = _events(spans, *keys).select(*keys, "at", F.sum("n").over(upto).alias("open"), F.sum("d_cores").over(upto).alias("cores"), F.sum("d_memory").over(upto).alias("memory"), (F.lead("at").over(w) - F.col("at")).alias("dt"))
-    busy = F.sum(F.when(F.col("open") > 0, F.col("dt")))
-    return e.groupBy(*keys).agg(F.max("open").alias("peak_open"), F.max("cores").alias("peak_cores"), F.max("memory").alias("peak_memory"), F.coalesce(busy, F.lit(0)).alias("busy_ms"), F.coalesce(F.sum(F.col("cores") * F.col("dt")), F.lit(0)).alias("core_ms"))
+def concurrency(spans: DataFrame, *keys: str, cell: int = 3_600_000) -> DataFrame:
+    """Per key: peak number, cores and memory of open spans, and the time that any was open.
+
+    Spans that end at a moment end before those that start there. Moments are
+    summed up first, running sums go over cells of time, and what is integrated
+    needs no order at all: the sum of value times time is that of each change
+    times its moment.
+    """
+    e = _events(spans, *keys).groupBy(*keys, "at").agg(F.sum("n").alias("n"), F.sum("d_cores").alias("d_cores"), F.sum("d_memory").alias("d_memory"))
+    e = running_in_cells(e, "at", list(keys), {"was": F.col("n"), "was_cores": F.col("d_cores"), "was_memory": F.col("d_memory")}, {}, cell)
+    open_ = F.col("was") + F.col("n")
+    busy = F.when((F.col("was") > 0) & (open_ <= 0), F.col("at")).when((F.col("was") <= 0) & (open_ > 0), -F.col("at"))
+    return e.groupBy(*keys).agg(
+        F.max(open_).alias("peak_open"), F.max(F.col("was_cores") + F.col("d_cores")).alias("peak_cores"), F.max(F.col("was_memory") + F.col("d_memory")).alias("peak_memory"),
+        F.coalesce(F.sum(busy), F.lit(0)).alias("busy_ms"), F.coalesce(-F.sum(F.col("d_cores") * F.col("at")), F.lit(0)).alias("core_ms"),
+    )
 
 
 def utilization(spans: DataFrame, machine_cores: int, *keys: str) -> DataFrame:
@@ -107,28 +151,30 @@ def newest_per_task(durations: DataFrame, k: int = 5, *keys: str) -> DataFrame:
     return durations.withColumn("place", n).where(F.col("place") <= k)
 
 
-def step_integral(steps: DataFrame, *keys: str) -> DataFrame:
+def step_integral(steps: DataFrame, *keys: str, cell: int = CELL) -> DataFrame:
     """Value times time of a step function (keys, at, value) up to its last moment."""
-    dt = F.lead("at").over(Window.partitionBy(*keys).orderBy("at")) - F.col("at")
-    return steps.withColumn("dt", dt).groupBy(*keys).agg(F.coalesce(F.sum(F.col("value") * F.col("dt")), F.lit(0)).alias("integral"))
+    near = neighbour(steps.select(*keys, F.col("at").alias("id"), "value"), F.col("id"), *keys, later=True, cell=cell)
+    return near.groupBy(*keys).agg(F.coalesce(F.sum(F.col("value") * (F.col("_near") - F.col("id"))), F.lit(0)).alias("integral"))
 
 
-def settled_changes(rows: DataFrame) -> DataFrame:
+def settled_changes(rows: DataFrame, cell: int = CELL) -> DataFrame:
     """Rows whose state differs from the state last seen of their key; a first sighting passes."""
-    last = F.lag("state").over(Window.partitionBy("key").orderBy("id"))
-    seen = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-    return rows.withColumns({"_last": last, "_n": seen}).where((F.col("_n") == 1) | ~F.col("state").eqNullSafe(F.col("_last"))).drop("_last", "_n")
+    near = neighbour(rows, F.struct("state"), "key", cell=cell)
+    return near.where(F.col("_near").isNull() | ~F.col("state").eqNullSafe(F.col("_near.state"))).drop("_near")
 
 
-def running_in_cells(rows: DataFrame, at: str, keys: list[str], sums: dict[str, Column], maxima: dict[str, Column], cell: int) -> DataFrame:
+def running_in_cells(rows: DataFrame, at: str, keys: list[str], sums: dict[str, Column], maxima: dict[str, Column], cell: int, *ties: str) -> DataFrame:
     """rows with running sums and maxima over all rows of their keys that come earlier by `at`, none of the same moment.
 
+    With ties, columns that order equal moments, also those before it there.
+
     A key may hold any share of the rows. Its moments are cut into cells of
     `cell` units; what a row sees is its part of its own cell and what all
     earlier cells add up to, of which there is one row each.
     """
     rows = rows.withColumn("_cell", F.floor(F.col(at) / cell)).withColumns({f"_v_{k}": v for k, v in (sums | maxima).items()})
-    before, inside = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys, "_cell").orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+    before, here = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys, "_cell").orderBy(at, *ties)
+    inside = here.rowsBetween(Window.unboundedPreceding, -1) if ties else here.rangeBetween(Window.unboundedPreceding, -1)
     how = {k: F.sum for k in sums} | {k: F.max for k in maxima}
     cells = rows.groupBy(*keys, "_cell").agg(*[f(f"_v_{k}").alias(f"_c_{k}") for k, f in how.items()])
     cells = cells.select(*keys, "_cell", *[f(f"_c_{k}").over(before).alias(f"_b_{k}") for k, f in how.items()])

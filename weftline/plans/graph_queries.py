@@ -121,7 +121,7 @@ def g18(t):
     return G.nearest_holders(t.edges, t.nodes.where("node % 5 = 0"), t.nodes.where("node IN (90, 133, 180)").select("node"))
 
 
-@query("G18b_all_nearest_holders")
+@query("G18b_all_nearest_holders", "WITH RECURSIVE w AS (SELECT src AS origin, dst AS node FROM edges UNION SELECT w.origin, e.dst FROM w JOIN edges e ON e.src = w.node WHERE w.node % 5 <> 0) SELECT origin, node FROM w WHERE node % 5 = 0")
 def g18b(t):
     return G.nearest_holders(t.edges, t.nodes.where("node % 5 = 0"), t.nodes.select("node"))
 
@@ -143,7 +143,7 @@ def g21(t):
     return G.restricted_closure(t.edges, t.nodes.where("node % 2 = 1"), t.nodes.where("node IN (150, 199)").select("node"))
 
 
-@query("G21b_all_restricted_closures")
+@query("G21b_all_restricted_closures", "WITH RECURSIVE r AS (SELECT src AS origin, dst AS node FROM edges UNION SELECT r.origin, e.dst FROM r JOIN edges e ON e.src = r.node WHERE r.node % 2 = 1) SELECT origin, node FROM r")
 def g21b(t):
     return G.restricted_closure(t.edges, t.nodes.where("node % 2 = 1"), t.nodes.select("node"))
 

@@ -9,6 +9,8 @@ from ..functions import predicates as P
 from ..functions import text as X
 from ..operators import history as H
 from ..operators import stats as S
+from ..operators.ask import ask
+from ..sources.bindings import RELATIONS
 from .registry import query
 
 #: A moment inside the test data, in epoch milliseconds: 2024-01-20.
@@ -76,23 +78,27 @@ def s8(t):
     return H.shortest_prefix(t.invocations.select("run_id"), 6)
 
 
-@query("S9_json_keys", """SELECT pos, key FROM (SELECT unnest(range(0, 4)) AS pos, unnest(['p1', 'p2', 'p9', 'zz']) AS key)""")
+@query("S9_json_keys", "SELECT id, unnest(range(0, 3)) AS pos, unnest([project, task, hash]) AS key FROM runs")
 def s9(t):
-    one = t.spark.createDataFrame([('["p1","p2","p9","zz"]',)], "j string")
-    return one.select(F.posexplode(F.from_json("j", "array<string>")).alias("pos", "key")).select(F.col("pos").cast("long").alias("pos"), "key")
+    # any number of keys in one JSON text, as rows
+    keys = t.runs.select("id", F.to_json(F.array("project", "task", "hash")).alias("keys"))
+    return keys.select("id", F.posexplode(F.from_json("keys", "array<string>")).alias("pos", "key")).select("id", F.col("pos").cast("long").alias("pos"), "key")
 
 
 @query(
     "S14_manifest_edges",
-    """SELECT node, 'order' AS kind, 'n' || (node // 2) AS dep FROM nodes WHERE node >= 1
-       UNION ALL SELECT node, 'reach', 'n' || (node // 3) FROM nodes WHERE node >= 1""",
+    """SELECT node, 'order' AS kind, 'n' || unnest(list_distinct([node // 2, node // 5, node // 7])) AS dep FROM nodes WHERE node >= 1
+       UNION ALL SELECT node, 'reach', 'n' || (node // 3) FROM nodes WHERE node >= 1 AND node // 3 NOT IN (node // 2, node // 5, node // 7)""",
 )
 def s14(t):
-    manifest = F.format_string('{"dependencies":{"n%d":"*"},"peerDependencies":{"n%d":"*"}}', F.expr("node div 2"), F.expr("node div 3"))
-    kind = "struct<dependencies:map<string,string>,peerDependencies:map<string,string>>"
-    m = t.nodes.where("node >= 1").select("node", F.from_json(manifest, kind).alias("m"))
-    deps = lambda kind_, field: m.select("node", F.lit(kind_).alias("kind"), F.explode(F.map_keys(f"m.{field}")).alias("dep"))
-    return deps("order", "dependencies").unionByName(deps("reach", "peerDependencies"))
+    # dependencies of all three lists give the order; peers only reach, unless they are among those
+    lists = {"dependencies": 2, "devDependencies": 5, "optionalDependencies": 7, "peerDependencies": 3}
+    manifest = F.format_string("{" + ",".join(f'"{name}":{{"n%d":"*"}}' for name in lists) + "}", *[F.expr(f"node div {d}") for d in lists.values()])
+    m = t.nodes.where("node >= 1").select("node", F.from_json(manifest, f"struct<{','.join(f'{name}:map<string,string>' for name in lists)}>").alias("m"))
+    first, second, third, peers = (F.map_keys(f"m.{name}") for name in lists)
+    order = F.array_union(F.array_union(first, second), third)
+    deps = lambda kind, names: m.select("node", F.lit(kind).alias("kind"), F.explode(names).alias("dep"))
+    return deps("order", order).unionByName(deps("reach", F.array_except(peers, order)))
 
 
 @query("S15_timings_file", "SELECT project || '#' || task AS id, CAST(max(duration_ms) AS DOUBLE) AS ms FROM runs GROUP BY ALL HAVING max(duration_ms) % 2 = 0")
@@ -353,9 +359,11 @@ def a13(t):
     return S.failure_modes(t.runs)
 
 
-@query("A14_single_timings", "SELECT project, task, min(id) AS id FROM task_durations GROUP BY ALL HAVING count(*) = 1 AND min(id) >= 100")
+@query("A14_single_timings", "SELECT project, hash AS task, min(id) AS id FROM runs WHERE status = 'success' AND id % 7 <> 0 GROUP BY ALL HAVING count(*) = 1 AND min(id) >= 100")
 def a14(t):
-    return S.single_timings(t.task_durations, 100)
+    # a task for each key, so that many have one timing only
+    timings = t.runs.where("status = 'success' AND id % 7 <> 0").select("id", "project", F.col("hash").alias("task"), "duration_ms")
+    return S.single_timings(timings, 100)
 
 
 #: Hits by what became of their outputs.
@@ -434,14 +442,13 @@ def a23(t):
 
 @query(
     "A27_cpu_snapshot_diff",
-    """SELECT task AS name, sum(CASE WHEN id % 2 = 1 THEN cpu_ms ELSE -cpu_ms END)::BIGINT AS cpu FROM runs WHERE project <> 'p0' GROUP BY task ORDER BY cpu DESC, name LIMIT 3""",
+    """WITH RECURSIVE sub AS (SELECT 5 AS node UNION SELECT e.src FROM sub JOIN edges e ON e.dst = sub.node)
+       SELECT tag AS name, sum(node % 97 - cost)::BIGINT AS cpu FROM nodes WHERE node NOT IN (SELECT node FROM sub) GROUP BY tag ORDER BY cpu DESC, name LIMIT 3""",
 )
 def a27(t):
-    own = t.runs.where("project <> 'p0'")
-    before = own.where("id % 2 = 0").groupBy(F.col("task").alias("name")).agg(F.sum("cpu_ms").alias("a"))
-    after = own.where("id % 2 = 1").groupBy(F.col("task").alias("name")).agg(F.sum("cpu_ms").alias("b"))
-    j = before.join(after, "name", "full").select("name", (F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))).alias("cpu"))
-    return j.orderBy(F.desc("cpu"), "name").limit(3)
+    # two tables of processes (node its id, tag its name), less the subtree of process 5 in the later one
+    before, after = t.nodes.select("node", "tag", F.col("cost").alias("cpu")), t.nodes.select("node", "tag", F.expr("node % 97").alias("cpu"))
+    return S.cpu_between(before, after, t.edges, t.nodes.where("node = 5").select("node"), 3).select(F.col("tag").alias("name"), "cpu")
 
 
 @query("A28_worker_totals", "SELECT worker, count(*) AS tasks, sum(cores)::BIGINT AS booked, sum(stop - start)::BIGINT AS busy FROM spans GROUP BY worker HAVING sum(cores) > 0")
@@ -488,9 +495,10 @@ def f9(t):
 
 @query("W1_first_pass", f"SELECT id, min(CASE WHEN {PASS} THEN id END) OVER (PARTITION BY project, task, hash) AS first_pass FROM runs")
 def w1(t):
-    from pyspark.sql import Window
-
-    return t.runs.select("id", F.min(F.when(P.passed(), F.col("id"))).over(Window.partitionBy("project", "task", "hash")).alias("first_pass"))
+    # summed up before it is joined back: no window over all rows of a key
+    key = ["project", "task", "hash"]
+    first = t.runs.groupBy(*key).agg(F.min(F.when(P.passed(), F.col("id"))).alias("first_pass"))
+    return t.runs.select("id", *key).join(first, key).select("id", "first_pass")
 
 
 @query("T1_newest_first", "SELECT id, run_id FROM runs ORDER BY id DESC LIMIT 25")
@@ -586,7 +594,18 @@ def fs11(t):
     return r.select("id", M.parse_size(F.col("s")).alias("bytes"), M.parse_duration(F.col("d")).alias("ms"))
 
 
-@query("Fs15b_text_locations")
+@query(
+    "Fs15b_text_locations",
+    r"""WITH w AS (SELECT doc_id, k, toks[k] AS tok FROM (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(text, '[\w./@+\-]+(?::\d+(?::\d+)?|\(\d+,\d+\))?') AS toks FROM documents))),
+         b AS (SELECT *, regexp_replace(tok, '(?::\d+(?::\d+)?|\(\d+,\d+\))$', '') AS body FROM w),
+         n AS (SELECT doc_id, k, body, regexp_extract_all(substr(tok, length(body) + 1), '\d+') AS nums, regexp_extract(regexp_extract(body, '^/?[^/]+(?:/[^/]+)*'), '^((?:.*/)?[^./][^/]*\.[A-Za-z][A-Za-z0-9]{0,9})', 1) AS raw FROM b),
+         f AS (SELECT doc_id, k, CASE WHEN raw = body THEN nums ELSE [] END AS nums, CASE WHEN raw[1] = '/' THEN '/' ELSE '' END || substr(list_reduce(list_prepend('', string_split(raw, '/')),
+                 lambda acc, x: CASE WHEN x IN ('', '.') THEN acc WHEN x = '..' AND acc <> '' AND acc NOT LIKE '%/..' THEN regexp_replace(acc, '/[^/]*$', '') ELSE acc || '/' || x END), 2) AS path FROM n WHERE raw <> ''),
+         d AS (SELECT doc_id, path, nums[1]::BIGINT AS line, nums[2]::BIGINT AS col, min(k) AS k FROM f GROUP BY ALL),
+         u AS (SELECT *, bool_or(line IS NOT NULL) OVER (PARTITION BY doc_id, path) AS lined FROM d),
+         o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS place FROM u WHERE line IS NOT NULL OR NOT lined)
+       SELECT doc_id, place::INTEGER AS place, path, line, col FROM o WHERE place < 50""",
+)
 def fs15b(t):
     return t.table("documents").select("doc_id", F.posexplode(X.file_locations(F.col("text")))).select("doc_id", F.col("pos").alias("place"), "col.*")
 
@@ -629,7 +648,10 @@ def fj1(t):
     return t.table("events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-@query("Q1_read_only_sql", "SELECT project || '#' || task AS id, count(*) AS n, count(DISTINCT hash) AS keys FROM runs GROUP BY 1")
+ASKED = """SELECT r.project || '#' || r.task AS id, count(*) AS n, count(DISTINCT r.hash) AS keys, count(DISTINCT i.cache_policy) AS policies, count(CASE WHEN i.exit_ok THEN 1 END) AS good
+    FROM runs r JOIN invocations i ON i.run_id = r.run_id GROUP BY 1"""
+
+
+@query("Q1_read_only_sql", ASKED)
 def q1(t):
-    t.runs.createOrReplaceTempView("weft_runs")
-    return t.spark.sql("SELECT project || '#' || task AS id, count(*) AS n, count(DISTINCT hash) AS keys FROM weft_runs GROUP BY 1")
+    return ask({name: getattr(t, name) for name in RELATIONS}, ASKED + "; -- one statement", json=True)

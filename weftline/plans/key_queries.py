@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import history as H
 from ..operators import keys as K
 from .registry import query
-from .time_queries import PASS
 
 CHANGE = "CASE WHEN a.hash IS NULL THEN 'added' WHEN b.hash IS NULL THEN 'removed' WHEN a.hash <> b.hash THEN 'changed' END"
 
@@ -92,14 +91,20 @@ def c7(t):
 
 
 @query(
-    "C8_explain_miss",
-    """WITH d AS (SELECT coalesce(a.kind, b.kind) || ':' || coalesce(a.name, b.name) AS c, coalesce(a.kind, b.kind) AS kind, coalesce(a.name, b.name) AS name FROM
-           (SELECT * FROM entry_inputs WHERE entry = 3) a FULL JOIN (SELECT * FROM entry_inputs WHERE entry = 5) b ON a.kind = b.kind AND a.name = b.name WHERE a.hash IS DISTINCT FROM b.hash)
-       SELECT count(*) AS moved, coalesce((SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT c FROM d ORDER BY kind, name LIMIT 10)), '') AS shown FROM d""",
+    "C8_explained_misses",
+    """WITH p AS (SELECT o_orderkey AS new, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS old FROM orders), q AS (SELECT * FROM p WHERE old IS NOT NULL),
+        a AS (SELECT old, new, kind, name, hash FROM q JOIN entry_inputs ON entry = old), b AS (SELECT old, new, kind, name, hash FROM q JOIN entry_inputs ON entry = new),
+        d AS (SELECT coalesce(a.old, b.old) AS old, coalesce(a.new, b.new) AS new, coalesce(a.kind, b.kind) AS kind, coalesce(a.name, b.name) AS name
+              FROM a FULL JOIN b ON a.old = b.old AND a.new = b.new AND a.kind = b.kind AND a.name = b.name WHERE a.hash IS DISTINCT FROM b.hash),
+        n AS (SELECT *, row_number() OVER (PARTITION BY old, new ORDER BY kind, name) AS k FROM d)
+       SELECT old, new, count(*) AS moved, string_agg(kind || ':' || name, ',' ORDER BY k) FILTER (WHERE k <= 3) AS shown FROM n GROUP BY old, new""",
 )
 def c8(t):
-    d = K.diff(t.entry_inputs.where("entry = 3"), t.entry_inputs.where("entry = 5"))
-    return K.explain_miss(None, d)
+    from pyspark.sql import Window
+
+    old = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    pairs = t.table("orders").select(F.col("o_orderkey").alias("new"), old.alias("old")).where("old IS NOT NULL")
+    return K.explained_misses(pairs, t.entry_inputs, first=3)
 
 
 @query("C9_prune_by_age", "SELECT entry, size_bytes FROM entries WHERE accessed_at < 1705000000000")
@@ -107,6 +112,26 @@ def c9(t):
     return t.entries.where("accessed_at < 1705000000000").select("entry", "size_bytes")
 
 
+@query(
+    "C9b_pruned",
+    """WITH o AS (SELECT *, accessed_at < 1705000000000 AS old FROM entries), s AS (SELECT entry, size_bytes, old, sum(size_bytes) FILTER (WHERE NOT old) OVER () - coalesce(sum(size_bytes) FILTER (WHERE NOT old) OVER (ORDER BY accessed_at, entry ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_ FROM o)
+       SELECT entry, size_bytes, CASE WHEN old THEN 'age' ELSE 'size' END AS why FROM s WHERE old OR left_ > 2000000""",
+)
+def c9b(t):
+    return K.pruned(t.entries, before=1_705_000_000_000, most_bytes=2_000_000)[0]
+
+
+@query(
+    "C9c_kept",
+    """WITH o AS (SELECT * FROM entries WHERE accessed_at >= 1705000000000), s AS (SELECT entry, size_bytes, sum(size_bytes) OVER () - coalesce(sum(size_bytes) OVER (ORDER BY accessed_at, entry ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_ FROM o)
+       SELECT count(*) AS kept, coalesce(sum(size_bytes), 0)::BIGINT AS bytes, (SELECT count(*) FROM entries) AS dry FROM s WHERE left_ <= 2000000""",
+)
+def c9c(t):
+    # a dry run names the same entries and keeps all
+    kept, dry = (K.pruned(t.entries, before=1_705_000_000_000, most_bytes=2_000_000, dry=dry)[1] for dry in (False, True))
+    return kept.agg(F.count("*").alias("kept"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes")).crossJoin(F.broadcast(dry.agg(F.count("*").alias("dry"))))
+
+
 @query("C10_without_orphans", "SELECT id, project, task, hash FROM runs WHERE hash <> '' AND EXISTS (SELECT 1 FROM entries e WHERE e.entry = runs.project || '#' || runs.task || '#' || runs.hash AND e.accessed_at >= 1705000000000)")
 def c10(t):
     parents = t.entries.where("accessed_at >= 1705000000000")
@@ -114,18 +139,34 @@ def c10(t):
     return H.without_orphans(children, parents, "entry").select("id", "project", "task", "hash")
 
 
-@query("C11_retention", "SELECT 'runs' AS relation, count(*) AS kept FROM runs WHERE started_at >= 1705000000000 UNION ALL SELECT 'entries', count(*) FROM entries WHERE accessed_at >= 1705000000000 UNION ALL SELECT 'invocations', count(*) FROM invocations WHERE started_at >= 1705000000000")
+AGED = {"runs": "started_at", "invocations": "started_at", "steps": "started_at", "warnings": "started_at", "failures": "started_at", "task_durations": "started_at", "task_outcomes": "started_at", "remote_hits": "started_at"}
+
+
+@query(
+    "C11_retention",
+    " UNION ALL ".join(f"SELECT '{name}' AS relation, count(*) AS kept FROM {name} WHERE {at} >= 1705000000000" for name, at in AGED.items())
+    + " UNION ALL SELECT 'run_ids', count(*) FROM (SELECT DISTINCT run_id FROM runs WHERE started_at >= 1705000000000)",
+)
 def c11(t):
-    cut = 1_705_000_000_000
-    parts = [("runs", t.runs, "started_at"), ("entries", t.entries, "accessed_at"), ("invocations", t.invocations, "started_at")]
-    counts = [H.retained(df, c, cut).agg(F.count("*").alias("kept")).select(F.lit(n).alias("relation"), "kept") for n, df, c in parts]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    kept = H.retained_relations({name: getattr(t, name) for name in AGED}, AGED, 1_705_000_000_000)
+    # the dictionary keeps the ids that a kept row still uses
+    kept["run_ids"] = H.without_orphans(t.invocations.select("run_id"), kept["runs"], "run_id")
+    out = None
+    for name, rows in kept.items():
+        n = rows.agg(F.count("*").alias("kept")).select(F.lit(name).alias("relation"), "kept")
+        out = n if out is None else out.unionByName(n)
+    return out
 
 
-@query("C12_batched_lookup", f"SELECT k.key, e.size_bytes FROM (SELECT 'p' || (range % 20) || '#t1#' || range AS key FROM range(0, 200)) k LEFT JOIN entries e ON e.entry = k.key")
+@query(
+    "C12_batched_lookup",
+    "SELECT k.key, e.size_bytes, e.entry IS NOT NULL AS held FROM (SELECT DISTINCT project || '#' || task || '#' || hash AS key FROM runs WHERE id % 3 = 0 OR status = 'failed') k LEFT JOIN entries e ON e.entry = k.key",
+)
 def c12(t):
-    asked = t.spark.range(200).select(F.expr("concat('p', id % 20, '#t1#', id)").alias("key"))
-    return asked.join(t.entries.select(F.col("entry").alias("key"), "size_bytes"), "key", "left")
+    # every key that a third of the runs and all failed ones ask for, in one statement
+    asked = t.runs.where("id % 3 = 0 OR status = 'failed'").select(F.concat_ws("#", "project", "task", "hash").alias("key")).distinct()
+    held = t.entries.select(F.col("entry").alias("key"), "size_bytes", F.lit(True).alias("held"))
+    return asked.join(held, "key", "left").select("key", "size_bytes", F.coalesce("held", F.lit(False)).alias("held"))
 
 
 @query("J15_newest_entry_inputs", "SELECT o_custkey, max(o_orderkey) AS entry, kind, count(*) AS n FROM (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1) JOIN entry_inputs ON entry = o_orderkey GROUP BY o_custkey, kind")
@@ -133,5 +174,3 @@ def j15(t):
     newest = t.table("orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("entry"))
     return newest.join(t.entry_inputs, "entry").groupBy("o_custkey", "entry", "kind").agg(F.count("*").alias("n"))
 
-
-_ = PASS

@@ -11,6 +11,9 @@ from ..functions import text as X
 from ..operators import forecast as FC
 from ..operators import graph as G
 from ..operators import selection as SEL
+from ..operators import timeline as TL
+from ..operators import history as H
+from ..sources.bindings import RELATIONS
 from .registry import query
 from .time_queries import FOLD, MOVED
 
@@ -27,7 +30,11 @@ def fs5(t):
     return few.withColumn("n", F.row_number().over(Window.orderBy("d", "project")).cast("long"))
 
 
-@query("Fs5b_near_match_rules")
+@query(
+    "Fs5b_near_match_rules",
+    """SELECT name, row_number() OVER (ORDER BY rank, name) AS place FROM (SELECT name, CASE WHEN levenshtein(name, 'p10') < 3 THEN levenshtein(name, 'p10')
+         WHEN contains(lower(name), 'p10') OR regexp_matches('p10', '(^|[^a-z0-9])' || lower(name) || '($|[^a-z0-9])') THEN 3 END AS rank FROM (SELECT DISTINCT project AS name FROM runs)) WHERE rank IS NOT NULL AND name <> 'p10' ORDER BY rank, name LIMIT 3""",
+)
 def fs5b(t):
     return SEL.near_matches(t.runs.select("project"), "p10")
 
@@ -84,15 +91,18 @@ def j19(t):
 
 @query(
     "J22_precedence",
-    """SELECT e.entry, coalesce(a.v, b.v, c.v) AS v FROM entries e LEFT JOIN (SELECT 'p1#t1#5' AS k, 'exact' AS v) a ON a.k = e.entry
-       LEFT JOIN (SELECT 'p1' AS p, '2' AS lo, '5' AS hi, 'range' AS v) b ON b.p = e.project AND e.hash >= b.lo AND e.hash < b.hi LEFT JOIN (SELECT 'p2' AS p, 'name' AS v) c ON c.p = e.project""",
+    """WITH v AS (SELECT *, [hash::INT // 10, hash::INT % 10] AS version FROM entries), names AS (SELECT DISTINCT project FROM entries),
+            r AS (SELECT project, [k, 5] AS lo, [k + 2, 5] AS hi, 'range ' || k AS v FROM names, (SELECT unnest([1, 2, 6]) AS k) WHERE project <> 'p3')
+       SELECT e.entry, coalesce(CASE WHEN e.last_id % 5 = 0 THEN 'exact' END, (SELECT min(r.v) FROM r WHERE r.project = e.project AND e.version >= r.lo AND e.version < r.hi), CASE WHEN e.project <> 'p4' THEN 'name ' || e.project END) AS v FROM v e""",
 )
 def j22(t):
-    make = lambda rows, kind: F.broadcast(t.spark.createDataFrame(rows, kind))
-    exact, ranges, names = make([("p1#t1#5", "exact")], "entry string, a string"), make([("p1", "2", "5", "range")], "project string, lo string, hi string, b string"), make([("p2", "name")], "project string, c string")
-    e = t.entries.select("entry", "project", "hash").join(exact, "entry", "left")
-    e = e.join(ranges.withColumnRenamed("project", "rp"), (F.col("rp") == F.col("project")) & (F.col("hash") >= F.col("lo")) & (F.col("hash") < F.col("hi")), "left")
-    return e.join(names, "project", "left").select("entry", F.coalesce("a", "b", "c").alias("v"))
+    # versions have two numbers, so 10 comes after 2; every project but one has ranges, every one but another a default
+    e = t.entries.select("entry", "project", "last_id", F.array(F.expr("CAST(hash AS INT) div 10"), F.expr("CAST(hash AS INT) % 10")).alias("version"))
+    names = t.entries.select("project").distinct()
+    exact = t.entries.where("last_id % 5 = 0").select("entry", F.lit("exact").alias("v"))
+    ranges = names.where("project <> 'p3'").select("project", F.explode(F.array(*map(F.lit, (1, 2, 6)))).alias("k"))
+    ranges = ranges.select("project", F.array(F.col("k"), F.lit(5)).alias("lo"), F.array(F.col("k") + 2, F.lit(5)).alias("hi"), F.concat_ws(" ", F.lit("range"), "k").alias("v"))
+    return H.by_precedence(e, exact, ranges, names.where("project <> 'p4'").select("project", F.concat_ws(" ", F.lit("name"), "project").alias("v")))
 
 
 @query("K3_conflict_ignored", "SELECT run_id, coalesce(min(id) FILTER (WHERE id % 3 = 0), max(id)) AS id FROM runs GROUP BY run_id")
@@ -128,7 +138,7 @@ def g12(t):
     return G.owner_of(paths, t.projects).groupBy("owner").agg(F.count("*").alias("paths"))
 
 
-@query("G27b_all_restore_exclusions")
+@query("G27b_all_restore_exclusions", "WITH RECURSIVE a AS (SELECT node FROM projects WHERE starts_with(dir, 'packages/b3/') UNION SELECT e.src FROM a JOIN edges e ON e.dst = a.node) SELECT node FROM a")
 def g27b(t):
     return G.affected(t.projects.where(P.at_or_under("dir", "packages/b3")).select("node"), t.edges).select("node")
 
@@ -169,10 +179,10 @@ def g26(t):
     return n.agg(F.sum(F.expr("n * (n - 1)")).alias("edges")).select(F.lit("direct").alias("form"), "edges").unionByName(hub)
 
 
-@query("Q2_relations", "SELECT 'runs' AS relation, count(*) AS n FROM runs UNION ALL SELECT 'invocations', count(*) FROM invocations UNION ALL SELECT 'entries', count(*) FROM entries UNION ALL SELECT 'entry_inputs', count(*) FROM entry_inputs UNION ALL SELECT 'task_durations', count(*) FROM task_durations")
+@query("Q2_relations", " UNION ALL ".join(f"SELECT '{name}' AS relation, count(*) AS n FROM {name}" for name in RELATIONS))
 def q2(t):
     out = None
-    for name in ("runs", "invocations", "entries", "entry_inputs", "task_durations"):
+    for name in RELATIONS:
         row = getattr(t, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("relation"), "n")
         out = row if out is None else out.unionByName(row)
     return out
@@ -264,14 +274,15 @@ def s10(t):
     return hits.select("run_id", F.inline(F.from_json("packed", "array<struct<id bigint, project string, status string>>")))
 
 
-@query("U5_overlay", "SELECT task, coalesce(n.ms, o.ms) AS ms FROM (SELECT task, max(duration_ms) AS ms FROM runs GROUP BY task) o FULL JOIN (SELECT task, max(duration_ms) AS ms FROM runs WHERE project = 'p1' GROUP BY task) n USING (task)")
+@query("U5_overlay", "SELECT project, task, coalesce(n.ms, o.ms) AS ms FROM (SELECT project, task, max(duration_ms) AS ms FROM runs WHERE run_id < '2024011500' GROUP BY ALL) o FULL JOIN (SELECT project, task, max(duration_ms) AS ms FROM runs WHERE run_id >= '2024011500' AND status = 'success' GROUP BY ALL) n USING (project, task)")
 def u5(t):
-    carried = t.runs.groupBy("task").agg(F.max("duration_ms").alias("old"))
-    new = t.runs.where("project = 'p1'").groupBy("task").agg(F.max("duration_ms").alias("new"))
-    return carried.join(new, "task", "full").select("task", F.coalesce("new", "old").alias("ms"))
+    by = lambda rows, name: rows.groupBy("project", "task").agg(F.max("duration_ms").alias(name))
+    carried, new = by(t.runs.where("run_id < '2024011500'"), "old"), by(t.runs.where("run_id >= '2024011500' AND status = 'success'"), "new")
+    return carried.join(new, ["project", "task"], "full").select("project", "task", F.coalesce("new", "old").alias("ms"))
 
 
 @query("W4_neighbours", "SELECT id, lag(id) OVER w AS before, lead(id) OVER w AS after FROM runs WHERE hash <> '' WINDOW w AS (PARTITION BY project, task ORDER BY id)")
 def w4(t):
-    w = Window.partitionBy("project", "task").orderBy("id")
-    return t.runs.where("hash <> ''").select("id", F.lag("id").over(w).alias("before"), F.lead("id").over(w).alias("after"))
+    rows = t.runs.where("hash <> ''").select("id", "project", "task")
+    both = TL.neighbour(TL.neighbour(rows, F.col("id"), "project", "task").withColumnRenamed("_near", "before"), F.col("id"), "project", "task", later=True)
+    return both.select("id", "before", F.col("_near").alias("after"))

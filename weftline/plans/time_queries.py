@@ -138,12 +138,14 @@ def w3(t):
     return TL.evicted(t.entries, 1_000_000)
 
 
-@query("W5_dense_rank", "SELECT DISTINCT run_id, n FROM (SELECT run_id, dense_rank() OVER (PARTITION BY project ORDER BY run_id DESC) AS n FROM runs WHERE project = 'p1') WHERE n <= 50")
+@query("W5_dense_rank", "SELECT DISTINCT project, run_id, n FROM (SELECT project, run_id, dense_rank() OVER (PARTITION BY project ORDER BY run_id DESC) AS n FROM runs) WHERE n <= 50")
 def w5(t):
     from pyspark.sql import Window
 
-    n = F.dense_rank().over(Window.partitionBy("project").orderBy(F.desc("run_id")))
-    return t.runs.where("project = 'p1'").select("run_id", n.cast("long").alias("n")).where("n <= 50").distinct()
+    # the run ids of a project are ranked once each, not its rows
+    ids = t.runs.select("project", "run_id").distinct()
+    n = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("run_id")))
+    return ids.withColumn("n", n.cast("long")).where("n <= 50")
 
 
 SWEEP = """
@@ -176,10 +178,10 @@ def a26(t):
 
 @query("W6_running_delta", f"WITH {SWEEP} SELECT worker, open::BIGINT AS open, count(*) AS n FROM r GROUP BY ALL")
 def w6(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("worker").orderBy("at", "delta").rowsBetween(Window.unboundedPreceding, 0)
-    return TL._events(t.spans, "worker").select("worker", F.sum("n").over(w).alias("open")).groupBy("worker", "open").agg(F.count("*").alias("n"))
+    # ends come before starts of the same moment
+    e = TL._events(t.spans, "worker").withColumn("order", F.col("at") * 2 + F.expr("IF(delta > 0, 1, 0)"))
+    e = TL.running_in_cells(e, "order", ["worker"], {"was": F.col("n")}, {}, 7_200_000)
+    return e.groupBy("worker", (F.col("was") + F.col("n")).alias("open")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -292,10 +294,8 @@ def r2(t):
 
 @query("R5_sampled_gauges", "SELECT id, project, cpu_ms - coalesce(lag(cpu_ms) OVER (PARTITION BY project ORDER BY id), 0) AS cpu_delta, peak_rss FROM runs")
 def r5(t):
-    from pyspark.sql import Window
-
-    last = F.lag("cpu_ms").over(Window.partitionBy("project").orderBy("id"))
-    return t.runs.select("id", "project", (F.col("cpu_ms") - F.coalesce(last, F.lit(0))).alias("cpu_delta"), "peak_rss")
+    near = TL.neighbour(t.runs.select("id", "project", "cpu_ms", "peak_rss"), F.struct("cpu_ms"), "project")
+    return near.select("id", "project", (F.col("cpu_ms") - F.coalesce("_near.cpu_ms", F.lit(0))).alias("cpu_delta"), "peak_rss")
 
 
 @query("R9_log_budget", "SELECT id FROM (SELECT id, sum(duration_ms) OVER (PARTITION BY run_id ORDER BY status = 'failed' DESC, id DESC ROWS UNBOUNDED PRECEDING) AS used FROM runs) WHERE used <= 200000")

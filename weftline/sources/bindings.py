@@ -97,6 +97,32 @@ class Tables:
         return self.runs.where("status <> 'skipped'").select("id", "project", "task", F.expr("id % 10").alias("worker"), F.col("started_at").alias("start"), F.col("ended_at").alias("stop"), "cores", F.col("peak_rss").alias("memory"))
 
 
+    @cached_property
+    def steps(self) -> DataFrame:
+        g = self.runs.groupBy("run_id", F.col("project").alias("step")).agg(F.sum("duration_ms").alias("duration_ms"), F.min("started_at").alias("started_at"), F.min("id").alias("seq"))
+        return g.withColumn("ok", F.expr("seq % 11 <> 0"))
+
+    @cached_property
+    def warnings(self) -> DataFrame:
+        return self.runs.where("duration_ms > 90000").select("run_id", F.col("id").alias("seq"), F.concat_ws(" ", F.lit("slow:"), "task").alias("text"), "started_at")
+
+    @cached_property
+    def failures(self) -> DataFrame:
+        return self.runs.where("status = 'failed'").select("run_id", F.col("id").alias("seq"), "project", "task", F.expr("1 + id % 3").alias("exit_code"), "started_at")
+
+    @cached_property
+    def task_outcomes(self) -> DataFrame:
+        r = self.runs.where("hash <> '' AND status IN ('success', 'failed')")
+        return r.select("id", "project", "task", F.col("hash").alias("key"), F.when(F.col("status") == "failed", "fail").otherwise("pass").alias("outcome"), "started_at")
+
+    @cached_property
+    def remote_hits(self) -> DataFrame:
+        return self.runs.where("status = 'cache-hit-remote'").select("id", "hash", "started_at")
+
+
+#: The relations that are named to whoever asks in SQL.
+RELATIONS = ("runs", "invocations", "steps", "warnings", "failures", "entries", "entry_inputs", "task_durations", "task_outcomes")
+
 #: The same rules as SQL; a relation may use those before it.
 SQL = {
     "runs": """
@@ -133,6 +159,11 @@ SQL = {
         SELECT id, project, task, duration_ms, CASE WHEN id % 29 = 0 THEN 'remote' ELSE 'branch:' || (id % 3) END AS source, cores, peak_rss, started_at,
                CASE WHEN id % 2 = 0 THEN cpu_ms / nullif(duration_ms, 0) END AS cpu_parallelism
         FROM runs WHERE status = 'success'""",
+    "steps": "SELECT *, seq % 11 <> 0 AS ok FROM (SELECT run_id, project AS step, sum(duration_ms)::BIGINT AS duration_ms, min(started_at) AS started_at, min(id) AS seq FROM runs GROUP BY run_id, project)",
+    "warnings": "SELECT run_id, id AS seq, 'slow: ' || task AS text, started_at FROM runs WHERE duration_ms > 90000",
+    "failures": "SELECT run_id, id AS seq, project, task, 1 + id % 3 AS exit_code, started_at FROM runs WHERE status = 'failed'",
+    "task_outcomes": "SELECT id, project, task, hash AS key, CASE WHEN status = 'failed' THEN 'fail' ELSE 'pass' END AS outcome, started_at FROM runs WHERE hash <> '' AND status IN ('success', 'failed')",
+    "remote_hits": "SELECT id, hash, started_at FROM runs WHERE status = 'cache-hit-remote'",
     "nodes": "SELECT p_partkey AS node, p_name AS name, p_brand AS tag, p_size::BIGINT AS cost FROM part",
     "edges": """
         SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey >= 1

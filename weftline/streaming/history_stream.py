@@ -156,7 +156,8 @@ def grouped_in_time(changes: DataFrame, cuts: Cuts, delay: str = "1 hour") -> Da
     the open group is state. Times wait in the state until the watermark has
     passed them, and are folded in order then, whatever the order of files and
     Arrow batches; a timer closes a group that nothing can join any more. What
-    comes later than `delay` is dropped, as with any watermark. At the end of a
+    comes later than `delay` is dropped, as with any watermark, and so is what
+    lies before 1970, where a stream's first watermark is. At the end of a
     drain still_open() has what no watermark has passed.
     """
 
