@@ -174,7 +174,7 @@ ENDS = """e AS (SELECT node, cost AS path FROM tasks WHERE node NOT IN (SELECT s
     "G8b_predicted_chain",
     f"""WITH RECURSIVE tasks AS (SELECT node, CASE WHEN cost % 4 = 0 THEN 0 ELSE cost END AS cost FROM nodes), es AS (SELECT * FROM edges), {ENDS},
         c AS (SELECT 0 AS steps, (SELECT arg_min(node, (-path, node)) FROM ends) AS node UNION ALL SELECT steps + 1, v.via FROM c JOIN via v ON v.node = c.node WHERE v.best > 0)
-       SELECT max(c.steps) OVER () - c.steps AS place, c.node, t.cost::BIGINT AS cost FROM c JOIN tasks t ON t.node = c.node WHERE t.cost > 0""",
+       SELECT (max(c.steps) OVER () - c.steps)::BIGINT AS place, c.node, t.cost::BIGINT AS cost FROM c JOIN tasks t ON t.node = c.node WHERE t.cost > 0""",
 )
 def g8b(t):
     return PL.predicted_chain(t.nodes.select("node", F.when(F.expr("cost % 4 = 0"), 0).otherwise(F.col("cost")).alias("cost")), t.edges)
@@ -241,7 +241,7 @@ LOOPS = """g AS (SELECT src, dst FROM edges UNION SELECT node // 2, node FROM no
               WHERE CASE WHEN i.src = i.component THEN x.hops = 1 ELSE y.hops = x.hops - 1 END GROUP BY ALL),
         l AS (SELECT d.component, v.via AS node, d.hops - 1 AS place FROM d JOIN v ON v.component = d.component AND v.node = d.node WHERE d.node = d.component
               UNION ALL SELECT l.component, v.via, l.place - 1 FROM l JOIN v ON v.component = l.component AND v.node = l.node WHERE l.place > 0)
-       SELECT component, place, node FROM l""",
+       SELECT component, place::BIGINT AS place, node FROM l""",
 )
 def g19b(t):
     back = t.nodes.where("cost > 47 AND node > 1").select(F.expr("node div 2").alias("src"), F.col("node").alias("dst"))
