@@ -27,8 +27,6 @@ SHARD_LETTERS = 1 << 19
 ROUND_BYTES = 1 << 25
 #: Words a task looks up, about.
 TASK_WORDS = 1 << 13
-#: Nodes of a trie whose children a task keeps sorted by what lies below them, about 2 KB each.
-KNOWN = 1 << 14
 #: Distinct words, and their letters, that counting holds before it hands them on.
 _HELD, _HELD_LETTERS = 1 << 17, 1 << 22
 #: Texts longer than this are matched one by one instead of as a list.
@@ -93,7 +91,7 @@ class Trie:
     """
 
     def __init__(self, labels: bytes, kids, tail_at, tail_end, n, tails: bytes):
-        self.labels, self.tails, self.known = labels, tails, {}
+        self.labels, self.tails = labels, tails
         # memoryviews of whole numbers: compact, and faster to read one by one than arrays
         self.kids, self.tail_at, self.tail_end, self.n = (memoryview(np.ascontiguousarray(a)) for a in (kids, tail_at, tail_end, n))
 
@@ -171,7 +169,7 @@ class Trie:
         only the last is deleted, and nothing is inserted before its equal, so
         no other word is met twice.
         """
-        labels, ends, size, out = self.labels, self._ends, len(word), []
+        labels, kids, ends, size, out = self.labels, self.kids, self._ends, len(word), []
         node = i = 0
         while True:
             at = self.tail_at[node]
@@ -180,53 +178,26 @@ class Trie:
                 if one_edit(tail, word[i:]):
                     out.append((self.n[node], word[:i] + tail))
                 return out
-            left = size - i
-            if left and (left == 1 or word[i] != word[i + 1]) and (n := ends(node, word, i + 1)):
+            low, high = kids[node], kids[node + 1]
+            if i < size and (i == size - 1 or word[i] != word[i + 1]) and (n := ends(node, word, i + 1)):
                 out.append((n, word[:i] + word[i + 1 :]))
-            own = word[i] if left else -1
-            by_start, by_tail, own_kid = self._below(node)
-            # two letters are looked ahead, or the length of a tail, before walking down
-            for j in (i, i + 1) if left else (i,):
-                for kid in (*by_start.get(word[j : j + 2], ()), *by_start.get(word[j : j + 1] + b"-", ()), *by_tail.get(size - j, ())):
-                    c = labels[kid]
-                    if c != own and (n := ends(kid, word, j)):
-                        out.append((n, word[:i] + bytes((c,)) + word[j:]))
-            node = own_kid.get(own, -1)
-            if node < 0:
-                return out
-            i += 1
-
-    def _below(self, node: int) -> tuple[dict[bytes, list[int]], dict[int, list[int]], dict[int, int]]:
-        """A node's children by the two letters that can follow, those with a tail by its length, and all by their own letter.
-
-        One letter alone, or none, stands for children where a word ends
-        there, a letter and a hyphen for a tail behind the letter. So many
-        nodes are remembered as are few megabytes.
-        """
-        if node in self.known:
-            return self.known[node]
-        labels, kids, tail_at = self.labels, self.kids, self.tail_at
-        by_start: dict[bytes, list[int]] = {}
-        by_tail: dict[int, list[int]] = {}
-        for kid in range(kids[node], kids[node + 1]):
-            if tail_at[kid] >= 0:
-                by_tail.setdefault(self.tail_end[kid] - tail_at[kid], []).append(kid)
-                continue
-            if self.n[kid]:
-                by_start.setdefault(b"", []).append(kid)
-            for below in range(kids[kid], kids[kid + 1]):
-                c = labels[below : below + 1]
-                if tail_at[below] >= 0:
-                    by_start.setdefault(c + b"-", []).append(kid)
+            own = word[i] if i < size else -1
+            after = word[i + 1] if i + 1 < size else -1
+            on = -1
+            for kid in range(low, high):
+                c = labels[kid]
+                if c == own:
+                    on = kid
                     continue
-                if self.n[below]:
-                    by_start.setdefault(c, []).append(kid)
-                for d in range(kids[below], kids[below + 1]):
-                    by_start.setdefault(c + labels[d : d + 1], []).append(kid)
-        out = by_start, by_tail, {labels[kid]: kid for kid in range(kids[node], kids[node + 1])}
-        if len(self.known) < KNOWN:
-            self.known[node] = out
-        return out
+                # look one letter ahead before walking down
+                leaf = self.tail_at[kid] >= 0
+                if (leaf or own < 0 or labels.find(own, kids[kid], kids[kid + 1]) >= 0) and (n := ends(kid, word, i)):
+                    out.append((n, word[:i] + bytes((c,)) + word[i:]))
+                if own >= 0 and (leaf or after < 0 or labels.find(after, kids[kid], kids[kid + 1]) >= 0) and (n := ends(kid, word, i + 1)):
+                    out.append((n, word[:i] + bytes((c,)) + word[i + 1 :]))
+            if on < 0:
+                return out
+            node, i = on, i + 1
 
 
 def one_edit(a: bytes, b: bytes) -> bool:
