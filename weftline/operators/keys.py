@@ -33,6 +33,9 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, ["kind", "name"], "full").withColumn("change", change).where("change IS NOT NULL").select("kind", "name", "change", "old_hash", "new_hash").orderBy("kind", "name")
 
 
+MOVES = ("added", "removed", "changed", "unchanged")
+
+
 def diff_counts(pairs: DataFrame, components: DataFrame) -> DataFrame:
     """Of each (old, new) pair of entries: how many components were added, removed, changed and kept."""
     c = components.select("entry", "kind", "name", "hash")
@@ -67,6 +70,54 @@ def why_rerun(runs: DataFrame, invocations: DataFrame, entries: DataFrame) -> Da
     return prev.select("id", "project", "task", verdict.alias("verdict"))
 
 
+def run_key_diffs(runs: DataFrame, invocations: DataFrame, components: DataFrame) -> DataFrame:
+    """Beside each row of runs: the run its key is compared with, how many components moved since, and why none can be named.
+
+    components: (entry, kind, name, hash), entry being the key of runs. note
+    is no-key, first, same-key, previous (compared with the task's keyed row
+    before), since-saved (that row failed, ran beside a failure or didn't
+    write the cache, so it kept no components, and the last row before that
+    kept some takes its place) or unavailable. why is then what the row
+    before, or this one, lacked: uncached, ended, not-written,
+    beside-a-failure, each with `previous-` if it is the row before that
+    lacks it, remote (a remote entry carries no components) or gone.
+    Components are compared once for each pair of keys.
+    """
+    writes = invocations.select("run_id", P.policy_allows("cache_policy", "(?:local|remote)", "w").alias("writes"))
+    writes = writes.join(invocations.select("run_id", (F.col("failed_count") > 0).alias("failing")), "run_id").select("run_id", "writes", (F.col("writes") & F.col("failing")).alias("beside"))
+    rows = runs.select("id", "project", "task", "run_id", F.coalesce("hash", F.lit("")).alias("hash"), P.passed().alias("ok"), F.col("cached").eqNullSafe(F.lit(False)).alias("uncached"), (F.col("status") == "cache-hit-remote").alias("remote"))
+    bare = rows.where("hash = ''").select("id", "project", "task", "run_id", F.lit(None).cast("string").alias("since"), F.lit("no-key").alias("note"), F.lit(None).cast("string").alias("why"), *[F.lit(0).cast("long").alias(c) for c in MOVES])
+    rows = rows.where("hash <> ''").join(components.select(F.col("entry").alias("hash"), F.lit(True).alias("held")).distinct(), "hash", "left").join(writes, "run_id", "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("held", "writes", "beside")})
+    fetched = rows.where("remote").select("project", "task", F.col("hash").alias("r_hash")).distinct()
+    rows = neighbour(rows, F.struct("run_id", "hash", "ok", "held", "writes", "beside"), "project", "task").withColumnRenamed("_near", "p")
+    rows = neighbour(rows, F.when(F.col("held"), F.struct("run_id", "hash")), "project", "task").withColumnRenamed("_near", "s")
+    p = lambda c: F.col(f"p.{c}")
+    unsaved = F.when(~p("ok"), "previous-ended").when(p("beside"), "previous-beside-a-failure").when(~p("writes"), "previous-not-written")
+    rows = rows.withColumn("unsaved", unsaved)
+    note = (
+        F.when(F.col("p").isNull(), "first").when(p("hash") == F.col("hash"), "same-key")
+        .when(F.col("held") & ~p("held") & F.col("unsaved").isNotNull() & F.col("s").isNotNull(), "since-saved").when(~F.col("held") | ~p("held"), "unavailable").otherwise("previous")
+    )
+    rows = rows.withColumn("note", note).withColumn("since", F.when(F.col("note") == "since-saved", F.col("s.run_id")).otherwise(p("run_id")))
+    rows = rows.withColumn("old", F.when(F.col("note") == "since-saved", F.col("s.hash")).when(F.col("note") == "previous", p("hash")))
+    # which of the two keys lacks components, this row's before the other's
+    lacking = F.when(~F.col("held"), F.col("hash")).otherwise(p("hash"))
+    rows = rows.withColumn("lacking", F.when(F.col("note") == "unavailable", lacking))
+    by_remote = fetched.withColumn("by_remote", F.lit(True)).withColumnRenamed("r_hash", "lacking")
+    other = fetched.withColumn("other_remote", F.lit(True)).withColumnRenamed("r_hash", "p_hash")
+    rows = rows.withColumn("p_hash", F.when((F.col("note") == "unavailable") & ~p("held"), p("hash")))
+    rows = rows.join(by_remote, ["project", "task", "lacking"], "left").join(other, ["project", "task", "p_hash"], "left")
+    why = (
+        F.when(F.col("uncached"), "uncached").when(~F.col("held") & ~F.col("ok"), "ended").when(~F.col("held") & ~F.col("writes"), "not-written").when(~F.col("held") & F.col("beside"), "beside-a-failure")
+        .when(~p("held") & F.col("unsaved").isNotNull(), F.col("unsaved")).when(F.coalesce("by_remote", "other_remote"), "remote").otherwise("gone")
+    )
+    rows = rows.withColumn("why", F.when(F.col("note") == "unavailable", why).when(F.col("note") == "since-saved", F.col("unsaved")))
+    moved = diff_counts(rows.where("old IS NOT NULL").select("old", F.col("hash").alias("new")).distinct(), components)
+    out = rows.join(moved.withColumnRenamed("new", "hash"), ["old", "hash"], "left")
+    return out.select("id", "project", "task", "run_id", "since", "note", "why", *[F.coalesce(c, F.lit(0)).alias(c) for c in MOVES]).unionByName(bare)
+
+
 def explained_misses(pairs: DataFrame, components: DataFrame, first: int = 10) -> DataFrame:
     """Of each (old, new) pair of entries that differ: how many components moved, and the first few by kind and name."""
     c = components.select("entry", "kind", "name", "hash")

@@ -90,6 +90,41 @@ def c7(t):
     return K.diff_counts(pairs, t.entry_inputs)
 
 
+HELD = "SELECT entry::VARCHAR AS entry, kind, name, hash FROM entry_inputs JOIN orders ON o_orderkey = entry WHERE o_orderstatus <> 'F'"
+
+
+@query(
+    "C7b_run_key_diffs",
+    f"""WITH comp AS ({HELD}), keys AS (SELECT DISTINCT entry FROM comp),
+        x AS (SELECT r.id, r.project, r.task, r.run_id, r.hash, r.status, r.cached IS NOT DISTINCT FROM false AS uncached, r.status IN ('success', 'cache-hit', 'cache-hit-remote') AS ok, k.entry IS NOT NULL AS held,
+                regexp_matches(i.cache_policy, ':[rw]*w') AS writes, regexp_matches(i.cache_policy, ':[rw]*w') AND i.failed_count > 0 AS beside
+              FROM runs r JOIN invocations i ON i.run_id = r.run_id LEFT JOIN keys k ON k.entry = r.hash WHERE r.hash <> ''),
+        fetched AS (SELECT DISTINCT project, task, hash FROM x WHERE status = 'cache-hit-remote'),
+        y AS (SELECT *, lag(run_id) OVER w AS p_run, lag(hash) OVER w AS p_hash, lag(ok) OVER w AS p_ok, lag(held) OVER w AS p_held, lag(writes) OVER w AS p_writes, lag(beside) OVER w AS p_beside,
+                last_value(CASE WHEN held THEN run_id END IGNORE NULLS) OVER v AS s_run, last_value(CASE WHEN held THEN hash END IGNORE NULLS) OVER v AS s_hash
+              FROM x WINDOW w AS (PARTITION BY project, task ORDER BY id), v AS (PARTITION BY project, task ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        z AS (SELECT *, CASE WHEN NOT p_ok THEN 'previous-ended' WHEN p_beside THEN 'previous-beside-a-failure' WHEN NOT p_writes THEN 'previous-not-written' END AS unsaved FROM y),
+        n AS (SELECT *, CASE WHEN p_hash IS NULL THEN 'first' WHEN p_hash = hash THEN 'same-key' WHEN held AND NOT p_held AND unsaved IS NOT NULL AND s_run IS NOT NULL THEN 'since-saved' WHEN NOT held OR NOT p_held THEN 'unavailable' ELSE 'previous' END AS note FROM z),
+        o AS (SELECT *, CASE note WHEN 'since-saved' THEN s_hash WHEN 'previous' THEN p_hash END AS old FROM n),
+        q AS (SELECT DISTINCT old, hash AS new FROM o WHERE old IS NOT NULL),
+        a AS (SELECT old, new, kind, name, hash FROM q JOIN comp ON entry = old), b AS (SELECT old, new, kind, name, hash FROM q JOIN comp ON entry = new),
+        d AS (SELECT coalesce(a.old, b.old) AS old, coalesce(a.new, b.new) AS new, count(*) FILTER (WHERE a.hash IS NULL) AS added, count(*) FILTER (WHERE b.hash IS NULL) AS removed, count(*) FILTER (WHERE a.hash <> b.hash) AS changed, count(*) FILTER (WHERE a.hash = b.hash) AS unchanged
+              FROM a FULL JOIN b ON a.old = b.old AND a.new = b.new AND a.kind = b.kind AND a.name = b.name GROUP BY 1, 2)
+       SELECT o.id, o.project, o.task, o.run_id, CASE WHEN note = 'since-saved' THEN s_run ELSE p_run END AS since, note,
+         CASE WHEN note = 'since-saved' THEN unsaved WHEN note <> 'unavailable' THEN NULL WHEN uncached THEN 'uncached' WHEN NOT held AND NOT ok THEN 'ended' WHEN NOT held AND NOT writes THEN 'not-written' WHEN NOT held AND beside THEN 'beside-a-failure'
+           WHEN NOT p_held AND unsaved IS NOT NULL THEN unsaved
+           WHEN (NOT held AND EXISTS (SELECT 1 FROM fetched f WHERE f.project = o.project AND f.task = o.task AND f.hash = o.hash)) OR (NOT p_held AND EXISTS (SELECT 1 FROM fetched f WHERE f.project = o.project AND f.task = o.task AND f.hash = o.p_hash)) THEN 'remote' ELSE 'gone' END AS why,
+         coalesce(d.added, 0) AS added, coalesce(d.removed, 0) AS removed, coalesce(d.changed, 0) AS changed, coalesce(d.unchanged, 0) AS unchanged
+       FROM o LEFT JOIN d ON d.old = o.old AND d.new = o.hash
+       UNION ALL SELECT id, project, task, run_id, NULL, 'no-key', NULL, 0, 0, 0, 0 FROM runs WHERE hash = ''""",
+)
+def c7b(t):
+    # the entries of finished orders are gone
+    open_ = t.table("orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("entry"))
+    held = t.entry_inputs.join(open_, "entry", "left_semi").withColumn("entry", F.col("entry").cast("string"))
+    return K.run_key_diffs(t.runs, t.invocations, held)
+
+
 @query(
     "C8_explained_misses",
     """WITH p AS (SELECT o_orderkey AS new, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS old FROM orders), q AS (SELECT * FROM p WHERE old IS NOT NULL),

@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from . import graph_queries, history_queries, key_queries, more_queries, plan_queries, rule_queries, stream_queries, time_queries  # noqa: E402, F401
+from . import affected_queries, graph_queries, history_queries, key_queries, more_queries, plan_queries, rule_queries, stream_queries, time_queries  # noqa: E402, F401
