@@ -479,3 +479,24 @@ def test_walks_from_every_node(spark):
     assert pairs(graph_queries.g18b(t)) == sorted((o, n) for o in nodes for n in walk(o, lambda n: n % 5 != 0) if n % 5 == 0)
     seeds = {n for n in nodes if n % 4 == 3}
     assert sorted(x.node for x in more_queries.g27b(t).collect()) == sorted(n for n in nodes if n in seeds or walk(n, lambda _: True) & seeds)
+
+
+def test_measures_come_from_the_first_tier_with_rows(spark):
+    def row(id, task, source, ms, cores=None, def_=None):
+        return (id, "p", task, source, ms, cores, def_)
+
+    rows = [row(i, "a", "branch:m", 10 * i, 1.0 * i if i % 2 else None) for i in range(1, 8)] + [row(20, "a", "remote", 999), row(21, "a", "branch:x", 998)]
+    rows += [row(1, "b", "remote", 5, 2.0), row(2, "b", "remote", 7), row(3, "b", "branch:x", 100)]
+    rows += [row(1, "c", "remote", 6), row(1, "d", "branch:x", 3), row(2, "d", "branch:y", 4, 4.0)]
+    rows += [row(1, "e", "branch:m", 50, None, "old"), row(2, "e", "branch:x", 60, None, "new"), row(3, "e", "branch:x", 70), row(4, "f", "elsewhere", 1)]
+    d = spark.createDataFrame(rows, "id long, project string, task string, source string, duration_ms long, cores double, def string")
+    current = spark.createDataFrame([("p", "e", "new")], "project string, task string, def string")
+    imported = spark.createDataFrame([("p", "b", 70), ("p", "a", 1)], "project string, task string, slow_ms long")
+    got = {r["task"]: tuple(r)[2:] for r in forecast.tiered_measures(d, "branch:m", current, imported).collect()}
+    assert got == {
+        # the newest five of seven, cores of those that have some
+        "a": ("own", 50, 5.0, 70), "b": ("remote", 7, None, 70), "c": ("remote", 6, None, 6), "d": ("any", 4, 4.0, 4), "e": ("any", 70, None, 70),
+    }
+    # whatever the definition
+    assert forecast.tiered_measures(d, "branch:m").where("task = 'e'").first()[2:] == ("own", 50, None, 50)
+    assert forecast.tiered_measures(d.where("false"), "branch:m", current, imported).count() == 0

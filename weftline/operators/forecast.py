@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,3 +169,34 @@ def running_usage(samples: DataFrame, cell: int = 3_600_000) -> DataFrame:
     s = running_in_cells(samples.select("key", "id", "at", "cpu_ms", "rss"), "at", ["key"], {}, {"was_cpu": F.col("cpu_ms"), "was_rss": F.col("rss")}, cell, "id").join(first, "key")
     s = s.select("key", "id", "at", "t0", F.greatest("was_cpu", "cpu_ms").alias("cpu"), F.greatest("was_rss", "rss").alias("peak"))
     return s.select("key", "id", "cpu", "peak", F.try_divide(F.col("cpu").cast("double"), (F.col("at") - F.col("t0")).cast("double")).alias("mean_cores"))
+
+
+#: Rows that a forecast looks back on.
+LOOK_BACK = 5
+
+
+def tiered_measures(durations: DataFrame, branch: str, current: DataFrame | None = None, imported: DataFrame | None = None, runs: int = LOOK_BACK) -> DataFrame:
+    """(project, task, tier, duration_ms, cores, slow_ms) of the first tier that has rows of the task.
+
+    durations: (id, project, task, source, duration_ms, cores, def). own is the
+    newest few rows of the branch, remote the newest imported row, any the
+    newest few of all branches. duration_ms and cores are medians, cores of the
+    rows that have some; slow_ms the longest of the same rows, or what imported
+    (project, task, slow_ms) says of a remote one. With current (project, task,
+    def) rows of another definition are passed over; those without one count,
+    and so do those of a task that current doesn't name.
+    """
+    own, remote, any_ = F.col("source") == branch, F.col("source") == "remote", F.startswith("source", F.lit("branch:"))
+    if current is not None:
+        durations = durations.join(current.select("project", "task", F.col("def").alias("now")), ["project", "task"], "left").where("def IS NULL OR now IS NULL OR def = now")
+    tiers = F.filter(F.array(F.when(own, 0), F.when(remote, 1), F.when(any_, 2)), lambda x: x.isNotNull())
+    rows = durations.select("id", "project", "task", "duration_ms", "cores", F.explode(tiers).alias("tier"))
+    n = F.row_number().over(Window.partitionBy("project", "task", "tier").orderBy(F.desc("id")))
+    # few rows of a key leave each partition before the shuffle
+    rows = rows.withColumn("n", n).where(F.col("n") <= runs).where("tier <> 1 OR n = 1")
+    each = rows.groupBy("project", "task", "tier").agg(M.nearest_rank(F.col("duration_ms"), 0.5).alias("duration_ms"), M.nearest_rank(F.col("cores"), 0.5).alias("cores"), F.max("duration_ms").alias("slow_ms"))
+    first = each.groupBy("project", "task").agg(F.min_by(F.struct("tier", "duration_ms", "cores", "slow_ms"), "tier").alias("m")).select("project", "task", "m.*")
+    if imported is not None:
+        known = imported.select("project", "task", F.col("slow_ms").alias("known"))
+        first = first.join(known, ["project", "task"], "left").withColumn("slow_ms", F.when(F.col("tier") == 1, F.coalesce("known", "slow_ms")).otherwise(F.col("slow_ms"))).drop("known")
+    return first.withColumn("tier", F.get(F.array(*map(F.lit, ("own", "remote", "any"))), F.col("tier")))

@@ -251,6 +251,25 @@ def f5(t):
     return top.groupBy("project", "task").agg(nearest_rank(F.col("cores"), 0.5).alias("cores"), F.max("duration_ms").alias("slow"))
 
 
+@query(
+    "F5b_tiered_measures",
+    """WITH cur AS (SELECT project, task, arg_max(def, id) AS now FROM runs WHERE def IS NOT NULL GROUP BY ALL), imp AS (SELECT project, task, max(duration_ms) AS known FROM remote_hits JOIN runs USING (id) GROUP BY ALL),
+        d AS (SELECT t.*, r.def FROM task_durations t JOIN runs r ON r.id = t.id), k AS (SELECT d.* FROM d LEFT JOIN cur c ON c.project = d.project AND c.task = d.task WHERE d.def IS NULL OR now IS NULL OR d.def = now),
+        u AS (SELECT 0 AS tier, * FROM k WHERE source = 'branch:1' AND project <> 'p3' UNION ALL SELECT 1, * FROM k WHERE source = 'remote' UNION ALL SELECT 2, * FROM k WHERE source LIKE 'branch:%' AND NOT (project = 'p3' AND source = 'branch:1')),
+        n AS (SELECT *, row_number() OVER (PARTITION BY project, task, tier ORDER BY id DESC) AS n FROM u),
+        g AS (SELECT project, task, tier, list_sort(list(duration_ms)) AS ds, list_sort(list(cpu_parallelism) FILTER (WHERE cpu_parallelism IS NOT NULL)) AS cs, max(duration_ms) AS slow FROM n WHERE n <= CASE tier WHEN 1 THEN 1 ELSE 5 END GROUP BY ALL),
+        f AS (SELECT *, row_number() OVER (PARTITION BY project, task ORDER BY tier) AS k FROM g)
+       SELECT f.project, f.task, CASE tier WHEN 0 THEN 'own' WHEN 1 THEN 'remote' ELSE 'any' END AS tier, ds[len(ds) // 2 + 1] AS duration_ms, cs[len(cs) // 2 + 1] AS cores, CASE WHEN tier = 1 THEN coalesce(known, slow) ELSE slow END AS slow_ms
+       FROM f LEFT JOIN imp ON imp.project = f.project AND imp.task = f.task WHERE f.k = 1""",
+)
+def f5b(t):
+    # one project has no rows on the branch, so that its tasks come from a tier below
+    d = t.task_durations.where("NOT (project = 'p3' AND source = 'branch:1')").join(t.runs.select("id", "def"), "id").withColumn("cores", F.col("cpu_parallelism"))
+    current = t.runs.where("def IS NOT NULL").groupBy("project", "task").agg(F.max_by("def", "id").alias("def"))
+    imported = t.remote_hits.select("id").join(t.runs, "id").groupBy("project", "task").agg(F.max("duration_ms").alias("slow_ms"))
+    return FC.tiered_measures(d, "branch:1", current, imported)
+
+
 @query(
     "F6_resources",
     f"""WITH {PRODUCED}, {SATURATED.replace('LEAST', '0.9::DOUBLE')},
