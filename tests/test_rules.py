@@ -500,3 +500,18 @@ def test_measures_come_from_the_first_tier_with_rows(spark):
     # whatever the definition
     assert forecast.tiered_measures(d, "branch:m").where("task = 'e'").first()[2:] == ("own", 50, None, 50)
     assert forecast.tiered_measures(d.where("false"), "branch:m", current, imported).count() == 0
+
+
+def test_trace_events_count_what_is_in_use_at_each_moment(spark):
+    import json
+
+    spans = spark.createDataFrame([("w", 1, "a", 0, 10, 2, 5), ("w", 2, "b", 4, 10, 1, 1), ("w", 3, "c", 10, 12, 4, 2), ("w", 4, "d", 11, 11, 9, 9), ("w", 5, "e", 9, 3, 1, 1), ("v", 6, "f", 1, 2, 1, 1)], "k string, id long, name string, start long, stop long, cores long, memory long")
+    marks = spark.createDataFrame([("w", 'lost "x"', 7)], "k string, name string, at long")
+    rows = timeline.trace_events(spans, marks, "k", cell=5).collect()
+    got = sorted((r["k"], r["ph"], r["ts"] // 1000, *([json.loads(r["event"])["args"][c] for c in ("cores", "memory")] if r["ph"] == "C" else [json.loads(r["event"])["name"], json.loads(r["event"])["tid"]])) for r in rows)
+    assert got == [
+        ("v", "C", 1, 1, 1), ("v", "C", 2, 0, 0), ("v", "X", 1, "f", 1),
+        ("w", "C", 0, 2, 5), ("w", "C", 4, 3, 6), ("w", "C", 10, 4, 2), ("w", "C", 12, 0, 0),
+        ("w", "X", 0, "a", 1), ("w", "X", 4, "b", 2), ("w", "X", 10, "c", 1), ("w", "X", 11, "d", 2), ("w", "i", 7, 'lost "x"', 0),
+    ]
+    assert timeline.trace_events(spans.where("false"), marks.where("false"), "k").count() == 0

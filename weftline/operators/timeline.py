@@ -225,3 +225,25 @@ def timeline_rows(spans: DataFrame, *keys: str, cell: int = 3_600_000) -> DataFr
     schema = spans.schema.add("row", "long")
     dealt = s.repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", "start", "id")
     return dealt.mapInArrow(run, schema)
+
+
+def trace_events(spans: DataFrame, marks: DataFrame, key: str, cell: int = 3_600_000) -> DataFrame:
+    """(key, ph, ts, event): slices, counters and marks of a timeline as one JSON text each, times in microseconds.
+
+    spans: (key, id, name, start, stop, cores, memory); marks: (key, name, at).
+    A slice (X) lies in the first row that is free when it starts; row 0 is
+    left to what belongs to the whole key. A counter (C) gives the cores and
+    memory in use after all that starts or stops at a moment; spans without
+    length change none. A mark (i) is a moment. Spans that stop before they
+    start, or lack either, give nothing.
+    """
+    spans = spans.where("stop >= start")
+    us = lambda c: (F.col(c) * 1000).cast("long")
+    x = timeline_rows(spans, key, cell=cell).select(key, F.lit("X").alias("ph"), us("start").alias("ts"), F.struct(F.lit("X").alias("ph"), "name", F.col(key).alias("pid"), F.col("row").alias("tid"), us("start").alias("ts"), (us("stop") - us("start")).alias("dur")).alias("e"))
+    moments = _events(spans.where("stop > start"), key).groupBy(key, "at").agg(F.sum("d_cores").alias("d_cores"), F.sum("d_memory").alias("d_memory"))
+    moments = running_in_cells(moments, "at", [key], {"cores": F.col("d_cores"), "memory": F.col("d_memory")}, {}, cell)
+    used = F.struct((F.col("cores") + F.col("d_cores")).alias("cores"), (F.col("memory") + F.col("d_memory")).alias("memory"))
+    c = moments.select(key, F.lit("C").alias("ph"), us("at").alias("ts"), F.struct(F.lit("C").alias("ph"), F.lit("in use").alias("name"), F.col(key).alias("pid"), F.lit(0).alias("tid"), us("at").alias("ts"), used.alias("args")).alias("e"))
+    i = marks.select(key, F.lit("i").alias("ph"), us("at").alias("ts"), F.struct(F.lit("i").alias("ph"), F.lit("p").alias("s"), "name", F.col(key).alias("pid"), F.lit(0).alias("tid"), us("at").alias("ts")).alias("e"))
+    out = [part.select(key, "ph", "ts", F.to_json("e").alias("event")) for part in (x, c, i)]
+    return out[0].unionByName(out[1]).unionByName(out[2])

@@ -25,6 +25,22 @@ def x8(t):
     return TL.timeline_rows(t.spans.select("id", "worker", "start", "stop"), "worker").select("id", "worker", "row")
 
 
+@query(
+    "K11b_timeline_events",
+    X8_SQL.removesuffix("SELECT id, worker, row FROM f")
+    + """, m AS (SELECT worker, start AS moment, cores, memory FROM spans WHERE stop > start UNION ALL SELECT worker, stop, -cores, -memory FROM spans WHERE stop > start),
+       g AS (SELECT worker, moment, sum(cores) AS cores, sum(memory) AS memory FROM m GROUP BY worker, moment),
+       u AS (SELECT worker, moment, sum(cores) OVER w AS cores, sum(memory) OVER w AS memory FROM g WINDOW w AS (PARTITION BY worker ORDER BY moment))
+       SELECT s.worker, 'X' AS ph, s.start * 1000 AS ts, '{"ph":"X","name":"' || project || '#' || task || '","pid":' || s.worker || ',"tid":' || row || ',"ts":' || s.start * 1000 || ',"dur":' || (s.stop - s.start) * 1000 || '}' AS event FROM s JOIN f ON f.id = s.id
+       UNION ALL SELECT worker, 'C', moment * 1000, '{"ph":"C","name":"in use","pid":' || worker || ',"tid":0,"ts":' || moment * 1000 || ',"args":{"cores":' || cores || ',"memory":' || memory || '}}' FROM u
+       UNION ALL SELECT id % 10, 'i', ended_at * 1000, '{"ph":"i","s":"p","name":"failed ' || project || '#' || task || '","pid":' || id % 10 || ',"tid":0,"ts":' || ended_at * 1000 || '}' FROM runs WHERE status = 'failed'""",
+)
+def k11b(t):
+    spans = t.spans.withColumn("name", F.concat_ws("#", "project", "task"))
+    failed = t.runs.where("status = 'failed'").select(F.expr("id % 10").alias("worker"), F.concat(F.lit("failed "), F.concat_ws("#", "project", "task")).alias("name"), F.col("ended_at").alias("at"))
+    return TL.trace_events(spans, failed, "worker")
+
+
 # --- project filters
 
 #: What each list of filters says, and the same in SQL: per filter its sign, its walk and what it names.
