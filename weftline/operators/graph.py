@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, shuffled
 from ..sources.shared import written as checkpointed
 
 
@@ -199,12 +199,16 @@ def cyclic(edges: DataFrame) -> DataFrame:
 
 
 def owner_of(paths: DataFrame, projects: DataFrame) -> DataFrame:
-    """The project with the longest directory at or above each path, by an equal join on the path's ancestors."""
+    """The project with the longest directory at or above each path, by an equal join on the path's ancestors.
+
+    No side is broadcast: there may be as many projects as paths. Paths are
+    dealt over the tasks before each becomes as many rows as it has ancestors.
+    """
     parts = F.split("path", "/")
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    a = paths.select("path", F.explode(up).alias("dir"))
-    hits = a.join(projects.select("dir", "name"), "dir").groupBy("path").agg(F.max_by("name", F.length("dir")).alias("owner"))
-    return paths.join(hits, "path", "left").select("path", "owner")
+    a = paths.repartition("path").select("path", F.explode(up).alias("dir"))
+    hits = a.join(shuffled(projects.select("dir", "name")), "dir").groupBy("path").agg(F.max_by("name", F.length("dir")).alias("owner"))
+    return paths.join(shuffled(hits), "path", "left").select("path", "owner")
 
 
 def nested_dirs(projects: DataFrame) -> DataFrame:

@@ -28,3 +28,8 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as the side of a join that sorts both: Spark broadcasts by the size of files, and small ones may hold millions of rows."""
+    return df.hint("merge")
