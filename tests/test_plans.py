@@ -422,3 +422,13 @@ def test_the_import_of_the_entry_without_modules(tmp_path):
         if left:
             (tmp_path / left).mkdir(parents=True)
         subprocess.run([sys.executable, "-c", check], check=True, cwd=str(tmp_path), env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_an_edge_that_two_entries_state_comes_for_each(spark):
+    tasks = spark.createDataFrame([(0, "build"), (0, "test")], "node int, task string")
+    projects = spark.createDataFrame([(0, "a")], "node int, name string")
+    specs = spark.createDataFrame([(0, "test", "build"), (0, "test", "a#build")], "node int, task string, raw string")
+    edges = spark.createDataFrame([], "src int, dst int")
+    once = [tuple(r) for r in SL.resolve_dependencies(specs, tasks, edges, projects).collect()]
+    assert once == [(0, "test", 0, "build")]
+    assert [tuple(r) for r in SL.resolve_dependencies(specs, tasks, edges, projects, each=True).collect()] == once * 2

@@ -147,18 +147,19 @@ def filter_errors(specs: DataFrame) -> DataFrame:
     return specs.withColumn("error", filter_spec(F.col("raw"))["error"]).where("error IS NOT NULL").select("list", "place", "raw", "error")
 
 
-def resolve_dependencies(specs: DataFrame, tasks: DataFrame, edges: DataFrame, projects: DataFrame) -> DataFrame:
+def resolve_dependencies(specs: DataFrame, tasks: DataFrame, edges: DataFrame, projects: DataFrame, each: bool = False) -> DataFrame:
     """(node, task, to_node, to_task): the task edges that entries (node, task, raw) stand for.
 
     tasks: (node, task). `^name` leads to the nearest dependencies that have
     such a task, through those that have none. A negated entry takes away
     what it stands for from the same task; entries in error stand for nothing.
+    An edge comes once, with each once for every entry that stands for it.
     """
-    p = written(specs.select("node", "task", dependency_spec(F.col("raw")).alias("d")).where("d.error IS NULL").select("node", "task", "d.kind", "d.project", F.col("d.task").alias("to"), "d.negated"))
+    p = written(specs.select("node", "task", "raw", dependency_spec(F.col("raw")).alias("d")).where("d.error IS NULL").select("node", "task", "raw", "d.kind", "d.project", F.col("d.task").alias("to"), "d.negated"))
     p = p.withColumn("pattern", F.coalesce("to", F.lit("*")))
     t = tasks.select(F.col("node").alias("to_node"), F.col("task").alias("to_task")).distinct()
     fits = F.when(F.contains("pattern", F.lit("*")), F.rlike("to_task", _like(F.col("pattern")))).otherwise(F.col("pattern") == F.col("to_task"))
-    cols = ["node", "task", "negated", "to_node", "to_task"]
+    cols = ["node", "task", "raw", "negated", "to_node", "to_task"]
     own = p.where("kind IN ('self', 'wildcardSelf')").join(t, F.col("node") == F.col("to_node")).where(fits & ~((F.col("to_task") == F.col("task")) & F.contains("pattern", F.lit("*")))).select(cols)
     named = projects.select(F.col("name").alias("project"), F.col("node").alias("to_node"))
     cross = p.where("kind = 'cross'").join(named, "project").join(t, "to_node").where(fits).select(cols)
@@ -184,4 +185,5 @@ def resolve_dependencies(specs: DataFrame, tasks: DataFrame, edges: DataFrame, p
     else:
         every = own.unionByName(cross)
     key = ["node", "task", "to_node", "to_task"]
-    return every.where("NOT negated").select(key).distinct().join(every.where("negated").select(key), key, "left_anti")
+    stated = every.where("NOT negated").select(*key, *(["raw"] if each else [])).distinct()
+    return stated.join(every.where("negated").select(key), key, "left_anti").select(key)
