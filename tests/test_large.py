@@ -28,7 +28,7 @@ def test_owner_of_broadcasts_nothing(spark):
     assert seen and not any("BroadcastExchange" in p for p in seen)
 
 
-@pytest.mark.parametrize("name", ["G12_changed_projects", "J16_owner"])
-def test_ownership_broadcasts_nothing(spark, sf, name):
+@pytest.mark.parametrize("name", ["G12_changed_projects", "J16_owner", "G9c_blocked_tasks", "G8b_predicted_chain", "G13_selected", "G28_download_modes"])
+def test_no_job_broadcasts(spark, sf, name):
     seen = plans(spark, lambda: registry.QUERIES[name](spark, sf).collect())
     assert seen and not any("BroadcastExchange" in p for p in seen)

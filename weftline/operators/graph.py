@@ -21,22 +21,63 @@ def clean_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
 
 
+#: Rounds of three peels within which a graph is shallow.
+PEELS = 22
+
+
+def shallow(edges: DataFrame) -> bool:
+    """Whether edges have no cycle and no way of over 3 * PEELS steps: told by peeling nodes without dependencies."""
+    left = checkpointed(edges.select("src", "dst").distinct())
+    n = left.count()
+    for _ in range(PEELS):
+        if not n:
+            return True
+        for _ in range(3):
+            left = left.join(shuffled(left.select(F.col("src").alias("dst")).distinct()), "dst", "left_semi").select("src", "dst")
+        left, before = checkpointed(left), n
+        n = left.count()
+        if n == before:
+            return False
+    return not n
+
+
+def walks(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """(origin, node) as `reached`, for shallow edges: a round takes the ends of all ways of one length to those one longer.
+
+    Nothing is looked up in the rounds before: pairs of several lengths fall
+    together at the end, so each pair is shuffled a few times whatever the depth.
+    """
+    e = shuffled(edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst")))
+    new = checkpointed(start.select(F.col("src").alias("origin"), F.col("dst").alias("node")).distinct())
+    every = new
+    while not new.isEmpty():
+        new = checkpointed(new.join(e, new["node"] == e["e_src"]).select("origin", F.col("e_dst").alias("node")).distinct())
+        every = every.unionByName(new)
+    return every.distinct()
+
+
 def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(origin, node): everything that each seed, or each src, reaches. On a cycle a node reaches itself.
 
-    From all nodes by doubling: what lies more than n and at most 2n steps
-    away is what lies at most n steps from the nodes exactly n away. So the
-    rounds are the logarithm of the depth, and each joins what is exactly
-    as far as the round before came. From seeds, step by step.
+    From all nodes of a shallow graph by ways of one length after the other,
+    else by doubling: what lies more than n and at most 2n steps away is what
+    lies at most n steps from the nodes exactly n away. So the rounds are the
+    logarithm of the depth, and each joins what is exactly as far as the round
+    before came. From seeds, step by step.
     """
     if seeds is not None:
-        return reached(edges.join(seeds.select(F.col("node").alias("src")), "src", "left_semi"), edges)
+        return reached(edges.join(shuffled(seeds.select(F.col("node").alias("src"))), "src", "left_semi"), edges)
+    edges = checkpointed(edges.select("src", "dst").distinct())
+    return walks(edges, edges) if shallow(edges) else _doubled(edges)
+
+
+def _doubled(edges: DataFrame) -> DataFrame:
     seen, far = checkpointed(edges.select(F.col("src").alias("origin"), F.col("dst").alias("node"), F.lit(1).alias("hops")).distinct()), 1
     while True:
         edge = seen.where(F.col("hops") == far).select("origin", F.col("node").alias("mid"))
         on = seen.select(F.col("origin").alias("mid"), "node", F.col("hops").alias("more"))
-        step = edge.join(on, "mid").groupBy("origin", "node").agg((F.min("more") + far).alias("hops"))
-        new = checkpointed(step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti"))
+        step = edge.join(shuffled(on), "mid").groupBy("origin", "node").agg((F.min("more") + far).alias("hops"))
+        new = checkpointed(step.join(shuffled(seen.select("origin", "node")), ["origin", "node"], "left_anti"))
         if new.isEmpty():
             return seen.select("origin", "node")
         seen, far = seen.unionByName(new), far * 2
@@ -58,7 +99,7 @@ def jumps(edges: DataFrame, gain: str | None = None) -> DataFrame:
     most, every = GROWTH * level.count(), level
     for _ in range(SQUARES):
         on = level.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("gain").alias("more"))
-        level = checkpointed(level.join(on, "dst").groupBy("src", F.col("to").alias("dst")).agg(F.max(F.col("gain") + F.col("more")).alias("gain")))
+        level = checkpointed(level.join(shuffled(on), "dst").groupBy("src", F.col("to").alias("dst")).agg(F.max(F.col("gain") + F.col("more")).alias("gain")))
         n = level.count()
         if not n or n > most:
             break
@@ -68,14 +109,12 @@ def jumps(edges: DataFrame, gain: str | None = None) -> DataFrame:
 
 def reached(start: DataFrame, edges: DataFrame) -> DataFrame:
     """(origin, node): what each origin reaches from its first steps, start's (src, dst); an origin needn't be a node."""
-    e = edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"))
+    e = shuffled(edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst")))
     new = checkpointed(start.select(F.col("src").alias("origin"), F.col("dst").alias("node")).distinct())
-    parts = [new]
     seen = new
     while not new.isEmpty():
         step = new.join(e, new["node"] == e["e_src"]).select("origin", F.col("e_dst").alias("node")).distinct()
-        new = checkpointed(step.join(seen, ["origin", "node"], "left_anti"))
-        parts.append(new)
+        new = checkpointed(step.join(shuffled(seen), ["origin", "node"], "left_anti"))
         seen = seen.unionByName(new)
     return seen
 
@@ -86,8 +125,8 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 
 def dependent_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """How many nodes depend on each, directly or not."""
-    n = closure(reversed_edges(edges)).groupBy(F.col("origin").alias("node")).agg(F.count("*").alias("dependents"))
-    return nodes.select("node").join(n, "node", "left").select("node", F.coalesce("dependents", F.lit(0)).alias("dependents"))
+    n = closure(edges).groupBy("node").agg(F.count("*").alias("dependents"))
+    return nodes.select("node").join(shuffled(n), "node", "left").select("node", F.coalesce("dependents", F.lit(0)).alias("dependents"))
 
 
 def direct_dependents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -102,17 +141,17 @@ def longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     takes few rounds. A round writes only the nodes whose value rose, with
     their new value; the largest of a node's values is its own.
     """
-    e = edges.join(nodes.select(F.col("node").alias("dst"), F.col("cost").alias("_cost")), "dst")
+    e = edges.join(shuffled(nodes.select(F.col("node").alias("dst"), F.col("cost").alias("_cost"))), "dst")
     e = jumps(e, "_cost").select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"), F.col("gain").alias("_cost"))
     new = checkpointed(nodes.select("node", F.col("cost").alias("path")))
     best = new
     while not new.isEmpty():
-        up = new.join(e, new["node"] == e["e_src"]).groupBy(F.col("e_dst").alias("node")).agg(F.max(F.col("path") + F.col("_cost")).alias("path"))
+        up = new.join(shuffled(e), new["node"] == e["e_src"]).groupBy(F.col("e_dst").alias("node")).agg(F.max(F.col("path") + F.col("_cost")).alias("path"))
         # of a node's values so far only the largest counts
         known = best.groupBy("node").agg(F.max("path").alias("known"))
-        new = checkpointed(up.join(known, "node").where(F.col("path") > F.col("known")).select("node", "path"))
+        new = checkpointed(up.join(shuffled(known), "node").where(F.col("path") > F.col("known")).select("node", "path"))
         best = best.unionByName(new)
-    return nodes.select("node", "cost").join(best.groupBy("node").agg(F.max("path").alias("path")), "node")
+    return nodes.select("node", "cost").join(shuffled(best.groupBy("node").agg(F.max("path").alias("path"))), "node")
 
 
 def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -136,8 +175,8 @@ def affected(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     seen, hops = new, 0
     while not new.isEmpty():
         hops += 1
-        step = new.join(e, new["node"] == e["e_dst"]).groupBy(F.col("e_src").alias("node")).agg(F.min("node").alias("via"))
-        step = step.join(seen.select("node"), "node", "left_anti")
+        step = new.join(shuffled(e), new["node"] == e["e_dst"]).groupBy(F.col("e_src").alias("node")).agg(F.min("node").alias("via"))
+        step = step.join(shuffled(seen.select("node")), "node", "left_anti")
         new = checkpointed(step.select("node", F.lit(hops).alias("hops"), "via"))
         seen = seen.unionByName(new)
     return seen
@@ -149,8 +188,8 @@ def tainted(roots: DataFrame, edges: DataFrame) -> DataFrame:
     best = checkpointed(roots.select("node", F.col("node").alias("root")).distinct())
     changed = best
     while not changed.isEmpty():
-        up = changed.join(e, changed["node"] == e["e_dst"]).groupBy(F.col("e_src").alias("node")).agg(F.min("root").alias("up"))
-        both = checkpointed(best.join(up, "node", "full").select("node", F.col("root").alias("old"), F.least("root", "up").alias("root")))
+        up = changed.join(shuffled(e), changed["node"] == e["e_dst"]).groupBy(F.col("e_src").alias("node")).agg(F.min("root").alias("up"))
+        both = checkpointed(best.join(shuffled(up), "node", "full").select("node", F.col("root").alias("old"), F.least("root", "up").alias("root")))
         changed = both.where(F.col("old").isNull() | (F.col("root") < F.col("old"))).select("node", "root")
         best = both.select("node", "root")
     return best
@@ -161,26 +200,20 @@ def restricted_closure(edges: DataFrame, through: DataFrame, seeds: DataFrame) -
 
     A seed outside `through` starts paths of its own, and ends those of the others.
     """
-    inner = edges.join(through.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst")
-    first = edges.join(seeds.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst")
-    return reached(first, inner)
+    inner = checkpointed(edges.join(shuffled(through.select(F.col("node").alias("src"))), "src", "left_semi").select("src", "dst").distinct())
+    first = edges.join(shuffled(seeds.select(F.col("node").alias("src"))), "src", "left_semi").select("src", "dst")
+    return walks(first, inner) if shallow(inner) else reached(first, inner)
 
 
 def nearest_holders(edges: DataFrame, holders: DataFrame, seeds: DataFrame) -> DataFrame:
     """(origin, node): the first holders on each way down from a seed; a way ends at its holder."""
-    e = edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"))
-    held = holders.select("node").distinct().withColumn("held", F.lit(True))
-    step = edges.join(seeds.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("src").alias("origin"), F.col("dst").alias("node"))
-    seen = None
-    while True:
-        new = step.distinct() if seen is None else step.distinct().join(seen.select("origin", "node"), ["origin", "node"], "left_anti")
-        new = checkpointed(new.join(held, "node", "left").select("origin", "node", "held"))
-        if new.isEmpty():
-            break
-        seen = new if seen is None else seen.unionByName(new)
-        open_ = new.where("held IS NULL")
-        step = open_.join(e, open_["node"] == e["e_src"]).select("origin", F.col("e_dst").alias("node"))
-    return (seen if seen is not None else new).where("held").select("origin", "node")
+    held = holders.select("node").distinct()
+    open_ = edges.join(shuffled(held.select(F.col("node").alias("src"))), "src", "left_anti").select("src", "dst")
+    first = edges.join(shuffled(seeds.select(F.col("node").alias("src"))), "src", "left_semi").select("src", "dst")
+    # steps go on from what holds nothing, from a seed whatever it holds
+    open_ = checkpointed(open_.distinct())
+    ways = walks(first, open_) if shallow(open_) else reached(first, open_)
+    return ways.join(shuffled(held), "node", "left_semi").select("origin", "node")
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
@@ -189,7 +222,7 @@ def cyclic(edges: DataFrame) -> DataFrame:
     n = left.count()
     while n:
         for _ in range(3):  # three peels a round
-            left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            left = left.join(shuffled(left.select(F.col("dst").alias("src")).distinct()), "src", "left_semi")
         left = checkpointed(left)
         m = left.count()
         if m == n:
@@ -237,19 +270,19 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         ends = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
         colour = checkpointed(tainted(ends, jumps(left)))
         of = lambda end: colour.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))  # noqa: E731, B023
-        same = checkpointed(left.join(of("src"), "src").join(of("dst"), "dst").where("src_root = dst_root").select("src", "dst"))
+        same = checkpointed(left.join(shuffled(of("src")), "src").join(shuffled(of("dst")), "dst").where("src_root = dst_root").select("src", "dst"))
         roots = colour.where("node = root").select("node")
         part = closure(same, roots).select("node", F.col("origin").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
         part = checkpointed(part.distinct())
         found.append(part)
         gone = part.select("node")
-        left = _trimmed(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        left = _trimmed(left.join(shuffled(gone.withColumnRenamed("node", "src")), "src", "left_anti").join(shuffled(gone.withColumnRenamed("node", "dst")), "dst", "left_anti").select("src", "dst"))
     if not found:
         return nodes.select("node", F.col("node").alias("component"))
     every = found[0]
     for part in found[1:]:
         every = every.unionByName(part)
-    return nodes.select("node").join(every, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.select("node").join(shuffled(every), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def _as_set(digest) -> list:
@@ -275,7 +308,7 @@ def reach_digests(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = checkpointed(edges.select("src", "dst").where("src <> dst").distinct())
     comp = checkpointed(components(nodes, e))
     of = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
-    up = checkpointed(e.join(of("src"), "src").join(of("dst"), "dst").where("src_c <> dst_c").select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).distinct())
+    up = checkpointed(e.join(shuffled(of("src")), "src").join(shuffled(of("dst")), "dst").where("src_c <> dst_c").select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).distinct())
 
     names = e.join(nodes.select(F.col("node").alias("dst"), F.sha2(F.coalesce("name", F.lit("")), 256).alias("to")), "dst").select("src", "to").distinct()
     lands = names.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_n"), *_as_set("to"))
@@ -308,7 +341,7 @@ def reach_digests(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     every = done[0]
     for part in done[1:]:
         every = every.unionByName(part)
-    return comp.join(every.withColumnRenamed("node", "component"), "component").select("node", "digest")
+    return comp.join(shuffled(every.withColumnRenamed("node", "component")), "component").select("node", "digest")
 
 
 def chain(paths: DataFrame, edges: DataFrame) -> DataFrame:

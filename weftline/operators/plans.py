@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.specs import brace_alternatives
-from ..sources.shared import shared_folder, written
+from ..sources.shared import shared_folder, shuffled, written
 from . import graph as G
 from .selectors import _ancestors, _path_like
 
@@ -28,7 +28,7 @@ def settled(nodes: DataFrame, edges: DataFrame, own: Column, head: Column) -> Da
     n = nodes.select("node", own.alias("own"), head.alias("_head"))
     e = written(edges.select("src", "dst").distinct())
     need = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("need"))
-    waiting = written(n.join(need, "node", "left").withColumn("need", F.coalesce("need", F.lit(0))))
+    waiting = written(n.join(shuffled(need), "node", "left").withColumn("need", F.coalesce("need", F.lit(0))))
     root, k, done = shared_folder(spark), 0, []
     # what the dependencies that are settled have said so far, one row for each node that is told
     told = None
@@ -45,11 +45,11 @@ def settled(nodes: DataFrame, edges: DataFrame, own: Column, head: Column) -> Da
             break
         done.append(f"{root}/level-{k}")
         k += 1
-        said = now.join(e.withColumnRenamed("dst", "node"), "node").select(F.col("src").alias("to"), F.struct((-F.col("end")).alias("less"), F.col("node").cast("bigint").alias("via"), F.col("head").cast("bigint").alias("head")).alias("best"), F.col("node").cast("bigint").alias("first"), F.lit(1).cast("bigint").alias("got"))
+        said = now.join(shuffled(e.withColumnRenamed("dst", "node")), "node").select(F.col("src").alias("to"), F.struct((-F.col("end")).alias("less"), F.col("node").cast("bigint").alias("via"), F.col("head").cast("bigint").alias("head")).alias("best"), F.col("node").cast("bigint").alias("first"), F.lit(1).cast("bigint").alias("got"))
         if told is not None:
             said = said.unionByName(told.where("got < need").select(F.col("node").alias("to"), "best", "first", "got"))
         said = said.groupBy(F.col("to").alias("node")).agg(F.min("best").alias("best"), F.min("first").alias("first"), F.sum("got").alias("got"))
-        told = written(said.join(waiting, "node"))
+        told = written(said.join(shuffled(waiting), "node"))
     schema = now.schema
     return spark.read.schema(schema).parquet(*done) if done else now
 
@@ -62,9 +62,9 @@ def followed(start: DataFrame, pointers: DataFrame, *keys: str) -> DataFrame:
     way = written(start.select(*keys, "node", F.lit(0).cast("long").alias("steps")))
     jump, far = written(pointers.where("next IS NOT NULL").select(*keys, "node", "next")), 1
     while not jump.isEmpty():
-        way = written(way.unionByName(way.join(jump, [*keys, "node"]).select(*keys, F.col("next").alias("node"), (F.col("steps") + far).alias("steps"))))
+        way = written(way.unionByName(way.join(shuffled(jump), [*keys, "node"]).select(*keys, F.col("next").alias("node"), (F.col("steps") + far).alias("steps"))))
         onward = jump.select(*keys, F.col("node").alias("next"), F.col("next").alias("_next"))
-        jump = written(jump.join(onward, [*keys, "next"]).select(*keys, "node", F.col("_next").alias("next")))
+        jump = written(jump.join(shuffled(onward), [*keys, "next"]).select(*keys, "node", F.col("_next").alias("next")))
         far *= 2
     return way
 
@@ -79,7 +79,7 @@ def predicted_chain(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     # a dependency that ends at 0 carries nothing: the way stops before it
     s = written(s.select("node", "end", F.when(F.col("start") > 0, F.col("via")).alias("next")))
     last = s.orderBy(F.desc("end"), "node").limit(1).select("node")
-    way = followed(last, s.select("node", "next")).join(tasks.select("node", "cost"), "node").where("cost > 0")
+    way = followed(last, s.select("node", "next")).join(shuffled(tasks.select("node", "cost")), "node").where("cost > 0")
     # at most the levels of the graph: one chain
     n = way.agg(F.max("steps")).first()[0]
     return way.select((F.lit(-1 if n is None else n) - F.col("steps")).alias("place"), "node", "cost")
@@ -98,11 +98,11 @@ def live_forecast(tasks: DataFrame, edges: DataFrame, now: int, workers: int) ->
     """
     live = written(tasks.where("state IS NULL OR state <> 'finished'"))
     ids = live.select(F.col("node").alias("src"))
-    e = edges.join(ids, "src", "left_semi").join(ids.withColumnRenamed("src", "dst"), "dst", "left_semi")
+    e = edges.join(shuffled(ids), "src", "left_semi").join(shuffled(ids.withColumnRenamed("src", "dst")), "dst", "left_semi")
     known = F.when(F.col("is_group"), None).otherwise(F.col("p50"))
     own = F.coalesce(F.when(F.col("state") == "running", F.greatest(F.lit(0), known - (F.lit(now) - F.col("since")))).otherwise(known).cast("double"), F.lit(0.0))
     s = settled(live, e, own, F.when(F.col("state") == "running", F.col("node")).cast("long"))
-    j = written(s.join(live.select("node", "state", "is_group", "rank", own.alias("own"), known.isNotNull().alias("known")), "node"))
+    j = written(s.join(shuffled(live.select("node", "state", "is_group", "rank", own.alias("own"), known.isNotNull().alias("known"))), "node"))
     by = F.coalesce("head", "first")
     held = j.where((F.coalesce("state", F.lit("")) != "running") & ~F.col("is_group") & by.isNotNull()).select("node", by.alias("by"), "rank")
     waiting = held.agg(F.count("*").alias("waiting"))
@@ -147,16 +147,16 @@ def named_loops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     comp = written(G.components(nodes, edges))
     of = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
-    inner = written(edges.join(of("src"), "src").join(of("dst"), "dst").where("src_c = dst_c").select(F.col("src_c").alias("component"), "src", "dst").distinct())
+    inner = written(edges.join(shuffled(of("src")), "src").join(shuffled(of("dst")), "dst").where("src_c = dst_c").select(F.col("src_c").alias("component"), "src", "dst").distinct())
     new = written(inner.where("src = component").select("component", F.col("dst").alias("node"), F.col("src").alias("via")).distinct().withColumn("hops", F.lit(1)))
     seen, hops = new, 1
     while not new.isEmpty():
         hops += 1
         # a loop that has closed ends its component's search
         closed = seen.where("node = component").select("component")
-        step = new.join(closed, "component", "left_anti").withColumnRenamed("node", "src").drop("via", "hops").join(inner, ["component", "src"])
+        step = new.join(shuffled(closed), "component", "left_anti").withColumnRenamed("node", "src").drop("via", "hops").join(shuffled(inner), ["component", "src"])
         step = step.groupBy("component", F.col("dst").alias("node")).agg(F.min("src").alias("via")).withColumn("hops", F.lit(hops))
-        new = written(step.join(seen.select("component", "node"), ["component", "node"], "left_anti"))
+        new = written(step.join(shuffled(seen.select("component", "node")), ["component", "node"], "left_anti"))
         seen = seen.unionByName(new)
     seen = written(seen)
     ends = seen.where("node = component")
@@ -180,21 +180,21 @@ def likely_misses(tasks: DataFrame, inputs: DataFrame, changed: DataFrame, edges
     patterns meet many paths by the directory before the first special
     character, not pair by pair.
     """
-    have = tasks.join(inputs.select("node").distinct(), "node", "left_semi")
-    p = inputs.where(~F.startswith("pattern", F.lit("!"))).join(tasks.select("node", "dir"), "node")
+    have = tasks.join(shuffled(inputs.select("node").distinct()), "node", "left_semi")
+    p = inputs.where(~F.startswith("pattern", F.lit("!"))).join(shuffled(tasks.select("node", "dir")), "node")
     rel = F.regexp_replace(F.regexp_replace("pattern", r"^\./", ""), "/$", "")
     whole = F.when((F.col("scope") == "project") & (F.col("dir") != ""), F.concat("dir", F.lit("/"), rel)).otherwise(rel)
     p = p.select("node", F.explode(brace_alternatives(whole)).alias("pattern")).withColumn("special", F.regexp_like("pattern", F.lit(r"[*?\[{]")))
     p = p.withColumn("at", F.when(F.col("special"), F.regexp_replace(F.regexp_extract("pattern", r"^([^*?\[{]*/)?", 1), "/$", "")).otherwise(F.col("pattern")))
     c = changed.select("path", F.explode(F.array_union(_ancestors(F.col("path")), F.array("path"))).alias("at"))
-    hit = p.join(c, "at").where(~F.col("special") | F.rlike("path", _path_like(F.col("pattern")))).select("node")
+    hit = p.join(shuffled(c), "at").where(~F.col("special") | F.rlike("path", _path_like(F.col("pattern")))).select("node")
     last = F.element_at(F.split("path", "/"), -1)
     manifests = changed.where(F.regexp_like(last, F.lit(config))).select(F.regexp_replace(F.left("path", F.length("path") - F.length(last)), "/$", "").alias("dir")).distinct()
-    own = hit.unionByName(have.join(manifests, "dir").select("node"))
+    own = hit.unionByName(have.join(shuffled(manifests), "dir").select("node"))
     # one row if any path is every key's
     all_ = changed.where(F.regexp_like("path", F.lit(WHOLE))).limit(1).select(F.lit(True).alias("_"))
     own = own.unionByName(have.withColumn("_", F.lit(True)).join(all_, "_").select("node"))
-    return G.affected(own.distinct(), edges).select("node").join(tasks.where("cached").select("node"), "node", "left_semi")
+    return G.affected(own.distinct(), edges).select("node").join(shuffled(tasks.where("cached").select("node")), "node", "left_semi")
 
 
 def importer_digests(nodes: DataFrame, edges: DataFrame, importers: DataFrame, variants: DataFrame, shared: str = "") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from ..sources.shared import shuffled
 from .graph import closure, reversed_edges
 
 
@@ -31,7 +32,7 @@ def with_dependents(selected: DataFrame, edges: DataFrame) -> DataFrame:
 
 def without(included: DataFrame, excluded: DataFrame) -> DataFrame:
     """Every include comes before any exclude."""
-    return included.join(excluded.select("node"), "node", "left_anti")
+    return included.join(shuffled(excluded.select("node")), "node", "left_anti")
 
 
 def last_wins(specs: DataFrame) -> DataFrame:

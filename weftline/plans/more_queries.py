@@ -14,6 +14,7 @@ from ..operators import selection as SEL
 from ..operators import timeline as TL
 from ..operators import history as H
 from ..sources.bindings import RELATIONS
+from ..sources.shared import shuffled
 from .registry import query
 from .time_queries import FOLD, MOVED
 
@@ -152,7 +153,7 @@ def g28(t):
     asked = t.nodes.where("node % 100 = 1").select("node")
     below = G.closure(t.edges, asked).select("node").distinct().withColumn("below", F.lit(True))
     mode = F.when(F.expr("node % 100 = 1"), "now").when(F.col("below"), "deferred").otherwise("never")
-    return t.nodes.select("node").join(below, "node", "left").select("node", mode.alias("mode"))
+    return t.nodes.select("node").join(shuffled(below), "node", "left").select("node", mode.alias("mode"))
 
 
 @query("T5_component_order", "SELECT entry, kind, name, row_number() OVER (PARTITION BY entry ORDER BY kind, name) AS place FROM entry_inputs")
