@@ -80,7 +80,9 @@ def classified(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     taken = F.exists("back", lambda g: (g == F.concat(F.lit("!"), "output")) | (g.endswith("/**") & F.concat(F.lit("!"), "output").startswith(F.regexp_replace(g, r"\*\*$", ""))))
     met = met.where(~taken).select("task")
     writes = _entries(open_, "outputs", ["task", "project"]).select("task", "project", literal_prefix("glob").alias("r")).distinct()
-    crossed = _meeting(writes, outputs.select("project", "writer", "w").distinct(), ["project"]).where("writer <> task").select("task")
+    # another's tree is met where not all its writers are the task itself: two of them tell, pairs of writers aren't tried
+    trees = outputs.groupBy("project", "w").agg(F.min("writer").alias("least"), F.max("writer").alias("most"))
+    crossed = _meeting(writes, trees, ["project"]).where("least <> task OR most <> task").select("task")
     same = mine.where("kind = 'wide'").select("task").unionByName(bare.select("task")).unionByName(met).unionByName(crossed)
 
     anywhere = keyed.select("task").join(before.where("kind = 'workspace'").select("task"), "task", "left_semi")
