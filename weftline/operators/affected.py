@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.specs import brace_alternatives
-from ..sources.shared import written
+from ..sources.shared import shuffled, written
 from . import graph as G
 from .selectors import _ancestors, _path_like
 
@@ -19,13 +19,13 @@ def declared(tasks: DataFrame, inputs: DataFrame, changed: DataFrame) -> DataFra
     without a special character names a file or its tree. Patterns meet paths
     by an equal join on the directory before the first special character.
     """
-    p = inputs.join(tasks.select("node", "dir"), "node").withColumn("out", F.startswith("pattern", F.lit("!")))
+    p = inputs.join(shuffled(tasks.select("node", "dir")), "node").withColumn("out", F.startswith("pattern", F.lit("!")))
     rel = F.regexp_replace(F.regexp_replace("pattern", r"^!?(?:\./)?", ""), "/$", "")
     p = p.withColumn("pattern", F.when((F.col("scope") == "project") & (F.col("dir") != ""), F.concat("dir", F.lit("/"), rel)).otherwise(rel))
     p = p.select("node", "scope", "out", F.explode(brace_alternatives(F.col("pattern"))).alias("pattern")).withColumn("special", F.regexp_like("pattern", F.lit(r"[*?\[]")))
     p = p.withColumn("at", F.when(F.col("special"), F.regexp_replace(F.regexp_extract("pattern", r"^([^*?\[]*/)?", 1), "/$", "")).otherwise(F.col("pattern")))
     c = changed.select("path", F.explode(F.array_union(_ancestors(F.col("path")), F.array("path"))).alias("at"))
-    hit = p.join(c, "at").where(~F.col("special") | F.rlike("path", _path_like(F.col("pattern"))))
+    hit = p.join(shuffled(c), "at").where(~F.col("special") | F.rlike("path", _path_like(F.col("pattern"))))
     return hit.groupBy("node", "scope", "path").agg(F.bool_or("out").alias("out")).where("NOT out").select("node", "scope", "path")
 
 
@@ -36,18 +36,18 @@ def passed_through(specs: DataFrame, tasks: DataFrame, packages: DataFrame) -> D
     projects. All names walk at once; tasks of one project that ask for one
     name walk once.
     """
-    e = packages.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"))
-    holds = tasks.select(F.col("project").alias("at"), F.col("task").alias("name")).distinct()
-    asked = specs.join(tasks.select("node", "project"), "node").select("node", F.col("project").alias("origin"), "name").distinct()
+    e = shuffled(written(packages.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"))))
+    holds = shuffled(written(tasks.select(F.col("project").alias("at"), F.col("task").alias("name")).distinct()))
+    asked = specs.join(shuffled(tasks.select("node", "project")), "node").select("node", F.col("project").alias("origin"), "name").distinct()
     step = asked.select("origin", "name", F.col("origin").alias("at")).distinct()
     seen = None
     while True:
         step = step.join(e, step["at"] == e["e_src"]).select("origin", "name", F.col("e_dst").alias("at")).where("at <> origin").distinct()
         step = step.join(holds, ["at", "name"], "left_anti")
-        new = written((step if seen is None else step.join(seen, ["origin", "name", "at"], "left_anti")).select("origin", "name", "at"))
+        new = written((step if seen is None else step.join(shuffled(seen), ["origin", "name", "at"], "left_anti")).select("origin", "name", "at"))
         seen = new if seen is None else seen.unionByName(new)
         if new.isEmpty():
-            return asked.join(seen, ["origin", "name"]).select("node", F.col("at").alias("project")).distinct()
+            return asked.join(shuffled(seen), ["origin", "name"]).select("node", F.col("at").alias("project")).distinct()
         step = new
 
 
@@ -84,41 +84,41 @@ def affected_tasks(
 
     last = F.element_at(F.split("path", "/"), -1)
     below = changed.where(last == rules).select(F.col("path").alias("file"), F.regexp_replace(F.left("path", F.length("path") - F.length(last)), "/$", "").alias("at"))
-    under = projects.select("project", F.explode(F.array_union(_ancestors(F.col("dir")), F.array("dir"))).alias("at")).join(below, "at").select("project", "file")
+    under = projects.select("project", F.explode(F.array_union(_ancestors(F.col("dir")), F.array("dir"))).alias("at")).join(shuffled(below), "at").select("project", "file")
     by = written(under.unionByName(projects.select("project").crossJoin(F.broadcast(every))).groupBy("project").agg(F.min("file").alias("by")))
 
-    in_dir = tasks.join(projects.select("project", "dir"), "project").select("node", "dir")
-    hits = declared(in_dir, inputs, changed).join(tasks.select("node", "project", "grouped"), "node")
+    in_dir = tasks.join(shuffled(projects.select("project", "dir")), "project").select("node", "dir")
+    hits = declared(in_dir, inputs, changed).join(shuffled(tasks.select("node", "project", "grouped")), "node")
     mine = owned.select("path", F.col("project").alias("holder"))
-    hits = written(hits.join(mine, "path", "left").where("scope = 'workspace' OR holder = project").select("node", "scope", "path", "grouped"))
+    hits = written(hits.join(shuffled(mine), "path", "left").where("scope = 'workspace' OR holder = project").select("node", "scope", "path", "grouped"))
     claimed = hits.where("scope = 'project' AND NOT grouped").select("path").distinct()
-    config = owned.join(projects, "project").where(F.rlike("path", F.concat(F.lit(r"^\Q"), "dir", F.lit(rf"\E/(?:{configs})$")))).select("project", "path")
-    whole = owned.join(claimed, "path", "left_anti").select("project", "path").unionByName(config).groupBy("project").agg(F.min("path").alias("whole"))
+    config = owned.join(shuffled(projects), "project").where(F.rlike("path", F.concat(F.lit(r"^\Q"), "dir", F.lit(rf"\E/(?:{configs})$")))).select("project", "path")
+    whole = owned.join(shuffled(claimed), "path", "left_anti").select("project", "path").unionByName(config).groupBy("project").agg(F.min("path").alias("whole"))
 
     least = lambda scope, name: hits.where(F.col("scope") == scope).groupBy("node").agg(F.min("path").alias(name))
-    t = tasks.select("node", "project", "grouped").join(inputs.select("node", F.lit(True).alias("keyed")).distinct(), "node", "left")
-    t = t.join(least("workspace", "far"), "node", "left").join(least("project", "near"), "node", "left")
-    t = t.join(by, "project", "left").join(whole, "project", "left").join(owned.groupBy("project").agg(F.min("path").alias("first")), "project", "left")
+    t = tasks.select("node", "project", "grouped").join(shuffled(inputs.select("node", F.lit(True).alias("keyed")).distinct()), "node", "left")
+    t = t.join(shuffled(least("workspace", "far")), "node", "left").join(shuffled(least("project", "near")), "node", "left")
+    t = t.join(shuffled(by), "project", "left").join(shuffled(whole), "project", "left").join(shuffled(owned.groupBy("project").agg(F.min("path").alias("first"))), "project", "left")
     loose = F.col("keyed").isNull() & ~F.col("grouped")
     kind = (
         F.when(F.col("far").isNotNull(), "input").when(loose & F.col("first").isNotNull(), "project").when((loose | F.col("keyed")) & F.col("by").isNotNull(), "workspace")
         .when(F.col("keyed") & F.col("whole").isNotNull(), "project").when(F.col("near").isNotNull(), "input")
     )
     file = F.when(F.col("far").isNotNull(), F.col("far")).when(loose & F.col("first").isNotNull(), F.col("first")).otherwise(F.coalesce("by", "whole", "near"))
-    moved = owned.select("project").unionByName(by.select("project")).distinct().join(tasks.select("project"), "project", "left_anti")
-    through = passed_through(specs, tasks, packages).join(moved, "project").groupBy("node").agg(F.min("project").alias("package"))
-    t = t.withColumns({"kind": kind, "file": file}).join(through, "node", "left")
+    moved = owned.select("project").unionByName(by.select("project")).distinct().join(shuffled(tasks.select("project")), "project", "left_anti")
+    through = passed_through(specs, tasks, packages).join(shuffled(moved), "project").groupBy("node").agg(F.min("project").alias("package"))
+    t = t.withColumns({"kind": kind, "file": file}).join(shuffled(through), "node", "left")
     seeds = written(
         t.where("kind IS NOT NULL OR package IS NOT NULL")
         .select("node", F.coalesce("kind", F.lit("package")).alias("kind"), F.when(F.col("kind").isNotNull(), F.col("file")).alias("file"), F.when(F.col("kind").isNull(), F.col("package")).alias("project"))
     )
 
     reach = G.affected(seeds.select("node"), edges).select("node")
-    later = reach.join(seeds.select("node"), "node", "left_anti").withColumnRenamed("node", "src")
-    steps = written(edges.join(later, "src", "left_semi").join(reach.withColumnRenamed("node", "dst"), "dst", "left_semi").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("next")))
+    later = reach.join(shuffled(seeds.select("node")), "node", "left_anti").withColumnRenamed("node", "src")
+    steps = written(edges.join(shuffled(later), "src", "left_semi").join(shuffled(reach.withColumnRenamed("node", "dst")), "dst", "left_semi").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("next")))
     ends = seeds.select("node", F.col("node").alias("seed"), F.lit(0).cast("long").alias("hops")).unionByName(_ends(steps))
-    why = ends.join(seeds.withColumnRenamed("node", "seed"), "seed").join(steps, "node", "left")
-    kept = asked.join(why, "node", "left").withColumn("own", F.when(F.col("named"), "named").when(F.col("outright"), "selected"))
+    why = ends.join(shuffled(seeds.withColumnRenamed("node", "seed")), "seed").join(shuffled(steps), "node", "left")
+    kept = asked.join(shuffled(why), "node", "left").withColumn("own", F.when(F.col("named"), "named").when(F.col("outright"), "selected"))
     bare = lambda c: F.when(F.col("own").isNull(), F.col(c)).alias(c)
     kept = kept.where("own IS NOT NULL OR kind IS NOT NULL").select("node", F.coalesce("own", "kind").alias("kind"), *map(bare, ("file", "project", "seed", "next", "hops")))
     return kept, steps
@@ -129,7 +129,7 @@ def _ends(steps: DataFrame) -> DataFrame:
     jump = written(steps.select("node", F.col("next").alias("seed"), F.lit(1).cast("long").alias("hops")))
     for _ in range(jump.count().bit_length() + 1):
         on = jump.select(F.col("node").alias("seed"), F.col("seed").alias("to"), F.col("hops").alias("more"))
-        ahead = written(jump.join(on, "seed", "left"))
+        ahead = written(jump.join(shuffled(on), "seed", "left"))
         jump = ahead.select("node", F.coalesce("to", "seed").alias("seed"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
         if ahead.where("to IS NOT NULL").isEmpty():
             break
@@ -142,6 +142,6 @@ def chains(kept: DataFrame, steps: DataFrame) -> DataFrame:
     new = written(kept.where("next IS NOT NULL").select(F.col("node").alias("root"), F.lit(1).cast("long").alias("place"), F.col("next").alias("node")))
     parts = new
     while not new.isEmpty():
-        new = written(new.join(on, new["node"] == on["at"]).select("root", (F.col("place") + 1).alias("place"), F.col("to").alias("node")))
+        new = written(new.join(shuffled(on), new["node"] == on["at"]).select("root", (F.col("place") + 1).alias("place"), F.col("to").alias("node")))
         parts = parts.unionByName(new)
     return parts

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import affected as AF
 from ..operators import graph as G
+from ..sources.shared import shuffled, written
 from .registry import query
 
 #: Changed paths below a project's directory, by the cost of its node.
@@ -31,7 +32,7 @@ REACHED = f"""b AS (SELECT p.node, p.name, p.dir, n.cost AS c FROM projects p JO
 
 
 def _reached(t):
-    p = t.projects.join(t.nodes.select("node", F.col("cost").alias("c")), "node")
+    p = t.projects.join(shuffled(t.nodes.select("node", F.col("cost").alias("c"))), "node")
     has = F.when(F.expr("c % 5 IN (1, 2)"), F.array(F.lit(1), F.lit(2))).when(F.expr("c % 5 = 3"), F.array(F.lit(1), F.lit(3))).when(F.expr("c % 5 = 4"), F.array(F.lit(2), F.lit(4)))
     rows = p.select("node", "name", "c", F.explode(has).alias("k")).withColumn("id", (F.col("node") * 10 + F.col("k")).cast("long"))
     tasks = rows.select(F.col("id").alias("node"), F.col("name").alias("project"), F.element_at(F.array(*map(F.lit, ("build", "test", "lint", "all"))), F.col("k")).alias("task"), (F.col("k") == 4).alias("grouped"))
@@ -46,10 +47,10 @@ def _reached(t):
     up = G.nearest_holders(t.edges, builds, builds).select((F.col("origin") * 10 + 1).cast("long").alias("src"), (F.col("node") * 10 + 1).cast("long").alias("dst"))
     beside = rows.where("(k = 2 AND c % 5 <> 4) OR k > 2").select(F.col("id").alias("src"), F.expr("node * 10 + IF(k = 4, 2, 1)").cast("long").alias("dst"))
     name = lambda end: t.projects.select(F.col("node").alias(end), F.col("name").alias(f"{end}_name"))
-    packages = t.edges.join(name("src"), "src").join(name("dst"), "dst").select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"))
+    packages = t.edges.join(shuffled(name("src")), "src").join(shuffled(name("dst")), "dst").select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"))
     specs = rows.where("k = 1").select(F.col("id").alias("node"), F.lit("build").alias("name"))
     asked = rows.where("k > 1").select(F.col("id").alias("node"), F.expr("node % 41 = 0").alias("named"), F.expr("c = 47").alias("outright"))
-    return AF.affected_tasks(tasks, t.projects.select(F.col("name").alias("project"), "dir"), inputs, changed, up.unionByName(beside), specs, packages, asked)
+    return AF.affected_tasks(tasks, t.projects.select(F.col("name").alias("project"), "dir"), inputs, changed, written(up.unionByName(beside)), specs, packages, asked)
 
 
 @query(
