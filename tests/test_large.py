@@ -32,3 +32,15 @@ def test_owner_of_broadcasts_nothing(spark):
 def test_no_job_broadcasts(spark, sf, name):
     seen = plans(spark, lambda: registry.QUERIES[name](spark, sf).collect())
     assert seen and not any("BroadcastExchange" in p for p in seen)
+
+
+def test_components_take_few_rounds(spark, monkeypatch):
+    # cycles of two in a row, all of which reach the least node of all
+    k = 12
+    pairs = [(2 * i, 2 * i + 1) for i in range(k)] + [(2 * i + 1, 2 * i) for i in range(k)] + [(2 * i + 2, 2 * i) for i in range(k - 1)]
+    tables, write = [], G.checkpointed
+    monkeypatch.setattr(G, "checkpointed", lambda df: tables.append(1) or write(df))
+    nodes = spark.range(2 * k + 1).withColumnRenamed("id", "node")
+    got = {tuple(r) for r in G.components(nodes, spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == {(v, v // 2 * 2) for v in range(2 * k + 1)}
+    assert len(tables) < 100
