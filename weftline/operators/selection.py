@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..sources.shared import shuffled
+from ..sources.shared import shuffled, written
 from .graph import closure, reversed_edges
 
 
@@ -23,7 +23,8 @@ def by_name(projects: DataFrame, pattern: str) -> DataFrame:
 
 
 def with_dependencies(selected: DataFrame, edges: DataFrame) -> DataFrame:
-    return selected.select("node").unionByName(closure(edges, selected).select("node")).distinct()
+    # written: a join after it would be done in one task for each round of the walk
+    return written(selected.select("node").unionByName(closure(edges, selected).select("node")).distinct())
 
 
 def with_dependents(selected: DataFrame, edges: DataFrame) -> DataFrame:
