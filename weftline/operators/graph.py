@@ -47,13 +47,29 @@ def walks(start: DataFrame, edges: DataFrame) -> DataFrame:
     Nothing is looked up in the rounds before: pairs of several lengths fall
     together at the end, so each pair is shuffled a few times whatever the depth.
     """
-    e = shuffled(edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst")))
-    new = checkpointed(start.select(F.col("src").alias("origin"), F.col("dst").alias("node")).distinct())
+    return _ways(start.withColumn("last", F.lit(False)), edges.withColumn("last", F.lit(False))).select("origin", "node").distinct()
+
+
+def _ways(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """(origin, node, last) of ways of each length in turn; no way goes on from an edge (src, dst, last) that is marked as its last.
+
+    A node is a way's last whatever edge leads to it, so a pair has one mark.
+    Pairs of several lengths come several times.
+    """
+    e = shuffled(edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"), F.col("last").alias("e_last")))
+    new = checkpointed(start.select(F.col("src").alias("origin"), F.col("dst").alias("node"), "last").distinct())
     every = new
     while not new.isEmpty():
-        new = checkpointed(new.join(e, new["node"] == e["e_src"]).select("origin", F.col("e_dst").alias("node")).distinct())
+        on = new.where(~F.col("last"))
+        new = checkpointed(on.join(e, on["node"] == e["e_src"]).select("origin", F.col("e_dst").alias("node"), F.col("e_last").alias("last")).distinct())
         every = every.unionByName(new)
-    return every.distinct()
+    return every
+
+
+def _marked(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, within): each edge once, and whether its dst is one of the nodes."""
+    have = nodes.select(F.col("node").alias("dst")).distinct().withColumn("within", F.lit(True))
+    return checkpointed(edges.select("src", "dst").distinct().join(shuffled(have), "dst", "left").select("src", "dst", F.col("within").isNotNull().alias("within")))
 
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
@@ -200,20 +216,28 @@ def restricted_closure(edges: DataFrame, through: DataFrame, seeds: DataFrame) -
 
     A seed outside `through` starts paths of its own, and ends those of the others.
     """
-    inner = checkpointed(edges.join(shuffled(through.select(F.col("node").alias("src"))), "src", "left_semi").select("src", "dst").distinct())
-    first = edges.join(shuffled(seeds.select(F.col("node").alias("src"))), "src", "left_semi").select("src", "dst")
-    return walks(first, inner) if shallow(inner) else reached(first, inner)
+    marked = _marked(edges, through)
+    inner = checkpointed(marked.join(shuffled(through.select(F.col("node").alias("src"))), "src", "left_semi"))
+    first = marked.join(shuffled(seeds.select(F.col("node").alias("src"))), "src", "left_semi")
+    if not shallow(inner):
+        return reached(first, inner)
+    # what lies outside `through` is carried no further
+    last = (~F.col("within")).alias("last")
+    return _ways(first.select("src", "dst", last), inner.select("src", "dst", last)).select("origin", "node").distinct()
 
 
 def nearest_holders(edges: DataFrame, holders: DataFrame, seeds: DataFrame) -> DataFrame:
     """(origin, node): the first holders on each way down from a seed; a way ends at its holder."""
     held = holders.select("node").distinct()
-    open_ = edges.join(shuffled(held.select(F.col("node").alias("src"))), "src", "left_anti").select("src", "dst")
-    first = edges.join(shuffled(seeds.select(F.col("node").alias("src"))), "src", "left_semi").select("src", "dst")
+    marked = _marked(edges, held)
     # steps go on from what holds nothing, from a seed whatever it holds
-    open_ = checkpointed(open_.distinct())
-    ways = walks(first, open_) if shallow(open_) else reached(first, open_)
-    return ways.join(shuffled(held), "node", "left_semi").select("origin", "node")
+    open_ = checkpointed(marked.join(shuffled(held.select(F.col("node").alias("src"))), "src", "left_anti"))
+    first = marked.join(shuffled(seeds.select(F.col("node").alias("src"))), "src", "left_semi")
+    if not shallow(open_):
+        return checkpointed(reached(first, open_)).join(shuffled(held), "node", "left_semi").select("origin", "node")
+    # the mark tells the holders: a join after the walk would be done once for each round
+    last = F.col("within").alias("last")
+    return _ways(first.select("src", "dst", last), open_.select("src", "dst", last)).where("last").select("origin", "node").distinct()
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
