@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from weftline.functions import text as X
 from weftline.operators import graph as G
 from weftline.plans import registry
 
@@ -49,3 +51,10 @@ def test_components_take_few_rounds(spark, monkeypatch):
 def test_a_join_after_a_walk_is_one_join(spark, sf):
     left = registry.QUERIES["G13_selected"](spark, sf)
     assert left._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 1
+
+
+def test_words_without_an_extension_are_not_taken_apart(spark):
+    rows = spark.createDataFrame([("plain words, one. Two at 3.5 and .x x. a.\x1b[1mts then src/a.ts:3 and b.C",)], "text string")
+    found = rows.select(X.file_locations(F.col("text")).alias("l"))
+    assert [tuple(x) for x in found.first().l] == [("src/a.ts", 3, None), ("b.C", None, None)]
+    assert "filter(regexp_extract_all(" in found._jdf.queryExecution().optimizedPlan().toString()
