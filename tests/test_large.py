@@ -58,3 +58,27 @@ def test_words_without_an_extension_are_not_taken_apart(spark):
     found = rows.select(X.file_locations(F.col("text")).alias("l"))
     assert [tuple(x) for x in found.first().l] == [("src/a.ts", 3, None), ("b.C", None, None)]
     assert "filter(regexp_extract_all(" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ways_are_shuffled_once(spark, sf):
+    # what a walk returns lies in buckets of its nodes: neither the last distinct nor a count by node shuffles it
+    for name in ("G2_closure", "G3_dependent_counts"):
+        before = {t.name for t in spark.catalog.listTables()}
+        out = registry.QUERIES[name](spark, sf)
+        assert {t.name for t in spark.catalog.listTables()} == before
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == (1 if name == "G3_dependent_counts" else 0)  # the nodes' own side of the last join
+
+
+def test_a_rounds_steps_shuffle_what_they_add_alone(spark):
+    pairs = [(i, j) for i in range(60) for j in (i // 2, i // 3) if i != j]
+    edges = spark.createDataFrame(pairs, "src long, dst long").distinct()
+    got = []
+    seen = plans(spark, lambda: got.extend(G.walks(edges, edges).collect()))
+    want, more = set(pairs), True
+    while more:
+        more = {(a, d) for a, b in want for c, d in pairs if b == c} - want
+        want |= more
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    joined = [p for p in seen if "SortMergeJoin" in p]
+    assert joined and all(p.split("\n\n")[0].count("Exchange") <= 2 for p in joined)

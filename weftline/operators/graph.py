@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder, shuffled
+from ..sources.shared import Buckets, shared_folder, shuffled
 from ..sources.shared import written as checkpointed
 
 
@@ -50,20 +50,31 @@ def walks(start: DataFrame, edges: DataFrame) -> DataFrame:
     return _ways(start.withColumn("last", F.lit(False)), edges.withColumn("last", F.lit(False))).select("origin", "node").distinct()
 
 
+#: Edges of a bucket of the ways.
+BUCKET = 50_000
+
+
 def _ways(start: DataFrame, edges: DataFrame) -> DataFrame:
     """(origin, node, last) of ways of each length in turn; no way goes on from an edge (src, dst, last) that is marked as its last.
 
     A node is a way's last whatever edge leads to it, so a pair has one mark.
-    Pairs of several lengths come several times.
+    Pairs of several lengths come several times. Ways and edges lie in buckets
+    of the node that joins them: only what a round adds is shuffled, to the
+    bucket of its node, and what comes several times falls together there.
     """
-    e = shuffled(edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"), F.col("last").alias("e_last")))
-    new = checkpointed(start.select(F.col("src").alias("origin"), F.col("dst").alias("node"), "last").distinct())
-    every = new
-    while not new.isEmpty():
-        on = new.where(~F.col("last"))
-        new = checkpointed(on.join(e, on["node"] == e["e_src"]).select("origin", F.col("e_dst").alias("node"), F.col("e_last").alias("last")).distinct())
-        every = every.unionByName(new)
-    return every
+    spark = edges.sparkSession
+    n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), edges.count() // BUCKET), 20_000)
+    steps, ways = Buckets(spark, "e_src", n), Buckets(spark, "node", n)
+    steps.append(edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"), F.col("last").alias("e_last")).repartition(n, "e_src"))
+    e, hops = shuffled(steps.closed()), 0
+    new = start.select(F.col("src").alias("origin"), F.col("dst").alias("node"), "last")
+    while True:
+        ways.append(new.repartition(n, "node").distinct().withColumn("hops", F.lit(hops)))
+        on = ways.read().where(F.col("hops") == hops)
+        if on.isEmpty():
+            return ways.closed().drop("hops")
+        new = on.where(~F.col("last")).join(e, F.col("node") == F.col("e_src")).select("origin", F.col("e_dst").alias("node"), F.col("e_last").alias("last"))
+        hops += 1
 
 
 def _marked(edges: DataFrame, nodes: DataFrame) -> DataFrame:
