@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.functions import specs as SP
 from weftline.functions import text as X
 from weftline.operators import graph as G
 from weftline.plans import registry
@@ -82,3 +83,9 @@ def test_a_rounds_steps_shuffle_what_they_add_alone(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     joined = [p for p in seen if "SortMergeJoin" in p]
     assert joined and all(p.split("\n\n")[0].count("Exchange") <= 2 for p in joined)
+
+
+def test_a_braced_pattern_is_folded_once(spark):
+    rows = spark.createDataFrame([(r"a/{b,c}/[{,]x\{y",), ("a/b,c}",), ("a{b,{c,d}",), (None,)], "p string").select(SP.brace_alternatives(F.col("p")).alias("l"))
+    assert [r.l for r in rows.collect()] == [[r"a/b/[{,]x\{y", r"a/c/[{,]x\{y"], ["a/b,c}"], ["a{b,{c,d}"], [None]]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2

@@ -159,18 +159,23 @@ def brace_alternatives(pattern: Column) -> Column:
     expression: a fold over the groups, the innermost ones first.
     """
     hide = lambda text: F.translate(text, "{},", _OPEN + _CLOSE + _COMMA)
-    tokens = F.regexp_extract_all(pattern, F.lit(r"(?s)\\.|\[.[^\]]*\]|."), F.lit(0))
-    tokens = F.transform(tokens, lambda t: F.when(F.length(t) > 1, hide(t)).otherwise(t))
-    # where the last group opened while none was open, and how many still are at the end
-    depth = F.aggregate(
-        tokens, F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(0).alias("at")),
-        lambda acc, t: F.struct(
-            (acc["i"] + 1).alias("i"), F.when(t == "{", acc["depth"] + 1).when(t == "}", F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"]).alias("depth"),
-            F.when((t == "{") & (acc["depth"] == 0), acc["i"]).otherwise(acc["at"]).alias("at"),
-        ),
-    )
-    open_from = F.when(depth["depth"] > 0, depth["at"]).otherwise(F.size(tokens))
-    text = F.array_join(F.transform(tokens, lambda t, i: F.when(i >= open_from, hide(t)).otherwise(t)), "")
+    # braces, escapes and classes one by one, what lies between them as a whole
+    tokens = F.regexp_extract_all(pattern, F.lit(r"(?s)\\.|\[.[^\]]*\]|[{}]|[^\\\[{}]+|."), F.lit(0))
+    tokens = F.transform(tokens, lambda t: F.when(F.startswith(t, F.lit("\\")) | F.startswith(t, F.lit("[")), hide(t)).otherwise(t))
+
+    def folded(tokens: Column) -> Column:
+        # where the last group opened while none was open, and how many still are at the end
+        depth = F.aggregate(
+            tokens, F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(0).alias("at")),
+            lambda acc, t: F.struct(
+                (acc["i"] + 1).alias("i"), F.when(t == "{", acc["depth"] + 1).when(t == "}", F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"]).alias("depth"),
+                F.when((t == "{") & (acc["depth"] == 0), acc["i"]).otherwise(acc["at"]).alias("at"),
+            ),
+        )
+        return F.struct(tokens.alias("tokens"), depth.alias("depth"))
+
+    def joined(x: Column) -> Column:
+        return F.array_join(F.transform(x["tokens"], lambda t, i: F.when((x["depth"]["depth"] > 0) & (i >= x["depth"]["at"]), hide(t)).otherwise(t)), "")
 
     def grown(x: Column) -> Column:
         names = F.when(F.contains(x["body"], F.lit(",")), F.split(x["body"], ",")).otherwise(_ranged(x["body"]))
@@ -182,5 +187,7 @@ def brace_alternatives(pattern: Column) -> Column:
         return F.when(F.regexp_like(p, F.lit(r"\{[^{}]*\}")), bound(cut, grown)).otherwise(F.array(p))
 
     groups = F.length(pattern) - F.length(F.replace(pattern, F.lit("{"), F.lit("")))
-    every = F.when(groups > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(groups, F.lit(1))), F.array(text), lambda acc, _: F.array_distinct(F.flatten(F.transform(acc, expanded))))).otherwise(F.array(text))
-    return F.array_distinct(F.transform(every, lambda p: F.translate(p, _OPEN + _CLOSE + _COMMA, "{},")))
+    every = lambda text: F.aggregate(F.sequence(F.lit(1), F.greatest(groups, F.lit(1))), F.array(text), lambda acc, _: F.array_distinct(F.flatten(F.transform(acc, expanded))))
+    shown = lambda every: F.array_distinct(F.transform(every, lambda p: F.translate(p, _OPEN + _CLOSE + _COMMA, "{},")))
+    # most patterns have no group
+    return F.when(~F.contains(pattern, F.lit("{")), F.array(pattern)).otherwise(bound(tokens, folded, joined, every, shown))
