@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import specs as SP
 from weftline.functions import text as X
 from weftline.operators import graph as G
+from weftline.operators import timeline as TL
 from weftline.plans import registry
 
 
@@ -89,3 +90,17 @@ def test_a_braced_pattern_is_folded_once(spark):
     rows = spark.createDataFrame([(r"a/{b,c}/[{,]x\{y",), ("a/b,c}",), ("a{b,{c,d}",), (None,)], "p string").select(SP.brace_alternatives(F.col("p")).alias("l"))
     assert [r.l for r in rows.collect()] == [[r"a/b/[{,]x\{y", r"a/c/[{,]x\{y"], ["a/b,c}"], ["a{b,{c,d}"], [None]]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2
+
+
+def test_run_key_diffs_looks_a_key_up_once(spark, sf):
+    # runs, their keys and components are tables by then: what is left to shuffle is the join with the pairs of keys
+    out = registry.QUERIES["C7b_run_key_diffs"](spark, sf)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+
+
+def test_two_neighbours_share_a_window(spark):
+    rows = spark.createDataFrame([(1, "a", 5), (2, "a", None), (3, "a", 7), (9, "b", 1), (12, "a", None)], "id long, k string, v int")
+    out = TL.neighbours(rows, {"last": F.col("v"), "row": F.col("id")}, "k", cell=4)
+    assert sorted((r.id, r.last, r.row) for r in out.collect()) == [(1, None, None), (2, 5, 1), (3, 5, 2), (9, None, None), (12, 7, 3)]
+    # one shuffle of the rows, and three of what each cell hands on
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window ") == 2

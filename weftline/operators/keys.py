@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from .timeline import evicted, neighbour
+from ..sources.shared import written
+from .timeline import evicted, neighbour, neighbours
 
 
 def fold(components: DataFrame, length: int = 16) -> DataFrame:
@@ -81,17 +82,22 @@ def run_key_diffs(runs: DataFrame, invocations: DataFrame, components: DataFrame
     before, or this one, lacked: uncached, ended, not-written,
     beside-a-failure, each with `previous-` if it is the row before that
     lacks it, remote (a remote entry carries no components) or gone.
-    Components are compared once for each pair of keys.
+    Components are compared once for each pair of keys, and only those of keys
+    that runs have are read. What is known of a key is looked up once for each
+    task that has it; a row takes it along as what the row after it asks.
     """
-    writes = invocations.select("run_id", P.policy_allows("cache_policy", "(?:local|remote)", "w").alias("writes"))
-    writes = writes.join(invocations.select("run_id", (F.col("failed_count") > 0).alias("failing")), "run_id").select("run_id", "writes", (F.col("writes") & F.col("failing")).alias("beside"))
+    writes = P.policy_allows("cache_policy", "(?:local|remote)", "w")
+    kept = written(invocations.select("run_id", writes.alias("writes"), (writes & (F.col("failed_count") > 0)).alias("beside")))
     rows = runs.select("id", "project", "task", "run_id", F.coalesce("hash", F.lit("")).alias("hash"), P.passed().alias("ok"), F.col("cached").eqNullSafe(F.lit(False)).alias("uncached"), (F.col("status") == "cache-hit-remote").alias("remote"))
     bare = rows.where("hash = ''").select("id", "project", "task", "run_id", F.lit(None).cast("string").alias("since"), F.lit("no-key").alias("note"), F.lit(None).cast("string").alias("why"), *[F.lit(0).cast("long").alias(c) for c in MOVES])
-    rows = rows.where("hash <> ''").join(components.select(F.col("entry").alias("hash"), F.lit(True).alias("held")).distinct(), "hash", "left").join(writes, "run_id", "left")
-    rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("held", "writes", "beside")})
-    fetched = rows.where("remote").select("project", "task", F.col("hash").alias("r_hash")).distinct()
-    rows = neighbour(rows, F.struct("run_id", "hash", "ok", "held", "writes", "beside"), "project", "task").withColumnRenamed("_near", "p")
-    rows = neighbour(rows, F.when(F.col("held"), F.struct("run_id", "hash")), "project", "task").withColumnRenamed("_near", "s")
+    rows = rows.where("hash <> ''")
+    keys = written(rows.groupBy("project", "task", "hash").agg(F.max("remote").alias("fetched")))
+    components = written(components.select("entry", "kind", "name", "hash").join(written(keys.select(F.col("hash").alias("entry")).distinct()), "entry", "left_semi"))
+    keys = written(keys.join(components.select(F.col("entry").alias("hash"), F.lit(True).alias("held")).distinct(), "hash", "left"))
+    rows = rows.drop("remote").join(keys, ["project", "task", "hash"], "left").join(kept, "run_id", "left")
+    rows = written(rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("held", "fetched", "writes", "beside")}))
+    near = {"p": F.struct("run_id", "hash", "ok", "held", "fetched", "writes", "beside"), "s": F.when(F.col("held"), F.struct("run_id", "hash"))}
+    rows = neighbours(rows, near, "project", "task")
     p = lambda c: F.col(f"p.{c}")
     unsaved = F.when(~p("ok"), "previous-ended").when(p("beside"), "previous-beside-a-failure").when(~p("writes"), "previous-not-written")
     rows = rows.withColumn("unsaved", unsaved)
@@ -101,19 +107,15 @@ def run_key_diffs(runs: DataFrame, invocations: DataFrame, components: DataFrame
     )
     rows = rows.withColumn("note", note).withColumn("since", F.when(F.col("note") == "since-saved", F.col("s.run_id")).otherwise(p("run_id")))
     rows = rows.withColumn("old", F.when(F.col("note") == "since-saved", F.col("s.hash")).when(F.col("note") == "previous", p("hash")))
-    # which of the two keys lacks components, this row's before the other's
-    lacking = F.when(~F.col("held"), F.col("hash")).otherwise(p("hash"))
-    rows = rows.withColumn("lacking", F.when(F.col("note") == "unavailable", lacking))
-    by_remote = fetched.withColumn("by_remote", F.lit(True)).withColumnRenamed("r_hash", "lacking")
-    other = fetched.withColumn("other_remote", F.lit(True)).withColumnRenamed("r_hash", "p_hash")
-    rows = rows.withColumn("p_hash", F.when((F.col("note") == "unavailable") & ~p("held"), p("hash")))
-    rows = rows.join(by_remote, ["project", "task", "lacking"], "left").join(other, ["project", "task", "p_hash"], "left")
+    # a key of the two that lacks components may have been fetched by the task
+    remote = (~F.col("held") & F.col("fetched")) | (~p("held") & p("fetched"))
     why = (
         F.when(F.col("uncached"), "uncached").when(~F.col("held") & ~F.col("ok"), "ended").when(~F.col("held") & ~F.col("writes"), "not-written").when(~F.col("held") & F.col("beside"), "beside-a-failure")
-        .when(~p("held") & F.col("unsaved").isNotNull(), F.col("unsaved")).when(F.coalesce("by_remote", "other_remote"), "remote").otherwise("gone")
+        .when(~p("held") & F.col("unsaved").isNotNull(), F.col("unsaved")).when(remote, "remote").otherwise("gone")
     )
     rows = rows.withColumn("why", F.when(F.col("note") == "unavailable", why).when(F.col("note") == "since-saved", F.col("unsaved")))
-    moved = diff_counts(rows.where("old IS NOT NULL").select("old", F.col("hash").alias("new")).distinct(), components)
+    rows = written(rows.select("id", "project", "task", "run_id", "since", "note", "why", "old", "hash"))
+    moved = written(diff_counts(rows.where("old IS NOT NULL").select("old", F.col("hash").alias("new")).distinct(), components))
     out = rows.join(moved.withColumnRenamed("new", "hash"), ["old", "hash"], "left")
     return out.select("id", "project", "task", "run_id", "since", "note", "why", *[F.coalesce(c, F.lit(0)).alias(c) for c in MOVES]).unionByName(bare)
 

@@ -12,22 +12,32 @@ CELL = 1 << 20
 
 
 def neighbour(rows: DataFrame, value: Column, *keys: str, later: bool = False, cell: int = CELL) -> DataFrame:
-    """rows with _near: the value of the nearest earlier (or later) row of its keys that has one, by id.
+    """rows with _near: the value of the nearest earlier (or later) row of its keys that has one, by id."""
+    return neighbours(rows, {"_near": value}, *keys, later=later, cell=cell)
+
+
+def neighbours(rows: DataFrame, values: dict[str, Column], *keys: str, later: bool = False, cell: int = CELL) -> DataFrame:
+    """rows with each of values, by its name: that of the nearest earlier (or later) row of its keys that has one, by id.
 
     A key may hold any share of the rows, so its ids are cut into cells. A
     window finds the value inside a cell; where there is none it comes from
-    the nearest cell before, of which there is one row each.
+    the nearest cell before, of which there is one row each. Values are made
+    of the rows' own columns after the shuffle, which they don't widen.
     """
-    rows = rows.withColumns({"_value": value, "_cell": F.floor(F.col("id") / cell)})
+    rows = rows.withColumn("_cell", F.floor(F.col("id") / cell))
     order, pick = (F.desc, F.min_by) if later else (F.asc, F.max_by)
     before = (Window.unboundedPreceding, -1)
     # the nearest comes last before a row, so the frame only grows: one pass over a partition
-    inside = F.last("_value", ignorenulls=True).over(Window.partitionBy(*keys, "_cell").orderBy(order("id")).rowsBetween(*before))
-    some = F.when(F.col("_value").isNotNull(), F.col("id"))
-    cells = rows.groupBy(*keys, "_cell").agg(pick("_value", some).alias("_edge"))
-    cells = cells.select(*keys, "_cell", F.last("_edge", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order("_cell")).rowsBetween(*before)).alias("_outside"))
-    out = rows.withColumn("_inside", inside).join(cells, [*keys, "_cell"])
-    return out.withColumn("_near", F.coalesce("_inside", "_outside")).drop("_value", "_cell", "_inside", "_outside")
+    inside = Window.partitionBy(*keys, "_cell").orderBy(order("id")).rowsBetween(*before)
+    outside = Window.partitionBy(*keys).orderBy(order("_cell")).rowsBetween(*before)
+    each = {n: f"_value{i}" for i, n in enumerate(values)}
+    valued = lambda df: df.withColumns({each[n]: v for n, v in values.items()})
+    some = lambda v: F.when(F.col(v).isNotNull(), F.col("id"))
+    cells = valued(rows).groupBy(*keys, "_cell").agg(*[pick(v, some(v)).alias(v) for v in each.values()])
+    cells = cells.select(*keys, "_cell", *[F.last(v, ignorenulls=True).over(outside).alias(f"{v}_outside") for v in each.values()])
+    out = valued(rows.repartition(*keys, "_cell")).withColumns({f"{v}_inside": F.last(v, ignorenulls=True).over(inside) for v in each.values()}).join(cells, [*keys, "_cell"])
+    out = out.withColumns({n: F.coalesce(f"{v}_inside", f"{v}_outside") for n, v in each.items()})
+    return out.drop("_cell", *[f"{v}{end}" for v in each.values() for end in ("", "_inside", "_outside")])
 
 
 def previous_keyed(runs: DataFrame) -> DataFrame:
