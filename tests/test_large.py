@@ -104,3 +104,9 @@ def test_two_neighbours_share_a_window(spark):
     assert sorted((r.id, r.last, r.row) for r in out.collect()) == [(1, None, None), (2, 5, 1), (3, 5, 2), (9, None, None), (12, 7, 3)]
     # one shuffle of the rows, and three of what each cell hands on
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Window ") == 2
+
+
+def test_filters_ask_nothing_twice(spark, sf):
+    # what specs name is written in steps: one plan of all of them did each step again for every step after it
+    seen = plans(spark, lambda: registry.QUERIES["G13b_filtered"](spark, sf).count())
+    assert max(p.count("Exchange ") + p.count("Exchange\n") for p in seen) < 200

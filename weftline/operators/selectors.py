@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.specs import brace_alternatives, dependency_spec, filter_spec
 from ..functions.text import normal_path
-from ..sources.shared import written
+from ..sources.shared import shuffled, written
+from . import graph as G
 
 #: Characters of a pattern before its first star that join it to names: only names that begin so are tested.
 HEAD = 4
@@ -61,8 +62,8 @@ def _best(hits: DataFrame) -> DataFrame:
     return hits.join(least, ["spec", "rank"], "left_semi").select("spec", "node").distinct()
 
 
-def matched(specs: DataFrame, projects: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
-    """(spec, node): what each parsed spec (spec, f) names before any walk.
+def matched(specs: DataFrame, projects: DataFrame, edges: DataFrame, changed: DataFrame, flat: bool = False) -> DataFrame:
+    """(spec, node): what each parsed spec (spec, f) names before any walk along edges, shallow ones if flat.
 
     A name that none has is read as a path if it holds a slash outside a
     scope, else without the scopes of names: then a plain one must be the
@@ -74,42 +75,34 @@ def matched(specs: DataFrame, projects: DataFrame, edges: DataFrame, changed: Da
     as_path = named.where(F.contains("matcher", F.lit("/")) & ~F.startswith("matcher", F.lit("@")) & F.col("within").isNull()).select("spec", normal_path(F.col("matcher")).alias("pattern"))
     bare = named.where(~F.contains("matcher", F.lit("/"))).select("spec", F.col("matcher").alias("pattern"))
     tails = projects.where(F.startswith("name", F.lit("@"))).select("node", F.expr("substring(name, instr(name, '/') + 1)").alias("name"))
-    tailed = _matching(bare, tails)
+    # what is asked several times below is a table, else each step would do all those before it again
+    tailed = written(_matching(bare, tails))
     single = tailed.groupBy("spec").agg(F.count("*").alias("n")).join(bare, "spec").where((F.col("n") == 1) | F.contains("pattern", F.lit("*"))).select("spec")
     hits = whole.unionByName(_on_paths(as_path, dirs)).unionByName(tailed.join(single, "spec", "left_semi").withColumn("rank", F.lit(4)))
     paths = _on_paths(f.where("kind = 'path'").select("spec", F.regexp_replace("matcher", "/+$", "").alias("pattern")), dirs)
     root = f.where("kind = 'root'").select("spec").join(dirs.where("dir = ''").select("node", F.lit(0).alias("rank"), F.lit("root").alias("kind")).join(f.where("kind = 'root'").select("spec", "kind"), "kind").select("spec", "node", "rank"), "spec")
     tags = projects.select("node", F.explode("tags").alias("name")).distinct()
     tagged = _matching(f.where("kind = 'tag'").select("spec", F.col("matcher").alias("pattern")), tags).withColumn("rank", F.lit(0))
-    hits = _best(hits.unionByName(paths).unionByName(root.select("spec", "node", "rank")).unionByName(tagged))
+    hits = _best(written(hits.unionByName(paths).unionByName(root.select("spec", "node", "rank")).unionByName(tagged)))
 
     narrowed = f.where("within IS NOT NULL").select("spec", F.col("within").alias("pattern"))
-    inside = _best(_on_paths(narrowed, dirs))
+    inside, hits = _best(written(_on_paths(narrowed, dirs))), written(hits)
     hits = hits.join(narrowed.select("spec"), "spec", "left_anti").unionByName(hits.join(inside, ["spec", "node"], "left_semi"))
 
     ranged = f.where("since IS NOT NULL").select("spec", "kind", "since", "since_via_deps")
-    moved = ranged.join(changed.select("since", "node"), "since").select("spec", "node", "kind", "since_via_deps")
-    up = edges.select(F.col("dst").alias("at"), F.col("src").alias("to"))
-    wide = walked(moved.where("since_via_deps").select("spec", "node", F.lit("up").alias("way")), up.withColumn("way", F.lit("up")).withColumn("next", F.lit("up")))
-    moved = moved.select("spec", "node").unionByName(wide.select("spec", "node")).distinct()
+    moved = written(ranged.join(changed.select("since", "node"), "since").select("spec", "node", "kind", "since_via_deps"))
+    wide = walked(moved.where("since_via_deps").select(F.col("spec").alias("origin"), "node"), G.reversed_edges(edges), flat).select(F.col("origin").alias("spec"), "node")
+    moved = moved.select("spec", "node").unionByName(wide).distinct()
+    hits, moved = written(hits), written(moved)
     alone = moved.join(ranged.where("kind = 'changed'").select("spec"), "spec", "left_semi")
     both = hits.join(ranged.select("spec"), "spec", "left_anti").unionByName(hits.join(moved, ["spec", "node"], "left_semi")).unionByName(alone)
     return both.distinct()
 
 
-def walked(start: DataFrame, steps: DataFrame) -> DataFrame:
-    """(spec, node, way): what start (spec, node, way) reaches in one step or more of steps (at, way, to, next).
-
-    All specs walk at once: a round joins only what is new.
-    """
-    s = steps.select(F.col("at").alias("node"), "way", "to", "next")
-    new, seen = start, None
-    while True:
-        step = new.join(s, ["node", "way"]).select("spec", F.col("to").alias("node"), F.col("next").alias("way")).distinct()
-        new = written(step if seen is None else step.join(seen, ["spec", "node", "way"], "left_anti"))
-        if new.isEmpty():
-            return new if seen is None else seen
-        seen = new if seen is None else seen.unionByName(new)
+def walked(start: DataFrame, edges: DataFrame, flat: bool) -> DataFrame:
+    """(origin, node): what start (origin, node) reaches in one step or more, all origins at once; flat tells that edges are shallow."""
+    first = start.withColumnRenamed("node", "at").join(shuffled(edges.withColumnRenamed("src", "at")), "at").select(F.col("origin").alias("src"), "dst")
+    return written(G.walks(first, edges)) if flat else G.reached(first, edges)
 
 
 def apply_filters(specs: DataFrame, projects: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
@@ -119,22 +112,18 @@ def apply_filters(specs: DataFrame, projects: DataFrame, edges: DataFrame, chang
     from all projects. A walk to both sides also takes the dependencies of the
     dependents. Filters in error select nothing (filter_errors() has them).
     """
+    edges = written(edges.select("src", "dst").distinct())
+    flat = G.shallow(edges)
     parsed = written(specs.select("list", F.struct("list", "place").alias("spec"), filter_spec(F.col("raw")).alias("f")).where("f.error IS NULL"))
-    hits = written(matched(parsed.select("spec", "f"), projects, edges, changed))
+    hits = written(matched(parsed.select("spec", "f"), projects, edges, changed, flat))
     flags = parsed.select("spec", "f.negate", "f.with_deps", "f.with_dependents", "f.only_deps", "f.only_dependents")
     h = hits.join(flags, "spec")
     down, both = F.col("with_deps") | F.col("only_deps"), F.col("with_dependents") & (F.col("with_deps") | F.col("only_deps"))
-    start = h.where(down).select("spec", "node", F.lit("down").alias("way")).unionByName(h.where("with_dependents").select("spec", "node", F.when(both, "both").otherwise("up").alias("way")))
-    below, above = edges.select(F.col("src").alias("at"), F.col("dst").alias("to")), edges.select(F.col("dst").alias("at"), F.col("src").alias("to"))
-    ways = [(below, "down", "down"), (above, "up", "up"), (above, "both", "both"), (below, "reached", "down")]
-    steps = None
-    for e, way, next_ in ways:
-        s = e.select("at", F.lit(way).alias("way"), "to", F.lit(next_).alias("next"))
-        steps = s if steps is None else steps.unionByName(s)
     # what is reached upwards with `both` goes on upwards, and from there also down
-    reached = walked(start, steps.where("way <> 'reached'"))
-    turned = walked(reached.where("way = 'both'").select("spec", "node", F.lit("down").alias("way")), steps.where("way = 'down'"))
-    expanded = h.where("NOT only_deps AND NOT only_dependents").select("spec", "node").unionByName(reached.select("spec", "node")).unionByName(turned.select("spec", "node")).distinct()
+    up = walked(h.where("with_dependents").select(F.struct("spec", both.alias("both")).alias("origin"), "node"), G.reversed_edges(edges), flat).select("origin.spec", "origin.both", "node")
+    turned = up.where("both").select(F.col("spec").alias("origin"), "node")
+    below = walked(h.where(down).select(F.col("spec").alias("origin"), "node").unionByName(turned).distinct(), edges, flat).select(F.col("origin").alias("spec"), "node")
+    expanded = h.where("NOT only_deps AND NOT only_dependents").select("spec", "node").unionByName(up.select("spec", "node")).unionByName(below).distinct()
     e = expanded.join(flags.select("spec", "negate"), "spec").select(F.col("spec.list").alias("list"), "node", "negate")
     without = parsed.groupBy("list").agg(F.min("f.negate").alias("only_excludes")).where("only_excludes").select("list")
     # every project for a list of excludes alone: what those lists select
