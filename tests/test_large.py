@@ -106,6 +106,23 @@ def test_two_neighbours_share_a_window(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Window ") == 2
 
 
+def test_origins_of_a_hub_lie_in_several_buckets(spark, monkeypatch):
+    # all reach 0, by several lengths
+    pairs = [(i, j) for i in range(1, 300) for j in {0, i // 2, i // 3} if i != j]
+    edges = spark.createDataFrame(pairs, "src long, dst long").distinct()
+    want = {tuple(r) for r in G.closure(edges).collect()}
+    monkeypatch.setattr(G, "PART", len(pairs) // 5)
+    out = G.closure(edges)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == len(want) and {(r.origin, r.node) for r in got} == want
+    assert len({r.task for r in got if r.node == 0}) > 1
+    held = edges.select(F.col("src").alias("node")).where("node % 5 = 0")
+    near = [tuple(r) for r in G.nearest_holders(edges, held, edges.select(F.col("src").alias("node"))).collect()]
+    monkeypatch.undo()
+    assert sorted(near) == sorted(tuple(r) for r in G.nearest_holders(edges, held, edges.select(F.col("src").alias("node"))).collect())
+
+
 def test_filters_ask_nothing_twice(spark, sf):
     # what specs name is written in steps: one plan of all of them did each step again for every step after it
     seen = plans(spark, lambda: registry.QUERIES["G13b_filtered"](spark, sf).count())

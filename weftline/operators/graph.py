@@ -47,11 +47,16 @@ def walks(start: DataFrame, edges: DataFrame) -> DataFrame:
     Nothing is looked up in the rounds before: pairs of several lengths fall
     together at the end, so each pair is shuffled a few times whatever the depth.
     """
-    return _ways(start.withColumn("last", F.lit(False)), edges.withColumn("last", F.lit(False))).select("origin", "node").distinct()
+    return _pairs(_ways(start.withColumn("last", F.lit(False)), edges.withColumn("last", F.lit(False))))
 
 
-#: Edges of a bucket of the ways.
-BUCKET = 50_000
+def _pairs(ways: DataFrame) -> DataFrame:
+    """(origin, node) of ways, each once, as they lie in their buckets."""
+    return ways.select("origin", "node", *(["part"] if "part" in ways.columns else [])).distinct().select("origin", "node")
+
+
+#: Edges of a bucket of the ways, and of a walk for which the origins of a node are one part more.
+BUCKET, PART = 50_000, 2_000_000
 
 
 def _ways(start: DataFrame, edges: DataFrame) -> DataFrame:
@@ -60,20 +65,30 @@ def _ways(start: DataFrame, edges: DataFrame) -> DataFrame:
     A node is a way's last whatever edge leads to it, so a pair has one mark.
     Pairs of several lengths come several times. Ways and edges lie in buckets
     of the node that joins them: only what a round adds is shuffled, to the
-    bucket of its node, and what comes several times falls together there.
+    bucket of its node, and what comes several times falls together there. A
+    node that all others reach would be one bucket, so in large graphs its
+    origins are dealt to several (part), and each meets the edges there.
     """
-    spark = edges.sparkSession
-    n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), edges.count() // BUCKET), 20_000)
-    steps, ways = Buckets(spark, "e_src", n), Buckets(spark, "node", n)
-    steps.append(edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"), F.col("last").alias("e_last")).repartition(n, "e_src"))
+    spark, many = edges.sparkSession, edges.count()
+    n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), many // BUCKET), 20_000)
+    parts = 1 + many // PART
+    by, e_by = (["node"], ["e_src"]) if parts == 1 else (["node", "part"], ["e_src", "e_part"])
+    dealt = lambda df: df if parts == 1 else df.withColumn("part", F.pmod(F.xxhash64("origin"), F.lit(parts)).cast("int"))
+    to = edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"), F.col("last").alias("e_last"))
+    if parts > 1:  # ways go on from where an edge leads
+        to = to.join(shuffled(edges.select(F.col("dst").alias("e_src")).union(start.select("dst")).distinct()), "e_src", "left_semi")
+        to = to.withColumn("e_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    steps, ways = Buckets(spark, e_by, n), Buckets(spark, by, n)
+    steps.append(to.repartition(n, *e_by))
     e, hops = shuffled(steps.closed()), 0
     new = start.select(F.col("src").alias("origin"), F.col("dst").alias("node"), "last")
+    meet = [F.col(w) == F.col(x) for w, x in zip(by, e_by, strict=True)]
     while True:
-        ways.append(new.repartition(n, "node").distinct().withColumn("hops", F.lit(hops)))
+        ways.append(dealt(new).repartition(n, *by).distinct().withColumn("hops", F.lit(hops)))
         on = ways.read().where(F.col("hops") == hops)
         if on.isEmpty():
             return ways.closed().drop("hops")
-        new = on.where(~F.col("last")).join(e, F.col("node") == F.col("e_src")).select("origin", F.col("e_dst").alias("node"), F.col("e_last").alias("last"))
+        new = on.where(~F.col("last")).join(e, meet).select("origin", F.col("e_dst").alias("node"), F.col("e_last").alias("last"))
         hops += 1
 
 
@@ -234,7 +249,7 @@ def restricted_closure(edges: DataFrame, through: DataFrame, seeds: DataFrame) -
         return reached(first, inner)
     # what lies outside `through` is carried no further
     last = (~F.col("within")).alias("last")
-    return _ways(first.select("src", "dst", last), inner.select("src", "dst", last)).select("origin", "node").distinct()
+    return _pairs(_ways(first.select("src", "dst", last), inner.select("src", "dst", last)))
 
 
 def nearest_holders(edges: DataFrame, holders: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -248,7 +263,7 @@ def nearest_holders(edges: DataFrame, holders: DataFrame, seeds: DataFrame) -> D
         return checkpointed(reached(first, open_)).join(shuffled(held), "node", "left_semi").select("origin", "node")
     # the mark tells the holders: a join after the walk would be done once for each round
     last = F.col("within").alias("last")
-    return _ways(first.select("src", "dst", last), open_.select("src", "dst", last)).where("last").select("origin", "node").distinct()
+    return _pairs(_ways(first.select("src", "dst", last), open_.select("src", "dst", last)).where("last"))
 
 
 def cyclic(edges: DataFrame) -> DataFrame:

@@ -36,23 +36,23 @@ def shuffled(df: DataFrame) -> DataFrame:
 
 
 class Buckets:
-    """A table in buckets by one column that grows by appends: what joins or groups by that column shuffles none of it.
+    """A table in buckets by some columns that grows by appends: what joins or groups by those shuffles none of it.
 
     The session's catalog holds its name only while it grows; the files stay.
     """
 
-    def __init__(self, spark: SparkSession, by: str, buckets: int):
+    def __init__(self, spark: SparkSession, by: list[str], buckets: int):
         self.spark, self.by, self.buckets = spark, by, buckets
         self.path = shared_folder(spark)
         self.name = f"weftline_{self.path.rsplit('-', 1)[-1]}"
 
     def append(self, df: DataFrame) -> None:
-        """df should come by repartition(buckets, by): one file a bucket then."""
+        """df should come by repartition(buckets, *by): one file a bucket then."""
         most = "spark.sql.maxConcurrentOutputFileWriters"
         before = self.spark.conf.get(most)
         self.spark.conf.set(most, "2")  # a task holds one bucket, so it needn't be sorted by buckets
         try:
-            df.write.mode("append").bucketBy(self.buckets, self.by).option("path", self.path).saveAsTable(self.name, format="parquet")
+            df.write.mode("append").bucketBy(self.buckets, *self.by).option("path", self.path).saveAsTable(self.name, format="parquet")
         finally:
             self.spark.conf.set(most, before)
 
