@@ -9,6 +9,7 @@ from weftline.functions import measures as M
 from weftline.functions import predicates as P
 from weftline.functions import text as X
 from weftline.operators import attribution, forecast, graph, history, keys, selection, stability, stats, timeline
+from weftline.plans import registry
 from weftline.sources import schemas
 
 
@@ -515,3 +516,19 @@ def test_trace_events_count_what_is_in_use_at_each_moment(spark):
         ("w", "X", 0, "a", 1), ("w", "X", 4, "b", 2), ("w", "X", 10, "c", 1), ("w", "X", 11, "d", 2), ("w", "i", 7, 'lost "x"', 0),
     ]
     assert timeline.trace_events(spans.where("false"), marks.where("false"), "k").count() == 0
+
+
+def test_every_file_location(spark):
+    # all that a text names, and one place once however its numbers are written
+    names = [f"src/f{i}.ts" for i in range(130)]
+    text = " ".join([*names, "src/f7.ts:03 src/f7.ts:3 src/f7.ts(3,010)"])
+    rows = spark.createDataFrame([(text,)], "text string")
+    got = rows.select(X.every_file_location(F.col("text")).alias("l")).first().l
+    assert [tuple(x) for x in got] == [*((n, None, None) for n in names if n != "src/f7.ts"), ("src/f7.ts", 3, None), ("src/f7.ts", 3, 10)]
+
+
+def test_text_locations_are_not_cut(spark, tmp_path):
+    rows = [(1, " ".join(f"f{i}.ts" for i in range(70))), (2, "none")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["Fs15b_text_locations"](spark, str(tmp_path)).collect()
+    assert sorted((r.place, r.path) for r in got) == [(i, f"f{i}.ts") for i in range(70)]
