@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import specs as SP
 from weftline.functions import text as X
 from weftline.operators import graph as G
+from weftline.operators import selectors as SL
 from weftline.operators import timeline as TL
 from weftline.plans import registry
+from weftline.sources.shared import Buckets
 
 
 def plans(spark, run) -> list[str]:
@@ -23,6 +27,20 @@ def plans(spark, run) -> list[str]:
     return [new.apply(i).physicalPlanDescription() for i in range(new.size())]
 
 
+def executed(spark, run) -> list[str]:
+    """As plans(), told by the ids of executions: a session keeps the last thousand, so places in its list move on."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def kept() -> list:
+        bus.waitUntilEmpty()
+        every = store.executionsList()
+        return [every.apply(i) for i in range(every.size())]
+
+    last = max((x.executionId() for x in kept()), default=-1)
+    run()
+    return [x.physicalPlanDescription() for x in kept() if x.executionId() > last]
+
+
 def test_owner_of_broadcasts_nothing(spark):
     projects = spark.createDataFrame([("a", "A"), ("a/b", "B")], "dir string, name string")
     paths = spark.createDataFrame([("a/x",), ("a/b/c/y",), ("z",)], "path string")
@@ -127,3 +145,35 @@ def test_filters_ask_nothing_twice(spark, sf):
     # what specs name is written in steps: one plan of all of them did each step again for every step after it
     seen = plans(spark, lambda: registry.QUERIES["G13b_filtered"](spark, sf).count())
     assert max(p.count("Exchange ") + p.count("Exchange\n") for p in seen) < 200
+
+
+def test_filters_walk_several_steps_a_round(spark, monkeypatch):
+    n, tables, append = 40, [], Buckets.append
+    monkeypatch.setattr(Buckets, "append", lambda self, *a, **k: (tables.append(1), append(self, *a, **k))[1])
+    projects = spark.createDataFrame([(i, f"n{i}", f"p/n{i}", []) for i in range(n)], "node long, name string, dir string, tags array<string>")
+    edges = spark.createDataFrame([(i + 1, i) for i in range(n - 1)], "src long, dst long")
+    specs = spark.createDataFrame([(1, 0, f"n{n - 1}..."), (2, 0, "...^n0"), (3, 0, "...n20...")], "list int, place int, raw string")
+    got = sorted(tuple(r) for r in SL.apply_filters(specs, projects, edges, spark.createDataFrame([], "since string, node long")).collect())
+    assert got == [(k, i) for k in (1, 2, 3) for i in range(n) if k != 2 or i]
+    assert len(tables) < n
+
+
+def test_strides_reach_what_single_steps_do(spark):
+    rng = random.Random(5)
+    for nodes, pairs in ((40, 55), (30, 120), (25, 25)):
+        pairs = {(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(pairs)} | {(i, i + 1) for i in range(nodes, nodes + 23)}
+        start = {(o, rng.randrange(nodes)) for o in "abc" for _ in range(2)} | {("d", nodes)}
+        want, more = set(), start
+        while more:
+            more = {(o, d) for o, v in more for s, d in pairs if s == v} - want
+            want |= more
+        out = G.strides(spark.createDataFrame(sorted(start), "origin string, node long"), G.laid(spark.createDataFrame(sorted(pairs), "src long, dst long")))
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_steps_of_a_round_are_done_once(spark):
+    # each step feeds the next one and the result; a round after the first looks up what was found before
+    seen = executed(spark, lambda: G.strides(spark.createDataFrame([("a", 0)], "origin string, node long"), G.laid(spark.createDataFrame([(i, i + 1) for i in range(14)], "src long, dst long"))))
+    rounds = [p for p in seen if p.count("SortMergeJoin") > G.STRIDE]
+    assert len(rounds) == 3 and all(p.split("\n\n")[0].count("+- Exchange") + p.split("\n\n")[0].count(":- Exchange") <= G.STRIDE + 3 for p in rounds)

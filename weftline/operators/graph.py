@@ -161,6 +161,46 @@ def reached(start: DataFrame, edges: DataFrame) -> DataFrame:
     return seen
 
 
+#: Steps of one round of `strides`.
+STRIDE = 5
+
+
+def laid(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges as a table in buckets of their src, for `strides`, and how many buckets."""
+    n = min(max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), edges.count() // BUCKET), 20_000)
+    steps = Buckets(edges.sparkSession, ["e_src"], n)
+    steps.append(edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst")).repartition(n, "e_src"))
+    # told here, else a step that another joins would be told so, and be another step than the same one in the result
+    return shuffled(steps.closed().where("e_src IS NOT NULL AND e_dst IS NOT NULL")), n
+
+
+def strides(start: DataFrame, steps: tuple[DataFrame, int]) -> DataFrame:
+    """(origin, node): what start (origin, node) reaches in one step or more, STRIDE steps a round, any graph.
+
+    A round is one job whose steps feed each other, and what it finds is
+    looked up once in what was found before. Pairs first met at its last step
+    go on in the next round; those before it have gone on in this one.
+    """
+    (e, n), rounds = steps, 0
+    seen, new = Buckets(start.sparkSession, ["node"], n), start.select("origin", "node").repartition(n, "node").distinct()
+    while True:
+        found, at = None, new
+        for hop in range(1, STRIDE + 1):
+            at = at.join(e, F.col("node") == F.col("e_src")).select("origin", F.col("e_dst").alias("node")).repartition(n, "node").distinct()
+            met = at.withColumn("hop", F.lit(hop))
+            found = met if found is None else found.unionByName(met)
+        found = found.repartition(n, "node").groupBy("origin", "node").agg(F.min("hop").alias("hop"))
+        if rounds:
+            # an anti join would be pushed down into each step, which then is no more the one that others share
+            known = seen.read().select("origin", "node", F.lit(True).alias("known"))
+            found = found.join(shuffled(known), ["origin", "node"], "left").where("known IS NULL")
+        seen.append(found.select("origin", "node", (F.col("hop") == STRIDE).alias("last"), F.lit(rounds).alias("round")), at_once=True)
+        new = seen.read().where((F.col("round") == rounds) & F.col("last")).select("origin", "node")
+        if new.isEmpty():
+            return seen.closed().select("origin", "node")
+        rounds += 1
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 

@@ -62,8 +62,8 @@ def _best(hits: DataFrame) -> DataFrame:
     return hits.join(least, ["spec", "rank"], "left_semi").select("spec", "node").distinct()
 
 
-def matched(specs: DataFrame, projects: DataFrame, edges: DataFrame, changed: DataFrame, flat: bool = False) -> DataFrame:
-    """(spec, node): what each parsed spec (spec, f) names before any walk along edges, shallow ones if flat.
+def matched(specs: DataFrame, projects: DataFrame, upwards: tuple[DataFrame, int], changed: DataFrame) -> DataFrame:
+    """(spec, node): what each parsed spec (spec, f) names before any walk along edges; upwards has them reversed.
 
     A name that none has is read as a path if it holds a slash outside a
     scope, else without the scopes of names: then a plain one must be the
@@ -91,7 +91,7 @@ def matched(specs: DataFrame, projects: DataFrame, edges: DataFrame, changed: Da
 
     ranged = f.where("since IS NOT NULL").select("spec", "kind", "since", "since_via_deps")
     moved = written(ranged.join(changed.select("since", "node"), "since").select("spec", "node", "kind", "since_via_deps"))
-    wide = walked(moved.where("since_via_deps").select(F.col("spec").alias("origin"), "node"), G.reversed_edges(edges), flat).select(F.col("origin").alias("spec"), "node")
+    wide = G.strides(moved.where("since_via_deps").select(F.col("spec").alias("origin"), "node"), upwards).select(F.col("origin").alias("spec"), "node")
     moved = moved.select("spec", "node").unionByName(wide).distinct()
     hits, moved = written(hits), written(moved)
     alone = moved.join(ranged.where("kind = 'changed'").select("spec"), "spec", "left_semi")
@@ -99,12 +99,6 @@ def matched(specs: DataFrame, projects: DataFrame, edges: DataFrame, changed: Da
     return both.distinct()
 
 
-def walked(start: DataFrame, edges: DataFrame, flat: bool) -> DataFrame:
-    """(origin, node): what start (origin, node) reaches in one step or more, all origins at once; flat tells that edges are shallow."""
-    first = start.withColumnRenamed("node", "at").join(shuffled(edges.withColumnRenamed("src", "at")), "at").select(F.col("origin").alias("src"), "dst")
-    return written(G.walks(first, edges)) if flat else G.reached(first, edges)
-
-
 def apply_filters(specs: DataFrame, projects: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
     """(list, node): the projects that each list of filters (list, place, raw) selects.
 
@@ -113,16 +107,16 @@ def apply_filters(specs: DataFrame, projects: DataFrame, edges: DataFrame, chang
     dependents. Filters in error select nothing (filter_errors() has them).
     """
     edges = written(edges.select("src", "dst").distinct())
-    flat = G.shallow(edges)
+    downwards, upwards = G.laid(edges), G.laid(G.reversed_edges(edges))
     parsed = written(specs.select("list", F.struct("list", "place").alias("spec"), filter_spec(F.col("raw")).alias("f")).where("f.error IS NULL"))
-    hits = written(matched(parsed.select("spec", "f"), projects, edges, changed, flat))
+    hits = written(matched(parsed.select("spec", "f"), projects, upwards, changed))
     flags = parsed.select("spec", "f.negate", "f.with_deps", "f.with_dependents", "f.only_deps", "f.only_dependents")
     h = hits.join(flags, "spec")
     down, both = F.col("with_deps") | F.col("only_deps"), F.col("with_dependents") & (F.col("with_deps") | F.col("only_deps"))
     # what is reached upwards with `both` goes on upwards, and from there also down
-    up = walked(h.where("with_dependents").select(F.struct("spec", both.alias("both")).alias("origin"), "node"), G.reversed_edges(edges), flat).select("origin.spec", "origin.both", "node")
+    up = G.strides(h.where("with_dependents").select(F.struct("spec", both.alias("both")).alias("origin"), "node"), upwards).select("origin.spec", "origin.both", "node")
     turned = up.where("both").select(F.col("spec").alias("origin"), "node")
-    below = walked(h.where(down).select(F.col("spec").alias("origin"), "node").unionByName(turned).distinct(), edges, flat).select(F.col("origin").alias("spec"), "node")
+    below = G.strides(h.where(down).select(F.col("spec").alias("origin"), "node").unionByName(turned), downwards).select(F.col("origin").alias("spec"), "node")
     expanded = h.where("NOT only_deps AND NOT only_dependents").select("spec", "node").unionByName(up.select("spec", "node")).unionByName(below).distinct()
     e = expanded.join(flags.select("spec", "negate"), "spec").select(F.col("spec.list").alias("list"), "node", "negate")
     without = parsed.groupBy("list").agg(F.min("f.negate").alias("only_excludes")).where("only_excludes").select("list")

@@ -46,15 +46,18 @@ class Buckets:
         self.path = shared_folder(spark)
         self.name = f"weftline_{self.path.rsplit('-', 1)[-1]}"
 
-    def append(self, df: DataFrame) -> None:
-        """df should come by repartition(buckets, *by): one file a bucket then."""
-        most = "spark.sql.maxConcurrentOutputFileWriters"
-        before = self.spark.conf.get(most)
-        self.spark.conf.set(most, "2")  # a task holds one bucket, so it needn't be sorted by buckets
+    def append(self, df: DataFrame, at_once: bool = False) -> None:
+        """df should come by repartition(buckets, *by): one file a bucket then. at_once: the plan is fixed before it runs, as one job."""
+        # a task holds one bucket, so it needn't be sorted by buckets
+        own = {"spark.sql.maxConcurrentOutputFileWriters": "2"} | ({"spark.sql.adaptive.enabled": "false"} if at_once else {})
+        before = {k: self.spark.conf.get(k) for k in own}
         try:
+            for k, v in own.items():
+                self.spark.conf.set(k, v)
             df.write.mode("append").bucketBy(self.buckets, *self.by).option("path", self.path).saveAsTable(self.name, format="parquet")
         finally:
-            self.spark.conf.set(most, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
