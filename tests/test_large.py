@@ -176,4 +176,4 @@ def test_steps_of_a_round_are_done_once(spark):
     # each step feeds the next one and the result; a round after the first looks up what was found before
     seen = executed(spark, lambda: G.strides(spark.createDataFrame([("a", 0)], "origin string, node long"), G.laid(spark.createDataFrame([(i, i + 1) for i in range(14)], "src long, dst long"))))
     rounds = [p for p in seen if p.count("SortMergeJoin") > G.STRIDE]
-    assert len(rounds) == 3 and all(p.split("\n\n")[0].count("+- Exchange") + p.split("\n\n")[0].count(":- Exchange") <= G.STRIDE + 3 for p in rounds)
+    assert len(rounds) == 3 and all(p.split("\n\n")[0].count("+- Exchange") + p.split("\n\n")[0].count(":- Exchange") <= G.STRIDE + 1 for p in rounds)

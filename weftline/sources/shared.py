@@ -47,9 +47,15 @@ class Buckets:
         self.name = f"weftline_{self.path.rsplit('-', 1)[-1]}"
 
     def append(self, df: DataFrame, at_once: bool = False) -> None:
-        """df should come by repartition(buckets, *by): one file a bucket then. at_once: the plan is fixed before it runs, as one job."""
+        """df should come by repartition(buckets, *by): one file a bucket then.
+
+        at_once: the plan is fixed before it runs, as one job, and joins by more
+        columns than the buckets' leave both sides where they lie.
+        """
         # a task holds one bucket, so it needn't be sorted by buckets
-        own = {"spark.sql.maxConcurrentOutputFileWriters": "2"} | ({"spark.sql.adaptive.enabled": "false"} if at_once else {})
+        own = {"spark.sql.maxConcurrentOutputFileWriters": "2"}
+        if at_once:
+            own |= {"spark.sql.adaptive.enabled": "false", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
         before = {k: self.spark.conf.get(k) for k in own}
         try:
             for k, v in own.items():
