@@ -177,3 +177,8 @@ def test_steps_of_a_round_are_done_once(spark):
     seen = executed(spark, lambda: G.strides(spark.createDataFrame([("a", 0)], "origin string, node long"), G.laid(spark.createDataFrame([(i, i + 1) for i in range(14)], "src long, dst long"))))
     rounds = [p for p in seen if p.count("SortMergeJoin") > G.STRIDE]
     assert len(rounds) == 3 and all(p.split("\n\n")[0].count("+- Exchange") + p.split("\n\n")[0].count(":- Exchange") <= G.STRIDE + 1 for p in rounds)
+
+
+def test_dependencies_are_joined_by_shuffles(spark, sf):
+    seen = executed(spark, lambda: registry.QUERIES["Fs7_dependency_edges"](spark, sf).write.format("noop").mode("overwrite").save())
+    assert any("SortMergeJoin" in p for p in seen) and not any("Broadcast" in p for p in seen)

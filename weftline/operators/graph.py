@@ -168,10 +168,15 @@ STRIDE = 5
 def laid(edges: DataFrame) -> tuple[DataFrame, int]:
     """Edges as a table in buckets of their src, for `strides`, and how many buckets."""
     n = min(max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), edges.count() // BUCKET), 20_000)
-    steps = Buckets(edges.sparkSession, ["e_src"], n)
-    steps.append(edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst")).repartition(n, "e_src"))
     # told here, else a step that another joins would be told so, and be another step than the same one in the result
-    return shuffled(steps.closed().where("e_src IS NOT NULL AND e_dst IS NOT NULL")), n
+    return in_buckets(edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst")), "e_src", n).where("e_src IS NOT NULL AND e_dst IS NOT NULL"), n
+
+
+def in_buckets(df: DataFrame, by: str, n: int) -> DataFrame:
+    """df as a table in n buckets of a column, the side of joins that sort both."""
+    out = Buckets(df.sparkSession, [by], n)
+    out.append(df.repartition(n, by))
+    return shuffled(out.closed())
 
 
 def strides(start: DataFrame, steps: tuple[DataFrame, int]) -> DataFrame:

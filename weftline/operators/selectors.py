@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.specs import brace_alternatives, dependency_spec, filter_spec
 from ..functions.text import normal_path
-from ..sources.shared import shuffled, written
+from ..sources.shared import Buckets, shuffled, written
 from . import graph as G
 
 #: Characters of a pattern before its first star that join it to names: only names that begin so are tested.
@@ -140,33 +140,38 @@ def resolve_dependencies(specs: DataFrame, tasks: DataFrame, edges: DataFrame, p
     """
     p = written(specs.select("node", "task", "raw", dependency_spec(F.col("raw")).alias("d")).where("d.error IS NULL").select("node", "task", "raw", "d.kind", "d.project", F.col("d.task").alias("to"), "d.negated"))
     p = p.withColumn("pattern", F.coalesce("to", F.lit("*")))
-    t = tasks.select(F.col("node").alias("to_node"), F.col("task").alias("to_task")).distinct()
-    fits = F.when(F.contains("pattern", F.lit("*")), F.rlike("to_task", _like(F.col("pattern")))).otherwise(F.col("pattern") == F.col("to_task"))
+    # the tasks of a project are one row, so nothing is joined by names, which most projects may share
+    e, n = G.laid(edges)
+    names = G.in_buckets(tasks.groupBy(F.col("node").alias("to_node")).agg(F.collect_set("task").alias("names")), "to_node", n)
+    fits = lambda name: F.when(F.contains("pattern", F.lit("*")), F.rlike(name, _like(F.col("pattern")))).otherwise(F.col("pattern") == name)
+    fitting = F.filter("names", fits)
     cols = ["node", "task", "raw", "negated", "to_node", "to_task"]
-    own = p.where("kind IN ('self', 'wildcardSelf')").join(t, F.col("node") == F.col("to_node")).where(fits & ~((F.col("to_task") == F.col("task")) & F.contains("pattern", F.lit("*")))).select(cols)
-    named = projects.select(F.col("name").alias("project"), F.col("node").alias("to_node"))
-    cross = p.where("kind = 'cross'").join(named, "project").join(t, "to_node").where(fits).select(cols)
+    own = p.where("kind IN ('self', 'wildcardSelf')").join(names, F.col("node") == F.col("to_node")).withColumn("to_task", F.explode(fitting))
+    own = own.where(~((F.col("to_task") == F.col("task")) & F.contains("pattern", F.lit("*")))).select(cols)
+    # what a project and a pattern name is found once, however many entries say so
+    cross = p.where("kind = 'cross'")
+    named = cross.select("project", "pattern").distinct().join(shuffled(projects.select(F.col("name").alias("project"), F.col("node").alias("at"))), "project")
+    named = named.join(names, F.col("at") == F.col("to_node")).select("project", "pattern", "to_node", F.explode(fitting).alias("to_task"))
+    cross = cross.join(shuffled(named), ["project", "pattern"]).select(cols)
 
     # one walk for all patterns: a way ends at the first project that holds a fitting task
-    asked = p.where("kind IN ('deps', 'wildcardDeps')").select("node", "pattern").distinct()
-    holders = written(asked.select("pattern").distinct().join(t, F.when(F.contains("pattern", F.lit("*")), F.rlike("to_task", _like(F.col("pattern")))).otherwise(F.col("pattern") == F.col("to_task"))).select("pattern", F.col("to_node").alias("at")).distinct())
-    e = edges.select(F.col("src").alias("at"), F.col("dst").alias("next"))
-    new, seen = asked.select(F.col("node").alias("origin"), "pattern", F.col("node").alias("at")), None
+    deps = p.where("kind IN ('deps', 'wildcardDeps')")
+    new, rounds = deps.select(F.col("node").alias("origin"), "pattern", F.col("node").alias("at")).repartition(n, "at").distinct(), 0
+    way = ["origin", "pattern", "at"]
+    seen = Buckets(tasks.sparkSession, ["at"], n)
     while True:
-        step = new.join(e, "at").select("origin", "pattern", F.col("next").alias("at")).distinct()
-        step = step if seen is None else step.join(seen.select("origin", "pattern", "at"), ["origin", "pattern", "at"], "left_anti")
-        found = written(step.join(holders.withColumn("held", F.lit(True)), ["pattern", "at"], "left"))
-        if found.isEmpty():
+        step = new.join(e, F.col("at") == F.col("e_src")).select("origin", "pattern", F.col("e_dst").alias("at")).repartition(n, "at").distinct()
+        if rounds:
+            step = step.join(shuffled(seen.read().select(*way, F.lit(True).alias("known"))), way, "left").where("known IS NULL")
+        found = step.join(names, F.col("at") == F.col("to_node"), "left")
+        seen.append(found.select(*way, F.coalesce(fitting, F.array()).alias("fitting"), F.lit(rounds).alias("round")), at_once=True)
+        new = seen.read().where((F.col("round") == rounds) & (F.size("fitting") == 0)).select(way)
+        if new.isEmpty():
             break
-        seen = found if seen is None else seen.unionByName(found)
-        new = found.where("held IS NULL")
-    deps = p.where("kind IN ('deps', 'wildcardDeps')")
-    if seen is not None:
-        nearest = seen.where("held").select(F.col("origin").alias("node"), "pattern", F.col("at").alias("to_node"))
-        below = deps.join(nearest, ["node", "pattern"]).join(t, "to_node").where(fits).select(cols)
-        every = own.unionByName(cross).unionByName(below)
-    else:
-        every = own.unionByName(cross)
+        rounds += 1
+    nearest = seen.closed().where(F.size("fitting") > 0).select(F.col("origin").alias("node"), "pattern", F.col("at").alias("to_node"), "fitting")
+    below = deps.join(shuffled(nearest), ["node", "pattern"]).withColumn("to_task", F.explode("fitting")).select(cols)
+    every = own.unionByName(cross).unionByName(below)
     key = ["node", "task", "to_node", "to_task"]
     stated = every.where("NOT negated").select(*key, *(["raw"] if each else [])).distinct()
-    return stated.join(every.where("negated").select(key), key, "left_anti").select(key)
+    return stated.join(shuffled(every.where("negated").select(key)), key, "left_anti").select(key)
