@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,3 +183,13 @@ def test_steps_of_a_round_are_done_once(spark):
 def test_dependencies_are_joined_by_shuffles(spark, sf):
     seen = executed(spark, lambda: registry.QUERIES["Fs7_dependency_edges"](spark, sf).write.format("noop").mode("overwrite").save())
     assert any("SortMergeJoin" in p for p in seen) and not any("Broadcast" in p for p in seen)
+
+
+def test_stable_keys_send_no_tasks_to_all(spark, sf, tmp_path):
+    # 50 copies of the tasks: only what has a row for each project or glob may be sent to all, and doesn't grow with them
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    n = part.agg(F.max("p_partkey") + 1).first()[0]
+    part.join(spark.range(50).hint("broadcast")).withColumn("p_partkey", (F.col("p_partkey") + F.col("id") * n).cast(part.schema["p_partkey"].dataType)).drop("id").write.parquet(f"{tmp_path}/part.parquet")
+    seen = executed(spark, lambda: registry.QUERIES["G24_stable_keys"](spark, str(tmp_path)).write.format("noop").mode("overwrite").save())
+    sent = [float(x) for p in seen for x in re.findall(r"BroadcastQueryStage[^\n]*rowCount=([\d.E+]+)", p)]
+    assert sent and max(sent) < 500
